@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from lakeproof.plans import compare_queries, function_queries
+from lakeproof.plans import compare_queries, function_queries, inventory_queries
 from lakeproof.plans.registry import QueryFn
 
-_MODULES = [compare_queries, function_queries]
+_MODULES = [compare_queries, inventory_queries, function_queries]
 
 
 def queries() -> dict[str, QueryFn]:

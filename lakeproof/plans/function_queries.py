@@ -115,8 +115,8 @@ scalar("date_sub", "orders", "o_orderkey",
 # -- patterns and strings over documents, pages and part ------------------------------------------
 
 props_digits = lambda: F.substring("props", 7, 2)
-scalar("try_cast", "events", "event_id", lambda: s.try_cast(props_digits(), "int"),
-       "TRY_CAST(substr(props, 7, 2) AS INTEGER)")
+scalar("try_cast", "events", "event_id", lambda: s.try_cast(props_digits(), "int").cast("string"),
+       "CAST(TRY_CAST(substr(props, 7, 2) AS INTEGER) AS VARCHAR)")
 scalar("regexp_like", "documents", "doc_id", lambda: x.regexp_like(col("text"), "[A-Z][a-z]+ing "),
        "regexp_matches(text, '[A-Z][a-z]+ing ')")
 scalar("regexp_extract", "documents", "doc_id", lambda: x.regexp_extract(col("text"), "[a-z]+ing "),
@@ -357,8 +357,8 @@ REG.add("fn_cume_dist", lambda tables: ranked_events(tables).select("event_id",
 REG.add("fn_ntile", lambda tables: ranked_events(tables).select("event_id", w.ntile(4).cast("bigint").alias("value")),
         f"SELECT event_id, ntile(4) {_RANK_SQL} AS value FROM events")
 REG.add("fn_nth_value",
-        lambda tables: w.with_nth_value(ranked_events(tables), ["event_type"], "event_id", 2, "nth").select("event_id", col("nth").alias("value")),
-        f"SELECT event_id, nth_value(event_id, 2) {_RANK_SQL} AS value FROM events")
+        lambda tables: w.with_nth_value(ranked_events(tables), ["event_type"], "event_id", 2, "nth").select("event_id", col("nth").cast("string").alias("value")),
+        f"SELECT event_id, CAST(nth_value(event_id, 2) {_RANK_SQL} AS VARCHAR) AS value FROM events")
 
 # -- table functions --------------------------------------------------------------------------------
 
@@ -440,4 +440,5 @@ scalar("map_from_entries", "part", "p_partkey",
        entries_sql("map_from_entries([(p_name, p_size), (p_type, 0)])"))
 scalar("double_pipe_concat", "part", "p_partkey", lambda: x.concat_pipes(col("p_name"), lit(" "), col("p_brand")), "p_name || ' ' || p_brand")
 scalar("subscript_bracket", "part", "p_partkey", lambda: c.subscript(F.split("p_name", " "), 1), "string_split(p_name, ' ')[1]")
-scalar("try_function_cast", "events", "event_id", lambda: s.try_cast(props_digits(), "bigint"), "TRY_CAST(substr(props, 7, 2) AS BIGINT)")
+scalar("try_function_cast", "events", "event_id", lambda: s.try_cast(props_digits(), "bigint").cast("string"),
+       "CAST(TRY_CAST(substr(props, 7, 2) AS BIGINT) AS VARCHAR)")
