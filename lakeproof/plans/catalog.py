@@ -2,10 +2,26 @@
 
 from __future__ import annotations
 
-from lakeproof.plans import compare_queries, function_queries, inventory_queries
+from lakeproof.plans import (
+    compare_queries,
+    function_queries,
+    gate_queries,
+    inventory_queries,
+    lookup_queries,
+    report_queries,
+    text_queries,
+)
 from lakeproof.plans.registry import QueryFn
 
-_MODULES = [compare_queries, inventory_queries, function_queries]
+_MODULES = [
+    compare_queries,
+    inventory_queries,
+    gate_queries,
+    lookup_queries,
+    report_queries,
+    text_queries,
+    function_queries,
+]
 
 
 def queries() -> dict[str, QueryFn]:

@@ -1 +1 @@
-
+"""Rule tables for text scans and rewrites: fixed values only."""
