@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -28,16 +29,29 @@ def spark_replacement(template: str) -> str:
     return re.sub(r"\\(\d)|([$\\])", lambda m: f"${m[1]}" if m[1] else f"\\{m[2]}", template)
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """Evaluate once, use several times."""
-    return F.transform(F.array(value), body)[0]
+def sql_text(value: str) -> str:
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
+# The two operators over the whole rule table are written as SQL expressions: they hold hundreds of calls,
+# which take seconds to build one Column at a time and milliseconds to parse.
+
 # -- which rules can match --------------------------------------------------------------------------
 #
 # Nearly all rules begin with a function name and its parenthesis. One pass over a text lists the names
-# that are called in it; a rule is tried only if its name is among them. Rules of another form are always
-# tried. The outcome is the same as trying all rules, at a small part of the matching work.
+# that are called in it; a rule is tried only if its name is among them. Rules of another form are tried
+# only on texts holding a mark they cannot match without. The outcome is the same as trying all rules.
+
+_MARKS = {
+    "map_constructor_to_struct": "[",
+    "interval_quoted": "'",
+    "cross_join_unnest_aliased": "(",
+    "values_clause": "(",
+    "lateral_subquery": ",",
+    "double_pipe_concat": "||",
+    "subscript_bracket": "[",
+    "current_timestamp_no_parens": "_",
+}
 
 
 def _head(rule: Rule) -> str | None:
@@ -45,35 +59,35 @@ def _head(rule: Rule) -> str | None:
     return found.group(1) if found else None
 
 
-def called_names(text: Column) -> Column:
-    """Upper-cased names directly before a parenthesis; letters that fold to ASCII ones included."""
-    names = F.regexp_extract_all(text, F.lit(r"(?U)\b(\w++)\("), 1)
-    return F.array_distinct(F.transform(names, lambda n: F.upper(F.translate(n, "ıİſK", "IISK"))))
+def called_names(text: str) -> str:
+    """Upper-cased names directly before a parenthesis; letters that fold to ASCII ones included.
+
+    Looks for the parenthesis first and then back for the name: parentheses are far rarer than names.
+    """
+    names = f"regexp_extract_all({text}, {sql_text(BEFORE_PARENTHESIS)}, 1)"
+    return f"array_distinct(transform({names}, n -> upper(translate(n, 'ıİſK', 'IISK'))))"
+
+
+BEFORE_PARENTHESIS = r"(?U)\((?<=\b(\w{1,40})\()"
 
 
-def _possible(rule: Rule, calls: Column) -> Column:
+def _possible(rule: Rule, text: str, calls: str) -> str:
     head = _head(rule)
-    return F.array_contains(calls, head) if head else F.lit(True)
+    if head:
+        return f"array_contains({calls}, '{head}')"
+    return f"contains({text}, {sql_text(_MARKS[rule.name])})" if rule.name in _MARKS else "true"
 
 
 def rule_hits(df: DataFrame, text: str, rules: Sequence[Rule] = LAKE_SQL_RULES) -> DataFrame:
     """Add hits: (name, category, occurrences) of every rule found in the text, in rule order."""
-
-    def hits(calls: Column) -> Column:
-        found = [
-            F.when(
-                _possible(r, calls),
-                F.struct(
-                    F.lit(r.name).alias("name"),
-                    F.lit(r.category).alias("category"),
-                    F.regexp_count(text, F.lit(flagged(r.pattern))).cast("bigint").alias("occurrences"),
-                ),
-            )
-            for r in rules
-        ]
-        return F.filter(F.array(*found), lambda h: h["occurrences"] > 0)
-
-    return df.withColumn("hits", let(called_names(F.col(text)), hits))
+    found = ", ".join(
+        f"CASE WHEN {_possible(r, text, 'calls')} THEN named_struct('name', '{r.name}', 'category', '{r.category}', "
+        f"'occurrences', CAST(regexp_count({text}, {sql_text(flagged(r.pattern))}) AS BIGINT)) END"
+        for r in rules
+    )
+    # transform over one element evaluates the called names once per row
+    hits = f"transform(array({called_names(text)}), calls -> filter(array({found}), h -> h.occurrences > 0))[0]"
+    return df.select("*", F.expr(hits).alias("hits"))
 
 
 def match_rules(df: DataFrame, text: str, rules: Sequence[Rule] = LAKE_SQL_RULES) -> DataFrame:
@@ -85,68 +99,60 @@ def match_rules(df: DataFrame, text: str, rules: Sequence[Rule] = LAKE_SQL_RULES
 
 
 class Step(NamedTuple):
-    """One rewrite: a label, when to try it (given the called names), and the rewritten text."""
+    """One rewrite as SQL: a label, when to try it (given text and called names), and the rewritten text."""
 
     label: str
-    possible: Callable[[Column, Column], Column]
-    rewrite: Callable[[Column], Column]
+    possible: Callable[[str, str], str]
+    rewrite: Callable[[str], str]
 
 
-def rewrite(text: Column, steps: Sequence[Step]) -> Column:
+def rewrite(text: str, steps: Sequence[Step], chunk: int = 10) -> Column:
     """Run the steps in order, each on the output of the one before.
 
-    Returns a struct of the text and the labels of the steps that changed it. The steps are one fold per
-    row: the plan holds each pattern once, where a chain of columns would need a projection per step.
+    Returns a struct of the text and the labels of the steps that changed it. The steps are folded over each
+    row in chunks, and a chunk none of whose steps is possible is passed over as a whole. The plan holds each
+    pattern once, where a chain of columns would need a projection per step.
     """
-    labels = F.array(*[F.lit(s.label) for s in steps])
-
-    def step_at(state: Column, index: Column) -> Column:
-        branches = None
-        for i, s in enumerate(steps):
-            attempt = F.when(s.possible(state["text"], state["calls"]), s.rewrite(state["text"])).otherwise(state["text"])
-            branches = F.when(index == i, attempt) if branches is None else branches.when(index == i, attempt)
-        return let(branches, lambda new: after(state, index, new))
-
-    def after(state: Column, index: Column, new: Column) -> Column:
-        changed = F.struct(
-            new.alias("text"),
-            called_names(new).alias("calls"),
-            F.concat(state["applied"], F.array(labels[index])).alias("applied"),
-        )
-        return F.when(new.eqNullSafe(state["text"]), state).otherwise(changed)
-
-    start = F.struct(
-        text.alias("text"), called_names(text).alias("calls"), F.array().cast("array<string>").alias("applied")
+    chunks = [steps[i : i + chunk] for i in range(0, len(steps), chunk)]
+
+    def run_step(before: str, step: Step) -> str:
+        after = f"named_struct('text', new, 'calls', {called_names('new')}, 'applied', array_append(s.applied, {sql_text(step.label)}))"
+        tried = f"transform(array({step.rewrite('s.text')}), new -> CASE WHEN new <=> s.text THEN s ELSE {after} END)[0]"
+        return f"transform(array({before}), s -> CASE WHEN {step.possible('s.text', 's.calls')} THEN {tried} ELSE s END)[0]"
+
+    def run_chunk(number: int, part: Sequence[Step]) -> str:
+        possible = " OR ".join(step.possible("state.text", "state.calls") for step in part)
+        return f"WHEN number = {number} AND ({possible}) THEN {reduce(run_step, part, 'state')}"
+
+    start = f"named_struct('text', {text}, 'calls', {called_names(text)}, 'applied', CAST(array() AS ARRAY<STRING>))"
+    cases = " ".join(run_chunk(i, part) for i, part in enumerate(chunks))
+    return F.expr(
+        f"aggregate(sequence(0, {len(chunks) - 1}), {start}, (state, number) -> CASE {cases} ELSE state END, "
+        "state -> named_struct('text', state.text, 'applied', state.applied))"
     )
-    folded = F.aggregate(F.sequence(F.lit(0), F.lit(len(steps) - 1)), start, step_at)
-    return F.transform(F.array(folded), lambda s: F.struct(s["text"].alias("text"), s["applied"].alias("applied")))[0]
 
 
 def rule_steps(rules: Sequence[Rule]) -> list[Step]:
-    def replacing(rule: Rule) -> Callable[[Column], Column]:
-        return lambda t: F.regexp_replace(t, flagged(rule.pattern), spark_replacement(rule.replacement))
+    def step(rule: Rule) -> Step:
+        pattern, replacement = sql_text(flagged(rule.pattern)), sql_text(spark_replacement(rule.replacement))
+        return Step(
+            rule.name,
+            lambda text, calls: _possible(rule, text, calls),
+            lambda text: f"regexp_replace({text}, {pattern}, {replacement})",
+        )
 
-    def possible(rule: Rule) -> Callable[[Column, Column], Column]:
-        return lambda _text, calls: _possible(rule, calls)
+    return [step(r) for r in rules]
 
-    return [Step(r.name, possible(r), replacing(r)) for r in rules]
+
+def _with_result(df: DataFrame, result: Column, labels: str) -> DataFrame:
+    return df.select("*", result.alias("__result")).select(
+        *df.columns, F.col("__result.text").alias("rewritten"), F.col("__result.applied").alias(labels)
+    )
 
 
 def apply_rules(df: DataFrame, text: str, rules: Sequence[Rule] = LAKE_SQL_RULES) -> DataFrame:
     """Add rewritten and applied (names of the rules that changed the text, in order)."""
-    headless = "|".join(f"(?:{r.pattern})" for r in rules if _head(r) is None)
-    heads = "|".join(sorted({h for h in map(_head, rules) if h}))
-    # no rule can match a text in which neither a rule's name is called nor a rule of another form is found
-    anything = "|".join(p for p in (rf"\b(?:{heads})\(" if heads else "", headless) if p)
-    column = F.col(text)
-    untouched = F.struct(column.alias("text"), F.array().cast("array<string>").alias("applied"))
-    result = F.when(column.rlike(flagged(anything)), rewrite(column, rule_steps(rules))).otherwise(untouched)
-    return (
-        df.withColumn("__result", result)
-        .withColumn("rewritten", F.col("__result.text"))
-        .withColumn("applied", F.col("__result.applied"))
-        .drop("__result")
-    )
+    return _with_result(df, rewrite(text, rule_steps(rules)), "applied")
 
 
 # -- reports on rewritten corpora -----------------------------------------------------------------------
@@ -280,12 +286,15 @@ def workflow_steps(
 ) -> list[Step]:
     """Module paths (longest first, as short ones begin long ones), whole-word operator names, schemes."""
 
+    def step(label: str, old: str, new: str, edit: str) -> Step:
+        return Step(label, lambda text, _calls: f"contains({text}, {sql_text(old)})", lambda text: edit.format(text))
+
     def literal(label: str, old: str, new: str) -> Step:
-        return Step(label, lambda t, _calls: F.contains(t, F.lit(old)), lambda t: F.replace(t, F.lit(old), F.lit(new)))
+        return step(label, old, new, f"replace({{}}, {sql_text(old)}, {sql_text(new)})")
 
     def word(label: str, old: str, new: str) -> Step:
         pattern = flagged(rf"\b{old}\b", ignore_case=False)
-        return Step(label, lambda t, _calls: F.contains(t, F.lit(old)), lambda t: F.regexp_replace(t, pattern, new))
+        return step(label, old, new, f"regexp_replace({{}}, {sql_text(pattern)}, {sql_text(new)})")
 
     longest_first = sorted(modules.items(), key=lambda item: -len(item[0]))
     return [
@@ -297,12 +306,7 @@ def workflow_steps(
 
 def rewrite_workflow_files(df: DataFrame, text: str) -> DataFrame:
     """Add rewritten and changes."""
-    return (
-        df.withColumn("__result", rewrite(F.col(text), workflow_steps()))
-        .withColumn("rewritten", F.col("__result.text"))
-        .withColumn("changes", F.col("__result.applied"))
-        .drop("__result")
-    )
+    return _with_result(df, rewrite(text, workflow_steps()), "changes")
 
 
 def rewrite_report(rewritten: DataFrame) -> DataFrame:
