@@ -6,19 +6,25 @@ from lakeproof.plans import (
     compare_queries,
     function_queries,
     gate_queries,
+    graph_queries,
     inventory_queries,
     lookup_queries,
     report_queries,
+    source_queries,
+    stream_queries,
     text_queries,
 )
 from lakeproof.plans.registry import QueryFn
 
 _MODULES = [
     compare_queries,
+    graph_queries,
     inventory_queries,
     gate_queries,
     lookup_queries,
     report_queries,
+    source_queries,
+    stream_queries,
     text_queries,
     function_queries,
 ]

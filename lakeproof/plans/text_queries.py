@@ -179,7 +179,7 @@ def _workflow_sql() -> str:
     return f"WITH {', '.join(steps)} SELECT path, t AS rewritten, ltrim(changes, '|') AS changes FROM s{len(edits)}"
 
 
-_WORKFLOW_SQL = _workflow_sql()
+WORKFLOW_SQL = _workflow_sql()
 
 
 def workflows(t: Tables) -> DataFrame:
@@ -188,14 +188,14 @@ def workflows(t: Tables) -> DataFrame:
 
 REG.add("rewrite_workflow_files",
         lambda t: workflows(t).select("path", F.md5("rewritten").alias("rewritten"), F.array_join("changes", "|").alias("changes")),
-        f"SELECT path, md5(rewritten) AS rewritten, changes FROM ({_WORKFLOW_SQL})")
+        f"SELECT path, md5(rewritten) AS rewritten, changes FROM ({WORKFLOW_SQL})")
 REG.add("rewrite_report",
         lambda t: tr.rewrite_report(workflows(t)),
         f"""SELECT count(*) AS processed, count(*) FILTER (WHERE changes <> '') AS rewritten,
-            CAST(sum(CASE WHEN changes = '' THEN 0 ELSE len(string_split(changes, '|')) END) AS BIGINT) AS changes FROM ({_WORKFLOW_SQL})""")
+            CAST(sum(CASE WHEN changes = '' THEN 0 ELSE len(string_split(changes, '|')) END) AS BIGINT) AS changes FROM ({WORKFLOW_SQL})""")
 REG.add("rewrite_changes",
         lambda t: tr.rewrite_changes(workflows(t), "path"),
-        f"SELECT path, unnest(string_split(changes, '|')) AS change FROM ({_WORKFLOW_SQL}) WHERE changes <> ''")
+        f"SELECT path, unnest(string_split(changes, '|')) AS change FROM ({WORKFLOW_SQL}) WHERE changes <> ''")
 
 # -- column references ----------------------------------------------------------------------------------------------------
 
