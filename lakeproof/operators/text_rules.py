@@ -111,7 +111,8 @@ def rewrite(text: str, steps: Sequence[Step], chunk: int = 10) -> Column:
 
     Returns a struct of the text and the labels of the steps that changed it. The steps are folded over each
     row in chunks, and a chunk none of whose steps is possible is passed over as a whole. The plan holds each
-    pattern once, where a chain of columns would need a projection per step.
+    pattern once, where a chain of columns would need a projection per step. Steps of a chunk nest, so keep
+    chunks to some twenty steps.
     """
     chunks = [steps[i : i + chunk] for i in range(0, len(steps), chunk)]
 
