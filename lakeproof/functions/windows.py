@@ -1,23 +1,45 @@
-"""Ranking window functions that split hot partitions.
+"""Window functions that split hot partitions.
 
-A plain window sorts each partition in one task, which fails the balance when one partition holds a large
-share of the rows. Here the caller names a bucket: an expression that grows with the order (for instance the
-day of the ordering timestamp). Rows are ranked within (partition, bucket), and the few per-bucket row counts
-give each bucket its starting rank. Results equal the plain window's.
+A plain window sorts each partition in one task, which is out of balance when one partition holds a large
+share of the rows. Here the caller names a bucket: an expression that grows with the order (the minute of the
+ordering timestamp, a struct of date and key range). Partitions of more than ``hot_rows`` rows are worked on
+bucket by bucket; the few per-bucket row counts give each bucket its starting rank. All other partitions are
+one bucket. Results equal the plain window's.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+HOT_ROWS = 1_000_000
 
-def ranked(df: DataFrame, partition: Sequence[str], order: Sequence[str], bucket: Column) -> DataFrame:
+
+def _join_null_safe(rows: DataFrame, side: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
+    """Join on keys of which NULL is a value like others, keeping the left side's."""
+    names = {k: f"__key{i}" for i, k in enumerate(keys)}
+    renamed = side.withColumnsRenamed(names)
+    condition = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(n)) for k, n in names.items()])
+    return rows.join(renamed, condition, how).drop(*names.values())
+
+
+def _bucketed(df: DataFrame, partition: Sequence[str], bucket: Column, hot_rows: int) -> DataFrame:
+    """Add __bucket, NULL in partitions that are not hot."""
+    counts = df.groupBy(*partition).agg(F.count("*").alias("__n")).filter(F.col("__n") > hot_rows)
+    # at most (number of rows / hot_rows) partitions are hot
+    hot = F.broadcast(counts.select(*partition, F.lit(True).alias("__hot")))
+    return _join_null_safe(df, hot, partition, "left").withColumn("__bucket", F.when(F.col("__hot"), bucket)).drop("__hot")
+
+
+def ranked(
+    df: DataFrame, partition: Sequence[str], order: Sequence[str], bucket: Column, hot_rows: int = HOT_ROWS
+) -> DataFrame:
     """Adds __row_number, __peers_end (rows up to and including peers) and __rows (partition size)."""
     partition = list(partition)
-    rows = df.withColumn("__bucket", bucket)
+    rows = _bucketed(df, partition, bucket, hot_rows)
     counts = rows.groupBy(*partition, "__bucket").agg(F.count("*").alias("__n"))
     earlier = Window.partitionBy(*partition).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select(
@@ -26,7 +48,7 @@ def ranked(df: DataFrame, partition: Sequence[str], order: Sequence[str], bucket
         F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__start"),
         F.sum("__n").over(Window.partitionBy(*partition)).alias("__rows"),
     )
-    joined = _null_safe_join(rows, starts, [*partition, "__bucket"])
+    joined = _join_null_safe(rows, starts, [*partition, "__bucket"], "inner")
     local = Window.partitionBy(*partition, "__bucket").orderBy(*order)
     return joined.select(
         *df.columns,
@@ -36,15 +58,6 @@ def ranked(df: DataFrame, partition: Sequence[str], order: Sequence[str], bucket
     )
 
 
-def _null_safe_join(rows: DataFrame, starts: DataFrame, keys: list[str]) -> DataFrame:
-    right = starts.select(*[F.col(k).alias(f"__r{i}") for i, k in enumerate(keys)], "__start", "__rows")
-    condition = None
-    for i, k in enumerate(keys):
-        part = F.col(k).eqNullSafe(F.col(f"__r{i}"))
-        condition = part if condition is None else condition & part
-    return rows.join(right, condition, "inner").drop(*[f"__r{i}" for i in range(len(keys))])
-
-
 def row_number() -> Column:
     return F.col("__row_number")
 
@@ -66,37 +79,34 @@ def ntile(n: int) -> Column:
 def with_nth_value(ranked_rows: DataFrame, partition: Sequence[str], value: str, n: int, name: str) -> DataFrame:
     """Adds the n-th value of each partition, NULL on rows before it (frame up to the current row and peers)."""
     partition = list(partition)
-    nth = ranked_rows.filter(F.col("__row_number") == n).select(
-        *[F.col(k).alias(f"__r{i}") for i, k in enumerate(partition)], F.col(value).alias("__nth")
-    )
-    condition = None
-    for i, k in enumerate(partition):
-        part = F.col(k).eqNullSafe(F.col(f"__r{i}"))
-        condition = part if condition is None else condition & part
+    nth = ranked_rows.filter(F.col("__row_number") == n).select(*partition, F.col(value).alias("__nth"))
     return (
-        ranked_rows.join(nth, condition, "left")
+        _join_null_safe(ranked_rows, nth, partition, "left")
         .withColumn(name, F.when(F.col("__peers_end") >= n, F.col("__nth")))
-        .drop("__nth", *[f"__r{i}" for i in range(len(partition))])
+        .drop("__nth")
     )
 
 
 def lag_in_buckets(
-    df: DataFrame, partition: Sequence[str], order: Sequence[str], bucket: Column, value: str, name: str
+    df: DataFrame,
+    partition: Sequence[str],
+    order: Sequence[str],
+    bucket: Column,
+    value: str,
+    name: str,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
-    """``lag(value)`` over the partition, with the rows of a hot partition split by bucket."""
+    """``lag(value)`` over the partition: the first row of a bucket gets the last value of the bucket before."""
     partition = list(partition)
-    rows = df.withColumn("__bucket", bucket)
-    last = rows.groupBy(*partition, "__bucket").agg(
-        F.max_by(value, F.struct(*order)).alias("__last"), F.count("*").alias("__n")
-    )
+    rows = _bucketed(df, partition, bucket, hot_rows)
+    last = rows.groupBy(*partition, "__bucket").agg(F.max_by(value, F.struct(*order)).alias("__last"))
     carried = last.select(
         *partition,
         "__bucket",
         F.lag("__last").over(Window.partitionBy(*partition).orderBy("__bucket")).alias("__start"),
-        F.col("__n").alias("__rows"),
     )
     local = Window.partitionBy(*partition, "__bucket").orderBy(*order)
-    return _null_safe_join(rows, carried, [*partition, "__bucket"]).select(
+    return _join_null_safe(rows, carried, [*partition, "__bucket"], "inner").select(
         *df.columns,
         F.when(F.row_number().over(local) == 1, F.col("__start")).otherwise(F.lag(value).over(local)).alias(name),
     )

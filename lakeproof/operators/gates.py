@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakeproof.functions.windows import lag_in_buckets
+from lakeproof.functions.windows import HOT_ROWS, lag_in_buckets
 
 # Legal steps of the run mode.
 RUN_MODE_STEPS = {
@@ -79,13 +79,14 @@ def transition_audit(
     state: str,
     steps: Mapping[str, Sequence[str]],
     bucket: Column,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Legality of each step of each entity's history; the first state of an entity has no step.
 
-    ``bucket`` must grow with ``order`` (for instance the month); an entity with very many states is then
-    spread over its buckets instead of being sorted in one task.
+    ``bucket`` must grow with ``order``; an entity with more than ``hot_rows`` states is spread over its buckets
+    instead of being sorted in one task.
     """
-    stepped = lag_in_buckets(history, [entity], order, bucket, state, "previous")
+    stepped = lag_in_buckets(history, [entity], order, bucket, state, "previous", hot_rows)
     return stepped.withColumn(
         "legal", F.when(F.col("previous").isNotNull(), legal_transition(F.col("previous"), F.col(state), steps))
     )

@@ -175,16 +175,21 @@ def unused_rules(df: DataFrame, text: str, rules: Sequence[Rule] = LAKE_SQL_RULE
     return rule_coverage(df, text, rules).filter("files = 0").select("ord", "name", "category")
 
 
-def translation_summary(files: DataFrame, group: Sequence[str] = ()) -> DataFrame:
-    """Totals of (status, applied) rows; the rule names are at most as many as there are rules."""
+def translation_summary(
+    files: DataFrame, group: Sequence[str] = (), rules: Sequence[Rule] = LAKE_SQL_RULES
+) -> DataFrame:
+    """Totals of (status, applied) rows, with the sorted names of the rules applied.
+
+    One flag per rule is aggregated, which stays small however many files a group has.
+    """
     done = F.col("status") == "translated"
+    names = sorted(r.name for r in rules)
+    flags = [F.bool_or(F.array_contains("applied", n)).alias(f"__{n}") for n in names]
     totals = files.groupBy(*group).agg(
-        F.count("*").alias("total_files"),
-        F.count_if(done).alias("succeeded"),
-        F.count_if(~done).alias("failed"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set("applied")))).alias("patterns_applied"),
+        F.count("*").alias("total_files"), F.count_if(done).alias("succeeded"), F.count_if(~done).alias("failed"), *flags
     )
-    return totals
+    applied = F.array_compact(F.array(*[F.when(F.col(f"__{n}"), n) for n in names]))
+    return totals.select(*group, "total_files", "succeeded", "failed", applied.alias("patterns_applied"))
 
 
 def batch_completion(files: DataFrame, batch: str = "batch_id") -> DataFrame:

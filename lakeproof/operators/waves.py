@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lakeproof.functions.windows import ranked
+from lakeproof.functions.windows import HOT_ROWS, ranked
 from lakeproof.operators.inventory import assign_lob
 
 # Planning rule of ten days for every fifty tables begun, at least ten.
@@ -34,18 +34,18 @@ def plan_waves(
     lobs: Sequence[str],
     max_parallel: int = 3,
     position: str = "position",
-    bucket_size: int = 1_000_000,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """One row per table: its wave and its place in it (tier 1 first, then input position).
 
-    Long form rather than one array per wave: a line of business may own most tables. Places are ranked in
-    buckets of ``bucket_size`` input positions, so no task sorts a whole line of business.
+    Long form rather than one array per wave: a line of business may own most tables. Lines of more than
+    ``hot_rows`` tables are ranked in ranges of as many input positions, so no task sorts such a line.
     """
     tier = F.when(F.col("tier") == "TIER_1", 0).when(F.col("tier") == "TIER_2", 1).when(F.col("tier") == "TIER_3", 2)
     tables = assign_lob(classifications, lobs).withColumn("__tier", F.coalesce(tier, F.lit(99)))
     waves = _waves(tables.groupBy("lob").agg(F.count("*").alias("table_count")), max_parallel)
-    bucket = F.struct("__tier", F.floor(F.col(position) / bucket_size).alias("part"))
-    placed = ranked(tables, ["lob"], ["__tier", position], bucket)
+    bucket = F.struct("__tier", F.floor(F.col(position) / hot_rows).alias("part"))
+    placed = ranked(tables, ["lob"], ["__tier", position], bucket, hot_rows)
     return placed.join(waves, "lob").select(
         "wave_id", "name", "lob", F.col("__row_number").alias("place"), "table_name", "tier", "estimated_days", "parallel_group"
     )

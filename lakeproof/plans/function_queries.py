@@ -227,7 +227,7 @@ def _approx_percentile(tables: Tables):
     events = tables.events
     estimate = events.groupBy("event_type").agg(a.approx_percentile(col("value"), 0.95, 10000).alias("p95"))
     return (
-        events.join(F.broadcast(estimate), "event_type")  # one row per event type
+        events.join(estimate, "event_type")
         .groupBy("event_type")
         .agg(
             F.count("*").alias("n"),
@@ -340,14 +340,14 @@ scalar("json_format", "events", "event_id", lambda: s.json_format(s.json_parse(c
 scalar("json_array_get", "events", "event_id", lambda: s.json_array_get(F.get_json_object(event_json(), "$.t"), 1),
        f"json_extract_string({EVENT_JSON}, '$.t[1]')")
 
-# -- windows: event types are few and hot, so ranks are built per day ------------------------------
+# -- windows: event types are few and hot; beyond a size they are ranked minute by minute ------------------------------
 
 _RANK_SQL = "OVER (PARTITION BY event_type ORDER BY ts, event_id)"
 
 
 def ranked_events(tables: Tables):
     events = tables.events.select("event_id", "event_type", "ts", "value")
-    return w.ranked(events, ["event_type"], ["ts", "event_id"], F.date_trunc("day", "ts"))
+    return w.ranked(events, ["event_type"], ["ts", "event_id"], F.date_trunc("minute", "ts"))
 
 
 REG.add("fn_row_number", lambda tables: ranked_events(tables).select("event_id", w.row_number().alias("value")),
@@ -385,7 +385,7 @@ def _values(tables: Tables):
 
 _LATERAL = "SELECT o_orderkey, z.net AS net FROM orders, LATERAL (SELECT round(o_totalprice * 2, 2) AS net) z"
 REG.add("fn_lateral_subquery",
-        lambda tables: tb.lateral(tables.orders, tables.spark.range(1).select(F.round(col("o_totalprice").outer() * 2, 2).alias("net"))).select("o_orderkey", "net"),
+        lambda tables: tb.lateral(tables.orders, tables.spark.sql("SELECT 1").select(F.round(col("o_totalprice").outer() * 2, 2).alias("net"))).select("o_orderkey", "net"),
         _LATERAL)
 
 # -- bits and numbers -------------------------------------------------------------------------------

@@ -235,8 +235,9 @@ def _legal(t: Tables):
 )
 def _audit(t: Tables):
     history = t.orders.select("o_custkey", "o_orderkey", "o_orderdate", run_mode().alias("mode"))
+    bucket = F.struct("o_orderdate", F.floor(col("o_orderkey") / 1_000_000).alias("part"))
     audited = gates.transition_audit(
-        history, "o_custkey", ["o_orderdate", "o_orderkey"], "mode", gates.RUN_MODE_STEPS, F.date_trunc("month", "o_orderdate")
+        history, "o_custkey", ["o_orderdate", "o_orderkey"], "mode", gates.RUN_MODE_STEPS, bucket
     )
     return audited.select(
         "o_custkey", "o_orderkey", "mode", F.coalesce("previous", lit("")).alias("previous"),
@@ -264,7 +265,7 @@ def _wave_status(t: Tables):
     )
     history = t.events.select("user_id", "event_id", "ts", status.alias("status"))
     audited = gates.transition_audit(
-        history, "user_id", ["ts", "event_id"], "status", gates.WAVE_STATUS_STEPS, F.date_trunc("day", "ts")
+        history, "user_id", ["ts", "event_id"], "status", gates.WAVE_STATUS_STEPS, F.date_trunc("minute", "ts")
     )
     return audited.filter("previous IS NOT NULL").groupBy("previous", "status", "legal").agg(F.count("*").alias("steps"))
 

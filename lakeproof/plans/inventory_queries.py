@@ -192,7 +192,7 @@ REG.add("assign_lob",
         lambda t: inv.assign_lob(part_classifications(t), LOBS).select("table_name", "lob"),
         f"SELECT table_name, {_LOB_SQL} AS lob FROM ({_PARTS_SQL})")
 REG.add("plan_waves",
-        lambda t: waves.plan_waves(part_classifications(t), LOBS, bucket_size=500),
+        lambda t: waves.plan_waves(part_classifications(t), LOBS),
         f"SELECT wave_id, name, lob, place, table_name, tier, estimated_days, parallel_group FROM ({_WAVES_SQL})")
 REG.add("wave_plan_report",
         lambda t: waves.wave_plan_report(part_classifications(t), LOBS),

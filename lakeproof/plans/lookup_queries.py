@@ -147,8 +147,8 @@ REG.add("array_agg_distinct",
 )
 def _ranks(t: Tables):
     orders = t.orders.select("o_orderkey", "o_orderstatus", "o_orderdate")
-    month = F.date_trunc("month", "o_orderdate")
-    by_row = w.ranked(orders, ["o_orderstatus"], ["o_orderdate", "o_orderkey"], month)
+    bucket = F.struct("o_orderdate", F.floor(col("o_orderkey") / 1_000_000).alias("part"))
+    by_row = w.ranked(orders, ["o_orderstatus"], ["o_orderdate", "o_orderkey"], bucket)
     rows = w.with_nth_value(by_row, ["o_orderstatus"], "o_orderkey", 3, "third")
     # days with several orders are peers: their share of rows up to and including the day
     by_day = orders.groupBy("o_orderstatus", "o_orderdate").agg(F.count("*").alias("n"))

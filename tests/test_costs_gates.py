@@ -134,7 +134,7 @@ def test_audit_does_not_depend_on_buckets(spark, buckets):
     modes = ["OLD_ONLY", "SHADOW", "REVERSE_SHADOW", "NEW_ONLY", "OLD_ONLY", "NEW_ONLY", "SHADOW"] * 7
     rows = spark.createDataFrame([("w", i, m) for i, m in enumerate(modes)] + [("v", 5, "SHADOW")], "wave_id STRING, ts INT, mode STRING")
     bucket = F.floor(F.col("ts") * buckets / 50)
-    got = gates.transition_audit(rows, "wave_id", ["ts"], "mode", gates.RUN_MODE_STEPS, bucket)
+    got = gates.transition_audit(rows, "wave_id", ["ts"], "mode", gates.RUN_MODE_STEPS, bucket, hot_rows=3)
     by_ts = {r["ts"]: (r["previous"], r["legal"]) for r in got.filter("wave_id = 'w'").collect()}
     for i, mode in enumerate(modes):
         before = modes[i - 1] if i else None

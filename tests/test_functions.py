@@ -111,7 +111,7 @@ def test_bucketed_ranks_equal_plain_windows(spark, n, tiles, width):
     rng = random.Random(n)
     rows = [(rng.choice("xy"), rng.randrange(8), i) for i in range(n)]
     frame = spark.createDataFrame(rows, "g STRING, o INT, id INT")
-    ranked = w.ranked(frame, ["g"], ["o", "id"], F.floor(F.col("o") / width))
+    ranked = w.ranked(frame, ["g"], ["o", "id"], F.floor(F.col("o") / width), hot_rows=4)
     ranked = w.with_nth_value(ranked, ["g"], "id", 3, "third").select(
         "id", w.row_number().alias("rn"), w.cume_dist().alias("cd"), w.ntile(tiles).alias("nt"), "third"
     )
@@ -123,5 +123,5 @@ def test_bucketed_ranks_equal_plain_windows(spark, n, tiles, width):
 
 def test_peers_share_their_cume_dist(spark):
     frame = spark.createDataFrame([("g", 1, 1), ("g", 1, 2), ("g", 2, 3), (None, 1, 4)], "g STRING, o INT, id INT")
-    ranked = w.ranked(frame, ["g"], ["o"], F.col("o")).select("id", w.cume_dist().alias("cd")).collect()
+    ranked = w.ranked(frame, ["g"], ["o"], F.col("o"), hot_rows=2).select("id", w.cume_dist().alias("cd")).collect()
     assert {r["id"]: round(r["cd"], 4) for r in ranked} == {1: 0.6667, 2: 0.6667, 3: 1.0, 4: 1.0}

@@ -104,7 +104,7 @@ def test_wave_length(spark, n, days):
 
 def test_waves_order_tiers_and_keep_input_order(spark):
     rows = [("b.3", "TIER_3"), ("a.2", "TIER_2"), ("a.1", "TIER_1"), ("b.1", "TIER_1"), ("a.1b", "TIER_1"), ("c", "TIER_1"), ("d", "TIER_1")]
-    frame, planned = plan(spark, rows, ["a", "b", "c", "d"], max_parallel=3, bucket_size=2)
+    frame, planned = plan(spark, rows, ["a", "b", "c", "d"], max_parallel=3, hot_rows=2)
     got = [(r["wave_id"], r["lob"], r["table_name"], r["parallel_group"]) for r in planned.orderBy("wave_id", "place").collect()]
     assert got == [
         ("wave-1", "a", "a.1", 0), ("wave-1", "a", "a.1b", 0), ("wave-1", "a", "a.2", 0),

@@ -92,7 +92,8 @@ def test_summary_and_completion(spark):
         [("b1", "translated", ["x", "y"]), ("b1", "failed", ["x"]), ("b2", "pending", []), ("b2", "translated", ["z"]), ("b3", None, [])],
         "batch_id STRING, status STRING, applied ARRAY<STRING>",
     )
-    total = tr.translation_summary(files.filter("batch_id = 'b1'")).first()
+    rules = [Rule(n, "X", n, n) for n in "zyx"]
+    total = tr.translation_summary(files.filter("batch_id = 'b1'"), rules=rules).first()
     assert (total["total_files"], total["succeeded"], total["failed"], total["patterns_applied"]) == (2, 1, 1, ["x", "y"])
     done = {r["batch_id"]: (r["completion"], r["batch_status"]) for r in tr.batch_completion(files).collect()}
     assert done == {"b1": (100.0, "completed"), "b2": (50.0, "pending"), "b3": (100.0, "completed")}
