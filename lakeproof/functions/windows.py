@@ -2,9 +2,10 @@
 
 A plain window sorts each partition in one task, which is out of balance when one partition holds a large
 share of the rows. Here the caller names a bucket: an expression that grows with the order (the minute of the
-ordering timestamp, a struct of date and key range). Partitions of more than ``hot_rows`` rows are worked on
-bucket by bucket; the few per-bucket row counts give each bucket its starting rank. All other partitions are
-one bucket. Results equal the plain window's.
+ordering timestamp, a struct of date and key range). Partitions of more than ``hot_rows`` rows are sorted
+bucket by bucket; all others are one bucket. What a bucket needs from those before it (a starting rank, the
+last value) is worked out from one row per bucket, and travels as an extra first row of the bucket. So the
+rows are shuffled and sorted once, as by a plain window, and results equal the plain window's.
 """
 
 from __future__ import annotations
@@ -31,7 +32,14 @@ def _bucketed(df: DataFrame, partition: Sequence[str], bucket: Column, hot_rows:
     counts = df.groupBy(*partition).agg(F.count("*").alias("__n")).filter(F.col("__n") > hot_rows)
     # at most (number of rows / hot_rows) partitions are hot
     hot = F.broadcast(counts.select(*partition, F.lit(True).alias("__hot")))
-    return _join_null_safe(df, hot, partition, "left").withColumn("__bucket", F.when(F.col("__hot"), bucket)).drop("__hot")
+    return _join_null_safe(df, hot, partition, "left").withColumn(
+        "__bucket", F.when(F.col("__hot"), F.struct(bucket.alias("at")))
+    ).drop("__hot")
+
+
+def _with_first_rows(rows: DataFrame, first_rows: DataFrame) -> DataFrame:
+    flagged = first_rows.withColumn("__first", F.lit(True))
+    return rows.withColumn("__first", F.lit(False)).unionByName(flagged, allowMissingColumns=True)
 
 
 def ranked(
@@ -40,21 +48,29 @@ def ranked(
     """Adds __row_number, __peers_end (rows up to and including peers) and __rows (partition size)."""
     partition = list(partition)
     rows = _bucketed(df, partition, bucket, hot_rows)
-    counts = rows.groupBy(*partition, "__bucket").agg(F.count("*").alias("__n"))
+    counts = rows.filter("__bucket IS NOT NULL").groupBy(*partition, "__bucket").agg(F.count("*").alias("__n"))
     earlier = Window.partitionBy(*partition).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select(
         *partition,
         "__bucket",
         F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__start"),
-        F.sum("__n").over(Window.partitionBy(*partition)).alias("__rows"),
+        F.sum("__n").over(Window.partitionBy(*partition)).alias("__size"),
     )
-    joined = _join_null_safe(rows, starts, [*partition, "__bucket"], "inner")
-    local = Window.partitionBy(*partition, "__bucket").orderBy(*order)
-    return joined.select(
-        *df.columns,
-        (F.col("__start") + F.row_number().over(local)).alias("__row_number"),
-        (F.col("__start") + F.count(F.lit(1)).over(local)).alias("__peers_end"),
-        "__rows",
+    whole = Window.partitionBy(*partition, "__bucket")
+    local = whole.orderBy(F.desc("__first"), *order)
+    # the extra first row counts as one
+    start = F.coalesce(F.max("__start").over(whole) - 1, F.lit(0))
+    return (
+        _with_first_rows(rows, starts)
+        .select(
+            *df.columns,
+            "__first",
+            (start + F.row_number().over(local)).alias("__row_number"),
+            (start + F.count(F.lit(1)).over(local)).alias("__peers_end"),
+            F.coalesce(F.max("__size").over(whole), F.count(F.lit(1)).over(whole)).alias("__rows"),
+        )
+        .filter("NOT __first")
+        .drop("__first")
     )
 
 
@@ -96,17 +112,20 @@ def lag_in_buckets(
     name: str,
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
-    """``lag(value)`` over the partition: the first row of a bucket gets the last value of the bucket before."""
+    """``lag(value)`` over the partition: the extra first row of a bucket holds the last value before it."""
     partition = list(partition)
     rows = _bucketed(df, partition, bucket, hot_rows)
-    last = rows.groupBy(*partition, "__bucket").agg(F.max_by(value, F.struct(*order)).alias("__last"))
-    carried = last.select(
-        *partition,
-        "__bucket",
-        F.lag("__last").over(Window.partitionBy(*partition).orderBy("__bucket")).alias("__start"),
+    last = (
+        rows.filter("__bucket IS NOT NULL")
+        .groupBy(*partition, "__bucket")
+        .agg(F.max_by(value, F.struct(*order)).alias("__last"))
     )
-    local = Window.partitionBy(*partition, "__bucket").orderBy(*order)
-    return _join_null_safe(rows, carried, [*partition, "__bucket"], "inner").select(
-        *df.columns,
-        F.when(F.row_number().over(local) == 1, F.col("__start")).otherwise(F.lag(value).over(local)).alias(name),
+    before = F.lag("__last").over(Window.partitionBy(*partition).orderBy("__bucket"))
+    carried = last.select(*partition, "__bucket", before.alias(value))
+    local = Window.partitionBy(*partition, "__bucket").orderBy(F.desc("__first"), *order)
+    return (
+        _with_first_rows(rows, carried)
+        .select(*df.columns, "__first", F.lag(value).over(local).alias(name))
+        .filter("NOT __first")
+        .drop("__first")
     )
