@@ -10,6 +10,7 @@ from lakeproof.plans.corpus import CORPUS_SQL, corpus
 from lakeproof.plans.registry import Registry, Tables
 from lakeproof.rulesets import code
 from lakeproof.rulesets.lake_sql import LAKE_SQL_RULES
+from lakeproof.session import spread
 
 REG = Registry()
 col, lit = F.col, F.lit
@@ -75,7 +76,7 @@ REG.add("rule_coverage",
         f"""SELECT name, category, count(*) FILTER (WHERE occurrences > 0) AS files, CAST(sum(occurrences) AS BIGINT) AS occurrences
             FROM ({_HITS_SQL}) GROUP BY 1, 2""")
 REG.add("unused_rules",
-        lambda t: tr.unused_rules(t.conversations.select("text"), "text").select("name", "category"),
+        lambda t: tr.unused_rules(spread(t.conversations.select("text")), "text").select("name", "category"),
         f"""WITH c AS (SELECT text FROM conversations) {" UNION ALL ".join(
             f"SELECT '{r.name}' AS name, '{r.category}' AS category FROM c HAVING sum({_occurrences_sql(r, 'text')}) = 0" for r in LAKE_SQL_RULES)}""")
 REG.add("translation_summary",
@@ -156,8 +157,8 @@ REG.add("classify_code",
         f"SELECT path, {_CLASS_SQL.format('content')} AS category FROM ({CORPUS_SQL})")
 REG.add("classify_code_report",
         lambda t: tr.classify_code_report(
-            tr.classify_code(t.pages.select(col("html").alias("body"), lit("page").alias("kind"))
-                             .unionByName(t.conversations.select(col("text").alias("body"), col("role").alias("kind"))), "body"), ["kind"]),
+            tr.classify_code(spread(t.pages.select(col("html").alias("body"), lit("page").alias("kind")))
+                             .unionByName(spread(t.conversations.select(col("text").alias("body"), col("role").alias("kind")))), "body"), ["kind"]),
         f"""WITH b AS (SELECT html AS body, 'page' AS kind FROM pages UNION ALL SELECT text, role FROM conversations),
             c AS (SELECT kind, {_CLASS_SQL.format('body')} AS category FROM b)
             SELECT kind, count(*) AS total, count(*) FILTER (WHERE category = 'CLOUD_RUN_REMOTE') AS cloud_run_remote,

@@ -40,3 +40,16 @@ def materialize(df: DataFrame) -> DataFrame:
     path = scratch_path(df.sparkSession, "table")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """Spread a scan over the cores if it has fewer splits than two per core, else leave it alone.
+
+    For work that costs far more per row than a shuffle does, such as many patterns per text. A table of a few
+    files (or of one row group) would keep most cores idle; a large one has more splits than cores and is not
+    shuffled. Only for scans: the number of splits of other plans is not known before they run.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    if scan.rdd.getNumPartitions() >= 2 * cores:
+        return scan
+    return scan.repartition(cores)
