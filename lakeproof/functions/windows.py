@@ -45,7 +45,10 @@ def _with_first_rows(rows: DataFrame, first_rows: DataFrame) -> DataFrame:
 def ranked(
     df: DataFrame, partition: Sequence[str], order: Sequence[str], bucket: Column, hot_rows: int = HOT_ROWS
 ) -> DataFrame:
-    """Adds __row_number, __peers_end (rows up to and including peers) and __rows (partition size)."""
+    """Adds __row_number, __peers_end (rows up to and including peers) and __rows (partition size).
+
+    Reads its input up to three times, so give it a scan or a written table.
+    """
     partition = list(partition)
     rows = _bucketed(df, partition, bucket, hot_rows)
     counts = rows.filter("__bucket IS NOT NULL").groupBy(*partition, "__bucket").agg(F.count("*").alias("__n"))

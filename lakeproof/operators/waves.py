@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lakeproof.functions.windows import HOT_ROWS, ranked
 from lakeproof.operators.inventory import assign_lob
+from lakeproof.session import materialize
 
 # Planning rule of ten days for every fifty tables begun, at least ten.
 TABLES_PER_STEP = 50
@@ -42,7 +43,11 @@ def plan_waves(
     ``hot_rows`` tables are ranked in ranges of as many input positions, so no task sorts such a line.
     """
     tier = F.when(F.col("tier") == "TIER_1", 0).when(F.col("tier") == "TIER_2", 1).when(F.col("tier") == "TIER_3", 2)
-    tables = assign_lob(classifications, lobs).withColumn("__tier", F.coalesce(tier, F.lit(99)))
+    assigned = assign_lob(classifications, lobs).select(
+        "table_name", "tier", position, "lob", F.coalesce(tier, F.lit(99)).alias("__tier")
+    )
+    # counted and ranked below: written once, so that classifications are not worked out for each use
+    tables = materialize(assigned)
     waves = _waves(tables.groupBy("lob").agg(F.count("*").alias("table_count")), max_parallel)
     bucket = F.struct("__tier", F.floor(F.col(position) / hot_rows).alias("part"))
     placed = ranked(tables, ["lob"], ["__tier", position], bucket, hot_rows)

@@ -113,8 +113,9 @@ REG.add("distinct_agg",
 )
 def _approx_distinct(t: Tables):
     # the estimate is shown to be within four standard errors of its exact twin
-    out = t.orders.groupBy("o_orderpriority").agg(
-        F.count_distinct("o_custkey").alias("buyers"), agg.approx_distinct(col("o_custkey")).alias("estimate")
+    orders = t.orders.groupBy("o_orderpriority")
+    out = orders.agg(F.count_distinct("o_custkey").alias("buyers")).join(
+        orders.agg(agg.approx_distinct(col("o_custkey")).alias("estimate")), "o_orderpriority"
     )
     bound = F.abs(col("estimate") - col("buyers")) <= 0.092 * col("buyers")
     return out.select("o_orderpriority", "buyers", bound.alias("within_bound"))

@@ -18,11 +18,17 @@ def file_stream(spark: SparkSession, folder: str, glob: str, schema: T.StructTyp
     return reader.load(folder)
 
 
-def run_available(stream: DataFrame, name: str) -> DataFrame:
-    """Process what is available into a parquet sink (exactly once, restartable) and read the sink."""
+def run_available(stream: DataFrame, name: str, state_partitions: int | None = None) -> DataFrame:
+    """Process what is available into a parquet sink (exactly once, restartable) and read the sink.
+
+    The number of state partitions is fixed when a stream first starts, as nothing coalesces them later; it is
+    the number of cores unless given.
+    """
     spark = stream.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKSDB)
     base = scratch_path(spark, f"stream-{name}")
+    session_partitions = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(state_partitions or spark.sparkContext.defaultParallelism))
     query = (
         stream.writeStream.format("parquet")
         .outputMode("append")
@@ -31,5 +37,6 @@ def run_available(stream: DataFrame, name: str) -> DataFrame:
         .trigger(availableNow=True)
         .start()
     )
+    spark.conf.set("spark.sql.shuffle.partitions", session_partitions)
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{base}/sink")
