@@ -15,10 +15,10 @@ from pyspark.sql import functions as F
 
 from lakeproof.session import materialize
 
-# a node is hot with more pairs than this, or than a thousandth of all pairs if that is less; hot nodes are
-# therefore at most 2000 in graphs of up to a billion edges and two in a million edges beyond
-HOT_PAIRS = 1_000_000
+# a node is hot beyond a thousandth of all pairs, within these limits; so there are at most a few thousand hot
+# nodes in graphs of up to a billion pairs, and two in a million pairs beyond
 HOT_SHARE = 1000
+HOT_PAIRS = (100_000, 1_000_000)
 
 
 def graph_nodes(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
@@ -84,37 +84,39 @@ def cascade_roots(cascades: DataFrame) -> DataFrame:
     )
 
 
-def _with_minimum(pairs: DataFrame, limit: int) -> DataFrame:
-    """Add the smallest neighbour of u to each pair (u, v).
+def _minima(pairs: DataFrame, limit: int) -> DataFrame:
+    """Smallest ``far`` of each ``at``, and over how many salts to spread the node's pairs in a join."""
+    return pairs.groupBy("at").agg(F.min("far").alias("least"), F.ceil(F.count("*") / limit).cast("int").alias("salts"))
 
-    Minima come from a partial aggregate. Joining them back would send all pairs of a hot node to one task, so
-    nodes with more than ``limit`` pairs are salted: their minimum is repeated once per salt. At most
-    (number of pairs / limit) nodes are hot, which bounds the broadcast list of them.
+
+def _with_minimum(pairs: DataFrame, minima: DataFrame) -> DataFrame:
+    """Add the minimum of ``at`` to each pair (at, far).
+
+    A plain join would send all pairs of a hot node to one task. Its pairs are salted, and its minimum is
+    repeated once per salt. The broadcast list of hot nodes is bounded by (number of pairs / limit).
     """
-    minima = pairs.groupBy("u").agg(F.min("v").alias("least"), F.ceil(F.count("*") / limit).cast("int").alias("salts"))
-    hot = F.broadcast(minima.filter("salts > 1").select("u", "salts"))
-    salt = F.pmod(F.hash("v"), F.coalesce("salts", F.lit(1)))
-    spread = pairs.join(hot, "u", "left").select("u", "v", salt.alias("salt"))
-    repeated = minima.select("u", "least", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
-    return spread.join(repeated, ["u", "salt"]).select("u", "v", "least")
+    hot = F.broadcast(minima.filter("salts > 1").select("at", "salts"))
+    salt = F.pmod(F.hash("far"), F.coalesce("salts", F.lit(1)))
+    spread = pairs.join(hot, "at", "left").select("at", "far", salt.alias("salt"))
+    repeated = minima.select("at", "least", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    return spread.join(repeated, ["at", "salt"]).select("at", "far", "least")
 
 
-def _large_star(edges: DataFrame, limit: int) -> DataFrame:
-    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    linked = _with_minimum(both, limit)
-    return (
-        linked.filter("v > u")
-        .select(F.col("v").alias("u"), F.least("u", "least").alias("v"))
-        .distinct()
-    )
+def _large_star(links: DataFrame, limit: int) -> DataFrame:
+    """Link each neighbour above a node to the smallest of the node and its neighbours."""
+    upward = links.select(F.col("v").alias("at"), F.col("u").alias("far"))
+    both = upward.unionByName(links.select(F.col("u").alias("at"), F.col("v").alias("far")))
+    linked = _with_minimum(upward, _minima(both, limit))
+    return linked.select(F.col("far").alias("u"), F.least("at", "least").alias("v"))
 
 
-def _small_star(edges: DataFrame, limit: int) -> DataFrame:
-    downward = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    linked = _with_minimum(downward, limit)
-    moved = linked.filter("v <> least").select(F.col("v").alias("u"), F.col("least").alias("v"))
-    kept = linked.select("u", F.col("least").alias("v"))
-    return moved.unionByName(kept).distinct()
+def _small_star(links: DataFrame, limit: int) -> DataFrame:
+    """Link a node and its neighbours below it to the smallest of them."""
+    downward = links.select(F.col("u").alias("at"), F.col("v").alias("far"))
+    minima = _minima(downward, limit)
+    moved = _with_minimum(downward, minima).filter("far <> least")
+    kept = minima.select(F.col("at").alias("u"), F.col("least").alias("v"))
+    return moved.select(F.col("far").alias("u"), F.col("least").alias("v")).unionByName(kept).distinct()
 
 
 def connected_components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
@@ -122,10 +124,13 @@ def connected_components(edges: DataFrame, nodes: DataFrame | None = None) -> Da
 
     Alternating large and small stars: every round links nodes to smaller neighbours until each component is
     one star around its smallest member. Rounds grow with the logarithm of the size, not with the diameter.
+    A link (u, v) always has u > v.
     """
     every = graph_nodes(edges, nodes)
     links = materialize(
-        edges.filter("src <> dst").select(F.col("src").alias("u"), F.col("dst").alias("v")).distinct()
+        edges.filter("src <> dst")
+        .select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v"))
+        .distinct()
     )
     before = None
     while True:
@@ -135,7 +140,7 @@ def connected_components(edges: DataFrame, nodes: DataFrame | None = None) -> Da
         if fingerprint == before:
             break
         before = fingerprint
-        limit = max(min(int(fingerprint[0]) // HOT_SHARE, HOT_PAIRS), 1)
+        limit = min(max(int(fingerprint[0]) // HOT_SHARE, HOT_PAIRS[0]), HOT_PAIRS[1])
         links = materialize(_small_star(_large_star(links, limit), limit))
     return every.join(links, every["node"] == links["u"], "left").select(
         F.coalesce("v", "node").alias("component"), F.col("node").alias("member")

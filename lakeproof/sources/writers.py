@@ -10,6 +10,14 @@ from pyspark.sql import functions as F
 EVENT_SCHEMA = "event_type STRING, aggregate_id STRING, event_id STRING, occurred_at TIMESTAMP, payload STRING"
 
 
+def _gathered(rows: DataFrame, *folders: str) -> DataFrame:
+    """Bring the rows of a folder together, so that not every task writes a file to every folder.
+
+    A rebalance is adaptive: Spark splits the rows of a large folder over several tasks.
+    """
+    return rows.hint("rebalance", *folders)
+
+
 def write_rewritten(rewritten: DataFrame, path: str, key: str = "path", text: str = "rewritten") -> None:
     """One row per input file, keyed by its path; a table instead of one small file per row."""
     rewritten.select(key, text).write.mode("overwrite").parquet(path)
@@ -18,7 +26,8 @@ def write_rewritten(rewritten: DataFrame, path: str, key: str = "path", text: st
 def write_report(rows: DataFrame, path: str, key: str = "inventory_id") -> None:
     """Replace the rows of the ids present, keep those of other ids."""
     (
-        rows.write.mode("overwrite")
+        _gathered(rows, key)
+        .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(key)
         .parquet(path)
@@ -28,7 +37,8 @@ def write_report(rows: DataFrame, path: str, key: str = "inventory_id") -> None:
 def write_texts(texts: DataFrame, path: str, text: str, folders: Sequence[str] = (), rows_per_file: int = 1000) -> None:
     """Texts as lines of files in one folder per value, with a bounded number of lines per file."""
     columns = [*folders, F.col(text).alias("value")]
-    writer = texts.select(*columns).write.mode("overwrite").option("maxRecordsPerFile", rows_per_file)
+    rows = texts.select(*columns)
+    writer = (_gathered(rows, *folders) if folders else rows).write.mode("overwrite").option("maxRecordsPerFile", rows_per_file)
     (writer.partitionBy(*folders) if folders else writer).text(path)
 
 
@@ -52,7 +62,7 @@ def event_rows(rows: DataFrame, event_type: str, aggregate_id: Column, occurred_
 
 
 def append_events(events: DataFrame, path: str) -> None:
-    events.write.mode("append").partitionBy("event_type").parquet(path)
+    _gathered(events, "event_type").write.mode("append").partitionBy("event_type").parquet(path)
 
 
 def read_events(spark: SparkSession, path: str) -> DataFrame:

@@ -78,12 +78,22 @@ def test_components_do_not_depend_on_edge_order(spark):
 
 
 def test_hot_nodes_are_salted_without_changing_minima(spark):
-    pairs = spark.createDataFrame([("hub", f"v{i:03d}") for i in range(100)] + [("x", "y"), ("x", "w")], "u STRING, v STRING")
+    pairs = spark.createDataFrame([("hub", f"v{i:03d}") for i in range(100)] + [("x", "y"), ("x", "w")], "at STRING, far STRING")
     for limit in (1, 7, 1000):
-        got = {(r["u"], r["v"]): r["least"] for r in graph._with_minimum(pairs, limit).collect()}
+        rows = graph._with_minimum(pairs, graph._minima(pairs, limit)).collect()
+        got = {(r["at"], r["far"]): r["least"] for r in rows}
+        assert len(rows) == 102
         assert got == {**{("hub", f"v{i:03d}"): "v000" for i in range(100)}, ("x", "y"): "w", ("x", "w"): "w"}
 
 
+@pytest.mark.parametrize("case", ["star", "tree"])
+def test_components_with_hot_nodes(spark, monkeypatch, case):
+    monkeypatch.setattr(graph, "HOT_PAIRS", (2, 2))
+    edges = CASES[case]
+    got = {r["member"]: r["component"] for r in graph.connected_components(edge_frame(spark, edges)).collect()}
+    assert got == expected_components(edges)
+
+
 def test_summary_and_empty_graph(spark):
     edges = edge_frame(spark, CASES["tree"] + CASES["chain"])
     summary = graph.cascade_summary(graph.cascade(edges), graph.co_migration_batches(edges)).first()
