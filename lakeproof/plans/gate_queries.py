@@ -93,7 +93,7 @@ REG.add("money_sum_one_currency",
 _METRICS_SQL = """
 SELECT c_nationkey AS wave_id, round(1 - count(*) FILTER (WHERE o_totalprice < 8000) / count(*), 4) AS dvt_pass_rate,
   round(100 * (count(*) FILTER (WHERE o_orderpriority = '1-URGENT') - count(*) FILTER (WHERE o_orderpriority = '5-LOW'))
-        / count(*), 1) AS latency_increase_pct,
+        / count(*), 1) + 0.0 AS latency_increase_pct,
   count(*) FILTER (WHERE o_totalprice < 1200) > 0 AS data_loss_detected,
   count(*) FILTER (WHERE o_orderstatus = 'P') * 5 AS streaming_lag,
   count(*) FILTER (WHERE o_orderstatus = 'P' AND o_totalprice > 499000) > 0 AS escalation_raised
