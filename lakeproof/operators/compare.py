@@ -15,7 +15,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lakeproof.operators.hashing import canonical, cell_hash, checksum_aggregates, row_hash, row_hash_pair
+from lakeproof.operators.hashing import (
+    canonical,
+    carrier,
+    cell_hash,
+    checksum_aggregates,
+    row_hash,
+    row_hash_pair,
+)
 
 _SIDE = "__side"
 _SOURCE, _TARGET = 0, 1
@@ -58,15 +65,6 @@ def compare_row_count(source: DataFrame, target: DataFrame) -> DataFrame:
 _METRICS = ("non_null", "nulls", "distinct_values", "min_value", "max_value", "sum_value", "mean_value")
 
 
-def _carrier(dtype: T.DataType) -> T.DataType:
-    """Columns of one carrier type are profiled together; integers share BIGINT and floats share DOUBLE."""
-    if isinstance(dtype, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
-        return T.LongType()
-    if isinstance(dtype, (T.FloatType, T.DoubleType)):
-        return T.DoubleType()
-    return dtype
-
-
 def _is_ordered(dtype: T.DataType) -> bool:
     return isinstance(dtype, T.AtomicType) and not isinstance(dtype, T.VariantType)
 
@@ -90,19 +88,19 @@ def _profile(
 ) -> DataFrame:
     def project(df: DataFrame) -> list[Column]:
         cells = []
-        for c in columns:
+        for number, c in enumerate(columns):
             value = canonical(df[c], df.schema[c].dataType) if not _is_ordered(dtype) else df[c].cast(dtype)
-            cells.append(F.struct(F.lit(c).alias("column_name"), value.alias("v")))
-        return [F.inline(F.array(*cells)).alias("column_name", "v")]
+            cells.append(F.struct(F.lit(number).alias("column"), value.alias("v")))
+        return [F.inline(F.array(*cells)).alias("column", "v")]
 
     values = _tagged(source, target, project)
     if exact_distinct:
         # count each value first, so that hot values collapse before the shuffle
-        counts = values.groupBy("column_name", "v").agg(_count(_SOURCE).alias("n0"), _count(_TARGET).alias("n1"))
+        counts = values.groupBy("column", "v").agg(_count(_SOURCE).alias("n0"), _count(_TARGET).alias("n1"))
         distinct = lambda n: F.count_if(F.col("v").isNotNull() & (n > 0))
     else:
         flag = lambda side: _is(side).cast("bigint").alias(f"n{side}")
-        counts = values.select("column_name", "v", flag(_SOURCE), flag(_TARGET))
+        counts = values.select("column", "v", flag(_SOURCE), flag(_TARGET))
         distinct = lambda n: F.approx_count_distinct(F.when(n > 0, F.col("v")))
 
     aggregates = []
@@ -119,7 +117,8 @@ def _profile(
             high.cast("string").alias(f"max_value_{side}"),
             _exact_sum(dtype, n).alias(f"sum_value_{side}"),
         ]
-    return counts.groupBy("column_name").agg(*aggregates)
+    names = F.array(*[F.lit(c) for c in columns])
+    return counts.groupBy("column").agg(*aggregates).withColumn("column_name", names[F.col("column")])
 
 
 def compare_column_aggregates(
@@ -137,9 +136,9 @@ def compare_column_aggregates(
     """
     groups: dict[str, tuple[T.DataType, list[str]]] = {}
     for c in _shared_columns(source, target, columns):
-        carrier = _carrier(source.schema[c].dataType)
-        groups.setdefault(carrier.simpleString(), (carrier, []))[1].append(c)
-    frames = [_profile(source, target, cols, carrier, exact_distinct) for carrier, cols in groups.values()]
+        kind = carrier(source.schema[c].dataType)
+        groups.setdefault(kind.simpleString(), (kind, []))[1].append(c)
+    frames = [_profile(source, target, cols, kind, exact_distinct) for kind, cols in groups.values()]
     wide = reduce(DataFrame.unionByName, frames)
     for side in (_SOURCE, _TARGET):
         total, rows = F.col(f"sum_value_{side}"), F.col(f"non_null_{side}")

@@ -9,6 +9,20 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+def carrier(dtype: T.DataType) -> T.DataType:
+    """The type a column is compared in: a copy may hold integers or floats in a wider type."""
+    if isinstance(dtype, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+        return T.LongType()
+    if isinstance(dtype, (T.FloatType, T.DoubleType)):
+        return T.DoubleType()
+    return dtype
+
+
+def comparable(df: DataFrame, column: str) -> Column:
+    dtype = carrier(df.schema[column].dataType)
+    return canonical(df[column].cast(dtype), dtype)
+
+
 def canonical(col: Column, dtype: T.DataType) -> Column:
     """Give equal values equal bytes: one zero, one NaN, maps as sorted entries."""
     if isinstance(dtype, (T.DoubleType, T.FloatType)):
@@ -37,9 +51,9 @@ def _needs_canonical(dtype: T.DataType) -> bool:
 
 
 def _parts(df: DataFrame, columns: Sequence[str]) -> list[Column]:
-    values = [canonical(df[c], df.schema[c].dataType) for c in columns]
+    values = [comparable(df, c) for c in columns]
     # xxhash64 skips nulls, so (NULL, 'a') and ('a', NULL) collide without these flags
-    flags = [df[c].isNull() for c in columns if df.schema[c].nullable]
+    flags = [df[c].isNull() for c in columns]
     return values + flags
 
 
@@ -55,8 +69,7 @@ def row_hash_pair(df: DataFrame, columns: Sequence[str]) -> tuple[Column, Column
 
 
 def cell_hash(df: DataFrame, column: str) -> Column:
-    value = canonical(df[column], df.schema[column].dataType)
-    return F.when(df[column].isNull(), F.lit(0).cast("bigint")).otherwise(F.xxhash64(value))
+    return F.when(df[column].isNull(), F.lit(0).cast("bigint")).otherwise(F.xxhash64(comparable(df, column)))
 
 
 def checksum_aggregates(h: Column, when: Column | None = None, prefix: str = "") -> list[Column]:

@@ -42,6 +42,16 @@ def test_equal_numbers_hash_alike(spark):
     assert set(statuses(compare.compare_row_hash(source, target, ["k"])).values()) == {"matched"}
 
 
+def test_wider_types_of_a_copy_compare(spark):
+    source = frame(spark, [(1, 5, 1.5), (2, None, None)], "k INT, n SMALLINT, x FLOAT")
+    target = frame(spark, [(1, 5, 1.5), (2, None, None)], "k BIGINT, n BIGINT, x DOUBLE")
+    assert set(statuses(compare.compare_row_hash(source, target, ["k"])).values()) == {"matched"}
+    assert compare.changed_columns(source, target, ["k"]).count() == 0
+    assert compare.compare_column_aggregates(source, target).filter("NOT matched").count() == 0
+    required = target.select(F.coalesce("k", F.lit(0)).alias("k"), "n", "x")
+    assert set(statuses(compare.compare_row_hash(source, required, ["k"])).values()) == {"matched"}
+
+
 def test_maps_and_nested_values_compare(spark):
     schema = "k INT, m MAP<STRING,INT>, s STRUCT<a: DOUBLE, t: ARRAY<STRUCT<z: MAP<STRING,INT>>>>"
     source = frame(spark, [(1, {"a": 1, "b": 2}, (0.0, [({"x": 1},)])), (2, {"a": 1}, None)], schema)
