@@ -106,14 +106,19 @@ class Step(NamedTuple):
     rewrite: Callable[[str], str]
 
 
+MAX_CHUNK = 20
+
+
 def rewrite(text: str, steps: Sequence[Step], chunk: int = 10) -> Column:
     """Run the steps in order, each on the output of the one before.
 
     Returns a struct of the text and the labels of the steps that changed it. The steps are folded over each
     row in chunks, and a chunk none of whose steps is possible is passed over as a whole. The plan holds each
-    pattern once, where a chain of columns would need a projection per step. Steps of a chunk nest, so keep
-    chunks to some twenty steps.
+    pattern once, where a chain of columns would need a projection per step. The steps of a chunk are
+    nested, and the analyzer gives up on very deep nesting, so a chunk has at most ``MAX_CHUNK`` steps.
     """
+    if not 1 <= chunk <= MAX_CHUNK:
+        raise ValueError(f"chunk must be between 1 and {MAX_CHUNK}")
     chunks = [steps[i : i + chunk] for i in range(0, len(steps), chunk)]
 
     def run_step(before: str, step: Step) -> str:

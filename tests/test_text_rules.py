@@ -75,6 +75,11 @@ def test_chunks_do_not_change_the_result(spark, chunk):
         assert (r["r"]["text"], r["r"]["applied"]) == python_apply(TEXTS[r["path"]], LAKE_SQL_RULES[:40])
 
 
+def test_chunks_are_bounded():
+    with pytest.raises(ValueError, match="chunk"):
+        tr.rewrite("content", tr.rule_steps(LAKE_SQL_RULES), 200)
+
+
 def test_own_rules(spark):
     rules = [Rule("one", "X", r"\bFOO\(\s*(\w+)\)", r"BAR(\1, '$')"), Rule("two", "X", r"\bBAR\(", r"BAZ("), Rule("three", "X", r"z+", r"Z")]
     got = tr.apply_rules(corpus(spark, ["foo( a) zz", "nothing"]), "content", rules).orderBy("path").collect()
