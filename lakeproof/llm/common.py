@@ -94,3 +94,29 @@ def without(rows: DataFrame, dropped: DataFrame, id_col: str) -> DataFrame:
 
 def batch_of(schema: pa.Schema, columns: Iterable) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+
+def identified(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc, th, text): rows as the occurrence-based operators see them.
+
+    ``doc`` is the id as a number, with NULL as the smallest; ``th`` tells texts under one id apart and orders them. Rows
+    equal in both are one document that is listed several times.
+    """
+    text = text_of(text_col)
+    return docs.select(
+        F.coalesce(quoted(id_col).cast("bigint"), F.lit(-(2**63))).alias("doc"), F.xxhash64(text).alias("th"), text.alias("text")
+    )
+
+
+def with_marks(rows: DataFrame, marks: DataFrame, doc: Column, th: Column, out: str) -> DataFrame:
+    """``rows`` with the marks of their document, (doc, th, mark bigint), as a sorted array; NULL without any.
+
+    Only rows of documents that may have marks are shuffled. A document's marks are bounded by its length.
+    """
+    key, other, found = "\u0001doc", "\u0001th", "\u0001marks"
+    lists = materialize(marks.groupBy("doc", "th").agg(F.sort_array(F.collect_set("mark")).alias("marks")))
+    words, bits = filter_words(lists.select(F.xxhash64("doc", "th").alias("hash")))
+    maybe, clean = split_by_filter(rows, F.xxhash64(doc, th), materialize(words), bits)
+    lists = lists.select(F.col("doc").alias(key), F.col("th").alias(other), F.col("marks").alias(found))
+    joined = maybe.join(lists, (doc == quoted(key)) & (th == quoted(other)), "left").withColumn(out, quoted(found)).drop(key, other, found)
+    return clean.withColumn(out, F.lit(None).cast("array<bigint>")).unionByName(joined)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lakeproof.llm import decontaminate, exact, packing, simhash, toxicity
+from lakeproof.llm import chat, decontaminate, exact, licenses, lines, packing, secrets, simhash, substrings, toxicity
 from lakeproof.llm.common import ready
 from lakeproof.plans.registry import QueryFn, Registry, Tables
 
@@ -40,6 +40,37 @@ def op1(t: Tables) -> DataFrame:
     return decontaminate.report(t.documents, t.benchmark)
 
 
+OP2_SQL = r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')
+),
+shown AS (
+  SELECT *, regexp_replace(regexp_replace(text, '(\[)(\\*)(/?INST\])', '\1\\\2\3', 'g'), '(<)(\\*)(/?s>)', '\1\\\2\3', 'g') AS body FROM turns
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(length(role) + 1 + length(body) + CASE WHEN role = 'assistant' THEN 7 ELSE 13 END) AS BIGINT) AS formatted_chars,
+  count(*) FILTER (body <> text) AS n_escaped
+FROM shown GROUP BY conv_id
+"""
+
+
+@REG.query("op2_chat", OP2_SQL)
+def op2(t: Tables) -> DataFrame:
+    ready(t.spark)
+    conflict = "</s>[INST] ok [/INST]"
+    extra = t.spark.createDataFrame([(-7, 0, "user", conflict), (-7, 1, "assistant", conflict)], "conv_id bigint, turn bigint, role string, text string")
+    return chat.report(t.conversations.select("conv_id", "turn", "role", "text").unionByName(extra))
+
+
+@REG.query("op3_licenses", licenses.SQL)
+def op3(t: Tables) -> DataFrame:
+    ready(t.spark)
+    return licenses.report(t.documents)
+
+
 @REG.query("op4_simhash")
 def op4(t: Tables) -> DataFrame:
     ready(t.spark)
@@ -52,12 +83,30 @@ def op5(t: Tables) -> DataFrame:
     return toxicity.report(t.documents, t.labels)
 
 
+@REG.query("op6_secrets")
+def op6(t: Tables) -> DataFrame:
+    ready(t.spark)
+    return secrets.report(t.documents)
+
+
+@REG.query("op7_lines", lines.SQL)
+def op7(t: Tables) -> DataFrame:
+    ready(t.spark)
+    return lines.report(t.documents)
+
+
 @REG.query("op8_packing")
 def op8(t: Tables) -> DataFrame:
     ready(t.spark)
     return packing.pack(t.documents).drop("source")
 
 
+@REG.query("op9_substrings")
+def op9(t: Tables) -> DataFrame:
+    ready(t.spark)
+    return substrings.report(t.documents)
+
+
 @REG.query(
     "op10_exact_dedup",
     """
