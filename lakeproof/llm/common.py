@@ -113,7 +113,7 @@ def with_marks(rows: DataFrame, marks: DataFrame, doc: Column, th: Column, out:
 
     Only rows of documents that may have marks are shuffled. A document's marks are bounded by its length.
     """
-    key, other, found = "\u0001doc", "\u0001th", "\u0001marks"
+    key, other, found = "\u0001doc", "\u0001th", "\u0001list"
     lists = materialize(marks.groupBy("doc", "th").agg(F.sort_array(F.collect_set("mark")).alias("marks")))
     words, bits = filter_words(lists.select(F.xxhash64("doc", "th").alias("hash")))
     maybe, clean = split_by_filter(rows, F.xxhash64(doc, th), materialize(words), bits)

@@ -4,20 +4,23 @@
    texts, and the heads that stand out in toxic ones are kept. It is joined by a fixed list of insults.
 2. Features of a text, all dense numbers: lexicon densities, closeness of lexicon words to second-person words, shares of
    capitals, punctuation and obfuscation (letters replaced by signs or digits, letters set apart by dots or spaces).
-3. Trees are fitted on a part of the training rows and calibrated on the rest of them.
+3. The training rows are dealt in ``PARTS`` by a hash of the id. The features of a part are made with a lexicon of the other
+   parts, so trees see lexicon features as they are on texts that the lexicon has not been made from. Trees are fitted on
+   all parts but the first, which calibrates them; texts are then scored with the lexicon of all parts.
 
 Rows of the held-out fold (``crc32(id) mod 3 = 1``) and unlabelled rows are scored, never learned from. Id, source and
 language are no inputs. The fit reads at most ``SAMPLE`` labelled rows, by a hash of the id; scoring reads all rows.
 
 Defined cases: NULL texts count as empty, and an empty text gets the score of its (zero) features; rows without a label or
-with labels that contradict each other are not learned from; without two classes among the training rows every score is
-their share of toxic rows (0 without any). Repeated rows each get a row.
+with labels that contradict each other are not learned from; without both classes in each part of the training rows every
+score is their share of toxic rows (0 without any). Repeated rows each get a row.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 from typing import NamedTuple
 
 import numpy as np
@@ -35,7 +38,9 @@ from lakeproof.session import materialize
 #: At most about this many labelled rows are read for the fit.
 SAMPLE = 40_000
 #: The lexicon's size, and what a head needs to enter it: toxic training texts it occurs in, and log odds.
-LEXICON, MIN_TEXTS, MIN_ODDS = 4000, 6, 3.0
+LEXICON, MIN_TEXTS, MIN_ODDS = 4000, 4, 3.0
+#: Parts of the training rows.
+PARTS = 4
 THRESHOLD = 0.7
 #: Share of the calibrated score that follows the trees, so that texts of one isotonic step stay in order.
 ORDER_SHARE = 0.002
@@ -53,7 +58,8 @@ SECOND_PERSON = "you your yours yourself u ur du dich dir dein deine ihr euch eu
 _INSULTS = frozenset(w.encode() for w in INSULTS.split())
 _SECOND = frozenset(w.encode() for w in SECOND_PERSON.split())
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
-_MASKED = re.compile(rb"[a-z\x80-\xff][a-z0-9@$!*#\x80-\xff]*[@$!*#0-9][a-z0-9@$!*#\x80-\xff]*[a-z\x80-\xff]")
+_MASKED = re.compile(rb"(?<![a-z0-9@$!*#\x80-\xff])[a-z0-9@$*#\x80-\xff]+[a-z0-9@$!*#\x80-\xff]*[a-z\x80-\xff0-9@$*#]")
+_SIGN, _LETTER = re.compile(rb"[@$!*#0-9]"), re.compile(rb"[a-z\x80-\xff]")
 _SPACED = re.compile(rb"(?<![0-9a-z\x80-\xff])(?:[a-z][ ._*-]){3,}[a-z](?![0-9a-z\x80-\xff])")
 _UNMASK = bytes.maketrans(b"013457@$!", b"oieastasi")
 _NOT_LETTER = re.compile(rb"[^a-z\x80-\xff]+")
@@ -114,8 +120,9 @@ def features(text: bytes | None, learned: dict[bytes, float], weights: dict[byte
     upper, lower, digits = counts[65:91].sum(), counts[97:123].sum(), counts[48:58].sum()
     marks = counts[33:48].sum() + counts[58:65].sum() + counts[91:97].sum() + counts[123:127].sum()
     shouted = len(re.findall(rb"\b[A-Z]{3,}\b", text)) if upper > 2 else 0
-    masked = [m for m in _MASKED.findall(low) if len(m) > 3] if counts[[33, 35, 36, 42, 64]].sum() or digits else []
-    unmasked = sum(1 for m in masked if _NOT_LETTER.sub(b"", m.translate(_UNMASK)) in _INSULTS or any(learned.get(h, 0.0) >= MIN_ODDS for h in heads(m.translate(_UNMASK))))
+    signs = digits + counts[[33, 35, 36, 42, 64]].sum()
+    masked = [m for m in _MASKED.findall(low) if len(m) > 3 and _SIGN.search(m) and _LETTER.search(m)] if signs else []
+    unmasked = sum(1 for m in masked if _NOT_LETTER.sub(b"", m.translate(_UNMASK)) in _INSULTS or any(h in learned for h in heads(m.translate(_UNMASK))))
     spaced = _SPACED.findall(low)
     m = len(hits)
     return [
@@ -167,7 +174,8 @@ def _lexicon(rows: DataFrame) -> dict[bytes, float]:
         .filter(F.col("toxic") >= MIN_TEXTS).withColumn("odds", odds).filter(F.col("odds") >= MIN_ODDS)
         .orderBy(F.desc("odds"), "head").limit(LEXICON)
     )
-    return {bytes(r["head"]): r["odds"] for r in best.collect()}
+    # heads seen in few texts weigh less
+    return {bytes(r["head"]): r["odds"] * r["toxic"] / (r["toxic"] + MIN_TEXTS) for r in best.collect()}
 
 
 def _with_features(rows: DataFrame, learned: dict[bytes, float], text: Column, out: str) -> DataFrame:
@@ -194,23 +202,24 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         known = known.filter(F.pmod(F.xxhash64("id", F.lit("sample")), F.lit(1_000_000)) < int(1_000_000 * sample / size))
     # at most ``sample`` rows of two numbers
     rows = docs.select(quoted(id_col).alias("id"), quoted(text_col).alias("text")).join(F.broadcast(known), "id")
-    fold = F.pmod(F.xxhash64("id", F.lit("fold")), F.lit(4))
-    rows = materialize(rows.select("id", "text", "label", fold.alias("fold")))
-    classes = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
-    share = classes.get(1, 0) / max(sum(classes.values()), 1)
-    fitted = rows.filter("fold > 0")
-    learned = _lexicon(fitted) if len(classes) == 2 else {}
-    dense = materialize(_with_features(rows, learned, F.col("text"), "features").select("label", "fold", vector_to_array("features").alias("features")))
-    vectors = dense.select("label", "fold", array_to_vector("features").alias("features"))
-    kinds = {(r["label"], r["fold"] > 0) for r in dense.select("label", "fold").distinct().collect()}
-    if len(kinds) < 4:
-        return Model(learned, None, ([], []), share)
-    trees = GBTClassifier(labelCol="label", featuresCol="features", maxIter=20, maxDepth=4, stepSize=0.2, subsamplingRate=0.8, seed=7, maxBins=64)
-    trees = trees.fit(vectors.filter("fold > 0").withColumn("label", F.col("label").cast("double")).coalesce(8))
-    raw = trees.transform(vectors.filter("fold = 0")).select(vector_to_array("probability")[1].alias("p"), F.col("label").cast("double").alias("label"))
+    rows = materialize(rows.select("id", "text", "label", F.pmod(F.xxhash64("id", F.lit("part")), F.lit(PARTS)).alias("part")))
+    counts = {(r["part"], r["label"]): r["count"] for r in rows.groupBy("part", "label").count().collect()}
+    share = sum(n for (_, label), n in counts.items() if label) / max(sum(counts.values()), 1)
+    if len(counts) < 2 * PARTS:
+        return Model({}, None, ([], []), share)
+    parts = []
+    for part in range(PARTS):
+        learned = _lexicon(rows.filter(F.col("part") != part))
+        parts.append(_with_features(rows.filter(F.col("part") == part), learned, F.col("text"), "f"))
+    dense = materialize(reduce(DataFrame.unionByName, parts).select("label", "part", vector_to_array("f").alias("features")))
+    vectors = dense.select(F.col("label").cast("double").alias("label"), "part", array_to_vector("features").alias("features"))
+    trees = GBTClassifier(
+        labelCol="label", featuresCol="features", maxIter=20, maxDepth=4, stepSize=0.2, subsamplingRate=0.8, minInstancesPerNode=3, maxBins=64, seed=7
+    ).fit(vectors.filter("part > 0").coalesce(8))
+    raw = trees.transform(vectors.filter("part = 0")).select(vector_to_array("probability")[1].alias("p"), "label")
     isotonic = IsotonicRegression(featuresCol="p", labelCol="label").fit(raw)
     # the steps of the calibration, at most as many as sampled rows
-    return Model(learned, trees, (list(map(float, isotonic.boundaries)), list(map(float, isotonic.predictions))), share)
+    return Model(_lexicon(rows), trees, (list(map(float, isotonic.boundaries)), list(map(float, isotonic.predictions))), share)
 
 
 def _scored(rows: DataFrame, model: Model, text: Column, out: str) -> DataFrame:
