@@ -7,11 +7,12 @@ so one key holding a third of the rows costs one partial-aggregate row per task.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -36,10 +37,29 @@ def _count(side: int) -> Column:
     return F.count_if(_is(side))
 
 
-def _shared_columns(source: DataFrame, target: DataFrame, columns: Sequence[str] | None) -> list[str]:
+def _aligned(
+    source: DataFrame, target: DataFrame, columns: Sequence[str] | None, ignore_case: bool = True
+) -> tuple[DataFrame, list[str]]:
+    """The target with its columns named as in the source, and the columns to compare.
+
+    Without ``columns`` these are all that both copies have in types that can be compared; what is left out is a finding
+    of ``compare_schema``. A listed column that one copy lacks is an error.
+    """
+    named = {_folded(c, ignore_case): c for c in target.columns}
+    renamed = {named[_folded(c, ignore_case)]: c for c in source.columns if _folded(c, ignore_case) in named}
+    target = target.select(*[target[c].alias(renamed.get(c, c)) for c in target.columns])
     if columns:
-        return list(columns)
-    return [c for c in source.columns if c in set(target.columns)]
+        return target, list(columns)
+    shared = [c for c in source.columns if c in renamed.values()]
+    return target, [c for c in shared if _comparable_types(source.schema[c].dataType, target.schema[c].dataType)]
+
+
+def _folded(name: str, ignore_case: bool) -> str:
+    return name.lower() if ignore_case else name
+
+
+def _comparable_types(source: T.DataType, target: T.DataType) -> bool:
+    return carrier(source).simpleString() == carrier(target).simpleString()
 
 
 def _tagged(source: DataFrame, target: DataFrame, project) -> DataFrame:
@@ -60,65 +80,151 @@ def compare_row_count(source: DataFrame, target: DataFrame) -> DataFrame:
     )
 
 
+# -- schemas --------------------------------------------------------------------------------------
+
+
+def schema_differences(
+    source: DataFrame, target: DataFrame, columns: Sequence[str] | None = None, ignore_case: bool = True
+) -> list[tuple[str, str | None, str | None, str]]:
+    """(column, source type, target type, status) of each column, or of the listed ones.
+
+    Status is same, widened (an integer or float type of another width, compared by value), type_differs, only_source or
+    only_target.
+    """
+    sides = [{_folded(f.name, ignore_case): f for f in df.schema.fields} for df in (source, target)]
+    rows = []
+    wanted = {_folded(c, ignore_case) for c in columns or ()}
+    for key in [*sides[0], *(k for k in sides[1] if k not in sides[0])]:
+        if wanted and key not in wanted:
+            continue
+        old, new = sides[0].get(key), sides[1].get(key)
+        if new is None:
+            status = "only_source"
+        elif old is None:
+            status = "only_target"
+        elif old.dataType.simpleString() == new.dataType.simpleString():
+            status = "same"
+        else:
+            status = "widened" if _comparable_types(old.dataType, new.dataType) else "type_differs"
+        types = [f.dataType.simpleString() if f is not None else None for f in (old, new)]
+        rows.append(((old if old is not None else new).name, *types, status))
+    return rows
+
+
+def same_schema(source: DataFrame, target: DataFrame, columns: Sequence[str] | None = None, ignore_case: bool = True) -> bool:
+    return all(row[3] in ("same", "widened") for row in schema_differences(source, target, columns, ignore_case))
+
+
+def compare_schema(
+    source: DataFrame, target: DataFrame, columns: Sequence[str] | None = None, ignore_case: bool = True
+) -> DataFrame:
+    """One row per column: types, status (see ``schema_differences``), and the non-null values of either copy."""
+    listed = schema_differences(source, target, columns, ignore_case)
+
+    def filled(df: DataFrame, side: int) -> DataFrame:
+        held = {_folded(c, ignore_case): c for c in df.columns}
+        cells = [
+            F.struct(F.lit(number).alias("position"), F.count(df[held[_folded(name, ignore_case)]]).alias("n"))
+            for number, (name, *_) in enumerate(listed)
+            if _folded(name, ignore_case) in held
+        ]
+        rows = df.agg(F.array(*cells).alias("cells")) if cells else df.sparkSession.createDataFrame([([],)], "cells array<struct<position:int,n:bigint>>")
+        return rows.select(F.lit(side).alias(_SIDE), F.inline("cells").alias("position", "n"))
+
+    counts = filled(source, _SOURCE).unionByName(filled(target, _TARGET)).groupBy("position").agg(
+        F.max(F.when(_is(_SOURCE), F.col("n"))).alias("source_non_null"), F.max(F.when(_is(_TARGET), F.col("n"))).alias("target_non_null")
+    )
+    named = source.sparkSession.createDataFrame(
+        [(number, *row) for number, row in enumerate(listed)],
+        "position int, column_name string, source_type string, target_type string, status string",
+    )
+    return named.join(counts, "position", "left").select(
+        "column_name", "source_type", "target_type", "status", "source_non_null", "target_non_null",
+        F.col("status").isin("same", "widened").alias("matched"),
+    )
+
+
 # -- column aggregates --------------------------------------------------------------------------
 
-_METRICS = ("non_null", "nulls", "distinct_values", "min_value", "max_value", "sum_value", "mean_value")
+_METRICS = (
+    "non_null", "nulls", "nan_values", "infinite_values", "overflow_values", "distinct_values", "min_value", "max_value",
+    "sum_value", "mean_value",
+)
+#: Doubles are summed as decimals in two ranges: with 12 digits after the point below the first limit, whole from there to
+#: the second. What is beyond is counted and not summed.
+_SPLIT, _LIMIT = 1e15, 1e26
 
 
 def _is_ordered(dtype: T.DataType) -> bool:
     return isinstance(dtype, T.AtomicType) and not isinstance(dtype, T.VariantType)
 
 
-def _exact_sum(dtype: T.DataType, n: Column) -> Column:
-    """Sum that does not depend on row order: decimals, since double sums of equal copies may differ."""
-    v = F.col("v")
+def _sums(value: Column, dtype: T.DataType) -> tuple[Column, Column, Column, Column]:
+    """(sum, NaN values, infinite values, values beyond the sum): sums that do not depend on the order of rows."""
+    none, zero = F.lit(None).cast("double"), F.lit(0).cast("bigint")
     if isinstance(dtype, T.DoubleType):
-        term = F.when(~F.isnan(v), v).try_cast("decimal(28,6)")
-    elif isinstance(dtype, T.LongType):
-        term = v.cast("decimal(20,0)")
-    elif isinstance(dtype, T.DecimalType):
-        term = v
-    else:
-        return F.lit(None).cast("double")
-    return F.sum(F.when(n > 0, term * n)).cast("double")
-
-
-def _profile(
-    source: DataFrame, target: DataFrame, columns: list[str], dtype: T.DataType, exact_distinct: bool
+        size, special = F.abs(value), F.isnan(value)
+        infinite = ~special & (size == float("inf"))
+        beyond = ~special & ~infinite & (size >= _LIMIT)
+        fine = F.try_sum(F.when(size < _SPLIT, value).try_cast("decimal(28,12)"))
+        coarse = F.try_sum(F.when((size >= _SPLIT) & (size < _LIMIT), value).try_cast("decimal(28,0)"))
+        both = F.coalesce(fine.cast("decimal(38,12)"), F.lit(0)) + F.coalesce(coarse.cast("decimal(38,0)"), F.lit(0))
+        total = F.when(fine.isNotNull() | coarse.isNotNull(), both.cast("double"))
+        return total, F.count_if(special), F.count_if(infinite), F.count_if(beyond)
+    if isinstance(dtype, T.LongType):
+        return F.sum(value.cast("decimal(20,0)")).cast("double"), zero, zero, zero
+    if isinstance(dtype, T.DecimalType):
+        total = F.try_sum(value)
+        lost = F.when(total.isNull(), F.count(value)).otherwise(0)
+        return total.cast("double"), zero, zero, lost
+    return none, zero, zero, zero
+
+
+def _profile(df: DataFrame, columns: list[str], kinds: dict[str, T.DataType], side: int) -> DataFrame:
+    """One row per column from one aggregate over the table: a row per task is shuffled and no values beside extremes."""
+    cells = []
+    for number, c in enumerate(columns):
+        kind = kinds[c]
+        value = df[c].cast(kind) if _is_ordered(kind) else df[c]
+        low = high = F.lit(None)
+        if _is_ordered(kind):
+            low, high = F.min(canonical(value, kind)), F.max(canonical(value, kind))
+        total, nans, infinite, beyond = _sums(value, kind)
+        cells.append(
+            F.struct(
+                F.lit(number).alias("column"),
+                F.count(value).alias("non_null"),
+                (F.count("*") - F.count(value)).alias("nulls"),
+                nans.alias("nan_values"),
+                infinite.alias("infinite_values"),
+                beyond.alias("overflow_values"),
+                low.cast("string").alias("min_value"),
+                high.cast("string").alias("max_value"),
+                total.alias("sum_value"),
+            )
+        )
+    return df.agg(F.array(*cells).alias("cells")).select(F.lit(side).alias(_SIDE), F.inline("cells"))
+
+
+def _distinct(
+    source: DataFrame, target: DataFrame, columns: list[str], kinds: dict[str, T.DataType], exact: bool
 ) -> DataFrame:
+    """(column, distinct_values_0, distinct_values_1), from 64-bit hashes of the values."""
+
     def project(df: DataFrame) -> list[Column]:
-        cells = []
-        for number, c in enumerate(columns):
-            value = canonical(df[c], df.schema[c].dataType) if not _is_ordered(dtype) else df[c].cast(dtype)
-            cells.append(F.struct(F.lit(number).alias("column"), value.alias("v")))
-        return [F.inline(F.array(*cells)).alias("column", "v")]
-
-    values = _tagged(source, target, project)
-    if exact_distinct:
-        # count each value first, so that hot values collapse before the shuffle
-        counts = values.groupBy("column", "v").agg(_count(_SOURCE).alias("n0"), _count(_TARGET).alias("n1"))
-        distinct = lambda n: F.count_if(F.col("v").isNotNull() & (n > 0))
-    else:
-        flag = lambda side: _is(side).cast("bigint").alias(f"n{side}")
-        counts = values.select("column", "v", flag(_SOURCE), flag(_TARGET))
-        distinct = lambda n: F.approx_count_distinct(F.when(n > 0, F.col("v")))
-
-    aggregates = []
-    for side in (_SOURCE, _TARGET):
-        n, present = F.col(f"n{side}"), F.col("v").isNotNull()
-        low, high = F.lit(None), F.lit(None)
-        if _is_ordered(dtype):
-            low, high = F.min(F.when(n > 0, F.col("v"))), F.max(F.when(n > 0, F.col("v")))
-        aggregates += [
-            F.sum(F.when(present, n).otherwise(0)).alias(f"non_null_{side}"),
-            F.sum(F.when(present, 0).otherwise(n)).alias(f"nulls_{side}"),
-            distinct(n).alias(f"distinct_values_{side}"),
-            low.cast("string").alias(f"min_value_{side}"),
-            high.cast("string").alias(f"max_value_{side}"),
-            _exact_sum(dtype, n).alias(f"sum_value_{side}"),
+        cells = [
+            F.struct(F.lit(number).alias("column"), F.when(df[c].isNotNull(), F.xxhash64(canonical(df[c].cast(kinds[c]), kinds[c]))).alias("h"))
+            for number, c in enumerate(columns)
         ]
-    names = F.array(*[F.lit(c) for c in columns])
-    return counts.groupBy("column").agg(*aggregates).withColumn("column_name", names[F.col("column")])
+        return [F.inline(F.array(*cells)).alias("column", "h")]
+
+    values = _tagged(source, target, project).filter("h is not null")
+    if exact:
+        seen = values.groupBy("column", "h").agg(F.bool_or(_is(_SOURCE)).alias("s"), F.bool_or(_is(_TARGET)).alias("t"))
+        counts = [F.count_if("s"), F.count_if("t")]
+        return seen.groupBy("column").agg(*[n.alias(f"distinct_values_{i}") for i, n in enumerate(counts)])
+    counts = [F.approx_count_distinct(F.when(_is(side), F.col("h"))) for side in (_SOURCE, _TARGET)]
+    return values.groupBy("column").agg(*[n.alias(f"distinct_values_{i}") for i, n in enumerate(counts)])
 
 
 def compare_column_aggregates(
@@ -127,31 +233,39 @@ def compare_column_aggregates(
     columns: Sequence[str] | None = None,
     exact_distinct: bool = True,
 ) -> DataFrame:
-    """Per column: counts, nulls, distinct values, min, max, sum and mean on both copies.
+    """Per column: counts, nulls, NaN and infinite values, distinct values, min, max, sum and mean on both copies.
 
-    The columns of one type are unpivoted together and counted per (column, value). A row thus travels as its
-    bare values, not once per column at full width as several exact distinct counts in one aggregate would
-    expand it. With ``exact_distinct=False`` the distinct counts are HyperLogLog++ estimates, which are equal
-    on equal copies, and only one row per column and task is shuffled.
+    All but the distinct values come from one aggregate per copy, of which a single row per task is shuffled. Distinct
+    values are counted by 64-bit hash, combined before the shuffle; with ``exact_distinct=False`` they are HyperLogLog++
+    estimates, which are equal on equal copies, and shuffle next to nothing. Raw values are never shuffled.
+
+    Sums and means are over finite values below 1e26; ``overflow_values`` counts those beyond.
     """
-    groups: dict[str, tuple[T.DataType, list[str]]] = {}
-    for c in _shared_columns(source, target, columns):
-        kind = carrier(source.schema[c].dataType)
-        groups.setdefault(kind.simpleString(), (kind, []))[1].append(c)
-    frames = [_profile(source, target, cols, kind, exact_distinct) for kind, cols in groups.values()]
-    wide = reduce(DataFrame.unionByName, frames)
+    target, columns = _aligned(source, target, columns)
+    kinds = {c: carrier(source.schema[c].dataType) for c in columns}
+    if not columns:
+        return source.sparkSession.createDataFrame([], ", ".join(["column_name string", *[f"{side}_{m} {_METRIC_TYPES.get(m, 'bigint')}" for side in ("source", "target") for m in _METRICS], "matched boolean"]))
+    sides = _profile(source, columns, kinds, _SOURCE).unionByName(_profile(target, columns, kinds, _TARGET))
+    plain = [m for m in _METRICS if m not in ("distinct_values", "mean_value")]
+    wide = sides.groupBy("column").agg(*[F.max(F.when(_is(side), F.col(m))).alias(f"{m}_{side}") for side in (_SOURCE, _TARGET) for m in plain])
+    wide = wide.join(_distinct(source, target, columns, kinds, exact_distinct), "column", "left")
     for side in (_SOURCE, _TARGET):
-        total, rows = F.col(f"sum_value_{side}"), F.col(f"non_null_{side}")
-        wide = wide.withColumn(f"mean_value_{side}", F.when(rows > 0, total / rows))
+        summed = F.col(f"non_null_{side}") - F.col(f"nan_values_{side}") - F.col(f"infinite_values_{side}") - F.col(f"overflow_values_{side}")
+        wide = wide.withColumn(f"mean_value_{side}", F.when(summed > 0, F.col(f"sum_value_{side}") / summed))
+        wide = wide.withColumn(f"distinct_values_{side}", F.coalesce(f"distinct_values_{side}", F.lit(0)))
+    names = F.array(*[F.lit(c) for c in columns])
     same = reduce(lambda a, b: a & b, [F.col(f"{m}_0").eqNullSafe(F.col(f"{m}_1")) for m in _METRICS])
     return wide.select(
-        "column_name",
+        names[F.col("column")].alias("column_name"),
         *[F.col(f"{m}_0").alias(f"source_{m}") for m in _METRICS],
         *[F.col(f"{m}_1").alias(f"target_{m}") for m in _METRICS],
         same.alias("matched"),
     )
 
 
+_METRIC_TYPES = {"min_value": "string", "max_value": "string", "sum_value": "double", "mean_value": "double"}
+
+
 # -- keyed rows ---------------------------------------------------------------------------------
 
 
@@ -168,22 +282,27 @@ def _status(source_rows: Column, target_rows: Column, equal: Column) -> Column:
 def compare_row_hash(
     source: DataFrame, target: DataFrame, keys: Sequence[str], columns: Sequence[str] | None = None
 ) -> DataFrame:
-    """Per key: source_rows, target_rows and status matched, changed, missing, extra or duplicate_key."""
+    """Per key: source_rows, target_rows, status matched, changed, missing, extra or duplicate_key, and same_rows.
+
+    ``same_rows`` tells whether the rows under the key are the same bag on both copies; it is what tells a duplicate key
+    that was copied as it is from one that was not.
+    """
     keys = list(keys)
-    values = [c for c in _shared_columns(source, target, columns) if c not in keys]
-    project = lambda df: [*[df[k] for k in keys], row_hash(df, values).alias("h") if values else F.lit(0).alias("h")]
+    target, columns = _aligned(source, target, columns)
+    values = [c for c in columns if c not in keys]
+    project = lambda df: [*[df[k] for k in keys], (row_hash(df, values) if values else F.lit(0).cast("bigint")).alias("h")]
+    parts = (F.col("h").bitwiseAND(0xFFFFFFFF), F.shiftrightunsigned("h", 32))
+    sums = [F.sum(F.when(_is(side), p)).alias(f"h{side}_{i}") for side in (_SOURCE, _TARGET) for i, p in enumerate(parts)]
+    mixed = [F.bit_xor(F.when(_is(side), F.xxhash64("h"))).alias(f"h{side}_2") for side in (_SOURCE, _TARGET)]
     grouped = (
         _tagged(source, target, project)
         .groupBy(*keys)
-        .agg(
-            _count(_SOURCE).alias("source_rows"),
-            _count(_TARGET).alias("target_rows"),
-            F.max(F.when(_is(_SOURCE), F.col("h"))).alias("h0"),
-            F.max(F.when(_is(_TARGET), F.col("h"))).alias("h1"),
-        )
+        .agg(_count(_SOURCE).alias("source_rows"), _count(_TARGET).alias("target_rows"), *sums, *mixed)
     )
-    status = _status(F.col("source_rows"), F.col("target_rows"), F.col("h0") == F.col("h1"))
-    return grouped.select(*keys, "source_rows", "target_rows", status.alias("status"))
+    same = reduce(lambda a, b: a & b, [F.col(f"h0_{i}").eqNullSafe(F.col(f"h1_{i}")) for i in range(3)])
+    same = same & (F.col("source_rows") == F.col("target_rows"))
+    status = _status(F.col("source_rows"), F.col("target_rows"), same)
+    return grouped.select(*keys, "source_rows", "target_rows", status.alias("status"), same.alias("same_rows"))
 
 
 def changed_columns(
@@ -194,14 +313,15 @@ def changed_columns(
     Carries one BIGINT per column instead of the values, so wide text columns never enter the shuffle.
     """
     keys = list(keys)
-    values = [c for c in _shared_columns(source, target, columns) if c not in keys]
+    target, columns = _aligned(source, target, columns)
+    values = [c for c in columns if c not in keys]
     project = lambda df: [*[df[k] for k in keys], *[cell_hash(df, c).alias(f"h_{c}") for c in values]]
     aggregates = [_count(_SOURCE).alias("n0"), _count(_TARGET).alias("n1")]
     for c in values:
         for side in (_SOURCE, _TARGET):
             aggregates.append(F.max(F.when(_is(side), F.col(f"h_{c}"))).alias(f"h{side}_{c}"))
     grouped = _tagged(source, target, project).groupBy(*keys).agg(*aggregates)
-    names = F.array(*[F.when(F.col(f"h0_{c}") != F.col(f"h1_{c}"), F.lit(c)) for c in values])
+    names = F.array(*[F.when(F.col(f"h0_{c}") != F.col(f"h1_{c}"), F.lit(c)) for c in values], F.lit(None).cast("string"))
     return (
         grouped.filter((F.col("n0") == 1) & (F.col("n1") == 1))
         .select(*keys, F.array_compact(names).alias("changed"))
@@ -216,7 +336,7 @@ def compare_row_bag(
     source: DataFrame, target: DataFrame, columns: Sequence[str] | None = None
 ) -> DataFrame:
     """Per distinct row (by 128-bit fingerprint): how often it occurs in each copy."""
-    values = _shared_columns(source, target, columns)
+    target, values = _aligned(source, target, columns)
 
     def project(df):
         first, second = row_hash_pair(df, values)
@@ -244,7 +364,7 @@ def bag_difference(source: DataFrame, target: DataFrame) -> DataFrame:
     One aggregate over whole rows instead of ``exceptAll`` in both directions, which would shuffle each copy
     twice and send all copies of a hot row to one task.
     """
-    columns = _shared_columns(source, target, None)
+    target, columns = _aligned(source, target, None)
     counts = (
         _tagged(source, target, lambda df: [df[c] for c in columns])
         .groupBy(*columns)
@@ -260,7 +380,7 @@ def bag_difference(source: DataFrame, target: DataFrame) -> DataFrame:
 
 def bag_intersection(source: DataFrame, target: DataFrame) -> DataFrame:
     """Rows common to both copies with the number of common occurrences."""
-    columns = _shared_columns(source, target, None)
+    target, columns = _aligned(source, target, None)
     return (
         _tagged(source, target, lambda df: [df[c] for c in columns])
         .groupBy(*columns)
@@ -276,7 +396,7 @@ def partition_compare(
     source: DataFrame, target: DataFrame, partition: Column, columns: Sequence[str] | None = None
 ) -> DataFrame:
     """Counts and order-insensitive checksums per partition value, to find where two copies differ."""
-    values = _shared_columns(source, target, columns)
+    target, values = _aligned(source, target, columns)
     project = lambda df: [partition.alias("partition_value"), row_hash(df, values).alias("h")]
     grouped = (
         _tagged(source, target, project)
@@ -303,14 +423,23 @@ def partition_compare(
 
 @dataclass(frozen=True)
 class TablePair:
-    """Two copies of one table; the tier decides how deep they are compared."""
+    """Two copies of one table; the tier decides how deep they are compared.
+
+    A copy is a table, or a function that opens it. The latter is called when its pair is compared, so a table that
+    cannot be opened fails its own pair only.
+    """
 
     source_name: str
     target_name: str
-    source: DataFrame
-    target: DataFrame
+    source: DataFrame | Callable[[], DataFrame]
+    target: DataFrame | Callable[[], DataFrame]
     tier: str
     keys: Sequence[str] = field(default_factory=tuple)
+    exact_distinct: bool = True
+
+    def opened(self) -> tuple[DataFrame, DataFrame]:
+        source, target = (t if isinstance(t, DataFrame) else t() for t in (self.source, self.target))
+        return source, target
 
 
 # The checks each tier runs, in the order they are listed; other tiers run the first only.
@@ -319,57 +448,58 @@ TIER_CHECKS = {
     "tier2": ("row_count", "column_aggregates"),
 }
 DEFAULT_CHECKS = ("row_count",)
+#: Pairs that are compared at the same time.
+PAIRS_AT_ONCE = 4
+_VERDICTS = "source_table string, target_table string, tier string, status string, checks_passed string, checks_failed string, error string"
 
 
-def _verdict(pair: TablePair, check: str) -> DataFrame:
+def _verdict(pair: TablePair, source: DataFrame, target: DataFrame, check: str) -> DataFrame:
     if check == "row_count":
-        return compare_row_count(pair.source, pair.target).select(F.col("matched").alias("ok"))
+        return compare_row_count(source, target).select(F.col("matched").alias("ok"))
     if check == "column_aggregates":
-        return compare_column_aggregates(pair.source, pair.target).agg(F.bool_and("matched").alias("ok"))
+        found = compare_column_aggregates(source, target, exact_distinct=pair.exact_distinct)
+        return found.agg(F.coalesce(F.bool_and("matched"), F.lit(True)).alias("ok"))
     if pair.keys:
-        return compare_row_hash(pair.source, pair.target, pair.keys).agg(
-            (F.count_if(F.col("status") != "matched") == 0).alias("ok")
-        )
-    return compare_row_bag(pair.source, pair.target).agg(
+        # a duplicate key that was copied as it is is no difference
+        bad = (F.col("status") != "matched") & ~((F.col("status") == "duplicate_key") & F.col("same_rows"))
+        return compare_row_hash(source, target, pair.keys).agg((F.count_if(bad) == 0).alias("ok"))
+    return compare_row_bag(source, target).agg(
         (F.coalesce(F.sum(F.col("only_source_rows") + F.col("only_target_rows")), F.lit(0)) == 0).alias("ok")
     )
 
 
-def tiered_validation(pairs: Sequence[TablePair]) -> DataFrame:
-    """Run the checks of each pair's tier; one row per pair with the passed and the failed checks.
+def validate_pair(pair: TablePair) -> tuple:
+    """A row of ``tiered_validation``: the checks of the pair's tier as one Spark job. An error is a failed pair.
 
-    The loop is over the listed pairs and only builds a plan: all checks run as one Spark job.
+    The schemas are compared first, on all tiers: a lost, added or retyped column fails the pair as the check "schema".
     """
-    frames = []
-    for number, pair in enumerate(pairs):
-        for position, check in enumerate(TIER_CHECKS.get(pair.tier, DEFAULT_CHECKS)):
-            frames.append(
-                _verdict(pair, check).select(
-                    F.lit(number).alias("pair"),
-                    F.lit(pair.source_name).alias("source_table"),
-                    F.lit(pair.target_name).alias("target_table"),
-                    F.lit(pair.tier).alias("tier"),
-                    F.struct(F.lit(position).alias("position"), F.lit(check).alias("name"), "ok").alias("check"),
-                )
-            )
-    checks = reduce(DataFrame.unionByName, frames)
-    # at most three checks per pair, so the collected list is bounded
-    grouped = checks.groupBy("pair", "source_table", "target_table", "tier").agg(
-        F.array_sort(F.collect_list("check")).alias("checks")
-    )
-
-    def names(ok: bool) -> Column:
-        kept = F.filter("checks", lambda c: c["ok"] if ok else ~c["ok"])
-        return F.array_join(F.transform(kept, lambda c: c["name"]), ",")
-
-    return grouped.select(
-        "source_table",
-        "target_table",
-        "tier",
-        F.when(F.exists("checks", lambda c: ~c["ok"]), "failed").otherwise("passed").alias("status"),
-        names(True).alias("checks_passed"),
-        names(False).alias("checks_failed"),
-    )
+    checks = TIER_CHECKS.get(pair.tier, DEFAULT_CHECKS)
+    named = (pair.source_name, pair.target_name, pair.tier)
+    try:
+        source, target = pair.opened()
+        frames = [_verdict(pair, source, target, check).select(F.lit(n).alias("n"), "ok") for n, check in enumerate(checks)]
+        ok = {r["n"]: r["ok"] for r in reduce(DataFrame.unionByName, frames).collect()}  # a row per check
+        failed = [] if same_schema(source, target) else ["schema"]
+        failed += [check for n, check in enumerate(checks) if not ok[n]]
+        passed = [check for n, check in enumerate(checks) if ok[n]]
+        return (*named, "failed" if failed else "passed", ",".join(passed), ",".join(failed), None)
+    except Exception as error:  # one unreadable table must not end the validation of all others
+        return (*named, "failed", "", ",".join(checks), f"{type(error).__name__}: {str(error)[:500]}")
+
+
+def tiered_validation(pairs: Sequence[TablePair], at_once: int = PAIRS_AT_ONCE) -> DataFrame:
+    """Run the checks of each pair's tier; one row per pair with the passed and the failed checks, and any error.
+
+    Each pair is a job of its own from a small pool, so planning a pair costs the same whatever their number. What comes
+    back to the driver is one short row per listed pair.
+    """
+    if not pairs:
+        raise ValueError("no pairs to validate")
+    with ThreadPoolExecutor(at_once) as pool:
+        rows = list(pool.map(validate_pair, pairs))
+    first = next((t for p in pairs for t in (p.source, p.target) if isinstance(t, DataFrame)), None)
+    session = first.sparkSession if first is not None else SparkSession.active()
+    return session.createDataFrame(rows, _VERDICTS)
 
 
 def validation_report(results: DataFrame) -> DataFrame:

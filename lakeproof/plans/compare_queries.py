@@ -86,14 +86,21 @@ def _duplicates(t: Tables):
 
 def _profile_sql(columns: dict[str, str], source: str, target: str) -> str:
     def side(table: str, column: str, kind: str) -> str:
-        total = f"CAST(sum(CAST({column} AS DECIMAL(28,6))) AS DOUBLE)" if kind == "number" else "CAST(NULL AS DOUBLE)"
+        total = f"CAST(sum(CAST({column} AS DECIMAL(28,6))) AS DOUBLE)" if kind in ("number", "double") else "CAST(NULL AS DOUBLE)"
+        unusual = (
+            f"count(*) FILTER (isnan({column})) AS nan_values, count(*) FILTER (isinf({column})) AS infinite_values, "
+            f"count(*) FILTER (isfinite({column}) AND abs({column}) >= 1e26) AS overflow_values, "
+            if kind == "double"
+            else "0 AS nan_values, 0 AS infinite_values, 0 AS overflow_values, "
+        )
         return f"""SELECT '{column}' AS column_name, count({column}) AS non_null, count(*) - count({column}) AS nulls,
-            count(DISTINCT {column}) AS distinct_values, CAST(min({column}) AS VARCHAR) AS min_value,
+            {unusual} count(DISTINCT {column}) AS distinct_values, CAST(min({column}) AS VARCHAR) AS min_value,
             CAST(max({column}) AS VARCHAR) AS max_value, {total} AS sum_value FROM {table}"""
 
     s = " UNION ALL ".join(side(source, c, k) for c, k in columns.items())
     t = " UNION ALL ".join(side("tgt", c, k) for c, k in columns.items())
-    metrics = ["non_null", "nulls", "distinct_values", "min_value", "max_value", "sum_value"]
+    special = ["nan_values", "infinite_values", "overflow_values"]
+    metrics = ["non_null", "nulls", *special, "distinct_values", "min_value", "max_value", "sum_value"]
     return f"""
     WITH tgt AS ({target}), s AS ({s}), t AS ({t})
     SELECT s.column_name, {", ".join(f"s.{m} AS source_{m}" for m in metrics)},
@@ -110,10 +117,10 @@ _LINE_KINDS = {
     "l_partkey": "number",
     "l_suppkey": "number",
     "l_linenumber": "number",
-    "l_quantity": "number",
-    "l_extendedprice": "number",
-    "l_discount": "number",
-    "l_tax": "number",
+    "l_quantity": "double",
+    "l_extendedprice": "double",
+    "l_discount": "double",
+    "l_tax": "double",
     "l_returnflag": "text",
     "l_linestatus": "text",
     "l_shipdate": "time",
@@ -200,7 +207,23 @@ def _bag_intersection(t: Tables):
     return compare.bag_intersection(shape(t.customer), shape(customer_target(t.customer)))
 
 
-# target copy of customer without changes, and of part with the dearest parts lost
+# copies of customer whose schema differs: a lost, an added, a retyped and a widened column, and one renamed by case, with
+# equal and with other values
+_RESHAPED = {
+    "customer_lost": ("tier1", "SELECT c_custkey, c_name, c_nationkey, c_acctbal FROM customer"),
+    "customer_added": ("tier2", "SELECT *, c_nationkey AS c_added FROM customer"),
+    "customer_retyped": ("tier1", "SELECT c_custkey, c_name, CAST(c_nationkey AS {text}) AS c_nationkey, c_acctbal, c_mktsegment FROM customer"),
+    "customer_widened": ("tier1", "SELECT c_custkey, c_name, CAST(c_nationkey AS BIGINT) AS c_nationkey, c_acctbal, c_mktsegment FROM customer"),
+    "customer_cased": ("tier1", "SELECT c_custkey, c_name, c_nationkey, c_acctbal AS C_ACCTBAL, c_mktsegment FROM customer"),
+    "customer_cased_changed": ("tier2", "SELECT c_custkey, c_name, c_nationkey, c_acctbal + 1 AS C_ACCTBAL, c_mktsegment FROM customer"),
+    "customer_lost_rows": ("tier3", "SELECT c_custkey, c_name FROM customer WHERE c_acctbal > 0"),
+}
+
+
+def reshaped(t: Tables, name: str):
+    return t.spark.sql(_RESHAPED[name][1].format(text="STRING").replace("FROM customer", "FROM {customer}"), customer=t.customer)
+
+
 def _pairs(t: Tables):
     part = t.part
     return [
@@ -210,36 +233,92 @@ def _pairs(t: Tables):
         compare.TablePair("customer", "customer_changed", t.customer, customer_target(t.customer), "tier2"),
         compare.TablePair("part", "part_copy", part, part.filter("p_retailprice < 1000"), "tier3"),
         compare.TablePair("customer", "customer_renamed", t.customer, customer_target(t.customer), "tier3"),
+        *[
+            compare.TablePair("customer", name, t.customer, reshaped(t, name), tier, ["c_custkey"] if tier == "tier1" else ())
+            for name, (tier, _) in _RESHAPED.items()
+        ],
+        compare.TablePair("part", "part_gone", part, lambda: t.spark.read.parquet(t.path("part_gone")), "tier2"),
     ]
 
 
+_COLUMNS = {
+    "orders": "o_orderkey o_custkey o_orderstatus o_totalprice o_orderdate o_orderpriority".split(),
+    "customer": "c_custkey c_name c_nationkey c_acctbal c_mktsegment".split(),
+    "lineitem": list(_LINE_KINDS),
+    "part": "p_partkey p_name p_brand p_type p_size p_retailprice".split(),
+}
+_WIDTHS = "replace(replace(column_type, 'INTEGER', 'BIGINT'), 'FLOAT', 'DOUBLE')"
+
+
+def _pair_sql(source: str, target: str, tier: str, target_sql: str, shared: list[str] | None = None) -> str:
+    """The verdicts of a pair, worked out check by check."""
+    shared = _COLUMNS[source] if shared is None else shared
+    kinds = lambda table: f"(SELECT list(lower(column_name) || ' ' || {_WIDTHS} ORDER BY lower(column_name)) FROM (DESCRIBE {table}))"
+    facts = ", ".join(
+        f"count({c}), count(DISTINCT {c}), min({c}), max({c})"
+        + (f", sum(CAST({c} AS DECIMAL(28,6)))" if c.endswith(("price", "bal", "quantity", "discount", "tax")) else "")
+        for c in shared
+    )
+    listed = ", ".join(shared)
+    aggs = f"(SELECT row({facts}) FROM {source}) IS NOT DISTINCT FROM (SELECT row({facts}) FROM t)"
+    rows = f"""NOT EXISTS (SELECT {listed} FROM {source} EXCEPT ALL SELECT {listed} FROM t)
+        AND NOT EXISTS (SELECT {listed} FROM t EXCEPT ALL SELECT {listed} FROM {source})"""
+    return f"""(WITH t AS ({target_sql}) SELECT '{source}' AS source_table, '{target}' AS target_table, '{tier}' AS tier,
+        {kinds(f"SELECT * FROM {source}")} = {kinds(target_sql)} AS same_schema,
+        (SELECT count(*) FROM {source}) = (SELECT count(*) FROM t) AS row_count,
+        {aggs if tier in ("tier1", "tier2") else "NULL"} AS aggs, {rows if tier == "tier1" else "NULL"} AS hash)"""
+
+
+_SHARED = {
+    "customer_lost": ["c_custkey", "c_name", "c_nationkey", "c_acctbal"],
+    "customer_retyped": ["c_custkey", "c_name", "c_acctbal", "c_mktsegment"],
+    "customer_lost_rows": ["c_custkey", "c_name"],
+}
+_PAIR_ROWS = [
+    _pair_sql("orders", "orders_copy", "tier1", ORDERS_TARGET_SQL),
+    _pair_sql("customer", "customer_copy", "tier1", "SELECT * FROM customer"),
+    _pair_sql("lineitem", "lineitem_copy", "tier1", "SELECT * FROM lineitem"),
+    _pair_sql("customer", "customer_changed", "tier2", CUSTOMER_TARGET_SQL),
+    _pair_sql("part", "part_copy", "tier3", "SELECT * FROM part WHERE p_retailprice < 1000"),
+    _pair_sql("customer", "customer_renamed", "tier3", CUSTOMER_TARGET_SQL),
+    *[_pair_sql("customer", name, tier, sql.format(text="VARCHAR"), _SHARED.get(name)) for name, (tier, sql) in _RESHAPED.items()],
+]
+_FAILED = "concat_ws(',', CASE WHEN NOT same_schema THEN 'schema' END, CASE WHEN NOT row_count THEN 'row_count' END, CASE WHEN NOT aggs THEN 'column_aggregates' END, CASE WHEN NOT hash THEN 'row_hash' END)"
 _VALIDATION_SQL = f"""
-WITH o AS ({ORDERS_TARGET_SQL}), c AS ({CUSTOMER_TARGET_SQL}),
-p AS (SELECT * FROM part WHERE p_retailprice < 1000),
-f AS (
-  SELECT 'orders' AS source_table, 'orders_copy' AS target_table, 'tier1' AS tier,
-    (SELECT count(*) FROM orders) = (SELECT count(*) FROM o) AS row_count,
-    (SELECT count(DISTINCT o_orderkey) FROM orders) = (SELECT count(DISTINCT o_orderkey) FROM o)
-    AND (SELECT sum(CAST(o_totalprice AS DECIMAL(28,6))) FROM orders) = (SELECT sum(CAST(o_totalprice AS DECIMAL(28,6))) FROM o) AS aggs,
-    NOT EXISTS (SELECT * FROM orders EXCEPT ALL SELECT * FROM o) AND NOT EXISTS (SELECT * FROM o EXCEPT ALL SELECT * FROM orders) AS hash
-  UNION ALL SELECT 'customer', 'customer_copy', 'tier1', true, true, true
-  UNION ALL SELECT 'lineitem', 'lineitem_copy', 'tier1', true, true, true
-  UNION ALL SELECT 'customer', 'customer_changed', 'tier2',
-    (SELECT count(*) FROM customer) = (SELECT count(*) FROM c),
-    (SELECT sum(CAST(c_acctbal AS DECIMAL(28,6))) FROM customer) = (SELECT sum(CAST(c_acctbal AS DECIMAL(28,6))) FROM c), NULL
-  UNION ALL SELECT 'part', 'part_copy', 'tier3', (SELECT count(*) FROM part) = (SELECT count(*) FROM p), NULL, NULL
-  UNION ALL SELECT 'customer', 'customer_renamed', 'tier3', (SELECT count(*) FROM customer) = (SELECT count(*) FROM c), NULL, NULL)
-SELECT source_table, target_table, tier,
-  CASE WHEN coalesce(row_count, true) AND coalesce(aggs, true) AND coalesce(hash, true) THEN 'passed' ELSE 'failed' END AS status,
+WITH f AS ({" UNION ALL ".join(f"SELECT * FROM {row}" for row in _PAIR_ROWS)})
+SELECT source_table, target_table, tier, CASE WHEN {_FAILED} = '' THEN 'passed' ELSE 'failed' END AS status,
   concat_ws(',', CASE WHEN row_count THEN 'row_count' END, CASE WHEN aggs THEN 'column_aggregates' END, CASE WHEN hash THEN 'row_hash' END) AS checks_passed,
-  concat_ws(',', CASE WHEN NOT row_count THEN 'row_count' END, CASE WHEN NOT aggs THEN 'column_aggregates' END, CASE WHEN NOT hash THEN 'row_hash' END) AS checks_failed
+  {_FAILED} AS checks_failed, false AS broken
 FROM f
+UNION ALL SELECT 'part', 'part_gone', 'tier2', 'failed', '', 'row_count,column_aggregates', true
 """
 
 
 @REG.query("tiered_validation", _VALIDATION_SQL)
 def _tiered(t: Tables):
-    return compare.tiered_validation(_pairs(t))
+    verdicts = compare.tiered_validation(_pairs(t))
+    return verdicts.withColumn("broken", F.col("error").isNotNull()).drop("error")
+
+
+_DESCRIBED = lambda table: f"(SELECT lower(column_name) AS k, column_name AS c, column_type AS t FROM (DESCRIBE {table}))"
+_RESHAPED_SQL = """SELECT c_custkey, c_nationkey AS C_NationKey, CAST(c_acctbal AS {text}) AS c_acctbal, c_mktsegment,
+    CASE WHEN c_acctbal > 0 THEN c_name END AS c_added FROM customer"""
+
+
+@REG.query(
+    "compare_schema",
+    f"""WITH s AS {_DESCRIBED("SELECT * FROM customer")}, t AS {_DESCRIBED(_RESHAPED_SQL.format(text="VARCHAR"))},
+    n AS (SELECT * FROM (UNPIVOT (SELECT {", ".join(f"count({c}) AS {c}" for c in "c_custkey c_name c_nationkey c_acctbal c_mktsegment".split())} FROM customer) ON * INTO NAME k VALUE n)),
+    m AS (SELECT * FROM (UNPIVOT (SELECT {", ".join(f"count({c}) AS {c}" for c in "c_custkey c_nationkey c_acctbal c_mktsegment c_added".split())} FROM ({_RESHAPED_SQL.format(text="VARCHAR")})) ON * INTO NAME k VALUE n)),
+    j AS (SELECT coalesce(s.k, t.k) AS k, coalesce(s.c, t.c) AS column_name,
+          CASE WHEN t.k IS NULL THEN 'only_source' WHEN s.k IS NULL THEN 'only_target' WHEN s.t <> t.t THEN 'type_differs' ELSE 'same' END AS status
+          FROM s FULL JOIN t ON s.k = t.k)
+    SELECT column_name, status, n.n AS source_non_null, m.n AS target_non_null, status = 'same' AS matched
+    FROM j LEFT JOIN n ON j.k = n.k LEFT JOIN m ON j.k = m.k""",
+)
+def _schema(t: Tables):
+    target = t.spark.sql(_RESHAPED_SQL.format(text="STRING").replace("FROM customer", "FROM {customer}"), customer=t.customer)
+    return compare.compare_schema(t.customer, target).drop("source_type", "target_type")
 
 
 @REG.query(

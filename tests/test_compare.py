@@ -138,3 +138,68 @@ def test_kpi_tolerances(spark):
     )
     got = {r["name"]: r["matched"] for r in compare.reconcile_kpis(kpis).collect()}
     assert got == {"users": True, "revenue": True, "length": True, "rate": False, "zero": True, "from zero": False}
+
+
+def test_a_lost_column_fails(spark):
+    source = frame(spark, [(1, "a", 1.0), (2, "b", 2.0)])
+    lost = source.drop("amount")
+    pairs = [
+        compare.TablePair("a", "lost", source, lost, "tier1", ["k"]),
+        compare.TablePair("a", "added", lost, source, "tier1", ["k"]),
+        compare.TablePair("a", "cased", source, source.withColumnRenamed("amount", "AMOUNT"), "tier1", ["k"]),
+        compare.TablePair("a", "cased and changed", source, frame(spark, [(1, "a", 1.0), (2, "b", 5.0)], "k INT, name STRING, Amount DOUBLE"), "tier1", ["k"]),
+        compare.TablePair("a", "retyped", source, source.withColumn("amount", F.col("amount").cast("string")), "tier3"),
+        compare.TablePair("a", "nothing shared", source, source.select(F.col("k").alias("z")), "tier2"),
+    ]
+    got = {r["target_table"]: (r["status"], r["checks_failed"], r["error"]) for r in compare.tiered_validation(pairs).collect()}
+    assert got == {
+        "lost": ("failed", "schema", None),
+        "added": ("failed", "schema", None),
+        "cased": ("passed", "", None),
+        "cased and changed": ("failed", "column_aggregates,row_hash", None),
+        "retyped": ("failed", "schema", None),
+        "nothing shared": ("failed", "schema", None),
+    }
+    rows = {r["column_name"]: (r["status"], r["source_non_null"], r["target_non_null"]) for r in compare.compare_schema(source, lost).collect()}
+    assert rows == {"k": ("same", 2, 2), "name": ("same", 2, 2), "amount": ("only_source", 2, None)}
+    assert compare.schema_differences(source, source.withColumnRenamed("k", "K"), ignore_case=False)[0][3] == "only_source"
+
+
+def test_a_broken_pair_is_a_row(spark):
+    table = frame(spark, [(1, "a", 1.0)])
+    gone = lambda: spark.read.parquet("/nowhere/at/all")
+    got = compare.tiered_validation([compare.TablePair("a", "gone", table, gone, "tier1", ["k"]), compare.TablePair("a", "same", table, table, "tier2")])
+    rows = {r["target_table"]: r for r in got.collect()}
+    assert rows["gone"]["status"] == "failed" and "PATH_NOT_FOUND" in rows["gone"]["error"]
+    assert rows["same"]["status"] == "passed" and rows["same"]["error"] is None
+
+
+def test_sums_of_huge_and_special_values(spark):
+    source = frame(spark, [(1, 1e23), (2, 1.0), (3, float("nan")), (4, float("inf")), (5, float("-inf")), (6, 1e300), (7, None), (8, 0.001)], "k INT, v DOUBLE")
+    row = {r["column_name"]: r for r in compare.compare_column_aggregates(source, source).collect()}["v"]
+    assert row["source_sum_value"] == 1e23 + 1.001
+    assert (row["source_nan_values"], row["source_infinite_values"], row["source_overflow_values"]) == (1, 2, 1)
+    assert row["source_mean_value"] == (1e23 + 1.001) / 3
+    assert (row["source_non_null"], row["source_nulls"]) == (7, 1)
+    small = frame(spark, [(1, float("nan")), (2, 1.0), (3, float("inf"))], "k INT, v DOUBLE")
+    assert {r["column_name"]: r for r in compare.compare_column_aggregates(small, small).collect()}["v"]["source_mean_value"] == 1.0
+    wide = frame(spark, [(1, 0.5)], "k INT, v DOUBLE").select("k", F.col("v").cast("decimal(38,18)").alias("v"))
+    assert {r["column_name"]: r for r in compare.compare_column_aggregates(wide, wide).collect()}["v"]["source_sum_value"] == 0.5
+
+
+def test_duplicate_keys_copied_as_they_are(spark):
+    table = frame(spark, [(1, "a", 1.0), (1, "b", 2.0), (2, "c", 3.0)])
+    other = frame(spark, [(1, "a", 1.0), (1, "b", 2.5), (2, "c", 3.0)])
+    rows = {r["k"]: (r["status"], r["same_rows"]) for r in compare.compare_row_hash(table, table.repartition(3), ["k"]).collect()}
+    assert rows == {1: ("duplicate_key", True), 2: ("matched", True)}
+    assert {r["k"]: r["same_rows"] for r in compare.compare_row_hash(table, other, ["k"]).collect()} == {1: False, 2: True}
+    got = compare.tiered_validation([compare.TablePair("a", "same", table, table, "tier1", ["k"]), compare.TablePair("a", "other", table, other, "tier1", ["k"])])
+    assert {r["target_table"]: r["status"] for r in got.collect()} == {"same": "passed", "other": "failed"}
+
+
+def test_no_raw_value_is_shuffled(spark):
+    table = frame(spark, [(1, "a", 1.0)])
+    plan = compare.compare_column_aggregates(table, table)._jdf.queryExecution().executedPlan().toString()
+    for line in plan.splitlines():
+        if "hashpartitioning" in line:
+            assert "name" not in line and "amount" not in line
