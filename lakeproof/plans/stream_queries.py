@@ -11,14 +11,14 @@ from pyspark.sql import functions as F
 
 from lakeproof.plans.registry import Registry, Tables
 from lakeproof.streaming import cutover, transitions
-from lakeproof.streaming.run import file_stream, run_available
+from lakeproof.streaming.run import run_available, table_stream
 
 REG = Registry()
 col, lit = F.col, F.lit
 
 
 def events_stream(t: Tables) -> DataFrame:
-    stream = file_stream(t.spark, t.folder, "events.parquet", t.events.schema)
+    stream = table_stream(t.spark, t.path("events"), t.events.schema)
     return stream.withColumn("ts", col("ts").cast("timestamp"))
 
 
@@ -84,10 +84,11 @@ def _history(t: Tables, states: dict[str, str]) -> DataFrame:
 
 def _audit_sql(states: dict[str, str], legal: str) -> str:
     state = f"CASE event_type {' '.join(f"WHEN '{a}' THEN '{b}'" for a, b in states.items())} END"
-    return f"""WITH h AS (SELECT CAST(user_id AS VARCHAR) AS entity, event_id, {state} AS state,
+    return f"""WITH h AS (SELECT CAST(user_id AS VARCHAR) AS entity, event_id, ts, {state} AS state,
                      lag({state}) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS previous FROM events)
         SELECT entity, event_id, coalesce(previous, '') AS previous, state,
-               CASE WHEN previous IS NULL THEN 'first' WHEN (previous, state) IN {legal} THEN 'legal' ELSE 'illegal' END AS verdict FROM h"""
+               CASE WHEN previous IS NULL THEN 'first' WHEN (previous, state) IN {legal} THEN 'legal' ELSE 'illegal' END AS verdict
+        FROM h WHERE epoch_ms(ts) < (SELECT epoch_ms(max(ts)) FROM events) - 600000"""
 
 
 def _verdicts(audited: DataFrame) -> DataFrame:

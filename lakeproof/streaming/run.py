@@ -2,41 +2,74 @@
 
 from __future__ import annotations
 
+import posixpath
+from collections.abc import Iterator, Mapping
+from contextlib import contextmanager
+from urllib.parse import unquote, urlparse
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from lakeproof.session import scratch_path
+from lakeproof.session import prepare, scratch_path
 
 _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def file_stream(spark: SparkSession, folder: str, glob: str, schema: T.StructType | str, files_per_trigger: int | None = None) -> DataFrame:
-    """Parquet files of a folder as a stream; another source needs no more than another format here."""
+    """Parquet files of a folder as a stream; another source needs no more than another format here.
+
+    Raises if no file matches now: a stream over nothing would end without rows and without an error.
+    """
+    if not spark.read.schema(schema).option("pathGlobFilter", glob).parquet(folder).inputFiles():
+        raise FileNotFoundError(f"no file in {folder} matches {glob}")
     reader = spark.readStream.format("parquet").schema(schema).option("pathGlobFilter", glob)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
     return reader.load(folder)
 
 
+def table_stream(spark: SparkSession, path: str, schema: T.StructType | str, files_per_trigger: int | None = None) -> DataFrame:
+    """A Parquet table as a stream, be it one file or a folder of part files."""
+    path = path.rstrip("/")
+    files = spark.read.schema(schema).parquet(path).inputFiles()
+    folder, name = posixpath.split(path)
+    single = len(files) == 1 and posixpath.basename(unquote(urlparse(files[0]).path)) == name
+    return file_stream(spark, *((folder, name) if single else (path, "*.parquet")), schema, files_per_trigger)
+
+
+@contextmanager
+def _settings(spark: SparkSession, values: Mapping[str, str]) -> Iterator[None]:
+    """Session settings for as long as a stream starts; they are as before afterwards, also if it fails to start."""
+    before = {key: spark.conf.get(key, None) for key in values}
+    try:
+        for key, value in values.items():
+            spark.conf.set(key, value)
+        yield
+    finally:
+        for key, value in before.items():
+            if value is None:
+                spark.conf.unset(key)
+            else:
+                spark.conf.set(key, value)
+
+
 def run_available(stream: DataFrame, name: str, state_partitions: int | None = None) -> DataFrame:
     """Process what is available into a parquet sink (exactly once, restartable) and read the sink.
 
     The number of state partitions is fixed when a stream first starts, as nothing coalesces them later; it is
     the number of cores unless given.
     """
-    spark = stream.sparkSession
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKSDB)
+    spark = prepare(stream.sparkSession)
     base = scratch_path(spark, f"stream-{name}")
-    session_partitions = spark.conf.get("spark.sql.shuffle.partitions")
-    spark.conf.set("spark.sql.shuffle.partitions", str(state_partitions or spark.sparkContext.defaultParallelism))
-    query = (
-        stream.writeStream.format("parquet")
-        .outputMode("append")
-        .option("checkpointLocation", f"{base}/checkpoint")
-        .option("path", f"{base}/sink")
-        .trigger(availableNow=True)
-        .start()
-    )
-    spark.conf.set("spark.sql.shuffle.partitions", session_partitions)
+    partitions = str(state_partitions or spark.sparkContext.defaultParallelism)
+    with _settings(spark, {"spark.sql.streaming.stateStore.providerClass": _ROCKSDB, "spark.sql.shuffle.partitions": partitions}):
+        query = (
+            stream.writeStream.format("parquet")
+            .outputMode("append")
+            .option("checkpointLocation", f"{base}/checkpoint")
+            .option("path", f"{base}/sink")
+            .trigger(availableNow=True)
+            .start()
+        )
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{base}/sink")

@@ -1,4 +1,4 @@
-"""Legality of state steps on a stream: the last state per entity is kept in the state store."""
+"""Legality of state steps on a stream: states are audited in the order of their event times."""
 
 from __future__ import annotations
 
@@ -14,52 +14,84 @@ OUTPUT = "entity STRING, event_id BIGINT, previous STRING, state STRING, legal B
 
 
 class _StepAudit(StatefulProcessor):
-    """Rows of an entity come in Arrow batches; each is ordered by event time, across batches by arrival."""
+    """Rows wait in the state store until the watermark has passed them, and come out ordered by (ts, event_id).
+
+    So neither the batches in which rows arrive nor the Arrow batches they are cut into matter. An entity's timer is set to
+    the earliest row that waits; what waits is bounded by the entity's rows within the delay.
+    """
 
     def __init__(self, steps: Mapping[str, Sequence[str]]) -> None:
-        self._legal = {(a, b) for a, targets in steps.items() for b in targets}
+        self._legal = [(a, b) for a, targets in steps.items() for b in targets]
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self._handle = handle
         self._last = handle.getValueState("last", "state STRING")
+        self._waiting = handle.getListState("waiting", "ts BIGINT, event_id BIGINT, state STRING")
 
     def handleInputRows(self, key, rows, timerValues):
-        last = self._last.get()[0] if self._last.exists() else None
+        earliest = None
         for batch in rows:
-            ordered = batch.sort_values(["ts", "event_id"])
-            previous = ordered["state"].shift(1)
-            previous.iloc[0] = last
-            legal = [None if a is None else (a, b) in self._legal for a, b in zip(previous, ordered["state"])]
-            last = ordered["state"].iloc[-1]
-            yield pd.DataFrame(
-                {
-                    "entity": key[0],
-                    "event_id": ordered["event_id"].to_numpy(),
-                    "previous": previous.to_numpy(),
-                    "state": ordered["state"].to_numpy(),
-                    "legal": pd.array(legal, dtype="boolean"),
-                }
-            )
-        if last is not None:
-            self._last.update((last,))
+            if not len(batch):
+                continue
+            micros = pd.to_datetime(batch["ts"]).astype("datetime64[us]").astype("int64")
+            self._waiting.appendList(list(zip(micros.tolist(), batch["event_id"].tolist(), batch["state"].tolist(), strict=True)))
+            first = int(micros.min())
+            earliest = first if earliest is None else min(earliest, first)
+        if earliest is not None:
+            # a timer in the past would not fire: such a row is at the watermark and comes out with the next one
+            self._handle.registerTimer(max(earliest // 1000, timerValues.getCurrentWatermarkInMs()) + 1)
+        yield pd.DataFrame()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        passed = timerValues.getCurrentWatermarkInMs()
+        waiting = pd.DataFrame(list(self._waiting.get()), columns=["ts", "event_id", "state"])
+        due = waiting["ts"] // 1000 < passed
+        ready, later = waiting[due].sort_values(["ts", "event_id"]), waiting[~due]
+        if len(later):
+            self._waiting.put(list(later.itertuples(index=False, name=None)))
+            self._handle.registerTimer(max(int(later["ts"].min()) // 1000, passed) + 1)
+        else:
+            self._waiting.clear()
+        if not len(ready):
+            yield pd.DataFrame()
+            return
+        previous = ready["state"].shift(1)
+        previous.iloc[0] = self._last.get()[0] if self._last.exists() else None
+        listed = pd.MultiIndex.from_arrays([previous, ready["state"]]).isin(self._legal)
+        legal = pd.Series(listed, index=ready.index, dtype="boolean").mask(previous.isna())
+        self._last.update((ready["state"].iloc[-1],))
+        yield pd.DataFrame(
+            {
+                "entity": key[0],
+                "event_id": ready["event_id"].to_numpy(),
+                "previous": previous.where(previous.notna(), None).to_numpy(),
+                "state": ready["state"].to_numpy(),
+                "legal": legal.array,
+            }
+        )
 
     def close(self) -> None:
         pass
 
 
-def stream_transition_audit(history: DataFrame, steps: Mapping[str, Sequence[str]] = RUN_MODE_STEPS) -> DataFrame:
+def stream_transition_audit(
+    history: DataFrame, steps: Mapping[str, Sequence[str]] = RUN_MODE_STEPS, delay: str = "10 minutes"
+) -> DataFrame:
     """Audit a stream of (entity STRING, event_id BIGINT, ts TIMESTAMP, state STRING).
 
-    The first state of an entity has no step and a NULL verdict.
+    The first state of an entity has no step and a NULL verdict. A state comes out once the watermark, the latest time
+    seen less the delay, has passed it; rows that arrive after that are dropped as late.
     """
     return (
         history.select("entity", "event_id", "ts", "state")
+        .withWatermark("ts", delay)
         .groupBy("entity")
         .transformWithStateInPandas(
-            statefulProcessor=_StepAudit(steps), outputStructType=OUTPUT, outputMode="append", timeMode="none"
+            statefulProcessor=_StepAudit(steps), outputStructType=OUTPUT, outputMode="append", timeMode="EventTime"
         )
     )
 
 
-def cutover_status(history: DataFrame) -> DataFrame:
+def cutover_status(history: DataFrame, delay: str = "10 minutes") -> DataFrame:
     """The same audit over the steps of a stream cutover."""
-    return stream_transition_audit(history, STREAM_STATUS_STEPS)
+    return stream_transition_audit(history, STREAM_STATUS_STEPS, delay)

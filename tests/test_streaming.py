@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lakeproof.operators.gates import RUN_MODE_STEPS
 from lakeproof.streaming import cutover, transitions
-from lakeproof.streaming.run import file_stream, run_available
+from lakeproof.streaming.run import file_stream, run_available, table_stream
 
 SCHEMA = "event_id BIGINT, ts TIMESTAMP, user_id STRING, kind STRING"
 START = datetime(2025, 1, 1)
@@ -72,16 +72,49 @@ def test_replays_are_removed(spark, files):
     assert cutover.stream_dedup(spark.read.parquet(files), ["event_id"]).count() == 201
 
 
-def test_state_survives_between_batches(spark, files):
-    modes = F.array(*[F.lit(m) for m in ("OLD_ONLY", "SHADOW", "REVERSE_SHADOW", "NEW_ONLY")])
-    history = stream(spark, files).select(
-        F.col("user_id").alias("entity"), "event_id", "ts", modes[((F.col("event_id") / 3).cast("int") % 4)].alias("state")
-    )
-    rows = run_available(transitions.stream_transition_audit(history), "audit").collect()
-    assert len(rows) == 201
-    last = {}
-    for r in sorted(rows, key=lambda r: r["event_id"]):
-        before = last.get(r["entity"])
-        assert r["previous"] == before
-        assert r["legal"] == (None if before is None else r["state"] in RUN_MODE_STEPS[before])
-        last[r["entity"]] = r["state"]
+MODES = ("OLD_ONLY", "SHADOW", "REVERSE_SHADOW", "NEW_ONLY")
+
+
+def audited(rows):
+    """(entity, event_id) -> (previous, state, legal) in the order of (ts, event_id)."""
+    out, last = {}, {}
+    for event_id, _, entity, state in sorted(rows, key=lambda r: (r[1], r[0])):
+        before = last.get(entity)
+        out[entity, event_id] = (before, state, None if before is None else state in RUN_MODE_STEPS[before])
+        last[entity] = state
+    return out
+
+
+@pytest.mark.parametrize(("entities", "n", "files_per_trigger"), [(3, 400, 1), (1, 30_000, None), (1, 30_000, 1), (7, 2000, 2)])
+def test_audit_is_in_event_time_order(spark, tmp_path, entities, n, files_per_trigger):
+    """Files are sorted by a hash, not by time; a last event moves the watermark past all others."""
+    rows = [(i, START + timedelta(seconds=37 * i), f"u{i % entities}", MODES[i * 7919 % 4]) for i in range(n)]
+    schema = "event_id BIGINT, ts TIMESTAMP, entity STRING, state STRING"
+    shuffled = sorted(rows, key=lambda r: hash((r[0] * 2654435761) % 4294967291))
+    folder = str(tmp_path / "history")
+    step = -(-n // 4)
+    for part in range(0, n, step):
+        spark.createDataFrame(shuffled[part : part + step], schema).coalesce(1).write.mode("append").parquet(folder)
+    end = START + timedelta(days=90)
+    spark.createDataFrame([(-1, end, "end", "SHADOW")], schema).coalesce(1).write.mode("append").parquet(folder)
+    history = table_stream(spark, folder, schema, files_per_trigger=files_per_trigger)
+    got = run_available(transitions.stream_transition_audit(history, delay="60 days"), "audit").collect()
+    assert {(r["entity"], r["event_id"]): (r["previous"], r["state"], r["legal"]) for r in got} == audited(rows)
+    assert len(got) == n
+
+
+def test_tables_are_files_or_folders(spark, files, tmp_path):
+    static = spark.read.parquet(files)
+    one = str(tmp_path / "one.parquet")
+    static.coalesce(1).toPandas().to_parquet(one)
+    for path in (files, files + "/", one):
+        assert run_available(table_stream(spark, path, SCHEMA).select("event_id"), "read").count() == static.count()
+    with pytest.raises(FileNotFoundError):
+        file_stream(spark, files, "*.nothing", SCHEMA)
+
+
+def test_settings_are_restored_when_a_stream_does_not_start(spark, files):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    with pytest.raises(Exception, match="(?i)append|supported"):
+        run_available(stream(spark, files).groupBy("kind").count(), "bad")
+    assert spark.conf.get("spark.sql.shuffle.partitions") == before
