@@ -5,7 +5,8 @@ So equal strings share their anchor and their offset from it, and strings are co
 
 1. One scan lists *segments*, the runs of string starts with the same anchor (about one per 43 bytes), as anchor hash and
    content hash. Anchors that occur once drop out. What remains is kept as two bit filters of bounded size: shared
-   anchors, and those of them with different contents.
+   anchors, and those of them with different contents. A content that comes again within a document (periodic text) is a
+   repeat at once; it is passed on as such and never grouped.
 2. A second scan writes the segments of shared anchors, with their bytes where contents differ, dealt by anchor. Segments
    with equal contents collapse: all but the first are repeats as a whole. For the others, the texts right and left of
    the anchors are put in order by suffix arrays (``suffix_array``, linear grouping), and a string with r bytes left of its
@@ -26,10 +27,12 @@ result. Bytes are cut wherever strings end, so ``deduplicate`` drops parts of ch
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
@@ -48,6 +51,8 @@ STEP = 1 << 19
 LOW = np.uint64((1 << 20) - 1)
 #: Segments that are put in order at once.
 CHUNK = 20_000
+#: In place of the bytes left of the anchor: a segment whose content came earlier in its own document.
+AGAIN = -1
 _BASE = 0x9E3779B97F4A7C15
 
 
@@ -96,8 +101,13 @@ def _list_segments(length: int):
             anchors, hashes = [], []
             for text in utf8(batch, "text"):
                 for anchor, first, count, _ in segments(text, length):
+                    found = list(map(_hash, _contents(text, first, count, length)))
+                    if len(set(found)) < len(found):  # of a content that comes again and again, two say enough
+                        times: Counter[int] = Counter()
+                        kept = [k for k, h in enumerate(found) if times.update((h,)) or times[h] <= 2]
+                        anchor, found = anchor[kept], [found[k] for k in kept]
                     anchors.append(anchor.view(np.int64))
-                    hashes += map(_hash, _contents(text, first, count, length))
+                    hashes += found
             if anchors:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(anchors)), pa.array(hashes, pa.int64())], names=["anchor", "content"])
 
@@ -115,12 +125,24 @@ def _shared_segments(length: int, shared: Broadcast, differing: Broadcast, hot:
             columns: list[list] = [[] for _ in SEGMENTS]
             docs, ths = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for doc, th, text in zip(docs, ths, utf8(batch, "text"), strict=True):
+                seen: set[bytes] = set()
                 for anchor, first, count, left in segments(text, length):
                     some = np.flatnonzero(in_filter(anchor, shared.value))
                     some = some[~np.isin(anchor[some].view(np.int64), hot.value)]
                     if not len(some):
                         continue
                     contents = _contents(text, first[some], count[some], length)
+                    fresh = set(contents)
+                    if len(fresh) < len(contents) or not seen.isdisjoint(fresh):
+                        new = [c not in seen and not seen.add(c) for c in contents]
+                        again = [k for k, n in enumerate(new) if not n]
+                        for a, n in _joined(first[some[again]].tolist(), count[some[again]].tolist()):
+                            for column, value in zip(columns, (a, 0, doc, th, a, n, AGAIN, None), strict=True):
+                                column.append(value)
+                        keep = [k for k, n in enumerate(new) if n]
+                        some, contents = some[keep], [contents[k] for k in keep]
+                    else:
+                        seen |= fresh
                     carried = in_filter(anchor[some], differing.value).tolist()
                     parts = (
                         anchor[some].view(np.int64).tolist(), list(map(_hash, contents)), [doc] * len(some), [th] * len(some),
@@ -134,6 +156,17 @@ def _shared_segments(length: int, shared: Broadcast, differing: Broadcast, hot:
     return run
 
 
+def _joined(starts: list[int], counts: list[int]) -> list[tuple[int, int]]:
+    """Neighbouring (start, count) as one."""
+    out: list[tuple[int, int]] = []
+    for start, count in zip(starts, counts, strict=True):
+        if out and sum(out[-1]) == start:
+            out[-1] = (out[-1][0], out[-1][1] + count)
+        else:
+            out.append((start, count))
+    return out
+
+
 def _runs(common: np.ndarray, least: int) -> np.ndarray:
     """Numbers of the runs of an order in which neighbours share at least so many bytes."""
     return np.cumsum(common < least)
@@ -173,6 +206,12 @@ def _mark(start: np.ndarray, end: np.ndarray) -> np.ndarray:
 
 def _resolve(table: pa.Table, length: int) -> Iterator[pa.RecordBatch]:
     """Repeated spans among the segments of complete anchors, sorted by (anchor, content, doc, th, start)."""
+    known = pc.equal(table.column("left"), AGAIN)
+    doc, th, start, n = (table.filter(known).column(i).to_numpy().astype(np.int64) for i in (2, 3, 4, 5))
+    yield pa.RecordBatch.from_arrays([doc, th, _mark(start, start + n + length - 1)], schema=SPANS)
+    table = table.filter(pc.invert(known)).combine_chunks()
+    if not table.num_rows:
+        return
     anchor, content, doc, th, start, n, left = (table.column(i).to_numpy().astype(np.int64) for i in range(7))
     new_anchor = np.concatenate(([True], anchor[1:] != anchor[:-1]))
     new_content = new_anchor | np.concatenate(([True], content[1:] != content[:-1]))
@@ -262,6 +301,7 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH, hot_anchor: int = HOT_
     strings = materialize(texts.mapInArrow(_hot_strings(length, hot), "key binary, doc bigint, th bigint, start bigint"))
     place = F.struct("doc", "th", "start")
     first = strings.groupBy("key").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1").select("key", "first")
+    first = materialize(first)  # so that Spark can split a hot key of the join
     later = strings.join(first, "key").filter(place != F.col("first"))
     return spans.unionByName(later.select("doc", "th", (F.shiftleft("start", 32) + F.col("start") + length).alias("mark")))
 
