@@ -6,6 +6,7 @@ Each function is the operators of one task in order; Spark does the scheduling.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import partial
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from lakeproof.operators import compare, gates, graph, inventory, lookups, text_rules, waves
 from lakeproof.rulesets.lake_sql import LAKE_SQL_RULES, Rule
-from lakeproof.session import materialize, spread
+from lakeproof.session import materialize
 from lakeproof.sources import readers, writers
 
 
@@ -40,13 +41,32 @@ def classify_inventory(spark: SparkSession, path: str, as_of: Column) -> Detaile
 def plan_inventory_waves(
     spark: SparkSession, path: str, lobs: Sequence[str], as_of: Column, max_parallel: int = 3
 ) -> Detailed:
-    """Waves of the saved inventories; tables keep the order of their names within a tier."""
+    """A plan per saved inventory; tables keep the order of their names within a tier."""
     classified = classify_inventory(spark, path, as_of).details
     # sorted before numbering, so that the number grows with the name
     numbered = materialize(
-        classified.select("table_name", "tier").orderBy("table_name").withColumn("position", F.monotonically_increasing_id())
+        classified.select("inventory_id", "database", "table_name", "tier")
+        .orderBy("table_name", "database")
+        .withColumn("position", F.monotonically_increasing_id())
     )
-    return Detailed(waves.wave_plan_report(numbered, lobs, max_parallel), waves.plan_waves(numbered, lobs, max_parallel))
+    plans = ["inventory_id"]
+    return Detailed(
+        waves.wave_plan_report(numbered, lobs, max_parallel, plans), waves.plan_waves(numbered, lobs, max_parallel, plans=plans)
+    )
+
+
+def list_tables(spark: SparkSession, database: str, tables: dict[str, DataFrame | str]) -> DataFrame:
+    """Inventory rows of tables given as DataFrames or paths, with ``has_maps`` read from their schemas.
+
+    Rows are counted; sizes are those of the files, where a table has files.
+    """
+    rows = []
+    for name, table in tables.items():
+        frame = spark.read.parquet(table) if isinstance(table, str) else table
+        files = frame.inputFiles()
+        size = spark.read.format("binaryFile").load(files).agg(F.sum("length")).first()[0] if files else 0
+        rows.append((database, name, int(size or 0), frame.count(), inventory.schema_has_maps(frame.schema)))
+    return spark.createDataFrame(rows, "database string, table_name string, size_bytes bigint, row_count bigint, has_maps boolean")
 
 
 def check_logs(spark: SparkSession, paths: str | Sequence[str]) -> Detailed:
@@ -61,11 +81,21 @@ def check_logs(spark: SparkSession, paths: str | Sequence[str]) -> Detailed:
 def translate_folder(
     spark: SparkSession, source: str, output: str, rules: Sequence[Rule] = LAKE_SQL_RULES, glob: str = "*.sql"
 ) -> DataFrame:
-    """Rewrite all files of a folder into a table of (path, rewritten, applied); returns the summary."""
-    files = spread(readers.scan_text_corpus(spark, source, glob))
-    text_rules.apply_rules(files, "content", rules).select("path", "rewritten", "applied").write.mode("overwrite").parquet(output)
-    written = spark.read.parquet(output).withColumn("status", F.lit("translated"))
-    return text_rules.translation_summary(written, rules=rules)
+    """Rewrite all files of a folder into a table of (path, rewritten, applied, status, error); returns the summary.
+
+    A file that is no text fails by itself: it is listed with its error and without a rewritten text.
+    """
+    files = readers.scan_text_outcomes(spark, source, glob)
+    rewritten = text_rules.apply_rules(files, "content", rules)
+    failed = F.col("error").isNotNull()
+    rewritten.select(
+        "path",
+        F.when(~failed, F.col("rewritten")).alias("rewritten"),
+        F.when(failed, F.array().cast("array<string>")).otherwise(F.col("applied")).alias("applied"),
+        F.when(failed, "failed").otherwise("translated").alias("status"),
+        "error",
+    ).write.mode("overwrite").parquet(output)
+    return text_rules.translation_summary(spark.read.parquet(output), rules=rules)
 
 
 def classify_code_file(spark: SparkSession, path: str) -> Detailed:
@@ -94,14 +124,14 @@ def analyse_dependencies(spark: SparkSession, path: str) -> Detailed:
 
 def scan_jobs(spark: SparkSession, paths: str | Sequence[str], glob: str = "*") -> Detailed:
     """Dependencies found in job files; bytes that are not UTF-8 are replaced."""
-    files = spread(readers.scan_text_corpus(spark, paths, glob, replace_invalid=True))
+    files = readers.scan_text_corpus(spark, paths, glob, replace_invalid=True)
     hits = text_rules.scan_dependencies(files, "content")
     return Detailed(text_rules.dependency_report(hits), hits)
 
 
 def rewrite_workflows(spark: SparkSession, source: str, output: str, glob: str = "*.py") -> Detailed:
     """Rewrite workflow files into a table of (path, rewritten, changes); returns the report and the changes."""
-    files = spread(readers.scan_text_corpus(spark, source, glob))
+    files = readers.scan_text_corpus(spark, source, glob)
     text_rules.rewrite_workflow_files(files, "content").select("path", "rewritten", "changes").write.mode("overwrite").parquet(output)
     written = spark.read.parquet(output)
     return Detailed(text_rules.rewrite_report(written), text_rules.rewrite_changes(written, "path"))
@@ -129,8 +159,9 @@ def validate_tables(
     at: Column | None = None,
 ) -> Detailed:
     """Compare pairs of named tables or views at a tier; optionally append the outcome to an event log."""
+    # opened when it is its turn, so that a missing table fails its pair only
     pairs = [
-        compare.TablePair(s, t, spark.table(s), spark.table(t), tier, tuple((primary_keys or {}).get(s, ())))
+        compare.TablePair(s, t, partial(spark.table, s), partial(spark.table, t), tier, tuple((primary_keys or {}).get(s, ())))
         for s, t in table_pairs
     ]
     details = compare.tiered_validation(pairs)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from lakeproof.functions import aggregates as a
 from lakeproof.functions import collections as c
 from lakeproof.functions import scalars as s
@@ -11,11 +13,11 @@ from lakeproof.functions import text as x
 from lakeproof.functions import windows as w
 
 FUNCTIONS = {
-    "map_constructor_to_struct": c.map_of,
+    "map_constructor_to_struct": F.map_from_arrays,
     "map_constructor_empty": c.empty_map,
-    "transform_array": c.array_transform,
+    "transform_array": F.transform,
     "transform_nested": c.array_transform_cast,
-    "filter_array": c.array_filter,
+    "filter_array": F.filter,
     "date_trunc": t.date_trunc,
     "date_add": t.date_add,
     "date_diff": t.date_diff,
@@ -46,9 +48,9 @@ FUNCTIONS = {
     "approx_percentile": a.approx_percentile,
     "histogram": a.histogram,
     "arbitrary": a.arbitrary,
-    "contains_function": c.contains,
-    "map_keys": c.map_keys,
-    "map_values": c.map_values,
+    "contains_function": F.array_contains,
+    "map_keys": F.map_keys,
+    "map_values": F.map_values,
     "codepoint": x.codepoint,
     "split_with_limit": x.split,
     "strpos": x.strpos,
@@ -59,20 +61,20 @@ FUNCTIONS = {
     "lpad": x.lpad,
     "rpad": x.rpad,
     "position_function": x.position,
-    "cardinality": c.cardinality,
-    "array_distinct": c.array_distinct,
-    "array_join": c.array_join,
-    "array_sort": c.array_sort,
-    "array_position": c.array_position,
-    "array_remove": c.array_remove,
+    "cardinality": F.cardinality,
+    "array_distinct": F.array_distinct,
+    "array_join": F.array_join,
+    "array_sort": F.array_sort,
+    "array_position": F.array_position,
+    "array_remove": F.array_remove,
     "array_max": c.array_max,
     "array_min": c.array_min,
     "element_at": c.element_at,
-    "flatten": c.flatten,
-    "sequence": c.sequence,
-    "slice": c.slice,
-    "array_concat": c.array_concat,
-    "array_union": c.array_union,
+    "flatten": F.flatten,
+    "sequence": F.sequence,
+    "slice": F.slice,
+    "array_concat": F.concat,
+    "array_union": F.array_union,
     "bool_and": a.bool_and,
     "bool_or": a.bool_or,
     "count_if": a.count_if,
@@ -81,7 +83,7 @@ FUNCTIONS = {
     "map_agg": a.map_agg,
     "multimap_agg": a.multimap_agg,
     "checksum": a.checksum,
-    "reduce_agg": c.reduce,
+    "reduce_agg": F.aggregate,
     "every_agg": a.every,
     "count_star_filter": a.count_star_filter,
     "cast_varchar": s.cast_varchar,
@@ -133,12 +135,12 @@ FUNCTIONS = {
     "url_extract_host": x.url_extract_host,
     "url_extract_path": x.url_extract_path,
     "url_extract_parameter": x.url_extract_parameter,
-    "map_filter": c.map_filter,
-    "map_entries": c.map_entries,
+    "map_filter": F.map_filter,
+    "map_entries": F.map_entries,
     "map_concat": c.map_concat,
-    "map_from_entries": c.map_from_entries,
+    "map_from_entries": F.map_from_entries,
     "double_pipe_concat": x.concat_pipes,
-    "subscript_bracket": c.subscript,
+    "subscript_bracket": F.element_at,
     "try_function_cast": s.try_cast,
     "current_timestamp_no_parens": t.current_timestamp,
 }

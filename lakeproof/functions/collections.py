@@ -1,4 +1,4 @@
-"""Array and map functions with the semantics of the source dialect."""
+"""Array and map functions whose semantics in the source dialect differ from Spark's; the others are Spark's own."""
 
 from __future__ import annotations
 
@@ -8,53 +8,18 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def array_transform(arr: Column, fn: Callable[[Column], Column]) -> Column:
-    return F.transform(arr, fn)
-
-
 def array_transform_cast(arr: Column, dtype: str) -> Column:
     return F.transform(arr, lambda e: e.cast(dtype))
 
 
-def array_filter(arr: Column, fn: Callable[[Column], Column]) -> Column:
-    return F.filter(arr, fn)
-
-
-def contains(arr: Column, value) -> Column:
-    return F.array_contains(arr, value)
-
-
-def cardinality(arr: Column) -> Column:
-    return F.cardinality(arr)
-
-
-def array_distinct(arr: Column) -> Column:
-    return F.array_distinct(arr)
-
-
-def array_join(arr: Column, delimiter: str, null_text: str | None = None) -> Column:
-    return F.array_join(arr, delimiter, null_text) if null_text is not None else F.array_join(arr, delimiter)
-
-
-def array_sort(arr: Column) -> Column:
-    return F.array_sort(arr)
-
-
-def array_position(arr: Column, value) -> Column:
-    """0 when absent."""
-    return F.array_position(arr, value)
-
-
-def array_remove(arr: Column, value) -> Column:
-    return F.array_remove(arr, value)
-
-
 def array_max(arr: Column) -> Column:
-    return F.array_max(arr)
+    """NULL if an element is NULL (Spark's own skips it)."""
+    return F.when(~F.exists(arr, lambda e: e.isNull()), F.array_max(arr))
 
 
 def array_min(arr: Column) -> Column:
-    return F.array_min(arr)
+    """NULL if an element is NULL (Spark's own skips it)."""
+    return F.when(~F.exists(arr, lambda e: e.isNull()), F.array_min(arr))
 
 
 def element_at(arr: Column, index: int) -> Column:
@@ -62,59 +27,10 @@ def element_at(arr: Column, index: int) -> Column:
     return F.try_element_at(arr, F.lit(index))
 
 
-def subscript(arr: Column, index: int) -> Column:
-    """1-based; raises out of range."""
-    return F.element_at(arr, index)
-
-
-def flatten(arr: Column) -> Column:
-    return F.flatten(arr)
-
-
-def sequence(start: Column, stop: Column) -> Column:
-    return F.sequence(start, stop)
-
-
-def slice(arr: Column, start: int, length: int) -> Column:
-    return F.slice(arr, start, length)
-
-
-def array_concat(*arrays: Column) -> Column:
-    return F.concat(*arrays)
-
-
-def array_union(a: Column, b: Column) -> Column:
-    return F.array_union(a, b)
-
-
-def reduce(arr: Column, start: Column, step: Callable, finish: Callable | None = None) -> Column:
-    return F.aggregate(arr, start, step, finish) if finish else F.aggregate(arr, start, step)
-
-
-def map_of(keys: Column, values: Column) -> Column:
-    return F.map_from_arrays(keys, values)
-
-
 def empty_map(key_type: str = "string", value_type: str = "int") -> Column:
     return F.create_map().cast(f"map<{key_type},{value_type}>")
 
 
-def map_keys(m: Column) -> Column:
-    return F.map_keys(m)
-
-
-def map_values(m: Column) -> Column:
-    return F.map_values(m)
-
-
-def map_filter(m: Column, fn: Callable[[Column, Column], Column]) -> Column:
-    return F.map_filter(m, fn)
-
-
-def map_entries(m: Column) -> Column:
-    return F.map_entries(m)
-
-
 def map_concat(first: Column, *others: Column) -> Column:
     """The last map wins on equal keys (Spark's own raises)."""
 
@@ -125,7 +41,3 @@ def map_concat(first: Column, *others: Column) -> Column:
     for other in others:
         out = F.map_concat(F.map_filter(out, absent_from(other)), other)
     return out
-
-
-def map_from_entries(entries: Column) -> Column:
-    return F.map_from_entries(entries)

@@ -15,12 +15,21 @@ def cast_varchar(c: Column, length: int | None = None) -> Column:
     return text if length is None else F.substring(text, 1, length)
 
 
+def _rounded(c: Column, dtype: str) -> Column:
+    """Numbers with a fraction are rounded half away from zero (Spark's own cast cuts the fraction off)."""
+    kind = F.typeof(c)
+    fraction = kind.isin("float", "double") | kind.startswith("decimal")
+    exact = c.cast("string").try_cast("decimal(38,18)")
+    # beyond that precision, and for NaN, the plain cast decides: it raises where the value does not fit
+    return F.when(fraction & exact.isNotNull(), F.round(exact, 0).cast(dtype)).otherwise(c.cast(dtype))
+
+
 def cast_integer(c: Column) -> Column:
-    return c.cast("int")
+    return _rounded(c, "int")
 
 
 def cast_bigint(c: Column) -> Column:
-    return c.cast("bigint")
+    return _rounded(c, "bigint")
 
 
 def cast_double(c: Column) -> Column:
@@ -36,11 +45,11 @@ def cast_boolean(c: Column) -> Column:
 
 
 def cast_tinyint(c: Column) -> Column:
-    return c.cast("tinyint")
+    return _rounded(c, "tinyint")
 
 
 def cast_smallint(c: Column) -> Column:
-    return c.cast("smallint")
+    return _rounded(c, "smallint")
 
 
 def cast_varbinary(c: Column) -> Column:
@@ -91,7 +100,12 @@ def json_format(v: Column) -> Column:
 
 
 def json_array_get(j: Column, index: int) -> Column:
-    return F.get_json_object(j, f"$[{int(index)}]")
+    """JSON text of an element, counted from 0, or from the end if negative; NULL out of range."""
+    if index >= 0:
+        return F.get_json_object(j, f"$[{int(index)}]")
+    at = F.json_array_length(j) + int(index)
+    path = F.concat(F.lit("$["), at.cast("string"), F.lit("]"))
+    return F.when(at >= 0, F.call_function("get_json_object", j, path))
 
 
 def bitwise_and(a: Column, b) -> Column:
@@ -134,8 +148,9 @@ def is_finite(x: Column) -> Column:
 
 
 def truncate(x: Column) -> Column:
-    """Toward zero, without a negative zero."""
-    return F.when(x < 0, -F.floor(-x)).otherwise(F.floor(x)).cast("double")
+    """Toward zero, without a negative zero; from 2^53 on, doubles are whole."""
+    wide = x.cast("double")
+    return F.when(F.abs(wide) >= 2.0**53, wide).otherwise(F.when(x < 0, -F.floor(-x)).otherwise(F.floor(x)).cast("double"))
 
 
 def random(seed: int | None = None) -> Column:
@@ -143,7 +158,9 @@ def random(seed: int | None = None) -> Column:
 
 
 def to_base(x: Column, radix: int) -> Column:
-    return F.lower(F.conv(x.cast("string"), 10, radix))
+    """Digits of a whole number in a radix from 2 to 36, with a minus sign if negative."""
+    digits = F.lower(F.conv(F.abs(x.cast("decimal(20,0)")).cast("string"), 10, radix))
+    return F.concat(F.when(x < 0, "-").otherwise(""), digits)
 
 
 def mod(a: Column, b) -> Column:

@@ -74,3 +74,11 @@ def single_currency_total(
     mixed = F.raise_error(F.concat(F.lit("Currency mismatch: "), F.col("__low"), F.lit(" vs "), F.col("__high")))
     guarded = F.when(F.col("__low") != F.col("__high"), mixed).otherwise(F.col("__low"))
     return totals.select(*group, amount, guarded.alias(currency))
+
+
+def money_difference(amount: Column, currency: Column, other: Column, other_currency: Column) -> Column:
+    """``amount - other`` as DECIMAL; raises where the currencies differ."""
+    mixed = F.raise_error(F.concat(F.lit("Currency mismatch: "), currency, F.lit(" vs "), other_currency))
+    left = amount.cast("decimal(28,6)")
+    difference = (left - other.cast("decimal(28,6)")).cast("decimal(38,6)")
+    return F.when(currency != other_currency, mixed.cast("decimal(38,6)")).otherwise(difference)

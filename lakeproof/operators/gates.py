@@ -47,6 +47,22 @@ REQUIRED_CRITERIA = (
     "kpis_reconciled",
 )
 
+# Rollback conditions in reporting order: name, details, and the words for triggered and not.
+CONDITIONS = {
+    "pass_rate": ("DVT pass rate", "Pass rate %.4f (%s 0.99 threshold)", "below", "at or above"),
+    "latency": ("Latency increase", "Latency increase %.1f%% (%s 20%% threshold)", "exceeds", "within"),
+    "data_loss": ("Data loss", "%s", "Data loss detected", "No data loss detected"),
+    "lag": ("Streaming lag", "Streaming lag %d (%s %d threshold)", "exceeds", "within"),
+    "escalation": ("Escalation raised", "%s", "Escalation raised", "No escalation raised"),
+}
+
+# Why an input row is rejected, by the column that is out of range.
+REJECTS = {
+    "dvt_pass_rate": "dvt_pass_rate must be between 0.0 and 1.0",
+    "latency_increase_pct": "latency_increase_pct must be >= 0.0",
+    "streaming_lag": "streaming_lag must be >= 0",
+}
+
 # Rollback thresholds.
 MIN_PASS_RATE = 0.99
 MAX_LATENCY_INCREASE_PCT = 20.0
@@ -130,9 +146,9 @@ def reject_reason() -> Column:
     """Why an input row is out of range, NULL when it is not."""
     rate, latency, lag = F.col("dvt_pass_rate"), F.col("latency_increase_pct"), F.col("streaming_lag")
     return (
-        F.when(~rate.between(0.0, 1.0), "dvt_pass_rate must be between 0.0 and 1.0")
-        .when(latency < 0.0, "latency_increase_pct must be >= 0.0")
-        .when(lag < 0, "streaming_lag must be >= 0")
+        F.when(~rate.between(0.0, 1.0), REJECTS["dvt_pass_rate"])
+        .when(latency < 0.0, REJECTS["latency_increase_pct"])
+        .when(lag < 0, REJECTS["streaming_lag"])
     )
 
 
@@ -144,20 +160,20 @@ def rollback_conditions(metrics: DataFrame, lag_threshold: int = LAG_THRESHOLD)
     rate, latency, lag = F.col("dvt_pass_rate"), F.col("latency_increase_pct"), F.col("streaming_lag")
     loss, escalated = F.col("data_loss_detected"), F.col("escalation_raised")
 
-    def condition(name: str, triggered: Column, details: Column) -> Column:
-        return F.struct(F.lit(name).alias("name"), triggered.alias("triggered"), details.alias("details"))
-
-    def either(triggered: Column, yes: str, no: str) -> Column:
-        return F.when(triggered, yes).otherwise(no)
+    def condition(key: str, triggered: Column, *values: Column) -> Column:
+        name, text, yes, no = CONDITIONS[key]
+        word = F.when(triggered, yes).otherwise(no)
+        shown = [word if v is None else v for v in values]
+        return F.struct(F.lit(name).alias("name"), triggered.alias("triggered"), F.format_string(text, *shown).alias("details"))
 
     low, slow, behind = rate < MIN_PASS_RATE, latency > MAX_LATENCY_INCREASE_PCT, lag > lag_threshold
     conditions = F.array(
-        condition("DVT pass rate", low, F.format_string("Pass rate %.4f (%s 0.99 threshold)", rate, either(low, "below", "at or above"))),
-        condition("Latency increase", slow, F.format_string("Latency increase %.1f%% (%s 20%% threshold)", latency, either(slow, "exceeds", "within"))),
-        condition("Data loss", loss, either(loss, "Data loss detected", "No data loss detected")),
-        condition("Streaming lag", behind, F.format_string("Streaming lag %d (%s %d threshold)", lag, either(behind, "exceeds", "within"), F.lit(lag_threshold))),
-        condition("Escalation raised", escalated, either(escalated, "Escalation raised", "No escalation raised")),
-    )
+        condition("pass_rate", low, rate, None),
+        condition("latency", slow, latency, None),
+        condition("data_loss", loss, None),
+        condition("lag", behind, lag, None, F.lit(lag_threshold)),
+        condition("escalation", escalated, None),
+    )
     checked = metrics.withColumn("reject_reason", reject_reason())
     valid = F.col("reject_reason").isNull()
     return checked.withColumn("conditions", F.when(valid, conditions)).withColumn(

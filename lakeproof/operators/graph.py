@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeproof.session import materialize
+from lakeproof.session import discard, facts, materialize
 
 # a node is hot beyond a thousandth of all pairs, within these limits; so there are at most a few thousand hot
 # nodes in graphs of up to a billion pairs, and two in a million pairs beyond
@@ -119,6 +119,13 @@ def _small_star(links: DataFrame, limit: int) -> DataFrame:
     return moved.select(F.col("far").alias("u"), F.col("least").alias("v")).unionByName(kept).distinct()
 
 
+def _linked(links: DataFrame) -> DataFrame:
+    """One round's links, written; their fingerprint is taken while writing, so a round is one job."""
+    return materialize(
+        links, n=F.count("*"), x=F.bit_xor(F.xxhash64("u", "v")), s=F.sum(F.xxhash64("v", "u").bitwiseAND(0x3FFFFF))
+    )
+
+
 def connected_components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     """(component, member): the component is named by its smallest member.
 
@@ -127,21 +134,19 @@ def connected_components(edges: DataFrame, nodes: DataFrame | None = None) -> Da
     A link (u, v) always has u > v.
     """
     every = graph_nodes(edges, nodes)
-    links = materialize(
+    links = _linked(
         edges.filter("src <> dst")
         .select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v"))
         .distinct()
     )
-    before = None
     while True:
-        fingerprint = links.agg(
-            F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("v", "u").bitwiseAND(0x3FFFFF))
-        ).first()
-        if fingerprint == before:
+        before = facts(links)
+        limit = min(max(before["n"] // HOT_SHARE, HOT_PAIRS[0]), HOT_PAIRS[1])
+        moved = _linked(_small_star(_large_star(links, limit), limit))
+        discard(links)
+        links = moved
+        if facts(links) == before:
             break
-        before = fingerprint
-        limit = min(max(int(fingerprint[0]) // HOT_SHARE, HOT_PAIRS[0]), HOT_PAIRS[1])
-        links = materialize(_small_star(_large_star(links, limit), limit))
     return every.join(links, every["node"] == links["u"], "left").select(
         F.coalesce("v", "node").alias("component"), F.col("node").alias("member")
     )

@@ -24,8 +24,8 @@ def permission_table(df: DataFrame) -> DataFrame:
 
 
 def permission_lookup(policies: DataFrame, roles: DataFrame, default: str = DEFAULT_ROLE) -> DataFrame:
-    """Left join to a role table of fixed size; is_default marks permissions that are not listed."""
-    return policies.join(F.broadcast(roles), "permission", "left").select(
+    """Left join to a role table; is_default marks permissions that are not listed."""
+    return policies.join(roles, "permission", "left").select(
         *policies.columns,
         F.coalesce("role", F.lit(default)).alias("role"),
         F.col("role").isNull().alias("is_default"),

@@ -42,6 +42,7 @@ def sql_text(value: str) -> str:
 # that are called in it; a rule is tried only if its name is among them. Rules of another form are tried
 # only on texts holding a mark they cannot match without. The outcome is the same as trying all rules.
 
+# What a text must hold for the pattern of a shipped rule without a head to match at all.
 _MARKS = {
     "map_constructor_to_struct": "[",
     "interval_quoted": "'",
@@ -52,11 +53,36 @@ _MARKS = {
     "subscript_bracket": "[",
     "current_timestamp_no_parens": "_",
 }
+# a mark belongs to the pattern: another rule of that name has none
+_MARK_OF_PATTERN = {rule.pattern: _MARKS[rule.name] for rule in LAKE_SQL_RULES if rule.name in _MARKS}
+
+
+def _has_alternatives(pattern: str) -> bool:
+    """Whether a bar stands outside all groups and classes, so that the pattern's start is that of one branch only."""
+    depth, in_class, escaped = 0, False, False
+    for char in pattern:
+        if escaped:
+            escaped = False
+        elif char == "\\":
+            escaped = True
+        elif in_class:
+            in_class = char != "]"
+        elif char == "[":
+            in_class = True
+        elif char in "()":
+            depth += 1 if char == "(" else -1
+        elif char == "|" and not depth:
+            return True
+    return False
 
 
 def _head(rule: Rule) -> str | None:
+    """The function name that a text must call for the rule to match; None if its pattern does not tell."""
     found = _HEAD.match(rule.pattern)
-    return found.group(1) if found else None
+    # a quantifier behind the parenthesis would make it optional
+    if not found or _has_alternatives(rule.pattern) or rule.pattern[found.end() :][:1] in ("?", "*", "{"):
+        return None
+    return found.group(1)
 
 
 def called_names(text: str) -> str:
@@ -68,14 +94,17 @@ def called_names(text: str) -> str:
     return f"array_distinct(transform({names}, n -> upper(translate(n, 'ıİſK', 'IISK'))))"
 
 
-BEFORE_PARENTHESIS = r"(?U)\((?<=\b(\w{1,40})\()"
+#: Looking back needs a bound. Names beyond it are longer than any rule's head: such a rule is tried always.
+LONGEST_HEAD = 40
+BEFORE_PARENTHESIS = rf"(?U)\((?<=\b(\w{{1,{LONGEST_HEAD}}})\()"
 
 
 def _possible(rule: Rule, text: str, calls: str) -> str:
     head = _head(rule)
-    if head:
+    if head and len(head) <= LONGEST_HEAD:
         return f"array_contains({calls}, '{head}')"
-    return f"contains({text}, {sql_text(_MARKS[rule.name])})" if rule.name in _MARKS else "true"
+    mark = _MARK_OF_PATTERN.get(rule.pattern)
+    return f"contains({text}, {sql_text(mark)})" if mark else "true"
 
 
 def rule_hits(df: DataFrame, text: str, rules: Sequence[Rule] = LAKE_SQL_RULES) -> DataFrame:

@@ -8,8 +8,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeproof.session import spread
-
 STATEMENTS = [
     "SELECT MAP(ARRAY['a', 'b'], ARRAY[{k}, 2]), MAP(), MAP_KEYS(m{k}), map_values(m), MAP_FILTER(m, (k, v) -> v > {n}), "
     "MAP_ENTRIES(m), MAP_CONCAT(m, m2), MAP_FROM_ENTRIES(es) FROM t{k}",
@@ -68,7 +66,9 @@ def corpus(documents: DataFrame) -> DataFrame:
     filled = F.replace(
         F.replace(statement, F.lit("{k}"), F.col("doc_id").cast("string")), F.lit("{n}"), F.col("n_chars").cast("string")
     )
-    return spread(documents).select(
+    # a table may be one row group, and many patterns per text cost far more than a shuffle
+    width = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return documents.repartition(width).select(
         "doc_id",
         "source",
         "lang",

@@ -58,21 +58,21 @@ part_arr = lambda: F.array(col("p_size").cast("bigint"), F.pmod("p_partkey", lit
 part_arr2 = lambda: F.array(F.pmod("p_partkey", lit(5)), lit(2).cast("bigint"))
 PART_ARR = "[CAST(p_size AS BIGINT), p_partkey % 7, CAST(2 AS BIGINT), CAST(p_size AS BIGINT)]"
 PART_ARR2 = "[p_partkey % 5, CAST(2 AS BIGINT)]"
-part_map = lambda: c.map_of(F.array(lit("size"), lit("key")), F.array(col("p_size").cast("bigint"), col("p_partkey")))
+part_map = lambda: F.map_from_arrays(F.array(lit("size"), lit("key")), F.array(col("p_size").cast("bigint"), col("p_partkey")))
 PART_MAP = "MAP(['size', 'key'], [CAST(p_size AS BIGINT), p_partkey])"
-part_map2 = lambda: c.map_of(F.array(lit("key"), lit("rest")), F.array(lit(-1).cast("bigint"), F.pmod("p_partkey", lit(5))))
+part_map2 = lambda: F.map_from_arrays(F.array(lit("key"), lit("rest")), F.array(lit(-1).cast("bigint"), F.pmod("p_partkey", lit(5))))
 PART_MAP2 = "MAP(['key', 'rest'], [CAST(-1 AS BIGINT), p_partkey % 5])"
 
 scalar("map_constructor_to_struct", "part", "p_partkey", lambda: entries(part_map()), entries_sql(PART_MAP))
 scalar("map_constructor_empty", "part", "p_partkey",
-       lambda: c.cardinality(c.map_concat(c.empty_map("string", "bigint"), part_map())).cast("bigint"),
+       lambda: F.cardinality(c.map_concat(c.empty_map("string", "bigint"), part_map())).cast("bigint"),
        f"CAST(cardinality(map_concat(MAP([]::VARCHAR[], []::BIGINT[]), {PART_MAP})) AS BIGINT)")
-scalar("transform_array", "part", "p_partkey", lambda: listed(c.array_transform(part_arr(), lambda e: e * 2)),
+scalar("transform_array", "part", "p_partkey", lambda: listed(F.transform(part_arr(), lambda e: e * 2)),
        listed_sql(f"list_transform({PART_ARR}, lambda e: e * 2)"))
 scalar("transform_nested", "part", "p_partkey",
        lambda: F.array_join(c.array_transform_cast(part_arr(), "string"), "/"),
        f"array_to_string(list_transform({PART_ARR}, lambda e: CAST(e AS VARCHAR)), '/')")
-scalar("filter_array", "part", "p_partkey", lambda: listed(c.array_filter(part_arr(), lambda e: e > 3)),
+scalar("filter_array", "part", "p_partkey", lambda: listed(F.filter(part_arr(), lambda e: e > 3)),
        listed_sql(f"list_filter({PART_ARR}, lambda e: e > 3)"))
 
 # -- dates and times over events and orders -------------------------------------------------------
@@ -148,32 +148,34 @@ scalar("position_function", "documents", "doc_id", lambda: x.position("ing", col
 
 # -- arrays over part -----------------------------------------------------------------------------
 
-scalar("contains_function", "part", "p_partkey", lambda: c.contains(part_arr(), 5), f"list_contains({PART_ARR}, 5)")
-scalar("map_keys", "part", "p_partkey", lambda: listed(F.array_sort(c.map_keys(part_map()))), listed_sql(f"list_sort(map_keys({PART_MAP}))"))
-scalar("map_values", "part", "p_partkey", lambda: listed(F.array_sort(c.map_values(part_map()))), listed_sql(f"list_sort(map_values({PART_MAP}))"))
-scalar("cardinality", "documents", "doc_id", lambda: c.cardinality(F.split("text", " ")).cast("bigint"),
+scalar("contains_function", "part", "p_partkey", lambda: F.array_contains(part_arr(), 5), f"list_contains({PART_ARR}, 5)")
+scalar("map_keys", "part", "p_partkey", lambda: listed(F.array_sort(F.map_keys(part_map()))), listed_sql(f"list_sort(map_keys({PART_MAP}))"))
+scalar("map_values", "part", "p_partkey", lambda: listed(F.array_sort(F.map_values(part_map()))), listed_sql(f"list_sort(map_values({PART_MAP}))"))
+scalar("cardinality", "documents", "doc_id", lambda: F.cardinality(F.split("text", " ")).cast("bigint"),
        "CAST(len(string_split(text, ' ')) AS BIGINT)")
-scalar("array_distinct", "documents", "doc_id", lambda: c.cardinality(c.array_distinct(F.split("text", " "))).cast("bigint"),
+scalar("array_distinct", "documents", "doc_id", lambda: F.cardinality(F.array_distinct(F.split("text", " "))).cast("bigint"),
        "CAST(len(list_distinct(string_split(text, ' '))) AS BIGINT)")
-scalar("array_join", "documents", "doc_id", lambda: F.md5(c.array_join(F.split("text", " "), " | ")),
+scalar("array_join", "documents", "doc_id", lambda: F.md5(F.array_join(F.split("text", " "), " | ")),
        "md5(array_to_string(string_split(text, ' '), ' | '))")
-scalar("array_sort", "part", "p_partkey", lambda: listed(c.array_sort(part_arr())), listed_sql(f"list_sort({PART_ARR})"))
-scalar("array_position", "part", "p_partkey", lambda: c.array_position(part_arr(), 5).cast("bigint"),
+scalar("array_sort", "part", "p_partkey", lambda: listed(F.array_sort(part_arr())), listed_sql(f"list_sort({PART_ARR})"))
+scalar("array_position", "part", "p_partkey", lambda: F.array_position(part_arr(), 5).cast("bigint"),
        f"CAST(coalesce(list_position({PART_ARR}, 5), 0) AS BIGINT)")
-scalar("array_remove", "part", "p_partkey", lambda: listed(c.array_remove(part_arr(), 2)),
+scalar("array_remove", "part", "p_partkey", lambda: listed(F.array_remove(part_arr(), 2)),
        listed_sql(f"list_filter({PART_ARR}, lambda e: e <> 2)"))
-scalar("array_max", "part", "p_partkey", lambda: c.array_max(part_arr()), f"list_max({PART_ARR})")
-scalar("array_min", "part", "p_partkey", lambda: c.array_min(part_arr()), f"list_min({PART_ARR})")
+# every fifth part has an unknown element
+gapped = lambda: F.when(F.pmod("p_partkey", lit(5)) == 0, F.array_append(part_arr(), lit(None).cast("bigint"))).otherwise(part_arr())
+scalar("array_max", "part", "p_partkey", lambda: c.array_max(gapped()), f"CASE WHEN p_partkey % 5 <> 0 THEN list_max({PART_ARR}) END")
+scalar("array_min", "part", "p_partkey", lambda: c.array_min(gapped()), f"CASE WHEN p_partkey % 5 <> 0 THEN list_min({PART_ARR}) END")
 scalar("element_at", "documents", "doc_id", lambda: c.element_at(F.split("text", " "), 40), "string_split(text, ' ')[40]")
-scalar("flatten", "part", "p_partkey", lambda: listed(c.flatten(F.array(part_arr(), part_arr2()))),
+scalar("flatten", "part", "p_partkey", lambda: listed(F.flatten(F.array(part_arr(), part_arr2()))),
        listed_sql(f"flatten([{PART_ARR}, {PART_ARR2}])"))
-scalar("sequence", "part", "p_partkey", lambda: listed(c.sequence(lit(1), col("p_size"))), listed_sql("generate_series(1, p_size)"))
-scalar("slice", "part", "p_partkey", lambda: listed(c.slice(part_arr(), 2, 2)), listed_sql(f"{PART_ARR}[2:3]"))
-scalar("array_concat", "part", "p_partkey", lambda: listed(c.array_concat(part_arr(), part_arr2())),
+scalar("sequence", "part", "p_partkey", lambda: listed(F.sequence(lit(1), col("p_size"))), listed_sql("generate_series(1, p_size)"))
+scalar("slice", "part", "p_partkey", lambda: listed(F.slice(part_arr(), 2, 2)), listed_sql(f"{PART_ARR}[2:3]"))
+scalar("array_concat", "part", "p_partkey", lambda: listed(F.concat(part_arr(), part_arr2())),
        listed_sql(f"list_concat({PART_ARR}, {PART_ARR2})"))
-scalar("array_union", "part", "p_partkey", lambda: listed(F.array_sort(c.array_union(part_arr(), part_arr2()))),
+scalar("array_union", "part", "p_partkey", lambda: listed(F.array_sort(F.array_union(part_arr(), part_arr2()))),
        listed_sql(f"list_sort(list_distinct(list_concat({PART_ARR}, {PART_ARR2})))"))
-scalar("reduce_agg", "part", "p_partkey", lambda: c.reduce(part_arr(), lit(0).cast("bigint"), lambda acc, e: acc + e),
+scalar("reduce_agg", "part", "p_partkey", lambda: F.aggregate(part_arr(), lit(0).cast("bigint"), lambda acc, e: acc + e),
        f"CAST(list_sum({PART_ARR}) AS BIGINT)")
 
 # -- aggregates over events and lineitem ----------------------------------------------------------
@@ -295,10 +297,16 @@ def _checksum(tables: Tables):
 
 scalar("cast_varchar", "events", "event_id", lambda: s.cast_varchar(col("user_id")), "CAST(user_id AS VARCHAR)")
 scalar("cast_varchar_n", "documents", "doc_id", lambda: s.cast_varchar(col("text"), 10), "left(CAST(text AS VARCHAR), 10)")
-scalar("cast_integer", "events", "event_id", lambda: s.cast_integer(col("user_id").cast("string")),
-       "CAST(CAST(user_id AS VARCHAR) AS INTEGER)")
-scalar("cast_bigint", "events", "event_id", lambda: s.cast_bigint(F.concat(col("user_id").cast("string"), lit("000000000000"))),
-       "CAST(CAST(user_id AS VARCHAR) || '000000000000' AS BIGINT)")
+# whole numbers from text, and numbers with a fraction of either sign, which are rounded half away from zero
+_HALF_AWAY = lambda v: f"CASE WHEN {v} < 0 THEN -floor(0.5 - ({v})) ELSE floor(({v}) + 0.5) END"
+_tenths = lambda column, shift: (col(column) / lit(10).cast("decimal(4,0)") - lit(shift)).cast("decimal(20,1)")
+scalar("cast_integer", "events", "event_id",
+       lambda: s.cast_integer(col("user_id").cast("string")) * 1000 + s.cast_integer(col("value") - 20.0) + s.cast_integer(_tenths("event_id", 500)),
+       f"CAST(CAST(user_id AS VARCHAR) AS INTEGER) * 1000 + CAST({_HALF_AWAY('CAST(CAST(value - 20.0 AS VARCHAR) AS DECIMAL(38,18))')} AS INTEGER) "
+       f"+ CAST({_HALF_AWAY('CAST(event_id AS DECIMAL(20,1)) / 10 - 500')} AS INTEGER)")
+scalar("cast_bigint", "events", "event_id",
+       lambda: s.cast_bigint(F.concat(col("user_id").cast("string"), lit("000000000000"))) + s.cast_bigint(_tenths("event_id", 500)),
+       f"CAST(CAST(user_id AS VARCHAR) || '000000000000' AS BIGINT) + CAST({_HALF_AWAY('CAST(event_id AS DECIMAL(20,1)) / 10 - 500')} AS BIGINT)")
 scalar("cast_double", "orders", "o_orderkey", lambda: s.cast_double(F.concat(col("o_custkey").cast("string"), lit(".25"))),
        "CAST(CAST(o_custkey AS VARCHAR) || '.25' AS DOUBLE)")
 scalar("cast_real", "orders", "o_orderkey", lambda: s.cast_real(F.concat(col("o_custkey").cast("string"), lit(".1"))).cast("double"),
@@ -306,10 +314,12 @@ scalar("cast_real", "orders", "o_orderkey", lambda: s.cast_real(F.concat(col("o_
 scalar("cast_boolean", "orders", "o_orderkey",
        lambda: s.cast_boolean(F.when(col("o_orderstatus") == "F", "true").otherwise("false")),
        "CAST(CASE WHEN o_orderstatus = 'F' THEN 'true' ELSE 'false' END AS BOOLEAN)")
-scalar("cast_tinyint", "part", "p_partkey", lambda: s.cast_tinyint(col("p_size").cast("string")).cast("int"),
-       "CAST(CAST(CAST(p_size AS VARCHAR) AS TINYINT) AS INTEGER)")
-scalar("cast_smallint", "part", "p_partkey", lambda: s.cast_smallint(F.concat(col("p_size").cast("string"), lit("7"))).cast("int"),
-       "CAST(CAST(CAST(p_size AS VARCHAR) || '7' AS SMALLINT) AS INTEGER)")
+scalar("cast_tinyint", "part", "p_partkey",
+       lambda: s.cast_tinyint(col("p_size").cast("string")).cast("int") * 1000 + s.cast_tinyint(_tenths("p_size", 3)).cast("int"),
+       f"CAST(CAST(CAST(p_size AS VARCHAR) AS TINYINT) AS INTEGER) * 1000 + CAST({_HALF_AWAY('CAST(p_size AS DECIMAL(20,1)) / 10 - 3')} AS INTEGER)")
+scalar("cast_smallint", "part", "p_partkey",
+       lambda: s.cast_smallint(F.concat(col("p_size").cast("string"), lit("7"))).cast("int") * 1000 + s.cast_smallint(_tenths("p_size", 3)).cast("int"),
+       f"CAST(CAST(CAST(p_size AS VARCHAR) || '7' AS SMALLINT) AS INTEGER) * 1000 + CAST({_HALF_AWAY('CAST(p_size AS DECIMAL(20,1)) / 10 - 3')} AS INTEGER)")
 scalar("cast_varbinary", "part", "p_partkey", lambda: F.hex(s.cast_varbinary(col("p_name"))), "hex(encode(p_name))")
 
 # -- conditionals and JSON over events ------------------------------------------------------------
@@ -338,8 +348,9 @@ broken_json = lambda: F.when(col("event_type") == "error", F.substring("props",
 scalar("json_parse", "events", "event_id", lambda: F.coalesce(F.try_variant_get(s.json_parse(broken_json()), "$.k", "bigint"), lit(-1)),
        "CASE WHEN event_type = 'error' THEN -1 ELSE CAST(json_extract(props, '$.k') AS BIGINT) END")
 scalar("json_format", "events", "event_id", lambda: s.json_format(s.json_parse(col("props"))), "replace(props, ' ', '')")
-scalar("json_array_get", "events", "event_id", lambda: s.json_array_get(F.get_json_object(event_json(), "$.t"), 1),
-       f"json_extract_string({EVENT_JSON}, '$.t[1]')")
+scalar("json_array_get", "events", "event_id",
+       lambda: F.concat_ws("/", *[F.coalesce(s.json_array_get(F.get_json_object(event_json(), "$.t"), i), lit("none")) for i in (1, -1, -9, 99)]),
+       f"concat_ws('/', coalesce(json_extract_string({EVENT_JSON}, '$.t[1]'), 'none'), coalesce(json_extract_string({EVENT_JSON}, '$.t[#-1]'), 'none'), 'none', 'none')")
 
 # -- windows: event types are few and hot; beyond a size they are ranked minute by minute ------------------------------
 
@@ -402,8 +413,12 @@ scalar("infinity", "events", "event_id", lambda: odd_value() == s.infinity(), f"
 scalar("nan", "events", "event_id", lambda: s.is_nan(s.if_(col("value") > 50, s.nan(), col("value"))), "value > 50")
 scalar("is_finite", "events", "event_id", lambda: s.is_finite(odd_value()), f"isfinite({ODD_VALUE})")
 scalar("is_nan", "events", "event_id", lambda: s.is_nan(odd_value()), f"isnan({ODD_VALUE})")
-scalar("truncate", "events", "event_id", lambda: s.truncate(col("value") - 20).cast("bigint"), "CAST(trunc(value - 20) AS BIGINT)")
-scalar("to_base", "events", "event_id", lambda: s.to_base(col("event_id"), 16), "lower(to_base(event_id, 16))")
+scalar("truncate", "events", "event_id",
+       lambda: s.truncate((col("value") - 20) * F.when(col("event_type") == "error", lit(1e30)).when(col("event_type") != "click", lit(1.0))),
+       "trunc((value - 20) * CASE WHEN event_type = 'error' THEN 1e30 WHEN event_type <> 'click' THEN 1.0 END)")
+scalar("to_base", "events", "event_id",
+       lambda: s.to_base(F.when(col("event_type") == "error", -col("event_id")).when(col("event_type") != "click", col("event_id")), 16),
+       "CASE WHEN event_type = 'error' AND event_id > 0 THEN '-' WHEN event_type = 'click' THEN NULL ELSE '' END || lower(to_base(event_id, 16))")
 scalar("mod_function", "events", "event_id", lambda: s.mod(-col("event_id"), 3), "-event_id % 3")
 scalar("cbrt", "orders", "o_orderkey", lambda: F.round(s.cbrt(col("o_totalprice")), 6), "round(cbrt(o_totalprice), 6)")
 scalar("log2", "orders", "o_orderkey", lambda: F.round(s.log2(col("o_totalprice")), 6), "round(log2(o_totalprice), 6)")
@@ -431,15 +446,15 @@ scalar("url_extract_parameter", "pages", "page_id", lambda: F.coalesce(x.url_ext
 
 # -- more maps, syntax --------------------------------------------------------------------------------
 
-scalar("map_filter", "part", "p_partkey", lambda: entries(c.map_filter(part_map(), lambda _k, v: v > 20)),
+scalar("map_filter", "part", "p_partkey", lambda: entries(F.map_filter(part_map(), lambda _k, v: v > 20)),
        f"array_to_string(list_transform(list_sort(list_filter(map_entries({PART_MAP}), lambda e: e.value > 20)), lambda e: e.key || '=' || CAST(e.value AS VARCHAR)), ',')")
-scalar("map_entries", "part", "p_partkey", lambda: F.array_join(F.transform(F.array_sort(c.map_entries(part_map())), lambda e: F.concat(e["key"], lit("="), e["value"].cast("string"))), ","),
+scalar("map_entries", "part", "p_partkey", lambda: F.array_join(F.transform(F.array_sort(F.map_entries(part_map())), lambda e: F.concat(e["key"], lit("="), e["value"].cast("string"))), ","),
        entries_sql(PART_MAP))
 scalar("map_concat", "part", "p_partkey", lambda: entries(c.map_concat(part_map(), part_map2())), entries_sql(f"map_concat({PART_MAP}, {PART_MAP2})"))
 scalar("map_from_entries", "part", "p_partkey",
-       lambda: entries(c.map_from_entries(F.array(F.struct(col("p_name").alias("k"), col("p_size").alias("v")), F.struct(col("p_type").alias("k"), lit(0).alias("v"))))),
+       lambda: entries(F.map_from_entries(F.array(F.struct(col("p_name").alias("k"), col("p_size").alias("v")), F.struct(col("p_type").alias("k"), lit(0).alias("v"))))),
        entries_sql("map_from_entries([(p_name, p_size), (p_type, 0)])"))
 scalar("double_pipe_concat", "part", "p_partkey", lambda: x.concat_pipes(col("p_name"), lit(" "), col("p_brand")), "p_name || ' ' || p_brand")
-scalar("subscript_bracket", "part", "p_partkey", lambda: c.subscript(F.split("p_name", " "), 1), "string_split(p_name, ' ')[1]")
+scalar("subscript_bracket", "part", "p_partkey", lambda: F.element_at(F.split("p_name", " "), 1), "string_split(p_name, ' ')[1]")
 scalar("try_function_cast", "events", "event_id", lambda: s.try_cast(props_digits(), "bigint").cast("string"),
        "CAST(TRY_CAST(substr(props, 7, 2) AS BIGINT) AS VARCHAR)")

@@ -83,6 +83,9 @@ REG.add("money_sum",
         lambda t: costs.money_sum(_money(t), ["o_custkey"]).select("o_custkey", "currency", col("amount").cast("double").alias("amount")),
         """SELECT o_custkey, CASE WHEN o_orderpriority = '5-LOW' THEN 'INR' ELSE 'USD' END AS currency,
            CAST(sum(CAST(o_totalprice AS DECIMAL(28,6))) AS DOUBLE) AS amount FROM orders GROUP BY 1, 2""")
+REG.add("money_difference",
+        lambda t: t.orders.select("o_orderkey", costs.money_difference(col("o_totalprice"), F.lit("USD"), F.floor(col("o_totalprice") / 7), F.lit("USD")).cast("double").alias("rest")),
+        "SELECT o_orderkey, CAST(CAST(o_totalprice AS DECIMAL(28,6)) - CAST(floor(o_totalprice / 7) AS DECIMAL(28,6)) AS DOUBLE) AS rest FROM orders")
 REG.add("money_sum_one_currency",
         lambda t: costs.single_currency_total(_money(t).filter("currency = 'USD'"), ["o_orderstatus"]).select("o_orderstatus", "currency", col("amount").cast("double").alias("amount")),
         """SELECT o_orderstatus, 'USD' AS currency, CAST(sum(CAST(o_totalprice AS DECIMAL(28,6))) AS DOUBLE) AS amount

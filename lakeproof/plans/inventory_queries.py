@@ -165,14 +165,17 @@ def part_classifications(t: Tables) -> DataFrame:
         F.lit("2001-12-01").cast("timestamp"), 800, 100,
     )
     return sold.join(t.part, F.col("l_partkey") == F.col("p_partkey")).select(
-        F.concat("p_name", F.lit("."), F.col("p_partkey").cast("string")).alias("table_name"),
+        F.concat(F.lit("inventory "), F.pmod("p_partkey", F.lit(2)).cast("string")).alias("inventory_id"),
+        F.concat(F.lit("db"), F.col("p_partkey").cast("string")).alias("database"),
+        # parts share names, so tables of many databases do
+        F.col("p_name").alias("table_name"),
         "tier",
         F.col("p_partkey").alias("position"),
     )
 
 
 _PARTS_SQL = """
-SELECT p_name || '.' || p_partkey AS table_name, p_partkey AS position,
+SELECT 'inventory ' || p_partkey % 2 AS inventory_id, 'db' || p_partkey AS database, p_name AS table_name, p_partkey AS position,
        CASE WHEN days >= 100 THEN 'TIER_3' WHEN size < 800 THEN 'TIER_1' ELSE 'TIER_2' END AS tier
 FROM (SELECT l_partkey, sum(l_quantity) AS size,
              floor((epoch_us(TIMESTAMP '2001-12-01 00:00:00') - epoch_us(max(l_shipdate))) / 86400000000) AS days
@@ -180,25 +183,24 @@ FROM (SELECT l_partkey, sum(l_quantity) AS size,
 """
 _WAVES_SQL = f"""
 WITH l AS (SELECT *, {_LOB_SQL} AS lob FROM ({_PARTS_SQL})),
-w AS (SELECT lob, count(*) AS table_count, row_number() OVER (ORDER BY lob) AS wave FROM l GROUP BY lob)
-SELECT 'wave-' || wave AS wave_id, 'Wave ' || wave AS name, l.lob, table_count,
+w AS (SELECT inventory_id, lob, count(*) AS table_count, row_number() OVER (PARTITION BY inventory_id ORDER BY lob) AS wave FROM l GROUP BY 1, 2)
+SELECT l.inventory_id, database, 'wave-' || wave AS wave_id, 'Wave ' || wave AS name, l.lob, table_count,
        CAST(greatest(10, ceil(table_count / 50) * 10) AS BIGINT) AS estimated_days,
        CAST(floor((wave - 1) / 3) AS BIGINT) AS parallel_group, table_name, tier,
-       row_number() OVER (PARTITION BY l.lob ORDER BY tier, position) AS place
-FROM l JOIN w ON l.lob = w.lob
+       row_number() OVER (PARTITION BY l.inventory_id, l.lob ORDER BY tier, position) AS place
+FROM l JOIN w ON l.lob = w.lob AND l.inventory_id = w.inventory_id
 """
 
 REG.add("assign_lob",
-        lambda t: inv.assign_lob(part_classifications(t), LOBS).select("table_name", "lob"),
-        f"SELECT table_name, {_LOB_SQL} AS lob FROM ({_PARTS_SQL})")
+        lambda t: inv.assign_lob(part_classifications(t), LOBS).select("database", "table_name", "lob"),
+        f"SELECT database, table_name, {_LOB_SQL} AS lob FROM ({_PARTS_SQL})")
 REG.add("plan_waves",
-        lambda t: waves.plan_waves(part_classifications(t), LOBS),
-        f"SELECT wave_id, name, lob, place, table_name, tier, estimated_days, parallel_group FROM ({_WAVES_SQL})")
+        lambda t: waves.plan_waves(part_classifications(t), LOBS, plans=["inventory_id"]),
+        f"SELECT inventory_id, database, wave_id, name, lob, place, table_name, tier, estimated_days, parallel_group FROM ({_WAVES_SQL})")
 REG.add("wave_plan_report",
-        lambda t: waves.wave_plan_report(part_classifications(t), LOBS),
-        f"""SELECT DISTINCT wave_id, name, lob, table_count, estimated_days, parallel_group,
-            (SELECT count(DISTINCT lob) FROM ({_WAVES_SQL})) AS total_waves,
-            (SELECT count(*) FROM ({_WAVES_SQL})) AS total_tables FROM ({_WAVES_SQL})""")
+        lambda t: waves.wave_plan_report(part_classifications(t), LOBS, plans=["inventory_id"]),
+        f"""WITH p AS MATERIALIZED ({_WAVES_SQL}), n AS (SELECT inventory_id, count(DISTINCT lob) AS total_waves, count(*) AS total_tables FROM p GROUP BY 1)
+            SELECT DISTINCT inventory_id, wave_id, name, lob, table_count, estimated_days, parallel_group, total_waves, total_tables FROM p JOIN n USING (inventory_id)""")
 
 
 @REG.query(

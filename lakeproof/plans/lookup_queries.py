@@ -81,9 +81,9 @@ def _case(t: Tables):
 # -- unnest and lateral ---------------------------------------------------------------------------------------
 
 REG.add("unnest_join",
-        lambda t: lookups.unnest_join(t.documents, F.split("text", " "), "word").groupBy("lang", F.lower("word").alias("word")).agg(F.count("*").alias("n")).filter("n >= 100"),
+        lambda t: lookups.unnest_join(t.documents, F.split("text", " "), "word").groupBy("lang", F.lower("word").alias("word")).agg(F.count("*").alias("n")),
         """SELECT lang, lower(word) AS word, count(*) AS n FROM (SELECT lang, unnest(string_split(text, ' ')) AS word FROM documents)
-           GROUP BY 1, 2 HAVING count(*) >= 100""")
+           GROUP BY 1, 2""")
 
 
 @REG.query(
@@ -123,12 +123,17 @@ def _approx_distinct(t: Tables):
 
 @REG.query(
     "approx_percentile_agg",
-    """WITH v AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY value) AS rn, count(*) OVER (PARTITION BY user_id) AS n FROM events)
-       SELECT user_id, n AS events, min(CASE WHEN rn >= ceil(0.95 * n) THEN value END) AS p95 FROM v GROUP BY 1, 2""",
+    "SELECT user_id, count(*) AS events, true AS within_bound FROM events GROUP BY 1",
 )
 def _approx_percentile(t: Tables):
-    # the sketch is exact as long as a group has fewer rows than its accuracy of 10000
-    return t.events.groupBy("user_id").agg(F.count("*").alias("events"), agg.approx_percentile(col("value"), 0.95).alias("p95"))
+    # the estimate must stand at a rank within the sketch's error of the percentile's
+    estimates = t.events.groupBy("user_id").agg(F.count("*").alias("events"), agg.approx_percentile(col("value"), 0.95).alias("p95"))
+    ranks = t.events.join(estimates, "user_id").groupBy("user_id", "events").agg(
+        F.count_if(col("value") <= col("p95")).alias("upto"), F.count_if(col("value") < col("p95")).alias("below")
+    )
+    slack = col("events") / 10_000 + 1
+    bound = (col("upto") >= 0.95 * col("events") - slack) & (col("below") <= 0.95 * col("events") + slack)
+    return ranks.select("user_id", "events", bound.alias("within_bound"))
 
 
 REG.add("array_agg_distinct",

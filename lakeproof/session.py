@@ -6,12 +6,14 @@ import os
 import tempfile
 import uuid
 import zipfile
+from weakref import WeakKeyDictionary
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 PACKAGE = os.path.dirname(os.path.abspath(__file__))
 _shipped: set[str] = set()
+_written: WeakKeyDictionary[DataFrame, tuple[str, dict]] = WeakKeyDictionary()
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -56,21 +58,29 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/lakeproof/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Cut lineage through a table in the shared folder: losing executors then costs a re-read, not a re-run."""
-    path = scratch_path(df.sparkSession, "table")
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
+def materialize(df: DataFrame, **observed: Column) -> DataFrame:
+    """Cut lineage through a table in the shared folder: losing executors then costs a re-read, not a re-run.
 
-def spread(scan: DataFrame) -> DataFrame:
-    """Spread a scan over the cores if it has fewer splits than two per core, else leave it alone.
-
-    For work that costs far more per row than a shuffle does, such as many patterns per text. A table of a few
-    files (or of one row group) would keep most cores idle; a large one has more splits than cores and is not
-    shuffled. Only for scans: the number of splits of other plans is not known before they run.
+    ``observed`` are aggregates that are taken while writing; ``facts`` of the result holds their values.
     """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    if scan.rdd.getNumPartitions() >= 2 * cores:
-        return scan
-    return scan.repartition(cores)
+    path = scratch_path(df.sparkSession, "table")
+    watch = Observation() if observed else None
+    (df.observe(watch, *[c.alias(n) for n, c in observed.items()]) if watch else df).write.parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    _written[table] = (path, watch.get if watch else {})
+    return table
+
+
+def facts(table: DataFrame) -> dict:
+    """Values observed while a table was materialized."""
+    return _written[table][1]
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Delete materialized tables that nothing reads any more, such as those of past rounds of a loop."""
+    for table in tables:
+        path, _ = _written.pop(table, (None, None)) if table is not None else (None, None)
+        if path is not None:
+            java = table.sparkSession._jvm
+            target = java.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(table.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(target, True)

@@ -57,6 +57,16 @@ def scan_text_corpus(
     return texts.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
 
 
+def scan_text_outcomes(spark: SparkSession, paths: str | Sequence[str], glob: str = "*.sql") -> DataFrame:
+    """(path, content, error), one row per file: a file whose bytes are not UTF-8 has an error and no content."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(paths)
+    text = F.col("content").cast("string")
+    valid = F.is_valid_utf8(text)
+    return files.select(
+        "path", F.when(valid, text).alias("content"), F.when(~valid, "the file is not UTF-8 text").alias("error")
+    )
+
+
 def _decoded(content: Column) -> Column:
     return F.make_valid_utf8(content.cast("string"))
 

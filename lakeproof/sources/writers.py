@@ -34,11 +34,13 @@ def write_report(rows: DataFrame, path: str, key: str = "inventory_id") -> None:
     )
 
 
-def write_texts(texts: DataFrame, path: str, text: str, folders: Sequence[str] = (), rows_per_file: int = 1000) -> None:
-    """Texts as lines of files in one folder per value, with a bounded number of lines per file."""
+def write_texts(texts: DataFrame, path: str, text: str, folders: Sequence[str] = (), file_bytes: int = 128 << 20) -> None:
+    """Texts as lines of files in one folder per value, of about ``file_bytes`` each."""
     columns = [*folders, F.col(text).alias("value")]
     rows = texts.select(*columns)
-    writer = (_gathered(rows, *folders) if folders else rows).write.mode("overwrite").option("maxRecordsPerFile", rows_per_file)
+    mean = rows.agg(F.avg(F.octet_length("value") + 1).alias("n")).first()["n"] or 1
+    lines = max(1, int(file_bytes / mean))
+    writer = (_gathered(rows, *folders) if folders else rows).write.mode("overwrite").option("maxRecordsPerFile", lines)
     (writer.partitionBy(*folders) if folders else writer).text(path)
 
 

@@ -147,3 +147,11 @@ def test_progress_and_estimate(spark):
     assert spark.range(1).select(gates.query_byte_estimate(F.lit("né")).alias("b")).first()["b"] == 30
     assert spark.range(1).select(gates.cutover_gate(F.lit(1000)).alias("s")).first()["s"] == "verified"
     assert spark.range(1).select(gates.cutover_gate(F.lit(1001)).alias("s")).first()["s"] == "failed"
+
+
+def test_money_is_subtracted_within_a_currency(spark):
+    rows = spark.createDataFrame([(10.5, "USD", 3.25, "USD"), (1.0, "INR", 2.0, "INR")], "a double, ac string, b double, bc string")
+    rest = costs.money_difference(F.col("a"), F.col("ac"), F.col("b"), F.col("bc"))
+    assert [float(r[0]) for r in rows.select(rest).collect()] == [7.25, -1.0]
+    with pytest.raises(Exception, match="Currency mismatch: USD vs INR"):
+        rows.withColumn("bc", F.lit("INR")).select(rest).collect()

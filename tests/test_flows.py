@@ -21,6 +21,44 @@ def test_translate_folder(spark, tmp_path):
     assert texts == {"a.sql": "SELECT APPROX_COUNT_DISTINCT(x), SAFE_CAST(y AS BIGINT) FROM t", "b.sql": "SELECT 1"}
 
 
+def test_a_file_that_is_no_text_fails_alone(spark, tmp_path):
+    source = tmp_path / "in"
+    source.mkdir()
+    (source / "a.sql").write_text("SELECT NOW() -- é")
+    (source / "b.sql").write_bytes(b"SELECT \xff\xfe NOW()")
+    summary = flows.translate_folder(spark, str(source), str(tmp_path / "out")).first()
+    assert (summary["total_files"], summary["succeeded"], summary["failed"]) == (2, 1, 1)
+    assert summary["patterns_applied"] == ["now_function"]
+    rows = {r["path"].rsplit("/", 1)[1]: r for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert rows["a.sql"]["rewritten"] == "SELECT CURRENT_TIMESTAMP() -- é" and rows["a.sql"]["error"] is None
+    assert rows["b.sql"]["rewritten"] is None and rows["b.sql"]["status"] == "failed" and "UTF-8" in rows["b.sql"]["error"]
+
+
+def test_plans_of_inventories_are_apart(spark, tmp_path):
+    table = {"row_count": 1, "partitioned": False, "size_bytes": 1, "last_queried": None, "table_name": "t"}
+    for name, databases in (("one", ["d1", "d2"]), ("two", ["d1"])):
+        tables = [{**table, "database": d} for d in databases]
+        (tmp_path / f"{name}.json").write_text(json.dumps({"inventory_id": name, "tables": tables}))
+    plan = flows.plan_inventory_waves(spark, str(tmp_path), ["t"], F.lit("2025-06-01").cast("timestamp"))
+    rows = sorted((r["inventory_id"], r["database"], r["table_name"], r["wave_id"], r["place"]) for r in plan.details.collect())
+    assert rows == [("one", "d1", "t", "wave-1", 1), ("one", "d2", "t", "wave-1", 2), ("two", "d1", "t", "wave-1", 1)]
+    assert {r["inventory_id"]: r["total_tables"] for r in plan.report.collect()} == {"one": 2, "two": 1}
+
+
+def test_maps_are_found_in_schemas(spark, tmp_path):
+    frame = spark.createDataFrame([(1, {"a": 1})], "k int, m map<string,int>")
+    frame.write.parquet(str(tmp_path / "with_map"))
+    listed = flows.list_tables(spark, "d", {"with_map": str(tmp_path / "with_map"), "without": frame.drop("m")})
+    rows = {r["table_name"]: (r["row_count"], r["has_maps"], r["size_bytes"] > 0) for r in listed.collect()}
+    assert rows == {"with_map": (1, True, True), "without": (1, False, False)}
+
+
+def test_a_missing_table_fails_its_pair_only(spark):
+    spark.range(3).createOrReplaceTempView("here")
+    details = flows.validate_tables(spark, "tier1", [("here", "here"), ("here", "not_there")]).details
+    assert {r["target_table"]: r["status"] for r in details.collect()} == {"here": "passed", "not_there": "failed"}
+
+
 def test_inventory_to_waves(spark, tmp_path):
     day = lambda d: f"2025-05-{d:02d}T00:00:00+00:00"
     base = {"row_count": 1, "partitioned": False, "database": "d"}

@@ -8,19 +8,19 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-import __spark_entry__ as entry
 from lakeproof.operators import compare, lookups
-from lakeproof.plans import stream_queries
+from lakeproof.plans import catalog, report_queries, stream_queries
 from lakeproof.plans.registry import Tables
 
 FOLDER = "/root/testdata/sf0.001"
-BATCH = sorted(set(entry.queries()) - set(stream_queries.REG.queries))
+QUERIES = catalog.queries()
+BATCH = sorted(set(QUERIES) - set(stream_queries.REG.queries))
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="test tables are not here")
 
-# explicit broadcasts: role table and literals of fixed size, and bounded lists of hot partitions
+# explicit broadcasts: literals of fixed size, and bounded lists of hot partitions
 BOUNDED_BROADCASTS = {
-    "map_permissions", "permission_lookup", "fn_values_clause", "transition_audit", "wave_status_rules", "window_ranks",
+    "fn_values_clause", "transition_audit", "wave_status_rules", "window_ranks",
     "plan_waves", "fn_row_number", "fn_cume_dist", "fn_ntile", "fn_nth_value",
 }
 
@@ -41,7 +41,7 @@ def no_automatic_broadcast(spark):
 
 @pytest.mark.parametrize("name", BATCH)
 def test_no_loop_joins_no_python_and_no_unbounded_broadcasts(spark, no_automatic_broadcast, name):
-    text = plan(entry.queries()[name](spark, FOLDER))
+    text = plan(QUERIES[name](spark, FOLDER))
     for operator in ("CartesianProduct", "NestedLoopJoin", "PythonUDF", "ArrowEvalPython", "InPandas"):
         assert operator not in text
     assert ("BroadcastExchange" in text) == (name in BOUNDED_BROADCASTS)
@@ -64,11 +64,11 @@ def test_row_counts_read_no_columns(spark):
 
 
 def test_pruning_and_pushdown(spark):
-    report = plan(entry.queries()["user_activity"](spark, FOLDER))
+    report = plan(report_queries.user_activity(Tables(spark, FOLDER), "2024-01-31 00:00:00", 31))
     assert columns_read(report) == [{"ts", "user_id", "event_type", "props"}]
     assert "PushedFilters: [IsNotNull(ts), GreaterThanOrEqual(ts" in report
     t = Tables(spark, FOLDER)
-    assert columns_read(plan(compare.compare_column_aggregates(t.customer, t.customer, ["c_acctbal"]))) == [{"c_acctbal"}] * 2
+    assert columns_read(plan(compare.compare_column_aggregates(t.customer, t.customer, ["c_acctbal"]))) == [{"c_acctbal"}] * 4
 
 
 def test_top_rows_are_kept_per_task(spark):

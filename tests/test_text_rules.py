@@ -186,3 +186,17 @@ def test_wrapped_columns(spark):
     assert got[0] == ("UPPER(region) = 'x' AND UPPER(region) = UPPER(y)", 2)
     assert got[1] == ("UPPER(Region), region2, my_region, UPPER(region)", 2)
     assert got[2] == ("none", 0)
+
+
+def test_rules_of_any_form_are_tried(spark):
+    long_name = "F" + "O" * 44
+    rules = [
+        Rule("long", "X", rf"\b{long_name}\(", "G("),
+        Rule("either", "X", r"\bFOO\(|\bBAR\(", "BAZ("),
+        Rule("maybe", "X", r"\bQUX\(?z", "y"),
+        Rule("interval_quoted", "X", r"\bSINCE\b", "from"),
+    ]
+    texts = [f"SELECT {long_name}(1)", "SELECT BAR(1)", "SELECT quxz", "x SINCE y", "FOO (1)"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "k int, t string")
+    got = {r["k"]: r["matched"] for r in tr.match_rules(frame, "t", rules).collect()}
+    assert got == {0: ["long"], 1: ["either"], 2: ["maybe"], 3: ["interval_quoted"], 4: []}
