@@ -94,7 +94,7 @@ def features(text: bytes | None, learned: dict[bytes, float], weights: dict[byte
                 weight += 100.0
             elif word in _SECOND:
                 weight = -1.0
-            if len(weights) < 500_000:
+            if len(weights) < 100_000:
                 weights[word] = weight
         if weight == 0.0:
             continue
