@@ -53,8 +53,9 @@ def cascade_pairs(edges: DataFrame, roots: DataFrame) -> DataFrame:
         if found:
             seen = reduce(DataFrame.unionByName, found).select("root", "node")
             step = step.join(seen, ["root", "node"], "left_anti")
-        frontier = materialize(step)
-        if frontier.isEmpty():
+        # counted while it is written, so a round is one job
+        frontier = materialize(step, n=F.count("*"))
+        if not facts(frontier)["n"]:
             break
         found.append(frontier.withColumn("depth", F.lit(depth)))
         if len(found) >= 8:
@@ -65,9 +66,12 @@ def cascade_pairs(edges: DataFrame, roots: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, found)
 
 
-def cascade(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
-    """(root, dependent, depth); a root without dependents has one row with a NULL dependent and depth 0."""
-    roots = graph_roots(edges, nodes)
+def cascade(edges: DataFrame, nodes: DataFrame | None = None, roots: DataFrame | None = None) -> DataFrame:
+    """(root, dependent, depth); a root without dependents has one row with a NULL dependent and depth 0.
+
+    The result has a row per pair, so on large graphs name the ``roots`` (column node) to list.
+    """
+    roots = graph_roots(edges, nodes) if roots is None else roots.select("node").distinct()
     pairs = cascade_pairs(edges, roots)
     below = pairs.select("root", F.col("node").alias("dependent"), "depth")
     return (

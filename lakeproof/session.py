@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 PACKAGE = os.path.dirname(os.path.abspath(__file__))
 _shipped: set[str] = set()
+_local: dict[str, str] = {}
 _written: WeakKeyDictionary[DataFrame, tuple[str, dict]] = WeakKeyDictionary()
 
 
@@ -48,9 +49,10 @@ def shared_dir(spark: SparkSession) -> str:
         return configured.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError(f"{CHECKPOINT_CONF} must name a folder that all executors can reach")
-    folder = tempfile.mkdtemp(prefix="lakeproof-")
-    spark.conf.set(CHECKPOINT_CONF, folder)
-    return folder
+    application = spark.sparkContext.applicationId
+    if application not in _local:
+        _local[application] = tempfile.mkdtemp(prefix="lakeproof-")
+    return _local[application]
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

@@ -5,6 +5,7 @@ from collections import defaultdict
 
 import pytest
 
+from lakeproof import session
 from lakeproof.operators import graph
 
 CASES = {
@@ -107,3 +108,18 @@ def test_deep_chain(spark):
     edges = [(f"n{i:03d}", f"n{i + 1:03d}") for i in range(20)]
     rows = graph.cascade(edge_frame(spark, edges)).collect()
     assert max(r["depth"] for r in rows) == 20 and len(rows) == 20
+
+
+def test_cascade_of_named_roots(spark):
+    edges = spark.createDataFrame([("r", "a"), ("a", "b"), ("x", "y")], "src string, dst string")
+    named = spark.createDataFrame([("a",), ("a",), ("gone",)], "node string")
+    got = {(r["root"], r["dependent"], r["depth"]) for r in graph.cascade(edges, roots=named).collect()}
+    assert got == {("a", "b", 1), ("gone", None, 0)}
+
+
+def test_past_rounds_are_deleted(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(session, "shared_dir", lambda _: str(tmp_path))
+    edges = spark.createDataFrame([(i, i + 1) for i in range(40)], "src bigint, dst bigint")
+    got = graph.connected_components(edges)
+    assert {r["component"] for r in got.collect()} == {0}
+    assert len(list((tmp_path / "lakeproof").iterdir())) == 1
