@@ -19,6 +19,7 @@ score is their share of toxic rows (0 without any). Repeated rows each get a row
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
 from typing import NamedTuple
@@ -144,38 +145,45 @@ class Model(NamedTuple):
 
 
 def _count_heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per task, in how many texts of each class a head occurs."""
-    counts: dict[bytes, list[int]] = {}
+    """Per task, part and class, in how many texts a head occurs."""
+    counts: Counter[tuple[bytes, int, int]] = Counter()
 
     def flush() -> pa.RecordBatch:
-        heads_, n0, n1 = list(counts), [c[0] for c in counts.values()], [c[1] for c in counts.values()]
+        head, part, label = zip(*counts, strict=True)
+        n = list(counts.values())
         counts.clear()
-        return pa.RecordBatch.from_arrays([pa.array(heads_, pa.binary()), pa.array(n0, pa.int64()), pa.array(n1, pa.int64())], names=["head", "clean", "toxic"])
+        return pa.RecordBatch.from_arrays([pa.array(head, pa.binary()), pa.array(part, pa.int32()), pa.array(label, pa.int32()), pa.array(n, pa.int64())], names=["head", "part", "label", "n"])
 
     for batch in batches:
-        for text, label in zip(utf8(batch, "text"), batch.column("label").to_pylist(), strict=True):
-            for head in {h for w in set(_WORD.findall((text or b"").lower())) for h in heads(w)}:
-                counts.setdefault(head, [0, 0])[label] += 1
-        if len(counts) > 500_000:
+        for text, part, label in zip(utf8(batch, "text"), batch.column("part").to_pylist(), batch.column("label").to_pylist(), strict=True):
+            counts.update({(h, part, label) for w in set(_WORD.findall((text or b"").lower())) for h in heads(w)})
+        if len(counts) > 300_000:
             yield flush()
     if counts:
         yield flush()
 
 
-def _lexicon(rows: DataFrame) -> dict[bytes, float]:
-    n = rows.groupBy("label").count().collect()
-    size = {r["label"]: r["count"] for r in n}
-    if len(size) < 2:
-        return {}
-    counted = rows.select("text", "label").mapInArrow(_count_heads, "head binary, clean bigint, toxic bigint")
-    odds = F.log((F.col("toxic") + 0.5) / (size[1] + 1.0)) - F.log((F.col("clean") + 0.5) / (size[0] + 1.0))
-    best = (
-        counted.groupBy("head").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-        .filter(F.col("toxic") >= MIN_TEXTS).withColumn("odds", odds).filter(F.col("odds") >= MIN_ODDS)
-        .orderBy(F.desc("odds"), "head").limit(LEXICON)
-    )
-    # heads seen in few texts weigh less
-    return {bytes(r["head"]): r["odds"] * r["toxic"] / (r["toxic"] + MIN_TEXTS) for r in best.collect()}
+def _lexicons(rows: DataFrame) -> list[dict[bytes, float]]:
+    """The lexicon of all parts but one, for each part, and last the one of all parts. The texts are counted once."""
+    sizes = {(r["part"], r["label"]): r["count"] for r in rows.groupBy("part", "label").count().collect()}
+    counted = rows.select("text", "part", "label").mapInArrow(_count_heads, "head binary, part int, label int, n bigint")
+    cells = [(part, label) for part in range(PARTS) for label in (0, 1)]
+    table = counted.groupBy("head").agg(*[F.sum(F.when((F.col("part") == p) & (F.col("label") == y), F.col("n")).otherwise(0)).alias(f"n{p}_{y}") for p, y in cells])
+    toxic = sum((F.col(f"n{p}_1") for p in range(PARTS)), F.lit(0))
+    table = materialize(table.filter(toxic >= MIN_TEXTS))
+    found = []
+    for left_out in [*range(PARTS), None]:
+        parts = [p for p in range(PARTS) if p != left_out]
+        clean, toxic = (sum((F.col(f"n{p}_{y}") for p in parts), F.lit(0)) for y in (0, 1))
+        texts = [sum(sizes.get((p, y), 0) for p in parts) for y in (0, 1)]
+        odds = F.log((toxic + 0.5) / (texts[1] + 1.0)) - F.log((clean + 0.5) / (texts[0] + 1.0))
+        best = (
+            table.select("head", toxic.alias("toxic"), odds.alias("odds")).filter((F.col("toxic") >= MIN_TEXTS) & (F.col("odds") >= MIN_ODDS))
+            .orderBy(F.desc("odds"), "head").limit(LEXICON)
+        )
+        # heads seen in few texts weigh less
+        found.append({bytes(r["head"]): r["odds"] * r["toxic"] / (r["toxic"] + MIN_TEXTS) for r in best.collect()})
+    return found
 
 
 def _with_features(rows: DataFrame, learned: dict[bytes, float], text: Column, out: str) -> DataFrame:
@@ -202,15 +210,13 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         known = known.filter(F.pmod(F.xxhash64("id", F.lit("sample")), F.lit(1_000_000)) < int(1_000_000 * sample / size))
     # at most ``sample`` rows of two numbers
     rows = docs.select(quoted(id_col).alias("id"), quoted(text_col).alias("text")).join(F.broadcast(known), "id")
-    rows = materialize(rows.select("id", "text", "label", F.pmod(F.xxhash64("id", F.lit("part")), F.lit(PARTS)).alias("part")))
+    rows = materialize(rows.select("id", "text", "label", F.pmod(F.xxhash64("id", F.lit("part")), F.lit(PARTS)).cast("int").alias("part")))
     counts = {(r["part"], r["label"]): r["count"] for r in rows.groupBy("part", "label").count().collect()}
     share = sum(n for (_, label), n in counts.items() if label) / max(sum(counts.values()), 1)
     if len(counts) < 2 * PARTS:
         return Model({}, None, ([], []), share)
-    parts = []
-    for part in range(PARTS):
-        learned = _lexicon(rows.filter(F.col("part") != part))
-        parts.append(_with_features(rows.filter(F.col("part") == part), learned, F.col("text"), "f"))
+    *lexicons, learned = _lexicons(rows)
+    parts = [_with_features(rows.filter(F.col("part") == part), lexicon, F.col("text"), "f") for part, lexicon in enumerate(lexicons)]
     dense = materialize(reduce(DataFrame.unionByName, parts).select("label", "part", vector_to_array("f").alias("features")))
     vectors = dense.select(F.col("label").cast("double").alias("label"), "part", array_to_vector("features").alias("features"))
     trees = GBTClassifier(
@@ -219,7 +225,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     raw = trees.transform(vectors.filter("part = 0")).select(vector_to_array("probability")[1].alias("p"), "label")
     isotonic = IsotonicRegression(featuresCol="p", labelCol="label").fit(raw)
     # the steps of the calibration, at most as many as sampled rows
-    return Model(_lexicon(rows), trees, (list(map(float, isotonic.boundaries)), list(map(float, isotonic.predictions))), share)
+    return Model(learned, trees, (list(map(float, isotonic.boundaries)), list(map(float, isotonic.predictions))), share)
 
 
 def _scored(rows: DataFrame, model: Model, text: Column, out: str) -> DataFrame:
