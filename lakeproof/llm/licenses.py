@@ -6,7 +6,7 @@ set of template positions, diagonals a few words apart are merged (words were pu
 is verified: a fixed phrase must stand there whole, a template must be covered by ``COVERED`` of its grams.
 
 The words of a text are never shuffled, and neither is a gram without a match: the join is a broadcast join, as the
-templates are bounded (``MAX_GRAMS``, checked). Grams are compared as words after the hashes. Each text also sends one
+templates are few (``MAX_GRAMS``, checked; with more of them it is left to Spark, which may shuffle). Grams are compared as words after the hashes. Each text also sends one
 header row with its number of words, so all of it is one pass over the texts.
 
 Defined cases: NULL texts count as empty, texts without words have no place and score 0; rows that are equal in id and text
@@ -63,16 +63,14 @@ def _gram(words: Column, at: Column) -> list[Column]:
     return [F.get(words, at + j) for j in range(GRAM)]
 
 
-def template_grams(spark: SparkSession, phrases=PHRASES, templates=TEMPLATES) -> DataFrame:
-    """(template, label, base, grams, t, h, g0, g1, g2): one row per gram position of a template."""
+def template_grams(spark: SparkSession, phrases=PHRASES, templates=TEMPLATES, max_grams: int = MAX_GRAMS) -> DataFrame:
+    """(template, label, base, grams, t, h, g0, g1, g2): one row per gram position of a template, to be broadcast if few."""
     rows = []
     for number, (label, text, base) in enumerate([(a, b, True) for a, b in phrases] + [(a, b, False) for a, b in templates]):
         count = len(text.split()) - GRAM + 1
         if not 0 < count <= TEMPLATE_GRAMS:
             raise ValueError(f"a template has from {GRAM} to {GRAM + TEMPLATE_GRAMS - 1} words: {text}")
         rows.append((number, label, base, count, text))
-    if sum(r[3] for r in rows) > MAX_GRAMS:
-        raise ValueError(f"more than {MAX_GRAMS} grams in the templates: scan with parts of them and unite the results")
     listed = spark.createDataFrame(rows, "template int, label string, base boolean, grams int, text string")
     words = F.split("text", " ")
     listed = listed.select("template", "label", "base", "grams", words.alias("w"), F.posexplode(words).alias("t", "first")).filter("t < grams")
@@ -80,7 +78,8 @@ def template_grams(spark: SparkSession, phrases=PHRASES, templates=TEMPLATES) ->
     header = spark.range(1).select(
         F.lit(-1).alias("template"), F.lit("").alias("label"), F.lit(False).alias("base"), F.lit(0).alias("grams"), F.lit(0).alias("t"), F.lit("").alias("g0"), *[F.lit(None).cast("string").alias(f"g{j}") for j in range(1, GRAM)]
     )
-    return grams.unionByName(header).withColumn("h", F.xxhash64(*[f"g{j}" for j in range(GRAM)]))
+    every = grams.unionByName(header).withColumn("h", F.xxhash64(*[f"g{j}" for j in range(GRAM)]))
+    return F.broadcast(every) if sum(r[3] for r in rows) <= max_grams else every
 
 
 def votes(docs: DataFrame, id_col: str, text_col: str, grams: DataFrame) -> DataFrame:
@@ -94,7 +93,7 @@ def votes(docs: DataFrame, id_col: str, text_col: str, grams: DataFrame) -> Data
     placed = listed.select("doc_id", "th", "w", F.posexplode("w").alias("p", "w0"))
     rolled = placed.select("doc_id", "th", "p", *[c.alias(f"w{j}") for j, c in enumerate(_gram(F.col("w"), F.col("p")))])
     rolled = rolled.select("*", F.xxhash64(*[f"w{j}" for j in range(GRAM)]).alias("h"))
-    joined = rolled.join(F.broadcast(grams), "h")
+    joined = rolled.join(grams, "h")
     for j in range(GRAM):
         joined = joined.filter(F.col(f"w{j}").eqNullSafe(F.col(f"g{j}")))
     return joined.groupBy("doc_id", "th", "template", "label", "base", "grams", (F.col("p") - F.col("t")).alias("diagonal")).agg(
@@ -106,13 +105,15 @@ def _join(names: Column) -> Column:
     return F.array_join(F.array_sort(names), ",")
 
 
-def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrases=PHRASES, templates=TEMPLATES) -> DataFrame:
+def report(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrases=PHRASES, templates=TEMPLATES, max_grams: int = MAX_GRAMS
+) -> DataFrame:
     """(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, n_spans), one row per row of ``docs``.
 
     ``n_base`` and the two words count places of the fixed phrases, ``n_spans`` the verified spans of templates. The score
     is the greatest covered share of a template; a phrase counts 1.
     """
-    every = votes(docs, id_col, text_col, template_grams(docs.sparkSession, phrases, templates))
+    every = votes(docs, id_col, text_col, template_grams(docs.sparkSession, phrases, templates, max_grams))
     key = ["doc_id", "th"]
     along = Window.partitionBy(*key, "template").orderBy("diagonal")
     # phrases must stand without a gap, so each of their diagonals is by itself

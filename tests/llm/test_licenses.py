@@ -52,6 +52,12 @@ def test_templates(spark):
     assert got[8].score == got[9].score == got[10].score == 0
 
 
+def test_many_templates_need_no_broadcast(spark):
+    docs = cases.texts(spark, enumerate(TEXTS))
+    few, many = (sorted(map(str, licenses.report(docs, max_grams=n).collect())) for n in (licenses.MAX_GRAMS, 0))
+    assert few == many
+
+
 def test_edge_cases(spark):
     rows = licenses.report(cases.frame(spark)).collect()
     assert len(rows) == len(cases.TEXTS)
