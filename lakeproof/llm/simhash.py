@@ -242,6 +242,8 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     smallest = groups.join(distinct, groups["member"] == distinct["fp"]).groupBy("component").agg(F.min("least").alias("least"))
     named = groups.join(smallest, "component").select(F.col("member").alias("fp"), F.col("least").alias("component_id"))
     ids = distinct.join(named, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
+    # written, so that Spark can split the copies of a frequent fingerprint in the join
+    ids = materialize(ids)
     return marked.join(ids, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
