@@ -27,10 +27,10 @@ from typing import NamedTuple
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.ml.classification import GBTClassifier
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lakeproof.llm.common import quoted, utf8
@@ -139,8 +139,8 @@ def held_out(id_col: Column) -> Column:
 
 class Model(NamedTuple):
     learned: dict[bytes, float]
-    trees: object | None
-    steps: tuple[list[float], list[float]]
+    trees: GBTClassificationModel | None
+    isotonic: IsotonicRegressionModel | None
     share: float
 
 
@@ -214,7 +214,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     counts = {(r["part"], r["label"]): r["count"] for r in rows.groupBy("part", "label").count().collect()}
     share = sum(n for (_, label), n in counts.items() if label) / max(sum(counts.values()), 1)
     if len(counts) < 2 * PARTS:
-        return Model({}, None, ([], []), share)
+        return Model({}, None, None, share)
     *lexicons, learned = _lexicons(rows)
     parts = [_with_features(rows.filter(F.col("part") == part), lexicon, F.col("text"), "f") for part, lexicon in enumerate(lexicons)]
     dense = materialize(reduce(DataFrame.unionByName, parts).select("label", "part", vector_to_array("f").alias("features")))
@@ -224,24 +224,21 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     ).fit(vectors.filter("part > 0").coalesce(8))
     raw = trees.transform(vectors.filter("part = 0")).select(vector_to_array("probability")[1].alias("p"), "label")
     isotonic = IsotonicRegression(featuresCol="p", labelCol="label").fit(raw)
-    # the steps of the calibration, at most as many as sampled rows
-    return Model(learned, trees, (list(map(float, isotonic.boundaries)), list(map(float, isotonic.predictions))), share)
+    return Model(learned, trees, isotonic, share)
 
 
 def _scored(rows: DataFrame, model: Model, text: Column, out: str) -> DataFrame:
     """``rows`` with a column ``out`` of scores from 0 to 1."""
     if model.trees is None:
         return rows.withColumn(out, F.lit(float(model.share)))
-    vector, p, raw, guess = (f"\u0001{x}" for x in ("features", "probability", "raw", "guess"))
-    trees = model.trees.copy({model.trees.featuresCol: vector, model.trees.probabilityCol: p, model.trees.rawPredictionCol: raw, model.trees.predictionCol: guess})
+    vector, both, raw, guess, p, step = (f"\u0001{x}" for x in ("features", "probability", "raw", "guess", "p", "step"))
+    trees, isotonic = model.trees, model.isotonic
+    trees = trees.copy({trees.featuresCol: vector, trees.probabilityCol: both, trees.rawPredictionCol: raw, trees.predictionCol: guess})
+    isotonic = isotonic.copy({isotonic.featuresCol: p, isotonic.predictionCol: step})
     applied = trees.transform(_with_features(rows, model.learned, text, vector))
-    bounds, values = model.steps
-
-    @F.pandas_udf("double")
-    def calibrated(p: pd.Series) -> pd.Series:
-        return pd.Series((1 - ORDER_SHARE) * np.interp(p.to_numpy(), bounds, values) + ORDER_SHARE * p.to_numpy())
-
-    return applied.withColumn(out, calibrated(vector_to_array(quoted(p))[1])).drop(vector, p, raw, guess)
+    applied = isotonic.transform(applied.withColumn(p, vector_to_array(quoted(both))[1]))
+    score = (1 - ORDER_SHARE) * quoted(step) + ORDER_SHARE * quoted(p)
+    return applied.withColumn(out, score).drop(vector, both, raw, guess, p, step)
 
 
 def report(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, **names) -> DataFrame:
