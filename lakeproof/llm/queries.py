@@ -129,4 +129,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return Tables(ready(spark), folder).__getattr__(name)
+    return getattr(Tables(ready(spark), folder), name)
