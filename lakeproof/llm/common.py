@@ -1,4 +1,4 @@
-"""Helpers of the operators: texts of Arrow batches, bounded bit filters, rows dropped by id."""
+"""Helpers of the operators: texts of Arrow batches, bounded bit filters."""
 
 from __future__ import annotations
 
@@ -81,17 +81,6 @@ def in_filter(hashes: np.ndarray, words: np.ndarray) -> np.ndarray:
     return (words[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1) == 1
 
 
-def without(rows: DataFrame, dropped: DataFrame, id_col: str) -> DataFrame:
-    """Rows whose id is not in ``dropped`` (one column ``id`` of distinct ids). Rows with a NULL id stay.
-
-    Only rows that a filter over the dropped ids lets through are shuffled; all others stay where they were read.
-    """
-    dropped = materialize(dropped.select(F.col("id").alias("\u0001id")))
-    words, bits = filter_words(dropped.select(F.xxhash64(quoted("\u0001id")).alias("hash")))
-    maybe, clean = split_by_filter(rows, F.xxhash64(quoted(id_col)), materialize(words), bits)
-    return clean.unionByName(maybe.join(dropped, quoted(id_col) == quoted("\u0001id"), "left_anti"))
-
-
 def batch_of(schema: pa.Schema, columns: Iterable) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 

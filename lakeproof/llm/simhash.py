@@ -27,8 +27,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from lakeproof.llm.common import quoted, utf8, without
+from lakeproof.llm.common import filter_words, quoted, split_by_filter, utf8
 from lakeproof.operators.graph import connected_components
 from lakeproof.session import materialize
 
@@ -250,8 +251,21 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one document of each group, the one with the smallest id.
 
-    Rows are dropped by id: rows that repeat the smallest id all stay, and so do rows without an id.
+    Rows are dropped by id and fingerprint, so texts under one id are judged apart. Rows that repeat the smallest id all
+    stay, and so do rows without an id.
     """
+    key, fp = "\u0001id", "\u0001fp"
     groups = report(docs, id_col, text_col)
-    dropped = groups.filter("doc_id <> component_id").select(F.col("doc_id").alias("id")).distinct()
-    return without(docs, dropped, id_col)
+    dropped = materialize(groups.filter("doc_id <> component_id").select(F.col("doc_id").alias(key), F.col("fingerprint").alias(fp)).distinct())
+    # only rows whose id may be among the dropped ones get their fingerprint again, and are shuffled
+    number = quoted(id_col).cast("bigint")
+    words, bits = filter_words(dropped.select(F.xxhash64(quoted(key)).alias("hash")))
+    maybe, clean = split_by_filter(docs, F.xxhash64(number), materialize(words), bits)
+    own = "\u0001own"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.append_column(own, pa.array([f"{fingerprint(t):016x}" for t in utf8(batch, text_col)], pa.string()))
+
+    marked = maybe.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(own, T.StringType())]))
+    return clean.unionByName(marked.join(dropped, (number == quoted(key)) & (quoted(own) == quoted(fp)), "left_anti").drop(own))

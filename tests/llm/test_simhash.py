@@ -107,3 +107,13 @@ def test_deduplicate(spark):
     assert sorted((r.doc_id for r in got.collect()), key=str) == kept
     assert simhash.deduplicate(cases.frame(spark, [])).collect() == []
     assert simhash.report(cases.frame(spark, [])).collect() == []
+
+
+def test_texts_under_one_id_are_judged_apart(spark):
+    first, copy = next((a, b) for a, b in combinations(near_copies(20), 2) if 0 < (plain_fingerprint(a) ^ plain_fingerprint(b)).bit_count() <= 3)
+    clean = "a text without any copy under the id of one"
+    docs = cases.texts(spark, [(1, first), (2, copy), (2, clean), (3, copy), (None, copy)])
+    got = simhash.deduplicate(docs).collect()
+    assert sorted(map(tuple, got), key=str) == sorted([(1, first), (2, clean), (None, copy)], key=str)
+    narrow = docs.select(docs.doc_id.cast("int").alias("doc_id"), "text")
+    assert sorted(map(tuple, simhash.deduplicate(narrow).collect()), key=str) == sorted(map(tuple, got), key=str)
