@@ -4,8 +4,9 @@ Fixed kinds are assignments to secret names, access keys and hex keys. Beside th
 is a candidate. Its class (hex digits, letters and digits of both or one case, base64) says how surprising a window of
 it must be: a window moves over the candidate, the counts of its characters are updated by the one that enters and the
 one that leaves, and with them the sum of c log c, so a step costs the same for any window. Windows above the class's
-threshold are merged to spans. The allow-list drops spans that are known not to be secrets (UUIDs, long words, paths,
-sequences, examples); it never drops a span of the fixed kinds.
+threshold are merged to spans. The allow-list drops what is known not to be a secret: candidates and spans that are UUIDs,
+words, paths or numbers as a whole, and windows that hold part of an example's word or of a sequence. So a word excuses
+its own place and not the run it stands in. No span of the fixed kinds is ever dropped.
 
 Texts without any of the needed characters are passed over by searches in their bytes. One pass, no shuffle.
 
@@ -45,9 +46,9 @@ ALLOWED = (
     re.compile(r"[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}"),  # UUIDs
     re.compile(r"[A-Za-z]+(?:[-_/=+][A-Za-z]+)*[-_/=+]*"),  # words, names and paths of words
     re.compile(r"[0-9]+(?:[-_/][0-9]+)*"),  # numbers and dates
-    re.compile(r"(?i).*(?:example|sample|dummy|placeholder|xxxx).*"),
-    re.compile(r"(?i).*(?:abcdefghij|0123456789).*"),  # sequences
 )
+#: Words of examples, and sequences. They excuse the windows that they are part of, and nothing beside them.
+ALLOWED_WORDS = re.compile(r"(?i)example|sample|dummy|placeholder|xxxx|abcdefghij|0123456789")
 
 _KEY_RUNS = bytes(1 if chr(c).isascii() and (chr(c).isalnum() or chr(c) in "+/=_-") else 0 for c in range(256))
 _HEX_RUNS = bytes(1 if chr(c) in "0123456789abcdef" else 0 for c in range(256))
@@ -78,10 +79,11 @@ def window_entropies(text: str, window: int = WINDOW) -> Iterator[float]:
 def surprising(text: str) -> Iterator[tuple[int, int]]:
     """Spans of a candidate whose windows exceed the threshold of its class, unless allowed."""
     threshold = next(bits for _, pattern, bits in CLASSES if pattern.fullmatch(text))
+    excused = {at for m in ALLOWED_WORDS.finditer(text) for at in range(m.start() - WINDOW + 1, m.end())}
     start = end = -1
     spans = []
     for at, bits in enumerate(window_entropies(text)):
-        if bits <= threshold:
+        if bits <= threshold or at in excused:
             continue
         if at <= end:
             end = at + WINDOW
