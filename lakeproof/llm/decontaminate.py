@@ -5,8 +5,9 @@ at once, and compares the words themselves wherever a hash is in the set. Hits a
 removed, or the document is.
 
 An item shorter than a window, but not empty, is one window. The set is built per slice of the items: the number of
-slices follows from the size of the benchmark, so that a slice never holds more than ``SLICE_CHARS`` characters. A larger
-benchmark takes more scans, and their hits are united; it is never broadcast whole.
+slices follows from the size of the benchmark, so that a slice holds half of ``SLICE_CHARS`` characters on average, and
+longer items are cut into pieces that overlap by a window less a word. A larger benchmark takes more scans, and their hits
+are united. A slice is built, broadcast, scanned and released before the next, so the benchmark is never held whole.
 
 Defined cases: a NULL or empty text has no words, no hit, and is not contaminated; a NULL item has no window; items with
 equal ids count once; an item without id marks words but is not named; repeated documents each get their own row.
@@ -99,15 +100,49 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _slices(benchmark: DataFrame, item_col: str, text_col: str, limit: int) -> list[Windows]:
-    """The windows of the items, slice by slice. A slice is a share of the ids, so its size is bounded by ``limit``."""
-    total = benchmark.agg(F.coalesce(F.sum(F.length(quoted(text_col))), F.lit(0)).alias("n")).first()["n"]
-    count = max(1, -(-2 * int(total) // limit)) if total > limit else 1
-    items = benchmark.select(quoted(item_col).cast("string").alias("item"), quoted(text_col).cast("binary").alias("text"))
-    return [
-        Windows([(r["item"], bytes(r["text"])) for r in items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(count)) == k).filter("text is not null").toLocalIterator()])
-        for k in range(count)
-    ]
+#: Pieces of long items are a fraction of a slice, so that slices are even.
+PIECES_PER_SLICE = 16
+ITEMS = pa.schema([("item", pa.string()), ("text", pa.binary())])
+
+
+def pieces(text: bytes, limit: int, n: int = WINDOW) -> Iterator[bytes]:
+    """A text, or its words in pieces of about ``limit`` bytes which together have the text's windows of ``n`` words.
+
+    A piece has at least 2 n words, the last one n, so overlaps at most double the text, and no piece is taken for a short item.
+    """
+    if len(text) <= limit:
+        yield text
+        return
+    words = words_of(text)
+    start, size = 0, 0
+    for end, word in enumerate(words, 1):
+        size += len(word) + 1
+        if size >= limit and end - start >= 2 * n or end == len(words):
+            yield b" ".join(words[start:end])
+            start = end - n + 1
+            size = sum(len(w) + 1 for w in words[start:end])
+
+
+def _cut(limit: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(item, piece) for item, text in zip(batch.column(0).to_pylist(), utf8(batch, "text"), strict=True) for piece in pieces(text, limit)]
+            yield batch_of(ITEMS, zip(*rows, strict=True) if rows else ([], []))
+
+    return run
+
+
+def _slices(benchmark: DataFrame, item_col: str, text_col: str, limit: int) -> tuple[int, Iterator[Windows]]:
+    """The number of slices, and the windows of each, which are built when it is asked for."""
+    items = benchmark.select(quoted(item_col).cast("string").alias("item"), quoted(text_col).cast("binary").alias("text")).filter("text is not null")
+    total = int(benchmark.agg(F.coalesce(F.sum(F.length(quoted(text_col))), F.lit(0)).alias("n")).first()["n"])
+    count = 1
+    if total > limit:
+        items = materialize(items.mapInArrow(_cut(max(1, limit // PIECES_PER_SLICE)), "item string, text binary").distinct())
+        size = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).first()["n"]
+        count = max(2, -(-2 * int(size) // limit))
+    share = F.pmod(F.xxhash64("item", "text"), F.lit(count))
+    return count, (Windows([(r["item"], bytes(r["text"])) for r in items.filter(share == k).toLocalIterator()]) for k in range(count))
 
 
 def _scanner(shared, text_col: str, id_col: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -132,30 +167,37 @@ def scan(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     rows = docs.select(quoted(id_col).alias("doc_id"), quoted(text_col).alias("text"))
     schema = "doc_id bigint, n_words bigint, spans array<bigint>, items array<string>"
     context = docs.sparkSession.sparkContext
-    slices = _slices(benchmark, item_col, item_text, slice_chars)
-    if len(slices) == 1:
-        return rows.mapInArrow(_scanner(context.broadcast(slices[0]), "text", "doc_id"), schema)
+    count, slices = _slices(benchmark, item_col, item_text, slice_chars)
+    if count == 1:
+        return rows.mapInArrow(_scanner(context.broadcast(next(slices)), "text", "doc_id"), schema)
     united = _scan_slices(rows, slices)
     return united.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("doc_id", "n_words", "spans", "items").mapInArrow(
         _merge_spans, schema
     )
 
 
-def _scan_slices(rows: DataFrame, slices: list[Windows]) -> DataFrame:
+def _scan_slices(rows: DataFrame, slices: Iterator[Windows]) -> DataFrame:
     """(doc_id, h, n_words, spans, items, copies): hits of all slices; ``spans`` holds a list per slice with hits.
 
-    Rows are told apart by id and text while the scans are united; equal rows have equal results and are counted.
+    Rows are told apart by id and text while the scans are united; equal rows have equal results and are counted. The
+    slices are scanned one after the other, and of the first all rows are kept, of the others those with hits.
     """
     context = rows.sparkSession.sparkContext
     rows = rows.withColumn("h", F.unhex(F.md5(F.coalesce("text", F.lit("")))))
     schema = "doc_id bigint, n_words bigint, spans array<bigint>, items array<string>, h binary"
-    parts = [rows.mapInArrow(_keyed_scanner(context.broadcast(s)), schema) for s in slices]
-    every = materialize(reduce(DataFrame.unionByName, parts))
+    parts = []
+    for windows in slices:
+        shared = context.broadcast(windows)
+        del windows
+        found = rows.mapInArrow(_keyed_scanner(shared), schema)
+        parts.append(materialize((found.filter(F.size("spans") > 0) if parts else found).withColumn("first", F.lit(not parts))))
+        shared.destroy()
+    every = reduce(DataFrame.unionByName, parts)
     return every.groupBy("doc_id", "h").agg(
         F.first("n_words").alias("n_words"),
         F.collect_set(F.when(F.size("spans") > 0, F.col("spans"))).alias("spans"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
-        F.expr(f"count(*) div {len(slices)}").alias("copies"),
+        F.count_if("first").alias("copies"),
     )
 
 
@@ -225,9 +267,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     All columns are kept. With one slice of items this is one pass without a shuffle. With more, the slices' hits are
     united per document before its share of hit words is judged.
     """
-    slices = _slices(benchmark, item_col, item_text, slice_chars)
-    if len(slices) == 1:
-        shared = docs.sparkSession.sparkContext.broadcast(slices[0])
+    count, slices = _slices(benchmark, item_col, item_text, slice_chars)
+    if count == 1:
+        shared = docs.sparkSession.sparkContext.broadcast(next(slices))
 
         def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             windows = shared.value

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import weakref
 
 from lakeproof.llm import decontaminate
 from tests.llm import cases
@@ -46,6 +47,37 @@ def test_a_large_benchmark_is_scanned_in_slices(spark):
     assert {r.doc_id for r in one} == {i for i, v in want(items, docs).items() if not v[4]}
 
 
+def test_one_slice_is_held_at_a_time(spark, monkeypatch):
+    items, docs = sample(5)
+    rng = random.Random(6)
+    long = " ".join(rng.choice("alpha beta gamma delta eta theta iota kappa".split()) for _ in range(400))
+    items.append((70, long))
+    docs += [(500, long[700:900]), (501, long), (502, "x " + long[:300] + " y")]
+    built, sizes, init = [], [], decontaminate.Windows.__init__
+
+    def build(self, rows):
+        assert not any(ref() for ref in built)
+        built.append(weakref.ref(self))
+        sizes.append(sum(len(text) for _, text in rows))
+        init(self, rows)
+
+    monkeypatch.setattr(decontaminate.Windows, "__init__", build)
+    got = decontaminate.report(cases.texts(spark, docs), benchmark(spark, items), slice_chars=800).collect()
+    assert {r[0]: tuple(r)[1:] for r in got} == want(items, docs)
+    assert len(built) > 4 and max(sizes) < len(long) / 1.5
+
+
+def test_pieces_have_the_windows_of_the_text():
+    rng = random.Random(7)
+    for _ in range(200):
+        words = [b"w%d" % rng.randint(0, 50) for _ in range(rng.randint(0, 120))]
+        text, limit = b", ".join(words), rng.randint(1, 300)
+        grams = lambda w: {tuple(w[i : i + 13]) for i in range(max(len(w) - 12, 1))} - {()}
+        cut = list(decontaminate.pieces(text, limit))
+        assert set().union(*(grams(decontaminate.words_of(p)) for p in cut)) == grams(words)
+        assert sum(len(decontaminate.words_of(p)) for p in cut) <= 2 * len(words) + 13
+
+
 def test_spans_are_removed(spark):
     words = " ".join(f"w{i}" for i in range(13))
     docs = cases.texts(spark, [(1, f"Before, {words.upper()}! after."), (2, f"{words} {words}"), (3, "clean"), (4, None)])
