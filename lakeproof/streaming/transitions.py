@@ -6,9 +6,10 @@ from collections.abc import Mapping, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from lakeproof.operators.gates import RUN_MODE_STEPS, STREAM_STATUS_STEPS
+from lakeproof.operators.gates import RUN_MODE_STEPS, STREAM_STATUS_STEPS, transition_audit
 
 OUTPUT = "entity STRING, event_id BIGINT, previous STRING, state STRING, legal BOOLEAN"
 
@@ -80,7 +81,8 @@ def stream_transition_audit(
     """Audit a stream of (entity STRING, event_id BIGINT, ts TIMESTAMP, state STRING).
 
     The first state of an entity has no step and a NULL verdict. A state comes out once the watermark, the latest time
-    seen less the delay, has passed it; rows that arrive after that are dropped as late.
+    seen less the delay, has passed it; rows that arrive after that are dropped as late. ``audit_tail`` has the states
+    that wait when the history ends.
     """
     return (
         history.select("entity", "event_id", "ts", "state")
@@ -92,6 +94,21 @@ def stream_transition_audit(
     )
 
 
+def audit_tail(
+    history: DataFrame, steps: Mapping[str, Sequence[str]] = RUN_MODE_STEPS, delay: str = "10 minutes"
+) -> DataFrame:
+    """The same audit in batch, of the states of a whole history that the stream's last watermark has not passed.
+
+    A stream that ran to the end of the history without late rows has emitted all others, so both together are every
+    row once. The state before the tail's first one is the entity's last that the stream has seen.
+    """
+    rows = history.select("entity", "event_id", "ts", "state")
+    passed = rows.agg(F.unix_millis(F.max("ts") - F.expr(f"INTERVAL {delay}")).alias("ms")).first()["ms"]
+    whole = transition_audit(rows, "entity", ["ts", "event_id"], "state", steps, F.date_trunc("minute", "ts"))
+    tail = whole.filter(F.unix_millis("ts") >= F.lit(passed))
+    return tail.select("entity", "event_id", "previous", "state", "legal")
+
+
 def cutover_status(history: DataFrame, delay: str = "10 minutes") -> DataFrame:
     """The same audit over the steps of a stream cutover."""
     return stream_transition_audit(history, STREAM_STATUS_STEPS, delay)

@@ -103,6 +103,18 @@ def test_audit_is_in_event_time_order(spark, tmp_path, entities, n, files_per_tr
     assert len(got) == n
 
 
+def test_stream_and_tail_are_every_row_once(spark, tmp_path):
+    rows = [(i, START + timedelta(seconds=37 * i, milliseconds=i % 3), f"u{i % 3}", MODES[i * 7919 % 4]) for i in range(200)]
+    schema = "event_id BIGINT, ts TIMESTAMP, entity STRING, state STRING"
+    folder = str(tmp_path / "history")
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(folder)
+    emitted = run_available(transitions.stream_transition_audit(table_stream(spark, folder, schema)), "audit").collect()
+    tail = transitions.audit_tail(spark.read.parquet(folder)).collect()
+    assert len(tail) == 17 and len(emitted) + len(tail) == len(rows)
+    assert {(r["entity"], r["event_id"]): (r["previous"], r["state"], r["legal"]) for r in emitted + tail} == audited(rows)
+    assert transitions.audit_tail(spark.createDataFrame([], schema)).collect() == []
+
+
 def test_tables_are_files_or_folders(spark, files, tmp_path):
     static = spark.read.parquet(files)
     one = str(tmp_path / "one.parquet")
