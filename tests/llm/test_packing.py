@@ -27,6 +27,19 @@ def test_ids_are_those_of_the_tokenizer_file(tokenizer):
         assert encode(text) == tokenizer.encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("size", [1_000_000, 5_000_000])
+@pytest.mark.parametrize("one", ["\n", " ", "\t", "a"])
+def test_long_runs(one, size, tokenizer):
+    text = "some words" + one * size + "and more"
+    assert packing.encoder(packing.VOCABULARY)(text) == tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_long_runs_are_packed(spark, tokenizer):
+    texts = [(1, "\n" * 1_000_000), (2, "x" + " " * 600_000 + "y"), (3, "short")]
+    rows = packing.pack(spark.createDataFrame([(i, t, "s") for i, t in texts], "doc_id bigint, text string, source string"), with_ids=True).collect()
+    check(rows, texts, tokenizer, 1024)
+
+
 def check(rows, pairs, tokenizer, window):
     want = Counter()
     for i, t in pairs:
