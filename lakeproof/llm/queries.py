@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import DataFrame, SparkSession
 
-from lakeproof.llm import chat, decontaminate, exact, licenses, lines, packing, secrets, simhash, substrings, toxicity
+from lakeproof.llm import chat, decontaminate, exact, licenses, lines, packing, periodic, secrets, simhash, substrings, toxicity
 from lakeproof.llm.common import ready
 from lakeproof.plans.registry import QueryFn, Registry, Tables
 
@@ -120,6 +122,23 @@ def op10(t: Tables) -> DataFrame:
     return exact.report(t.documents, keep="max")
 
 
+def repeated_tail(doc: int | None, words: periodic.Words) -> periodic.Words:
+    """The contract's words: in a tenth of all documents a stretch is repeated to the end."""
+    h, n = zlib.crc32(b"" if doc is None else str(doc).encode()), len(words)
+    if h % 10 or not n:
+        return words
+    at = h // 10 % n
+    period = 1 + (n - at) // (3 + h // 10 % 8)
+    stretch = words[at : at + period]
+    return words[:at] + (stretch * (-(at - n) // period + 1))[: n - at]
+
+
+@REG.query("op12_periodic")
+def op12(t: Tables) -> DataFrame:
+    ready(t.spark)
+    return periodic.report(t.documents, rule=repeated_tail)
+
+
 def queries() -> dict[str, QueryFn]:
     return dict(REG.queries)
 
