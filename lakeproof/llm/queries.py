@@ -6,7 +6,7 @@ import zlib
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lakeproof.llm import chat, decontaminate, exact, licenses, lines, packing, periodic, secrets, simhash, substrings, toxicity
+from lakeproof.llm import chat, decontaminate, exact, licenses, lines, packing, periodic, secrets, simhash, substrings, toxicity, urls
 from lakeproof.llm.common import ready
 from lakeproof.plans.registry import QueryFn, Registry, Tables
 
@@ -139,6 +139,12 @@ def op12(t: Tables) -> DataFrame:
     return periodic.report(t.documents, rule=repeated_tail)
 
 
+@REG.query("op13_urls", urls.sql())
+def op13(t: Tables) -> DataFrame:
+    ready(t.spark)
+    return urls.report(t.pages)
+
+
 def queries() -> dict[str, QueryFn]:
     return dict(REG.queries)
 
