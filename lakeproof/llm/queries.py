@@ -6,7 +6,7 @@ import zlib
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lakeproof.llm import chat, decontaminate, exact, licenses, lines, packing, periodic, secrets, simhash, substrings, toxicity, urls
+from lakeproof.llm import chat, decontaminate, exact, licenses, lines, packing, periodic, secrets, simhash, spelling, substrings, toxicity, urls
 from lakeproof.llm.common import ready
 from lakeproof.plans.registry import QueryFn, Registry, Tables
 
@@ -122,6 +122,24 @@ def op10(t: Tables) -> DataFrame:
     return exact.report(t.documents, keep="max")
 
 
+def dropped_letters(doc: int | None, counts: dict[str, int]) -> dict[str, int]:
+    """The contract's words: a document writes about one word of 97 with a letter missing."""
+    begin, out = zlib.crc32(b":" if doc is None else f"{doc}:".encode()), {}
+    for word, n in counts.items():
+        h = zlib.crc32(word.encode(), begin)
+        if h % 97 == 0:
+            at = h % len(word)
+            word = word[:at] + word[at + 1 :]
+        out[word] = out.get(word, 0) + n
+    return out
+
+
+@REG.query("op11_spelling")
+def op11(t: Tables) -> DataFrame:
+    ready(t.spark)
+    return spelling.report(t.documents, rule=dropped_letters)
+
+
 def repeated_tail(doc: int | None, words: periodic.Words) -> periodic.Words:
     """The contract's words: in a tenth of all documents a stretch is repeated to the end."""
     h, n = zlib.crc32(b"" if doc is None else str(doc).encode()), len(words)
