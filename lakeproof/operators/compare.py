@@ -7,6 +7,7 @@ so one key holding a third of the rows costs one partial-aggregate row per task.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
@@ -16,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lakeproof.operators import exact_sums
 from lakeproof.operators.hashing import (
     canonical,
     carrier,
@@ -150,81 +152,114 @@ _METRICS = (
     "non_null", "nulls", "nan_values", "infinite_values", "overflow_values", "distinct_values", "min_value", "max_value",
     "sum_value", "mean_value",
 )
-#: Doubles are summed as decimals in two ranges: with 12 digits after the point below the first limit, whole from there to
-#: the second. What is beyond is counted and not summed.
-_SPLIT, _LIMIT = 1e15, 1e26
+_PARTS = (42, 21, 0)  # bits at which a BIGINT is cut for its sum: the parts of 2^41 rows fit into a BIGINT
 
 
 def _is_ordered(dtype: T.DataType) -> bool:
     return isinstance(dtype, T.AtomicType) and not isinstance(dtype, T.VariantType)
 
 
-def _sums(value: Column, dtype: T.DataType) -> tuple[Column, Column, Column, Column]:
-    """(sum, NaN values, infinite values, values beyond the sum): sums that do not depend on the order of rows."""
-    none, zero = F.lit(None).cast("double"), F.lit(0).cast("bigint")
+def _has_fixed_width(dtype: T.DataType) -> bool:
+    return not isinstance(dtype, (T.StringType, T.BinaryType)) and not (isinstance(dtype, T.DecimalType) and dtype.precision > 18)
+
+
+# The aggregates of a column are written as SQL text: a wide table has hundreds of them, and building each one call by call
+# takes longer than running them.
+
+
+def _named(column: str) -> str:
+    return "`" + column.replace("`", "``") + "`"
+
+
+def _value(column: str, kind: T.DataType) -> str:
+    """A column in the type it is compared in; equal values of an ordered type have equal bytes."""
+    if not _is_ordered(kind):
+        return _named(column)
+    value = f"CAST({_named(column)} AS {kind.simpleString()})"
+    return f"CASE WHEN isnan({value}) THEN double('NaN') ELSE {value} + 0.0D END" if isinstance(kind, T.DoubleType) else value
+
+
+def _sums(value: str, dtype: T.DataType) -> tuple[str, str, str, str]:
+    """(sum, NaN values, infinite values, values beyond the sum) from one aggregate; sums of doubles are taken by bin."""
     if isinstance(dtype, T.DoubleType):
-        size, special = F.abs(value), F.isnan(value)
-        infinite = ~special & (size == float("inf"))
-        beyond = ~special & ~infinite & (size >= _LIMIT)
-        fine = F.try_sum(F.when(size < _SPLIT, value).try_cast("decimal(28,12)"))
-        coarse = F.try_sum(F.when((size >= _SPLIT) & (size < _LIMIT), value).try_cast("decimal(28,0)"))
-        both = F.coalesce(fine.cast("decimal(38,12)"), F.lit(0)) + F.coalesce(coarse.cast("decimal(38,0)"), F.lit(0))
-        total = F.when(fine.isNotNull() | coarse.isNotNull(), both.cast("double"))
-        return total, F.count_if(special), F.count_if(infinite), F.count_if(beyond)
+        return "CAST(NULL AS DOUBLE)", f"count_if(isnan({value}))", f"count_if(abs({value}) = double('Infinity'))", "0L"
     if isinstance(dtype, T.LongType):
-        return F.sum(value.cast("decimal(20,0)")).cast("double"), zero, zero, zero
+        mask = (1 << 21) - 1
+        cuts = [f"sum(shiftright({value}, {bits}){'' if bits == 42 else f' & {mask}'})" for bits in _PARTS]
+        scaled = [f"CAST({cut} AS DECIMAL(25,0)) * CAST({1 << bits}L AS DECIMAL(13,0))" for cut, bits in zip(cuts, _PARTS, strict=True)]
+        return f"CAST({' + '.join(scaled)} AS DOUBLE)", "0L", "0L", "0L"
     if isinstance(dtype, T.DecimalType):
-        total = F.try_sum(value)
-        lost = F.when(total.isNull(), F.count(value)).otherwise(0)
-        return total.cast("double"), zero, zero, lost
-    return none, zero, zero, zero
-
-
-def _profile(df: DataFrame, columns: list[str], kinds: dict[str, T.DataType], side: int) -> DataFrame:
-    """One row per column from one aggregate over the table: a row per task is shuffled and no values beside extremes."""
-    cells = []
-    for number, c in enumerate(columns):
-        kind = kinds[c]
-        value = df[c].cast(kind) if _is_ordered(kind) else df[c]
-        low = high = F.lit(None)
-        if _is_ordered(kind):
-            low, high = F.min(canonical(value, kind)), F.max(canonical(value, kind))
+        return f"CAST(try_sum({value}) AS DOUBLE)", "0L", "0L", f"CASE WHEN try_sum({value}) IS NULL THEN count({value}) ELSE 0L END"
+    return "CAST(NULL AS DOUBLE)", "0L", "0L", "0L"
+
+
+def _profile(df: DataFrame, columns: list[str], kinds: dict[str, T.DataType], side: int, exact_distinct: bool) -> DataFrame:
+    """Rows per column from two aggregates over the table: a row per task is shuffled and no values beside extremes.
+
+    Extremes of texts are taken apart: their buffers grow, which would keep all other aggregates from being compiled.
+    """
+    texts = [k for k, c in enumerate(columns) if _is_ordered(kinds[c]) and not _has_fixed_width(kinds[c])]
+
+    def extremes(k: int) -> str:
+        value = _value(columns[k], kinds[columns[k]])
+        return f"'min_value', CAST(min({value}) AS STRING), 'max_value', CAST(max({value}) AS STRING)"
+
+    def plain(k: int) -> str:
+        c, kind = columns[k], kinds[columns[k]]
+        value = _value(c, kind)
         total, nans, infinite, beyond = _sums(value, kind)
-        cells.append(
-            F.struct(
-                F.lit(number).alias("column"),
-                F.count(value).alias("non_null"),
-                (F.count("*") - F.count(value)).alias("nulls"),
-                nans.alias("nan_values"),
-                infinite.alias("infinite_values"),
-                beyond.alias("overflow_values"),
-                low.cast("string").alias("min_value"),
-                high.cast("string").alias("max_value"),
-                total.alias("sum_value"),
-            )
+        ends = extremes(k) if _is_ordered(kind) and k not in texts else "'min_value', CAST(NULL AS STRING), 'max_value', CAST(NULL AS STRING)"
+        distinct = "CAST(NULL AS BIGINT)" if exact_distinct else f"approx_count_distinct(h{k})"
+        return (
+            f"named_struct('column', {k}, 'non_null', count({_named(c)}), 'nulls', count(*) - count({_named(c)}), 'nan_values', {nans}, "
+            f"'infinite_values', {infinite}, 'overflow_values', {beyond}, {ends}, 'plain_sum', {total}, 'distinct_values', {distinct})"
         )
-    return df.agg(F.array(*cells).alias("cells")).select(F.lit(side).alias(_SIDE), F.inline("cells"))
 
+    hashed = df if exact_distinct else df.select("*", *[_value_hash(df, c, kinds[c]).alias(f"h{k}") for k, c in enumerate(columns)])
+    out = hashed.agg(F.expr(f"array({', '.join(plain(k) for k in range(len(columns)))})").alias("cells"))
+    out = out.selectExpr(f"{side} AS {_SIDE}", "inline(cells)")
+    if texts:
+        cells = ", ".join(f"named_struct('column', {k}, {extremes(k)})" for k in texts)
+        out = out.unionByName(df.agg(F.expr(f"array({cells})").alias("cells")).selectExpr(f"{side} AS {_SIDE}", "inline(cells)"), allowMissingColumns=True)
+    return out
 
-def _distinct(
-    source: DataFrame, target: DataFrame, columns: list[str], kinds: dict[str, T.DataType], exact: bool
-) -> DataFrame:
-    """(column, distinct_values_0, distinct_values_1), from 64-bit hashes of the values."""
+
+def _value_hash(df: DataFrame, column: str, kind: T.DataType) -> Column:
+    value = F.expr(_value(column, kind)) if _is_ordered(kind) else canonical(df[column].cast(kind), kind)
+    return F.when(df[column].isNotNull(), F.xxhash64(value))
+
+
+def _distinct(source: DataFrame, target: DataFrame, columns: list[str], kinds: dict[str, T.DataType]) -> DataFrame:
+    """(column, distinct_0, distinct_1), from 64-bit hashes of the values."""
 
     def project(df: DataFrame) -> list[Column]:
-        cells = [
-            F.struct(F.lit(number).alias("column"), F.when(df[c].isNotNull(), F.xxhash64(canonical(df[c].cast(kinds[c]), kinds[c]))).alias("h"))
-            for number, c in enumerate(columns)
-        ]
+        cells = [F.struct(F.lit(number).alias("column"), _value_hash(df, c, kinds[c]).alias("h")) for number, c in enumerate(columns)]
         return [F.inline(F.array(*cells)).alias("column", "h")]
 
     values = _tagged(source, target, project).filter("h is not null")
-    if exact:
-        seen = values.groupBy("column", "h").agg(F.bool_or(_is(_SOURCE)).alias("s"), F.bool_or(_is(_TARGET)).alias("t"))
-        counts = [F.count_if("s"), F.count_if("t")]
-        return seen.groupBy("column").agg(*[n.alias(f"distinct_values_{i}") for i, n in enumerate(counts)])
-    counts = [F.approx_count_distinct(F.when(_is(side), F.col("h"))) for side in (_SOURCE, _TARGET)]
-    return values.groupBy("column").agg(*[n.alias(f"distinct_values_{i}") for i, n in enumerate(counts)])
+    seen = values.groupBy("column", "h").agg(F.bool_or(_is(_SOURCE)).alias("s"), F.bool_or(_is(_TARGET)).alias("t"))
+    return seen.groupBy("column").agg(F.count_if("s").alias("distinct_0"), F.count_if("t").alias("distinct_1"))
+
+
+def _double_sums(source: DataFrame, target: DataFrame, columns: list[str], kinds: dict[str, T.DataType]) -> DataFrame:
+    """(column, exact_sum_0, exact_sum_1, same_sum) of the finite values of columns of doubles, from a row per column and bin.
+
+    Columns without a value but zeros are left out.
+    """
+    cells = ", ".join(
+        f"named_struct('column', {k}, 'v', CASE WHEN abs({_named(c)}) < double('Infinity') THEN CAST({_named(c)} AS DOUBLE) END)"
+        for k, c in enumerate(columns) if isinstance(kinds[c], T.DoubleType)
+    )
+
+    def values(df: DataFrame, side: int) -> DataFrame:
+        return df.selectExpr(f"{side} AS {_SIDE}", f"inline(array({cells}))")
+
+    digits = exact_sums.with_digits(values(source, _SOURCE).unionByName(values(target, _TARGET)), "v")
+    bins = digits.groupBy("column", _SIDE, "bin").agg(*[F.sum(name).alias(name) for name in exact_sums.NAMES])
+    # at most a bin for every 22 powers of two
+    listed = f"named_struct('bin', bin, {', '.join(f"'{n}', {n}" for n in exact_sums.NAMES)})"
+    by_side = bins.groupBy("column").agg(*[F.expr(f"collect_list({listed}) FILTER (WHERE {_SIDE} = {side})").alias(f"bins_{side}") for side in (_SOURCE, _TARGET)])
+    return by_side.mapInArrow(exact_sums.compare_bins, exact_sums.COMPARED)
 
 
 def compare_column_aggregates(
@@ -235,32 +270,42 @@ def compare_column_aggregates(
 ) -> DataFrame:
     """Per column: counts, nulls, NaN and infinite values, distinct values, min, max, sum and mean on both copies.
 
-    All but the distinct values come from one aggregate per copy, of which a single row per task is shuffled. Distinct
-    values are counted by 64-bit hash, combined before the shuffle; with ``exact_distinct=False`` they are HyperLogLog++
-    estimates, which are equal on equal copies, and shuffle next to nothing. Raw values are never shuffled.
+    Counts and extremes come from one aggregate per copy, of which a single row per task is shuffled. Doubles are summed
+    exactly, by bins of their exponents (see ``exact_sums``), so sums depend neither on order nor on range; ``matched`` compares the exact
+    sums, the shown ones are rounded to 15 digits. Distinct values are counted by 64-bit hash, combined before the shuffle; with
+    ``exact_distinct=False`` they are HyperLogLog++ estimates from the first aggregate, equal on equal copies. Raw
+    values are never shuffled.
 
-    Sums and means are over finite values below 1e26; ``overflow_values`` counts those beyond.
+    Sums and means are over finite values. ``overflow_values`` counts the values of a decimal column whose sum has too many digits.
     """
     target, columns = _aligned(source, target, columns)
     kinds = {c: carrier(source.schema[c].dataType) for c in columns}
     if not columns:
         return source.sparkSession.createDataFrame([], ", ".join(["column_name string", *[f"{side}_{m} {_METRIC_TYPES.get(m, 'bigint')}" for side in ("source", "target") for m in _METRICS], "matched boolean"]))
-    sides = _profile(source, columns, kinds, _SOURCE).unionByName(_profile(target, columns, kinds, _TARGET))
-    plain = [m for m in _METRICS if m not in ("distinct_values", "mean_value")]
-    wide = sides.groupBy("column").agg(*[F.max(F.when(_is(side), F.col(m))).alias(f"{m}_{side}") for side in (_SOURCE, _TARGET) for m in plain])
-    wide = wide.join(_distinct(source, target, columns, kinds, exact_distinct), "column", "left")
+    sides = _profile(source, columns, kinds, _SOURCE, exact_distinct).unionByName(_profile(target, columns, kinds, _TARGET, exact_distinct))
+    both = [(m, side) for side in (_SOURCE, _TARGET) for m in (*(m for m in _METRICS if m not in ("sum_value", "mean_value")), "plain_sum")]
+    wide = sides.groupBy("column").agg(*[F.expr(f"max(CASE WHEN {_SIDE} = {side} THEN {m} END)").alias(f"{m}_{side}") for m, side in both])
+    if exact_distinct:
+        wide = wide.drop("distinct_values_0", "distinct_values_1").join(_distinct(source, target, columns, kinds), "column", "left")
+    doubles = [number for number, c in enumerate(columns) if isinstance(kinds[c], T.DoubleType)]
+    if doubles:
+        wide = wide.join(_double_sums(source, target, columns, kinds), "column", "left")
+    out, number = ["column", f"{'coalesce(same_sum, true)' if doubles else 'true'} AS same_sum"], ", ".join(map(str, doubles))
     for side in (_SOURCE, _TARGET):
-        summed = F.col(f"non_null_{side}") - F.col(f"nan_values_{side}") - F.col(f"infinite_values_{side}") - F.col(f"overflow_values_{side}")
-        wide = wide.withColumn(f"mean_value_{side}", F.when(summed > 0, F.col(f"sum_value_{side}") / summed))
-        wide = wide.withColumn(f"distinct_values_{side}", F.coalesce(f"distinct_values_{side}", F.lit(0)))
+        total = f"plain_sum_{side}"
+        if doubles:  # without a bin, all finite values are zero
+            total = f"CASE WHEN column IN ({number}) THEN coalesce(exact_sum_{side}, 0.0D) ELSE plain_sum_{side} END"
+        summed = f"non_null_{side} - nan_values_{side} - infinite_values_{side} - overflow_values_{side}"
+        total = f"CASE WHEN {summed} > 0 THEN {total} END"
+        computed = {
+            "distinct_values": f"coalesce(distinct_{side}, 0L)" if exact_distinct else f"distinct_values_{side}",
+            "sum_value": total, "mean_value": f"CASE WHEN {summed} > 0 THEN {total} / ({summed}) END",
+        }
+        out += [f"{computed.get(m, f'{m}_{side}')} AS {('source', 'target')[side]}_{m}" for m in _METRICS]
     names = F.array(*[F.lit(c) for c in columns])
-    same = reduce(lambda a, b: a & b, [F.col(f"{m}_0").eqNullSafe(F.col(f"{m}_1")) for m in _METRICS])
-    return wide.select(
-        names[F.col("column")].alias("column_name"),
-        *[F.col(f"{m}_0").alias(f"source_{m}") for m in _METRICS],
-        *[F.col(f"{m}_1").alias(f"target_{m}") for m in _METRICS],
-        same.alias("matched"),
-    )
+    same = " AND ".join(f"source_{m} <=> target_{m}" for m in _METRICS)
+    shown = [f"{side}_{m}" for side in ("source", "target") for m in _METRICS]
+    return wide.selectExpr(*out).select(names[F.col("column")].alias("column_name"), *shown, F.expr(f"same_sum AND {same}").alias("matched"))
 
 
 _METRIC_TYPES = {"min_value": "string", "max_value": "string", "sum_value": "double", "mean_value": "double"}
@@ -487,18 +532,48 @@ def validate_pair(pair: TablePair) -> tuple:
         return (*named, "failed", "", ",".join(checks), f"{type(error).__name__}: {str(error)[:500]}")
 
 
-def tiered_validation(pairs: Sequence[TablePair], at_once: int = PAIRS_AT_ONCE) -> DataFrame:
+def _pair_id(pair: TablePair) -> str:
+    """Name of a pair in a journal: what is compared, and how."""
+    text = "\u0001".join([pair.source_name, pair.target_name, pair.tier, str(pair.exact_distinct), *pair.keys])
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
+def _recorded(session: SparkSession, journal: str) -> dict[str, tuple]:
+    """Verdicts of a journal by pair. Entries that were not finished are not seen: Spark moves a file in place at the end."""
+    java = session._jvm
+    path = java.org.apache.hadoop.fs.Path(journal)
+    if not path.getFileSystem(session._jsparkSession.sessionState().newHadoopConf()).exists(path):
+        return {}
+    rows = session.read.schema(f"pair string, {_VERDICTS}").option("recursiveFileLookup", "true").json(journal).collect()
+    return {r["pair"]: tuple(r)[1:] for r in rows if r["error"] is None}
+
+
+def tiered_validation(pairs: Sequence[TablePair], at_once: int = PAIRS_AT_ONCE, journal: str | None = None) -> DataFrame:
     """Run the checks of each pair's tier; one row per pair with the passed and the failed checks, and any error.
 
     Each pair is a job of its own from a small pool, so planning a pair costs the same whatever their number. What comes
     back to the driver is one short row per listed pair.
+
+    With a ``journal``, a folder in shared storage, each verdict is written as soon as it is known, and pairs with a verdict
+    there are not compared again: a killed run goes on where it stopped. Pairs that ended in an error are tried again.
     """
     if not pairs:
         raise ValueError("no pairs to validate")
-    with ThreadPoolExecutor(at_once) as pool:
-        rows = list(pool.map(validate_pair, pairs))
     first = next((t for p in pairs for t in (p.source, p.target) if isinstance(t, DataFrame)), None)
     session = first.sparkSession if first is not None else SparkSession.active()
+    known = _recorded(session, journal) if journal is not None else {}
+
+    def verdict(pair: TablePair) -> tuple:
+        name = _pair_id(pair)
+        if name in known:
+            return known[name]
+        row = validate_pair(pair)
+        if journal is not None:
+            session.createDataFrame([(name, *row)], f"pair string, {_VERDICTS}").coalesce(1).write.mode("overwrite").json(f"{journal}/{name}")
+        return row
+
+    with ThreadPoolExecutor(at_once) as pool:
+        rows = list(pool.map(verdict, pairs))
     return session.createDataFrame(rows, _VERDICTS)
 
 

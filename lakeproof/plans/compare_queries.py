@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lakeproof.operators import compare
+from lakeproof.operators import compare, key_tree
 from lakeproof.plans.altered import (
     CUSTOMER_TARGET_SQL,
     LINEITEM_TARGET_SQL,
@@ -394,3 +394,51 @@ def _kpis(t: Tables):
 def _partitions(t: Tables):
     month = F.date_format("o_orderdate", "yyyy-MM")
     return compare.partition_compare(t.orders, orders_target(t.orders), month)
+
+
+# a few orders of one range of keys are changed and lost, so that most of the tree is equal
+_LOCAL_TARGET_SQL = """SELECT o_orderkey, o_custkey, o_orderstatus, CASE WHEN o_orderkey % 7 = 1 AND o_orderkey < 900 THEN o_totalprice + 1 ELSE o_totalprice END AS o_totalprice,
+    o_orderdate, o_orderpriority FROM orders WHERE NOT (o_orderkey % 11 = 3 AND o_orderkey < 500)"""
+
+
+def locally_changed(orders):
+    price = F.when(F.expr("o_orderkey % 7 = 1 AND o_orderkey < 900"), F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice"))
+    return orders.withColumn("o_totalprice", price).filter("NOT (o_orderkey % 11 = 3 AND o_orderkey < 500)")
+
+
+_DIFFERENT_SQL = "SELECT * FROM ({}) WHERE status <> 'matched'"
+REG.add(
+    "compare_by_tree",
+    lambda t: key_tree.compare_by_tree(t.orders, locally_changed(t.orders), ["o_orderkey"]).rows.filter("status <> 'matched'").select("o_orderkey", "status"),
+    _DIFFERENT_SQL.format(_ROW_STATUS_SQL.replace(ORDERS_TARGET_SQL, _LOCAL_TARGET_SQL)),
+)
+REG.add(
+    "compare_by_tree_everywhere",
+    lambda t: key_tree.compare_by_tree(t.orders, orders_target(t.orders), ["o_orderkey"], leaf_rows=1000).rows.filter("status <> 'matched'").select("o_orderkey", "status"),
+    _DIFFERENT_SQL.format(_ROW_STATUS_SQL),
+)
+
+_TREE_WIDTH = "(SELECT max(o_orderkey) - min(o_orderkey) + 1 FROM orders)"
+_TREE_LEVEL = """SELECT {level} AS level, CAST(count(*) AS BIGINT) AS nodes, count(*) FILTER (NOT same) AS unequal_nodes, CAST(sum(n) AS BIGINT) AS rows_read,
+    CAST(coalesce(sum(n) FILTER (NOT same), 0) AS BIGINT) AS unequal_rows FROM l{level}"""
+
+
+def _tree_sql(levels: int, fanout: int) -> str:
+    """Nodes of each level: rows of both copies under the unequal nodes above, and whether a row differs."""
+    sizes = ["w.width"]
+    for _ in range(levels):
+        sizes.append(f"(({sizes[-1]} + {fanout - 1}) // {fanout})")
+    parts = ["both_ AS (SELECT *, 0 AS side FROM orders UNION ALL SELECT *, 1 FROM tgt)", f"w AS (SELECT min(o_orderkey) AS low, {_TREE_WIDTH} AS width FROM orders)"]
+    parts.append("odd AS ((SELECT * FROM orders EXCEPT SELECT * FROM tgt) UNION ALL (SELECT * FROM tgt EXCEPT SELECT * FROM orders))")
+    for k in range(levels):
+        node = f"(o_orderkey - w.low) // {sizes[k]}"
+        above = f"WHERE (o_orderkey - w.low) // {sizes[k - 1]} IN (SELECT node FROM l{k - 1} WHERE NOT same)" if k else ""
+        parts.append(f"""l{k} AS (SELECT {node} AS node, count(*) AS n, {node} NOT IN (SELECT {node} FROM odd, w) AS same FROM both_, w {above} GROUP BY {node}, w.low, w.width)""")
+    return f"WITH tgt AS ({_LOCAL_TARGET_SQL}), {', '.join(parts)} {' UNION ALL '.join(_TREE_LEVEL.format(level=k) for k in range(levels))}"
+
+
+REG.add(
+    "compare_tree_levels",
+    lambda t: key_tree.compare_by_tree(t.orders, locally_changed(t.orders), ["o_orderkey"], fanout=8, leaf_rows=0).level_table().filter("level < 3"),
+    _tree_sql(3, 8),
+)

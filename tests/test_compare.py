@@ -1,12 +1,14 @@
 from __future__ import annotations
 
 from collections import Counter
+from fractions import Fraction
 
+import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from lakeproof.operators import compare
+from lakeproof.operators import compare, key_tree
 
 SCHEMA = "k INT, name STRING, amount DOUBLE"
 
@@ -177,9 +179,9 @@ def test_a_broken_pair_is_a_row(spark):
 def test_sums_of_huge_and_special_values(spark):
     source = frame(spark, [(1, 1e23), (2, 1.0), (3, float("nan")), (4, float("inf")), (5, float("-inf")), (6, 1e300), (7, None), (8, 0.001)], "k INT, v DOUBLE")
     row = {r["column_name"]: r for r in compare.compare_column_aggregates(source, source).collect()}["v"]
-    assert row["source_sum_value"] == 1e23 + 1.001
-    assert (row["source_nan_values"], row["source_infinite_values"], row["source_overflow_values"]) == (1, 2, 1)
-    assert row["source_mean_value"] == (1e23 + 1.001) / 3
+    assert row["source_sum_value"] == 1e300
+    assert (row["source_nan_values"], row["source_infinite_values"], row["source_overflow_values"]) == (1, 2, 0)
+    assert row["source_mean_value"] == 1e300 / 4
     assert (row["source_non_null"], row["source_nulls"]) == (7, 1)
     small = frame(spark, [(1, float("nan")), (2, 1.0), (3, float("inf"))], "k INT, v DOUBLE")
     assert {r["column_name"]: r for r in compare.compare_column_aggregates(small, small).collect()}["v"]["source_mean_value"] == 1.0
@@ -187,6 +189,86 @@ def test_sums_of_huge_and_special_values(spark):
     assert {r["column_name"]: r for r in compare.compare_column_aggregates(wide, wide).collect()}["v"]["source_sum_value"] == 0.5
 
 
+def profile(spark, left, right=None):
+    frames = [frame(spark, [(v,) for v in side], "v DOUBLE").repartition(3) for side in (left, left if right is None else right)]
+    return compare.compare_column_aggregates(*frames).first()
+
+
+def test_sums_see_every_double(spark):
+    assert not profile(spark, [1e-13, 5e-13, 9e-13], [1e-13, 2e-13, 9e-13])["matched"]
+    row = profile(spark, [1e300, 1e-300, -1e300, 2.5, 5e-324])
+    assert row["matched"] and row["source_sum_value"] == 2.5
+    assert not profile(spark, [1e300, 5e-324, -1e300], [1e300, 1e-323, -1e300])["matched"]
+    assert profile(spark, [1.7e308, 1.7e308])["source_sum_value"] == float("inf")
+    assert profile(spark, [1.7e308, 1.7e308, -1.7e308, -1.7e308, 1.0])["source_sum_value"] == 1.0
+    assert profile(spark, [0.0, -0.0])["source_sum_value"] == 0.0 and profile(spark, [float("nan")])["source_sum_value"] is None
+    assert profile(spark, [0.5, 0.5], [1.0, 0.0])["source_sum_value"] == 1.0
+
+
+def test_a_large_table_of_large_values_equals_itself(spark):
+    table = spark.range(1_300_000).select(F.lit(9e25).alias("v"))
+    row = compare.compare_column_aggregates(table, table.repartition(5)).first()
+    assert row["matched"] and row["source_sum_value"] == float(f"{1_300_000 * 9 * 10**25:.14e}")
+
+
+@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.floats(allow_nan=False, allow_infinity=False), min_size=1, max_size=40))
+def test_exact_sums(spark, values):
+    want = sum(map(Fraction, values))
+    try:
+        want = float(f"{want.numerator / want.denominator:.14e}")
+    except OverflowError:
+        want = float("inf") if want > 0 else float("-inf")
+    row = profile(spark, values, values[::-1])
+    assert row["matched"] and row["source_sum_value"] == want
+
+
+def test_validation_goes_on_from_its_journal(spark, tmp_path):
+    opened, table = Counter(), frame(spark, [(1, "a", 1.0)])
+
+    def copy(name, broken=False):
+        def run():
+            opened[name] += 1
+            if broken:
+                raise KeyboardInterrupt("the run is killed")
+            return table
+
+        return run
+
+    named = lambda name, **kw: compare.TablePair("t", name, table, copy(name, **kw), "tier2")
+    journal = str(tmp_path / "journal")
+    with pytest.raises(KeyboardInterrupt):
+        compare.tiered_validation([named("a"), named("b"), named("c", broken=True)], at_once=1, journal=journal)
+    rows = compare.tiered_validation([named("a"), named("b"), named("c"), named("d")], at_once=1, journal=journal).collect()
+    assert [(r["target_table"], r["status"]) for r in rows] == [(n, "passed") for n in "abcd"]
+    assert opened == {"a": 1, "b": 1, "c": 2, "d": 1}
+    gone = compare.TablePair("t", "gone", table, lambda: spark.read.parquet("/nowhere"), "tier3")
+    assert compare.tiered_validation([gone], journal=journal).first()["status"] == "failed"
+    again = compare.TablePair("t", "gone", table, copy("gone"), "tier3")
+    assert compare.tiered_validation([again], journal=journal).first()["status"] == "passed"
+
+
+def tree_rows(result):
+    return {tuple(r)[:-1] for r in result.collect() if r["status"] != "matched" and not r["same_rows"]}
+
+
+@pytest.mark.parametrize("keys", [["k"], ["name"], ["k", "name"]])
+def test_tree_finds_what_the_plain_comparison_finds(spark, keys):
+    rows = [(i * 3, f"n{i}", i / 4) for i in range(3000)] + [(None, None, 1.0)]
+    source = frame(spark, rows)
+    target = frame(spark, [(k, n, v + (k in (300, 303, 6000))) if k is not None else (None, None, 2.0) for k, n, v in rows if k != 1500] + [(9_999, "x", 1.0)])
+    for leaf_rows in (0, 100, 10_000):
+        found = key_tree.compare_by_tree(source, target, keys, fanout=8, leaf_rows=leaf_rows)
+        assert tree_rows(found.rows) == tree_rows(compare.compare_row_hash(source, target, keys))
+    found = key_tree.compare_by_tree(source, target, keys, fanout=8, leaf_rows=20)
+    assert found.levels[0].rows_read == 6002 and found.levels[-1].unequal_rows < 400
+    equal = key_tree.compare_by_tree(source, source.repartition(3), keys)
+    assert [(x.level, x.unequal_nodes) for x in equal.levels] == [(0, 0)] and equal.rows.count() == 0
+    empty = source.limit(0)
+    assert key_tree.compare_by_tree(source, empty, keys, leaf_rows=500, fanout=4).rows.filter("status = 'missing'").count() == 3001
+    assert key_tree.compare_by_tree(empty, empty, keys).rows.count() == 0
+
+
 def test_duplicate_keys_copied_as_they_are(spark):
     table = frame(spark, [(1, "a", 1.0), (1, "b", 2.0), (2, "c", 3.0)])
     other = frame(spark, [(1, "a", 1.0), (1, "b", 2.5), (2, "c", 3.0)])
