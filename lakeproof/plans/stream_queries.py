@@ -1,6 +1,7 @@
 """Streams over the events file, run to the end of the data.
 
-Only what the watermark has passed comes out, which the SQL twins state as a bound on the latest event.
+Of windows and joins only what the watermark has passed comes out, which the SQL twins state as a bound on the latest event. Audits
+return every event: what waits is read from the checkpoint. Where a query needs several triggers, the events are written as several files first.
 The target side lost the cheapest events and got the others late.
 """
 
@@ -9,9 +10,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lakeproof.operators.gates import RUN_MODE_STEPS, STREAM_STATUS_STEPS
 from lakeproof.plans.registry import Registry, Tables
-from lakeproof.streaming import cutover, transitions
-from lakeproof.streaming.run import run_available, table_stream
+from lakeproof.session import scratch_path
+from lakeproof.sources import writers
+from lakeproof.streaming import batches, cutover, transitions
+from lakeproof.streaming.run import file_stream, run_available, run_to_end, table_stream
 
 REG = Registry()
 col, lit = F.col, F.lit
@@ -75,9 +79,9 @@ _STATE = {
 _STATUS = {"view": "active", "click": "draining", "signup": "switching", "purchase": "verified", "error": "failed"}
 
 
-def _history(t: Tables, states: dict[str, str]) -> DataFrame:
+def _history(events: DataFrame, states: dict[str, str]) -> DataFrame:
     mapping = F.create_map(*[lit(x) for pair in states.items() for x in pair])
-    return events_stream(t).select(
+    return events.withColumn("ts", col("ts").cast("timestamp")).select(
         col("user_id").cast("string").alias("entity"), "event_id", "ts", mapping[col("event_type")].alias("state")
     )
 
@@ -88,7 +92,7 @@ def _audit_sql(states: dict[str, str], legal: str) -> str:
                      lag({state}) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS previous FROM events)
         SELECT entity, event_id, coalesce(previous, '') AS previous, state,
                CASE WHEN previous IS NULL THEN 'first' WHEN (previous, state) IN {legal} THEN 'legal' ELSE 'illegal' END AS verdict
-        FROM h WHERE epoch_ms(ts) < (SELECT epoch_ms(max(ts)) FROM events) - 600000"""
+        FROM h"""
 
 
 def _verdicts(audited: DataFrame) -> DataFrame:
@@ -96,13 +100,56 @@ def _verdicts(audited: DataFrame) -> DataFrame:
     return audited.select("entity", "event_id", F.coalesce("previous", lit("")).alias("previous"), "state", verdict.alias("verdict"))
 
 
+def audit_in_two_runs(t: Tables, states: dict[str, str], steps) -> DataFrame:
+    """The events before and from the middle of the time as two files; the second run goes on from the first one's checkpoint."""
+    base = scratch_path(t.spark, "audit")
+    middle = t.events.agg(F.expr("min(ts) + (max(ts) - min(ts)) / 2").alias("ts")).first()["ts"]
+    for part in (col("ts") < lit(middle), col("ts") >= lit(middle)):
+        t.events.filter(part).coalesce(1).write.mode("append").parquet(f"{base}/events")
+        history = _history(file_stream(t.spark, f"{base}/events", "*.parquet", t.events.schema, files_per_trigger=1), states)
+        passed = run_to_end(transitions.stream_transition_audit(history, steps), base)
+    return _verdicts(passed.unionByName(transitions.waiting_audit(t.spark, base, steps)))
+
+
 REG.add("stream_transition_audit",
-        lambda t: _verdicts(run_available(transitions.stream_transition_audit(_history(t, _STATE)), "audit")),
+        lambda t: audit_in_two_runs(t, _STATE, RUN_MODE_STEPS),
         _audit_sql(_STATE, "(('OLD_ONLY', 'SHADOW'), ('SHADOW', 'REVERSE_SHADOW'), ('SHADOW', 'OLD_ONLY'), ('REVERSE_SHADOW', 'NEW_ONLY'), ('REVERSE_SHADOW', 'OLD_ONLY'), ('NEW_ONLY', 'OLD_ONLY'))"))
 REG.add("cutover_status",
-        lambda t: _verdicts(run_available(transitions.cutover_status(_history(t, _STATUS)), "status")),
+        lambda t: audit_in_two_runs(t, _STATUS, STREAM_STATUS_STEPS),
         _audit_sql(_STATUS, "(('active', 'draining'), ('draining', 'switching'), ('switching', 'verified'), ('switching', 'failed'))"))
 
+
+def late_lag(t: Tables) -> DataFrame:
+    """Events of two triggers, of which the second has a tenth of all times again."""
+    base = scratch_path(t.spark, "late")
+    for part in ("event_id % 10 <> 0", "event_id % 10 = 0"):
+        t.events.filter(part).coalesce(1).write.mode("append").parquet(f"{base}/events")
+    events = file_stream(t.spark, f"{base}/events", "*.parquet", t.events.schema, files_per_trigger=1).withColumn("ts", col("ts").cast("timestamp"))
+    tagged = events.withColumn("side", F.explode(F.expr("IF(value >= 2, array('source', 'target'), array('source'))")))
+    return ntz(batches.lag_with_late_rows(batches.split_late(tagged, "ts", f"{base}/run"), "event_type"), "window_start")
+
+
+REG.add("stream_lag_late", late_lag,
+        """WITH b AS (SELECT *, 'source' AS side FROM events UNION ALL SELECT *, 'target' FROM events WHERE value >= 2)
+        SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) FILTER (side = 'source') AS source_events, count(*) FILTER (side = 'target') AS target_events,
+          count(*) FILTER (side = 'source') - count(*) FILTER (side = 'target') AS lag,
+          count(*) FILTER (event_id % 10 = 0 AND ts < (SELECT max(ts) FROM events WHERE event_id % 10 <> 0) - INTERVAL 10 MINUTE) AS late_rows
+        FROM b GROUP BY 1, 2""")
+
+
+def event_log_stream(t: Tables) -> DataFrame:
+    """Event rows of four files, in a trigger each."""
+    base = scratch_path(t.spark, "log")
+    t.events.repartition(4, "event_id").write.parquet(f"{base}/events")
+    events = file_stream(t.spark, f"{base}/events", "*.parquet", t.events.schema, files_per_trigger=1)
+    rows = writers.event_rows(events.withColumn("detail", col("user_id").cast("string")), "EventSeen", col("event_id"), col("ts"), ["detail", "event_type"])
+    log = batches.append_event_stream(rows, f"{base}/run")
+    return ntz(log, "occurred_at").select("event_type", "aggregate_id", "occurred_at", F.get_json_object("payload", "$.detail").alias("detail"))
+
+
+REG.add("stream_event_log", event_log_stream,
+        "SELECT 'EventSeen' AS event_type, CAST(event_id AS VARCHAR) AS aggregate_id, ts AS occurred_at, CAST(user_id AS VARCHAR) AS detail FROM events")
+
 _EVENTS_SEEN_SQL = "(SELECT max(ts) - INTERVAL 10 MINUTE FROM events)"
 REG.add("event_counts",
         lambda t: ntz(run_available(cutover.event_counts(events_stream(t)), "counts"), "window_start"),

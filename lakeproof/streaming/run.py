@@ -53,16 +53,22 @@ def _settings(spark: SparkSession, values: Mapping[str, str]) -> Iterator[None]:
                 spark.conf.set(key, value)
 
 
-def run_available(stream: DataFrame, name: str, state_partitions: int | None = None) -> DataFrame:
-    """Process what is available into a parquet sink (exactly once, restartable) and read the sink.
+@contextmanager
+def state_settings(spark: SparkSession, state_partitions: int | None = None) -> Iterator[None]:
+    """Settings with which a stream starts. The number of state partitions is fixed when it first does, as nothing coalesces
+    them later; it is the number of cores unless given."""
+    partitions = str(state_partitions or spark.sparkContext.defaultParallelism)
+    with _settings(spark, {"spark.sql.streaming.stateStore.providerClass": _ROCKSDB, "spark.sql.shuffle.partitions": partitions}):
+        yield
+
+
+def run_to_end(stream: DataFrame, base: str, state_partitions: int | None = None) -> DataFrame:
+    """Process what is available into a parquet sink below ``base`` (exactly once) and read the sink.
 
-    The number of state partitions is fixed when a stream first starts, as nothing coalesces them later; it is
-    the number of cores unless given.
+    A second run with the same ``base`` goes on from its checkpoint, after a failure or with new files.
     """
     spark = prepare(stream.sparkSession)
-    base = scratch_path(spark, f"stream-{name}")
-    partitions = str(state_partitions or spark.sparkContext.defaultParallelism)
-    with _settings(spark, {"spark.sql.streaming.stateStore.providerClass": _ROCKSDB, "spark.sql.shuffle.partitions": partitions}):
+    with state_settings(spark, state_partitions):
         query = (
             stream.writeStream.format("parquet")
             .outputMode("append")
@@ -73,3 +79,13 @@ def run_available(stream: DataFrame, name: str, state_partitions: int | None = N
         )
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{base}/sink")
+
+
+def run_available(stream: DataFrame, name: str, state_partitions: int | None = None) -> DataFrame:
+    """``run_to_end`` in a new folder."""
+    return run_to_end(stream, scratch_path(stream.sparkSession, f"stream-{name}"), state_partitions)
+
+
+def state_of(spark: SparkSession, base: str, variable: str) -> DataFrame:
+    """The entries of a state variable in the last checkpoint of a run."""
+    return spark.read.format("statestore").option("path", f"{base}/checkpoint").option("stateVarName", variable).load()

@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from lakeproof.operators.gates import RUN_MODE_STEPS, STREAM_STATUS_STEPS, transition_audit
+from lakeproof.streaming.run import state_of
 
 OUTPUT = "entity STRING, event_id BIGINT, previous STRING, state STRING, legal BOOLEAN"
 
@@ -109,6 +110,21 @@ def audit_tail(
     return tail.select("entity", "event_id", "previous", "state", "legal")
 
 
+def waiting_audit(spark: SparkSession, base: str, steps: Mapping[str, Sequence[str]] = RUN_MODE_STEPS) -> DataFrame:
+    """The same audit of the states that wait in the checkpoint of a run, so that with what has come out every row is there once.
+
+    ``base`` is the folder of ``run.run_to_end``. The state before an entity's first waiting one is the last that came out. What waits
+    of an entity is bounded by its rows within the delay.
+    """
+    waiting = state_of(spark, base, "waiting").select("key.entity", "list_element.*")
+    last = state_of(spark, base, "last").select("key.entity", F.col("value.state").alias("last"))
+    order = Window.partitionBy("entity").orderBy("ts", "event_id")
+    rows = waiting.join(last, "entity", "left").withColumn("previous", F.coalesce(F.lag("state").over(order), "last"))
+    pairs = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, targets in steps.items() for b in targets]
+    legal = F.when(F.col("previous").isNotNull(), F.struct(F.col("previous").alias("a"), F.col("state").alias("b")).isin(*pairs))
+    return rows.select("entity", "event_id", "previous", "state", legal.alias("legal"))
+
+
 def cutover_status(history: DataFrame, delay: str = "10 minutes") -> DataFrame:
     """The same audit over the steps of a stream cutover."""
     return stream_transition_audit(history, STREAM_STATUS_STEPS, delay)

@@ -8,8 +8,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from lakeproof.operators.gates import RUN_MODE_STEPS
-from lakeproof.streaming import cutover, transitions
-from lakeproof.streaming.run import file_stream, run_available, table_stream
+from lakeproof.sources import writers
+from lakeproof.streaming import batches, cutover, transitions
+from lakeproof.streaming.run import file_stream, run_available, run_to_end, table_stream
 
 SCHEMA = "event_id BIGINT, ts TIMESTAMP, user_id STRING, kind STRING"
 START = datetime(2025, 1, 1)
@@ -130,3 +131,68 @@ def test_settings_are_restored_when_a_stream_does_not_start(spark, files):
     with pytest.raises(Exception, match="(?i)append|supported"):
         run_available(stream(spark, files).groupBy("kind").count(), "bad")
     assert spark.conf.get("spark.sql.shuffle.partitions") == before
+
+
+def test_audit_goes_on_from_its_checkpoint(spark, tmp_path):
+    schema = "entity STRING, event_id BIGINT, ts TIMESTAMP, state STRING"
+    states = ["OLD_ONLY", "SHADOW", "REVERSE_SHADOW", "NEW_ONLY"]
+    rows = [(f"e{i % 7}", i, START + timedelta(seconds=97 * i), states[(i // 7 + i % 3) % 4]) for i in range(300)]
+    parts = [rows[:100], rows[100:120], rows[120:]]
+    whole = str(tmp_path / "whole")
+
+    def written(folder, part):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(folder)
+        return file_stream(spark, folder, "*.parquet", schema, files_per_trigger=1)
+
+    results = []
+    for base, runs in ((whole, [rows]), (str(tmp_path / "parts"), parts)):
+        for part in runs:
+            passed = run_to_end(transitions.stream_transition_audit(written(f"{base}/events", part)), base)
+        results.append(sorted(map(tuple, passed.unionByName(transitions.waiting_audit(spark, base)).collect())))
+        assert passed.count() < len(rows)
+    assert results[0] == results[1] and len(results[0]) == len(rows)
+    last = {}
+    for entity, event, _, state in rows:
+        previous = last.get(entity)
+        assert (entity, event, previous, state, None if previous is None else state in RUN_MODE_STEPS[previous]) in results[0]
+        last[entity] = state
+
+
+def test_a_batch_that_failed_half_way_is_there_once(spark, tmp_path, monkeypatch):
+    base = str(tmp_path / "log")
+    rows = [(i, START + timedelta(minutes=i)) for i in range(30)]
+    for part in (rows[:10], rows[10:20], rows[20:]):
+        spark.createDataFrame(part, "id BIGINT, ts TIMESTAMP").coalesce(1).write.mode("append").parquet(f"{base}/events")
+    stream = file_stream(spark, f"{base}/events", "*.parquet", "id BIGINT, ts TIMESTAMP", files_per_trigger=1)
+    events = writers.event_rows(stream, "Seen", F.col("id"), F.col("ts"), ["id"])
+    real, failures = batches.write_batch, []
+
+    def half(rows, path, batch):
+        if batch == 1 and not failures:
+            failures.append(batch)
+            real(rows.filter("CAST(aggregate_id AS INT) % 2 = 0"), path, batch)
+            raise RuntimeError("lost after half of the batch")
+        real(rows, path, batch)
+
+    monkeypatch.setattr(batches, "write_batch", half)
+    with pytest.raises(Exception, match="lost after half"):
+        batches.append_event_stream(events, base)
+    for _ in range(2):  # a run without new files changes nothing
+        log = batches.append_event_stream(events, base)
+        assert sorted(int(r["aggregate_id"]) for r in log.collect()) == list(range(30))
+    assert failures == [1]
+
+
+def test_late_rows_are_kept_and_counted(spark, tmp_path):
+    base = str(tmp_path / "late")
+    batch_rows = [[(1, 0), (2, 60)], [(3, 49), (4, 50), (5, 61), (6, None)], [(7, 50), (8, 51), (9, 200)]]
+    for part in batch_rows:
+        data = [(i, None if m is None else START + timedelta(minutes=m), "x", s) for i, m in part for s in ("source", "target")[: 1 + i % 2]]
+        spark.createDataFrame(data, "id BIGINT, ts TIMESTAMP, kind STRING, side STRING").coalesce(1).write.mode("append").parquet(f"{base}/events")
+    stream = file_stream(spark, f"{base}/events", "*.parquet", "id BIGINT, ts TIMESTAMP, kind STRING, side STRING", files_per_trigger=1)
+    split = batches.split_late(stream, "ts", f"{base}/run")
+    rows = {r["id"]: r["late"] for r in split.collect()}
+    assert rows == {1: False, 2: False, 3: True, 4: False, 5: False, 6: False, 7: True, 8: False, 9: False}
+    lag = {r["window_start"]: tuple(r)[2:] for r in batches.lag_with_late_rows(split, "kind").collect()}
+    assert lag[START] == (5, 3, 2, 4)
+    assert batches.read_batches(spark, f"{base}/nothing", "id BIGINT").collect() == []
