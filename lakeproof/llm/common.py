@@ -85,6 +85,13 @@ def batch_of(schema: pa.Schema, columns: Iterable) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
+def numbered(docs: DataFrame, *columns: str) -> tuple[DataFrame, list[str]]:
+    """``docs`` with numbered column names, and the numbered names of some columns: any name may come from outside, and
+    Python functions over whole rows are given columns by name."""
+    names = [f"c{k}" for k in range(len(docs.columns))]
+    return docs.toDF(*names), [names[docs.columns.index(c)] for c in columns]
+
+
 def identified(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(doc, th, text): rows as the occurrence-based operators see them.
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeproof.llm.common import batch_of, quoted, utf8
+from lakeproof.llm.common import batch_of, numbered, quoted, utf8
 from lakeproof.session import materialize
 
 WINDOW = 13
@@ -44,49 +44,79 @@ def words_of(text: bytes | None) -> list[bytes]:
 
 
 class Windows:
-    """Windows of a slice of items: by length, sorted hashes and for each hash the windows with their items."""
+    """Windows of a slice of items: all words as one array of numbers, and by length the windows' places, sorted by hash.
+
+    Besides the words themselves that is some twenty bytes a word.
+    """
 
     def __init__(self, items: list[tuple[str | None, bytes | None]], n: int = WINDOW) -> None:
         self.ids: dict[bytes, int] = {}
-        by_length: dict[int, dict[tuple[int, ...], set[str]]] = {}
+        self.names: list[str | None] = []
+        parts, sizes = [], []
         for name, text in items:
-            words = [self.ids.setdefault(w, len(self.ids) + 1) for w in words_of(text)]
-            size = min(n, len(words))
-            for i in range(len(words) - size + 1 if size else 0):
-                by_length.setdefault(size, {}).setdefault(tuple(words[i : i + size]), set()).add(name)
-        self.by_length = []
-        for size, windows in sorted(by_length.items()):
-            grams = np.array(list(windows), dtype=np.uint64)
-            hashes = np.zeros(len(grams), dtype=np.uint64)
-            for j in range(size):
-                hashes = hashes * np.uint64(_BASE) + grams[:, j] + np.uint64(1)
-            self.by_length.append((size, np.unique(hashes), windows))
+            words = np.array([self.ids.setdefault(w, len(self.ids) + 1) for w in words_of(text)], dtype=np.uint32)
+            if len(words):
+                parts.append(words)
+                sizes.append(len(words))
+                self.names.append(name)
+        self.words = np.concatenate(parts) if parts else np.zeros(0, dtype=np.uint32)
+        del parts
+        self.ends = np.cumsum(np.array(sizes, dtype=np.int64))
+        self.by_length: list[tuple[int, np.ndarray, np.ndarray]] = []
+        lengths = np.minimum(np.array(sizes, dtype=np.int64), n)
+        for size in np.unique(lengths).tolist():
+            # an item shorter than a window is one by itself
+            hashes = _roll(self.words, size)
+            at = np.flatnonzero(lengths == size)
+            inside = np.zeros(len(self.words) + 1, dtype=np.int8)
+            np.add.at(inside, self.ends[at] - np.array(sizes)[at], 1)
+            np.add.at(inside, self.ends[at] - size + 1, -1)
+            places = np.flatnonzero(np.cumsum(inside[:-1], dtype=np.int8))
+            hashes = hashes[places]
+            order = np.argsort(hashes, kind="stable")
+            self.by_length.append((size, hashes[order], places[order].astype(np.int32 if len(self.words) < 1 << 31 else np.int64)))
+        self._owners: dict[tuple[int, int], list[tuple[np.ndarray, frozenset]]] = {}
+
+    def _same_hash(self, size: int, first: int, hashes: np.ndarray, places: np.ndarray) -> list[tuple[np.ndarray, frozenset]]:
+        """The distinct windows from a place in the order of hashes, with their items; kept for windows that were met."""
+        found = self._owners.get((size, first))
+        if found is None:
+            last = int(np.searchsorted(hashes, hashes[first], side="right"))
+            windows = self.words[places[first:last, None] + np.arange(size)]
+            item = np.searchsorted(self.ends, places[first:last], side="right")
+            kinds, number = np.unique(windows, axis=0, return_inverse=True)
+            number = number.reshape(-1)
+            found = [(kind, frozenset(self.names[i] for i in np.unique(item[number == k]).tolist())) for k, kind in enumerate(kinds)]
+            self._owners[(size, first)] = found
+        return found
 
     def hits(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
         """Merged word spans [start, end) inside occurrences of windows, and the items these windows belong to."""
-        known = np.fromiter((self.ids.get(w, 0) for w in words), dtype=np.uint64, count=len(words))
+        known = np.fromiter((self.ids.get(w, 0) for w in words), dtype=np.uint32, count=len(words))
         found: list[tuple[int, int]] = []
         items: set[str] = set()
-        for size, hashes, windows in self.by_length:
+        for size, hashes, places in self.by_length:
             if size > len(known):
                 continue
             rolled = _roll(known, size)
             at = np.searchsorted(hashes, rolled)
             at[at == len(hashes)] = 0
             for start in np.flatnonzero(hashes[at] == rolled).tolist():
-                owners = windows.get(tuple(known[start : start + size].tolist()))  # the words decide
-                if owners:
-                    found.append((start, start + size))
-                    items |= owners
+                for window, owners in self._same_hash(size, int(at[start]), hashes, places):
+                    if np.array_equal(window, known[start : start + size]):  # the words decide
+                        found.append((start, start + size))
+                        items |= owners
         return merged(found), items
 
 
 def _roll(ids: np.ndarray, size: int) -> np.ndarray:
     """Hashes of all windows of ``size`` word numbers."""
-    count = len(ids) - size + 1
-    out = np.zeros(max(count, 0), dtype=np.uint64)
+    count = max(len(ids) - size + 1, 0)
+    out = np.zeros(count, dtype=np.uint64)
     for j in range(size):
-        out = out * np.uint64(_BASE) + ids[j : j + count] + np.uint64(1)
+        out *= np.uint64(_BASE)
+        out += ids[j : j + count]
+        out += np.uint64(1)
     return out
 
 
@@ -267,6 +297,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     All columns are kept. With one slice of items this is one pass without a shuffle. With more, the slices' hits are
     united per document before its share of hit words is judged.
     """
+    rows, (id_name, text_name) = numbered(docs, id_col, text_col)
+    return _decontaminate(rows, benchmark, id_name, text_name, item_col, item_text, remove, slice_chars).toDF(*docs.columns)
+
+
+def _decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_col: str, item_text: str, remove: str, slice_chars: int) -> DataFrame:
     count, slices = _slices(benchmark, item_col, item_text, slice_chars)
     if count == 1:
         shared = docs.sparkSession.sparkContext.broadcast(next(slices))

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeproof.llm.common import filter_words, identified, quoted, split_by_filter, text_of, utf8, with_marks
+from lakeproof.llm.common import filter_words, identified, numbered, quoted, split_by_filter, text_of, utf8, with_marks
 from lakeproof.session import materialize
 
 WINDOW = 3
@@ -45,7 +45,8 @@ def later_windows(rows: DataFrame) -> DataFrame:
     repeated = materialize(counted.filter("n > 1").select(F.xxhash64("key").alias("hash")))
     words, bits = filter_words(repeated)
     maybe, _ = split_by_filter(every, F.xxhash64("key"), materialize(words), bits)
-    first = maybe.groupBy("key").agg(F.min(place).alias("earliest"))
+    # written, so that Spark can split the places of a frequent window in the join
+    first = materialize(maybe.groupBy("key").agg(F.min(place).alias("earliest")))
     later = maybe.join(first, "key").filter(place != F.col("earliest"))
     return later.select("doc", "th", F.col("line").alias("mark"))
 
@@ -94,6 +95,11 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the repeated lines of their texts; all columns and rows stay."""
+    rows, (id_name, text_name) = numbered(docs, id_col, text_col)
+    return _deduplicate(rows, id_name, text_name).toDF(*docs.columns)
+
+
+def _deduplicate(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     marks = later_windows(identified(docs, id_col, text_col))
     doc = F.coalesce(quoted(id_col).cast("bigint"), F.lit(-(2**63)))
     marked = with_marks(docs, marks, doc, F.xxhash64(text_of(text_col)), "\u0001marks")

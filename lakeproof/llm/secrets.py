@@ -23,7 +23,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from lakeproof.llm.common import quoted, utf8
+from lakeproof.llm.common import numbered, quoted, utf8
 
 # Patterns of the kinds, in their order, and what a match needs.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -147,7 +147,11 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
 def redact(docs: DataFrame, text_col: str = "text", mark: str = "[secret]") -> DataFrame:
     """``docs`` with a mark in place of every found span; overlapping spans get one mark. All columns and rows stay."""
+    rows, (text_name,) = numbered(docs, text_col)
+    return _redact(rows, text_name, mark).toDF(*docs.columns)
 
+
+def _redact(docs: DataFrame, text_col: str, mark: str) -> DataFrame:
     def cut(raw: bytes | None) -> str | None:
         spans = spans_of(raw)
         if not spans:

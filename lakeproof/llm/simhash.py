@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lakeproof.llm.common import filter_words, quoted, split_by_filter, utf8
+from lakeproof.llm.common import filter_words, numbered, quoted, split_by_filter, utf8
 from lakeproof.operators.graph import connected_components
 from lakeproof.session import materialize
 
@@ -240,7 +240,8 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     distinct = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
     links = materialize(fingerprint_links(distinct).distinct())
     groups = materialize(connected_components(links))
-    smallest = groups.join(distinct, groups["member"] == distinct["fp"]).groupBy("component").agg(F.min("least").alias("least"))
+    # written, so that Spark can split the members of a large component in the join
+    smallest = materialize(groups.join(distinct, groups["member"] == distinct["fp"]).groupBy("component").agg(F.min("least").alias("least")))
     named = groups.join(smallest, "component").select(F.col("member").alias("fp"), F.col("least").alias("component_id"))
     ids = distinct.join(named, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
     # written, so that Spark can split the copies of a frequent fingerprint in the join
@@ -254,6 +255,11 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     Rows are dropped by id and fingerprint, so texts under one id are judged apart. Rows that repeat the smallest id all
     stay, and so do rows without an id.
     """
+    rows, (id_name, text_name) = numbered(docs, id_col, text_col)
+    return _deduplicate(rows, id_name, text_name).toDF(*docs.columns)
+
+
+def _deduplicate(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     key, fp = "\u0001id", "\u0001fp"
     groups = report(docs, id_col, text_col)
     dropped = materialize(groups.filter("doc_id <> component_id").select(F.col("doc_id").alias(key), F.col("fingerprint").alias(fp)).distinct())

@@ -38,7 +38,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeproof.llm.common import filter_array, filter_words, identified, in_filter, quoted, text_of, utf8, with_marks
+from lakeproof.llm.common import filter_array, filter_words, identified, in_filter, numbered, quoted, text_of, utf8, with_marks
 from lakeproof.llm.suffix_array import ranks
 from lakeproof.session import materialize
 
@@ -352,6 +352,11 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **li
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **limits) -> DataFrame:
     """``docs`` with repeated strings cut out of their texts; all columns and rows stay."""
+    rows, (id_name, text_name) = numbered(docs, id_col, text_col)
+    return _deduplicate(rows, id_name, text_name, **limits).toDF(*docs.columns)
+
+
+def _deduplicate(docs: DataFrame, id_col: str, text_col: str, **limits) -> DataFrame:
     spans = repeated_spans(identified(docs, id_col, text_col), **limits)
     doc = F.coalesce(quoted(id_col).cast("bigint"), F.lit(-(2**63)))
     marked = with_marks(docs, spans, doc, F.xxhash64(text_of(text_col)), "\u0001spans")

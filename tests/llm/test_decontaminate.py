@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import tracemalloc
 import weakref
 
 from lakeproof.llm import decontaminate
@@ -96,3 +97,25 @@ def test_edge_cases(spark):
     empty = benchmark(spark, [])
     assert decontaminate.decontaminate(docs, empty).count() == len(cases.TEXTS)
     assert decontaminate.report(cases.frame(spark, []), items).collect() == []
+
+
+def test_memory_of_a_slice():
+    rnd = random.Random(4)
+    words = ["".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rnd.randint(2, 9))) for _ in range(30_000)]
+    items = [(f"i{k}", " ".join(rnd.choice(words) for _ in range(200)).encode()) for k in range(2_000)]
+    chars = sum(len(t) for _, t in items)
+    tracemalloc.start()
+    before = tracemalloc.get_traced_memory()[0]
+    windows = decontaminate.Windows(items)
+    used = tracemalloc.get_traced_memory()[0] - before
+    tracemalloc.stop()
+    assert used <= 20 * chars and windows.hits(decontaminate.words_of(items[7][1]))[1] == {"i7"}
+
+
+def test_windows_that_many_items_share():
+    shared = b" ".join(b"w%d" % k for k in range(20))
+    items = [(f"i{k}", shared + b" tail%d" % k) for k in range(50)] + [("short", b"w1 w2"), (None, b"w1 w2"), ("same", b"w1 w2")]
+    windows = decontaminate.Windows(items)
+    assert windows.hits(decontaminate.words_of(shared)) == ([(0, 20)], {f"i{k}" for k in range(50)} | {"short", "same", None})
+    assert windows.hits([b"w1"]) == ([], set()) and windows.hits([b"w1", b"w2"]) == ([(0, 2)], {"short", "same", None})
+    assert decontaminate.Windows([]).hits([b"a"]) == ([], set()) and decontaminate.Windows([("e", b"")]).hits([b"a"]) == ([], set())
