@@ -38,32 +38,76 @@ def graph_roots(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     return roots
 
 
+def _chains(links: DataFrame, roots: DataFrame) -> DataFrame | None:
+    """(node, head, offset) of the nodes inside chains: the branching node or root before them, and the steps from there.
+
+    Inside a chain are nodes with one link in and one out. Each points to the node before it, and pointers are followed
+    in doubling steps until they reach a head, so a chain of n nodes takes the logarithm of n. Cycles of such nodes
+    have no head, and their nodes are left out. None if there are no such nodes.
+    """
+    ends = links.select(F.col("dst").alias("node"), F.lit(1).alias("i"), F.lit(0).alias("o"), F.col("src").alias("before"))
+    ends = ends.unionByName(links.select(F.col("src").alias("node"), F.lit(0).alias("i"), F.lit(1).alias("o"), F.lit(None).cast(links.schema["src"].dataType).alias("before")))
+    inner = ends.groupBy("node").agg(F.sum("i").alias("i"), F.sum("o").alias("o"), F.max("before").alias("head")).filter("i = 1 AND o = 1 AND node <> head")
+    inner = inner.join(roots.select("node"), "node", "left_anti")
+    pointers = inner.select("node", "head", F.lit(1).cast("bigint").alias("offset"), F.lit(False).alias("done"))
+    pointers, waiting = materialize(pointers, n=F.count("*")), None
+    if not facts(pointers)["n"]:
+        return None
+    while True:
+        step = pointers
+        for _ in range(2):
+            # a head that is no pointer's node is outside of all chains
+            ahead = step.select(F.col("node").alias("mid"), F.col("head").alias("next"), F.col("offset").alias("more"), F.lit(True).alias("inside"))
+            joined = step.join(ahead, step["head"] == ahead["mid"], "left")
+            step = joined.select("node", F.coalesce("next", "head").alias("head"), (F.col("offset") + F.coalesce("more", F.lit(0))).alias("offset"), F.col("inside").isNull().alias("done"))
+        step = materialize(step, waiting=F.count_if(~F.col("done")))
+        discard(pointers)
+        pointers, before, waiting = step, waiting, facts(step)["waiting"]
+        # pointers in cycles wait for ever, and all others come nearer to their heads
+        if not waiting or waiting == before:
+            return pointers.filter("done").select("node", "head", "offset")
+
+
 def cascade_pairs(edges: DataFrame, roots: DataFrame) -> DataFrame:
-    """(root, node, depth) of every node below a root, by breadth-first rounds.
+    """(root, node, depth) of every node below a root.
 
-    A root on a cycle is among its own dependents. Rounds end when no new pair is found, so cycles end too.
+    Chains are contracted to weighted links first (see ``_chains``), so the rounds of the search grow with the branchings on a
+    path and not with its steps. A round keeps the pairs that are new or came nearer, and ends when there are none, so cycles end too. Nodes
+    inside chains follow from their heads in one join. A root on a cycle is among its own dependents.
     """
     links = materialize(edges.select("src", "dst").distinct())
-    frontier = roots.select(F.col("node").alias("root"), "node")
-    found: list[DataFrame] = []
-    depth = 0
+    inside = _chains(links, roots)
+    weighted = links.select("src", "dst", F.lit(1).cast("bigint").alias("steps"))
+    if inside is not None:
+        names = inside.select(F.col("node").alias("inner"), "head", "offset")
+        ends = links.join(names.select(F.col("inner").alias("dst")), "dst", "left_anti")
+        ends = ends.join(names, ends["src"] == names["inner"], "left")
+        ends = ends.select(F.coalesce("head", "src").alias("src"), "dst", (F.coalesce("offset", F.lit(0)) + 1).alias("steps"))
+        weighted = materialize(ends.groupBy("src", "dst").agg(F.min("steps").alias("steps")))
+    frontier = roots.select(F.col("node").alias("root"), "node", F.lit(0).cast("bigint").alias("depth"))
+    found, rounds = None, 0
     while True:
-        depth += 1
-        step = frontier.join(links, F.col("node") == F.col("src")).select("root", F.col("dst").alias("node")).distinct()
-        if found:
-            seen = reduce(DataFrame.unionByName, found).select("root", "node")
-            step = step.join(seen, ["root", "node"], "left_anti")
+        step = frontier.join(weighted, F.col("node") == F.col("src")).groupBy("root", F.col("dst").alias("node")).agg(F.min(F.col("depth") + F.col("steps")).alias("depth"))
+        if found is not None:
+            known = found.groupBy("root", "node").agg(F.min("depth").alias("known"))
+            step = step.join(known, ["root", "node"], "left").filter("known IS NULL OR depth < known").drop("known")
         # counted while it is written, so a round is one job
         frontier = materialize(step, n=F.count("*"))
         if not facts(frontier)["n"]:
             break
-        found.append(frontier.withColumn("depth", F.lit(depth)))
-        if len(found) >= 8:
+        found = frontier if found is None else found.unionByName(frontier)
+        rounds += 1
+        if rounds % 8 == 0:
             # keep the plan short on deep graphs
-            found = [materialize(reduce(DataFrame.unionByName, found))]
-    if not found:
-        return frontier.withColumn("depth", F.lit(0)).limit(0)
-    return reduce(DataFrame.unionByName, found)
+            found = materialize(found)
+    if found is None:
+        found = frontier
+    nearest = found.groupBy("root", "node").agg(F.min("depth").alias("depth"))
+    if inside is not None:
+        heads = nearest.filter("root <> node").unionByName(roots.select(F.col("node").alias("root"), "node", F.lit(0).cast("bigint").alias("depth")))
+        inner = heads.join(inside.select(F.col("node").alias("inner"), F.col("head").alias("node"), "offset"), "node")
+        nearest = nearest.unionByName(inner.select("root", F.col("inner").alias("node"), (F.col("depth") + F.col("offset")).alias("depth")))
+    return nearest.select("root", "node", F.col("depth").cast("int").alias("depth"))
 
 
 def cascade(edges: DataFrame, nodes: DataFrame | None = None, roots: DataFrame | None = None) -> DataFrame:

@@ -123,3 +123,42 @@ def test_past_rounds_are_deleted(spark, tmp_path, monkeypatch):
     got = graph.connected_components(edges)
     assert {r["component"] for r in got.collect()} == {0}
     assert len(list((tmp_path / "lakeproof").iterdir())) == 1
+
+
+def jobs_of(spark, run):
+    """Result of a function and the number of tables it has written, which is its number of rounds."""
+    written, real = [], graph.materialize
+    graph.materialize = lambda df, **facts: written.append(1) or real(df, **facts)
+    try:
+        return run(), len(written)
+    finally:
+        graph.materialize = real
+
+
+def test_a_long_chain_takes_few_rounds(spark):
+    steps = 10_000
+    edges = [(f"n{i:05}", f"n{i + 1:05}") for i in range(steps)] + [("n00004", "side"), ("side", "n00009"), ("side", "side2")]
+    rows, rounds = jobs_of(spark, lambda: graph.cascade(edge_frame(spark, edges)).collect())
+    got = {r["dependent"]: r["depth"] for r in rows}
+    assert rounds < 20 and len(rows) == len(got) == steps + 2
+    assert got == expected_cascade(edges)["n00000"] and (got["n09999"], got["side2"]) == (9_996, 6)
+
+
+def test_long_cycles(spark):
+    ring = [(f"c{i:03}", f"c{(i + 1) % 300:03}") for i in range(300)]
+    edges = ring + [("r", "c000"), ("r2", "x"), ("x", "c150"), ("alone1", "alone2"), ("alone2", "alone1"), ("alone0", "alone1")]
+    rows, rounds = jobs_of(spark, lambda: graph.cascade(edge_frame(spark, edges)).collect())
+    got = defaultdict(dict)
+    for r in rows:
+        got[r["root"]][r["dependent"]] = r["depth"]
+    assert rounds < 20 and dict(got) == expected_cascade(edges)
+
+
+def test_random_graphs(spark):
+    rnd = random.Random(8)
+    for nodes, links in ((12, 10), (25, 30), (40, 36)):
+        edges = sorted({(f"v{rnd.randrange(nodes)}", f"v{rnd.randrange(nodes)}") for _ in range(links)})
+        got = defaultdict(dict)
+        for r in graph.cascade(edge_frame(spark, edges)).collect():
+            got[r["root"]].update({r["dependent"]: r["depth"]} if r["dependent"] else {})
+        assert dict(got) == expected_cascade(edges)
