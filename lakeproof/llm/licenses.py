@@ -1,9 +1,10 @@
 """License scans by diagonal voting, in DataFrame functions only.
 
 All rolling 3-grams of a text's words are hashed and joined with the positions of the same grams in license templates. A
-gram at word p of the text and word q of a template votes for the diagonal p - q. Votes are combined per diagonal as a bit
-set of template positions, diagonals a few words apart are merged (words were put in or left out), and a merged span
-is verified: a fixed phrase must stand there whole, a template must be covered by ``COVERED`` of its grams.
+gram at word p of the text and word q of a template votes for the diagonal p - q. Votes are combined per diagonal as bit
+sets of the template's words, ``PART`` words each, so templates may be of any length, whole license texts too. Diagonals a few words apart are
+merged (words were put in or left out), and a merged span is verified: a fixed phrase must stand there whole, and of a template
+the words covered by grams must be a share of ``COVERED`` of its words and of the words by which the span is shifted.
 
 The words of a text are never shuffled, and neither is a gram without a match: the join is a broadcast join, as the
 templates are few (``MAX_GRAMS``, checked; with more of them it is left to Spark, which may shuffle). Grams are compared as words after the hashes. Each text also sends one
@@ -22,13 +23,13 @@ from pyspark.sql import functions as F
 from lakeproof.llm.common import quoted, text_of
 
 GRAM = 3
-#: A template's gram positions are the bits of a long.
-TEMPLATE_GRAMS = 62
+#: Words of a template that are the bits of one long.
+PART = 62
 #: The join with the templates is a broadcast join up to so many grams.
 MAX_GRAMS = 200_000
 #: Diagonals that are at most so many words apart belong to one span.
 GAP = 3
-COVERED = 0.8
+COVERED = 0.75
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 NO_WORD = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 
@@ -64,26 +65,33 @@ def _gram(words: Column, at: Column) -> list[Column]:
 
 
 def template_grams(spark: SparkSession, phrases=PHRASES, templates=TEMPLATES, max_grams: int = MAX_GRAMS) -> DataFrame:
-    """(template, label, base, grams, t, h, g0, g1, g2): one row per gram position of a template, to be broadcast if few."""
+    """(template, label, base, words, part, bits, t, h, g0, g1, g2), to be broadcast if few: a row per gram and part of its words.
+
+    ``bits`` are the gram's words in the part. Templates are cut into their words here, so a row of input is a template.
+    """
     rows = []
     for number, (label, text, base) in enumerate([(a, b, True) for a, b in phrases] + [(a, b, False) for a, b in templates]):
-        count = len(text.split()) - GRAM + 1
-        if not 0 < count <= TEMPLATE_GRAMS:
-            raise ValueError(f"a template has from {GRAM} to {GRAM + TEMPLATE_GRAMS - 1} words: {text}")
-        rows.append((number, label, base, count, text))
-    listed = spark.createDataFrame(rows, "template int, label string, base boolean, grams int, text string")
-    words = F.split("text", " ")
-    listed = listed.select("template", "label", "base", "grams", words.alias("w"), F.posexplode(words).alias("t", "first")).filter("t < grams")
-    grams = listed.select("template", "label", "base", "grams", "t", *[c.alias(f"g{j}") for j, c in enumerate(_gram(F.col("w"), F.col("t")))])
+        count = len(text.split())
+        if count < GRAM:
+            raise ValueError(f"a template has at least {GRAM} words: {text}")
+        rows.append((number, label, base, count, " ".join(text.split())))
+    listed = spark.createDataFrame(rows, "template int, label string, base boolean, words int, text string")
+    listed = listed.withColumn("w", F.split("text", " "))
+    listed = listed.select("template", "label", "base", "words", "w", F.explode(F.sequence(F.lit(0), F.col("words") - GRAM)).alias("t"))
+    grams = listed.select("template", "label", "base", "words", "t", *[c.alias(f"g{j}") for j, c in enumerate(_gram(F.col("w"), F.col("t")))])
+    word = F.explode(F.sequence(F.col("t"), F.col("t") + GRAM - 1))
+    grams = grams.select("*", word.alias("word")).withColumn("part", F.expr(f"word div {PART}").cast("int"))
+    grams = grams.groupBy("template", "label", "base", "words", "part", "t", *[f"g{j}" for j in range(GRAM)]).agg(F.expr(f"bit_or(shiftleft(1L, word % {PART}))").alias("bits"))
     header = spark.range(1).select(
-        F.lit(-1).alias("template"), F.lit("").alias("label"), F.lit(False).alias("base"), F.lit(0).alias("grams"), F.lit(0).alias("t"), F.lit("").alias("g0"), *[F.lit(None).cast("string").alias(f"g{j}") for j in range(1, GRAM)]
-    )
+        F.lit(-1).alias("template"), F.lit("").alias("label"), F.lit(False).alias("base"), F.lit(0).alias("words"), F.lit(0).alias("part"), F.lit(0).alias("t"),
+        F.lit("").alias("g0"), *[F.lit(None).cast("string").alias(f"g{j}") for j in range(1, GRAM)], F.lit(0).cast("bigint").alias("bits"),
+    )
     every = grams.unionByName(header).withColumn("h", F.xxhash64(*[f"g{j}" for j in range(GRAM)]))
-    return F.broadcast(every) if sum(r[3] for r in rows) <= max_grams else every
+    return F.broadcast(every) if 2 * sum(r[3] for r in rows) <= max_grams else every
 
 
 def votes(docs: DataFrame, id_col: str, text_col: str, grams: DataFrame) -> DataFrame:
-    """(doc_id, th, template, label, base, grams, diagonal, mask, n). Template -1 is a text's header: its diagonal is the
+    """(doc_id, th, template, label, base, words, diagonal, part, mask, n). Template -1 is a text's header: its diagonal is the
     number of words, and n how often the text came."""
     text = text_of(text_col)
     # the empty string after the last word is the header's gram
@@ -96,8 +104,8 @@ def votes(docs: DataFrame, id_col: str, text_col: str, grams: DataFrame) -> Data
     joined = rolled.join(grams, "h")
     for j in range(GRAM):
         joined = joined.filter(F.col(f"w{j}").eqNullSafe(F.col(f"g{j}")))
-    return joined.groupBy("doc_id", "th", "template", "label", "base", "grams", (F.col("p") - F.col("t")).alias("diagonal")).agg(
-        F.expr("bit_or(shiftleft(1L, t))").alias("mask"), F.count("*").alias("n")
+    return joined.groupBy("doc_id", "th", "template", "label", "base", "words", (F.col("p") - F.col("t")).alias("diagonal"), "part").agg(
+        F.bit_or("bits").alias("mask"), F.count("*").alias("n")
     )
 
 
@@ -111,19 +119,22 @@ def report(
     """(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, n_spans), one row per row of ``docs``.
 
     ``n_base`` and the two words count places of the fixed phrases, ``n_spans`` the verified spans of templates. The score
-    is the greatest covered share of a template; a phrase counts 1.
+    is the greatest share of a template; a phrase counts 1.
     """
     every = votes(docs, id_col, text_col, template_grams(docs.sparkSession, phrases, templates, max_grams))
     key = ["doc_id", "th"]
     along = Window.partitionBy(*key, "template").orderBy("diagonal")
     # phrases must stand without a gap, so each of their diagonals is by itself
-    apart = F.coalesce((F.col("diagonal") - F.lag("diagonal").over(along) > GAP) | F.col("base") | (F.col("template") < 0), F.lit(True))
+    step = F.col("diagonal") - F.lag("diagonal").over(along)
+    apart = F.coalesce((step > GAP) | (F.col("base") & (step > 0)) | (F.col("template") < 0), F.lit(True))
     spans = every.withColumn("apart", apart.cast("int")).withColumn("span", F.sum("apart").over(along))
-    spans = spans.groupBy(*key, "template", "label", "base", "grams", "span").agg(
-        F.expr("bit_or(mask)").alias("mask"), F.min("diagonal").alias("diagonal"), F.max("n").alias("n")
+    spans = spans.groupBy(*key, "template", "label", "base", "words", "span", "part").agg(
+        F.bit_or("mask").alias("mask"), F.min("diagonal").alias("diagonal"), F.max("diagonal").alias("to"), F.max("n").alias("n")
+    )
+    spans = spans.groupBy(*key, "template", "label", "base", "words", "span").agg(
+        F.sum(F.bit_count("mask")).alias("covered"), F.min("diagonal").alias("diagonal"), F.max("to").alias("to"), F.max("n").alias("n")
     )
-    share = F.when(F.col("template") >= 0, F.bit_count("mask") / F.col("grams"))
-    spans = spans.withColumn("share", share)
+    spans = spans.withColumn("share", F.when(F.col("template") >= 0, F.col("covered") / (F.col("words") + F.col("to") - F.col("diagonal"))))
     head, place = F.col("template") < 0, F.col("base") & (F.col("share") == 1)
     # part of a phrase is no evidence
     verified = place | (~F.col("base") & ~head & (F.col("share") >= COVERED))
@@ -153,15 +164,15 @@ _VALUES = ", ".join(
 SQL = f"""
 WITH doc AS (SELECT doc_id, {_sql_words("text")} AS w FROM documents),
 template AS (SELECT k, label, base, string_split(words, ' ') AS tw FROM (VALUES {_VALUES}) AS v(k, label, base, words)),
-gram AS (SELECT k, label, base, len(tw) - 2 AS grams, t - 1 AS t, array_to_string(tw[t : t + 2], ' ') AS g
+gram AS (SELECT k, label, base, len(tw) AS words, t - 1 AS t, array_to_string(tw[t : t + 2], ' ') AS g
          FROM (SELECT *, unnest(range(1, len(tw) - 1)) AS t FROM template)),
 place AS (SELECT doc_id, p - 1 AS p, array_to_string(w[p : p + 2], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS p FROM doc)),
-vote AS (SELECT DISTINCT doc_id, k, label, base, grams, p - t AS d, t FROM place JOIN gram USING (g)),
-diagonal AS (SELECT doc_id, k, label, base, grams, d, list(t) AS ts FROM vote GROUP BY ALL),
+vote AS (SELECT DISTINCT doc_id, k, label, base, words, p - t AS d, unnest([t, t + 1, t + 2]) AS t FROM place JOIN gram USING (g)),
+diagonal AS (SELECT doc_id, k, label, base, words, d, list(t) AS ts FROM vote GROUP BY ALL),
 cut AS (SELECT *, CASE WHEN base OR d - lag(d) OVER (PARTITION BY doc_id, k ORDER BY d) <= {GAP} IS NOT TRUE THEN 1 ELSE 0 END AS apart FROM diagonal),
 numbered AS (SELECT *, sum(apart) OVER (PARTITION BY doc_id, k ORDER BY d) AS span FROM cut),
 span AS (
-  SELECT doc_id, k, label, base, min(d) AS d, len(list_distinct(flatten(list(ts)))) / any_value(grams) AS share
+  SELECT doc_id, k, label, base, min(d) AS d, len(list_distinct(flatten(list(ts)))) / (any_value(words) + max(d) - min(d)) AS share
   FROM numbered GROUP BY doc_id, k, label, base, span
 ),
 judged AS (SELECT *, base AND share = 1 AS whole, CASE WHEN base THEN share = 1 ELSE share >= {COVERED} END AS good FROM span),

@@ -65,7 +65,29 @@ def test_edge_cases(spark):
     assert sorted((str(r.doc_id), r.n_words) for r in rows) == words
     assert licenses.report(cases.frame(spark, [])).collect() == []
     with pytest.raises(ValueError):
-        licenses.template_grams(spark, (), (("long", "word " * 70),))
+        licenses.template_grams(spark, (), (("short", "two words"),))
+
+
+def test_one_word_put_in(spark):
+    texts = [
+        "licensed under the GNU General Public License (GPL) version 3", "This is free and totally unencumbered software released into the public domain",
+        "licensed under a creative commons attribution and sharealike 4.0 international license", "This is free software", "licensed under the public license",
+    ]
+    got = {r.doc_id: r for r in licenses.report(cases.texts(spark, enumerate(texts))).collect()}
+    assert [got[k].labels for k in range(5)] == ["gpl-3", "unlicense", "cc-by-sa", "", ""]
+    assert all(0.75 <= got[k].score < 1 for k in range(3))
+
+
+def test_whole_license_texts(spark):
+    whole = " ".join(f"clause{i % 37} term{i % 101} word{i}" for i in range(110))
+    words = whole.split()
+    assert len(words) > 300
+    texts = [
+        f"before it {whole} after it", " ".join(words[:150] + ["put", "in"] + words[150:]), " ".join(words[:100] + words[102:]), " ".join(words[:200]), " ".join(words[::2]),
+    ]
+    got = {r.doc_id: r for r in licenses.report(cases.texts(spark, enumerate(texts)), templates=(("whole", whole),)).collect()}
+    assert [got[k].labels for k in range(5)] == ["whole"] * 3 + [""] * 2
+    assert got[0].score == 1 and got[0].n_spans == 1 and abs(got[3].score - 200 / 330) < 1e-9
 
 
 def test_main_path_is_native(spark):
