@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
-from lakeproof.operators import compare, key_tree
+from lakeproof.operators import compare, key_tree, sketches
 from lakeproof.plans.altered import (
     CUSTOMER_TARGET_SQL,
     LINEITEM_TARGET_SQL,
@@ -14,6 +16,7 @@ from lakeproof.plans.altered import (
     orders_target,
 )
 from lakeproof.plans.registry import Registry, Tables
+from lakeproof.session import scratch_path
 
 REG = Registry()
 
@@ -442,3 +445,35 @@ REG.add(
     lambda t: key_tree.compare_by_tree(t.orders, locally_changed(t.orders), ["o_orderkey"], fanout=8, leaf_rows=0).level_table().filter("level < 3"),
     _tree_sql(3, 8),
 )
+
+
+_SKETCHED = {"orders": ["o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus", "o_orderdate"]}
+
+
+@REG.query(
+    "sketch_differences",
+    f"""WITH tgt AS ({ORDERS_TARGET_SQL}) {" UNION ALL ".join(
+        f'''SELECT '{c}' AS column_name, (SELECT count({c}) FROM orders) AS source_non_null, (SELECT count({c}) FROM tgt) AS target_non_null,
+        (SELECT count(*) FROM (SELECT {c} FROM orders EXCEPT SELECT {c} FROM tgt)) AS only_source, (SELECT count(*) FROM (SELECT {c} FROM tgt EXCEPT SELECT {c} FROM orders)) AS only_target,
+        true AS within_bounds'''
+        for c in _SKETCHED["orders"])}""",
+)
+def _sketches(t: Tables):
+    """Differences from stored sketches of monthly partitions, beside the exact ones."""
+    columns, month, found = _SKETCHED["orders"], F.date_format("o_orderdate", "yyyy-MM"), []
+    target = orders_target(t.orders)
+    for df in (t.orders, target):
+        path = scratch_path(t.spark, "sketches")
+        sketches.write_sketches(sketches.sketch_columns(df, columns, month), path)
+        found.append(sketches.read_sketches(t.spark, path))
+    exact = None
+    for c in columns:
+        values = t.orders.select(F.col(c).alias("v"), F.lit(0).alias("s")).unionByName(target.select(F.col(c).alias("v"), F.lit(1).alias("s")))
+        sides = values.groupBy("v").agg(F.min("s").alias("low"), F.max("s").alias("high"))
+        row = sides.agg(F.count_if(F.col("high") == 0).alias("exact_source"), F.count_if(F.col("low") == 1).alias("exact_target")).withColumn("column_name", F.lit(c))
+        exact = row if exact is None else exact.unionByName(row)
+    both = sketches.sketch_differences(*found).join(exact, "column_name")
+    within = reduce(lambda a, b: a & b, [F.abs(F.col(f"only_{side}") - F.col(f"exact_{side}")) <= 4 * F.col("standard_error") for side in ("source", "target")])
+    return both.select(
+        "column_name", "source_non_null", "target_non_null", F.col("exact_source").alias("only_source"), F.col("exact_target").alias("only_target"), within.alias("within_bounds")
+    )
