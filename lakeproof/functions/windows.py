@@ -1,9 +1,9 @@
 """Window functions that split hot partitions.
 
 A plain window sorts each partition in one task, which is out of balance when one partition holds a large
-share of the rows. Here the caller names a bucket: an expression that grows with the order (the minute of the
-ordering timestamp, a struct of date and key range). Partitions of more than ``hot_rows`` rows are sorted
-bucket by bucket; all others are one bucket. What a bucket needs from those before it (a starting rank, the
+share of the rows. Here partitions of more than ``hot_rows`` rows are sorted bucket by bucket; all others are one bucket. A
+bucket is a range of the order between two splitters, which are drawn from a sample of the partition (see ``_splitters``), or what the caller
+names: an expression that grows with the order (the minute of the ordering timestamp, a struct of date and key range). What a bucket needs from those before it (a starting rank, the
 last value) is worked out from one row per bucket, and travels as an extra first row of the bucket. So the
 rows are shuffled and sorted once, as by a plain window, and results equal the plain window's.
 """
@@ -16,6 +16,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lakeproof.session import materialize
+
 HOT_ROWS = 1_000_000
 
 
@@ -27,14 +29,52 @@ def _join_null_safe(rows: DataFrame, side: DataFrame, keys: Sequence[str], how:
     return rows.join(renamed, condition, how).drop(*names.values())
 
 
-def _bucketed(df: DataFrame, partition: Sequence[str], bucket: Column, hot_rows: int) -> DataFrame:
+#: Buckets of a hot partition, and distinct rows of the sample that their splitters are taken from, on average.
+BUCKETS = 256
+SAMPLE = 16 * BUCKETS
+
+
+def _splitters(df: DataFrame, partition: Sequence[str], order: Sequence[str], hot: DataFrame) -> DataFrame:
+    """Per hot partition an array of at most ``BUCKETS`` rows of the order, at even distances of a sample.
+
+    The sample is drawn by a hash of the order, so equal rows are in it once or not at all: it stays small however often a row
+    is repeated. Rows that are equal in the order are peers and need one bucket.
+    """
+    place = F.struct(*order)
+    every = F.greatest(F.lit(1), F.col("__n").try_cast("bigint") / SAMPLE).cast("bigint")
+    sampled = _join_null_safe(df.select(*{*partition, *order}), F.broadcast(hot), partition, "inner").filter(F.pmod(F.xxhash64(*order, F.lit("split")), every) == 0)
+    listed = sampled.groupBy(*partition).agg(F.array_sort(F.collect_set(place)).alias("__sample"))
+    step = F.greatest(F.lit(1), F.ceil(F.size("__sample") / BUCKETS).cast("int"))
+    even = F.filter("__sample", lambda _, i: i % F.col("__step") == 0)
+    return listed.withColumn("__step", step).select(*partition, even.alias("__splits"))
+
+
+def _bucket_of(order: Sequence[str]) -> Column:
+    """How many splitters are not above a row, by halving."""
+    row, splits = F.struct(*order), F.col("__splits")
+
+    def halve(state: Column, _: Column) -> Column:
+        middle = F.floor((state["low"] + state["high"]) / 2).cast("int")
+        below = (state["low"] < state["high"]) & (F.get(splits, middle) <= row)
+        return F.struct(F.when(below, middle + 1).otherwise(state["low"]).alias("low"), F.when(below | (state["low"] >= state["high"]), state["high"]).otherwise(middle).alias("high"))
+
+    start = F.struct(F.lit(0).alias("low"), F.coalesce(F.size(splits), F.lit(0)).alias("high"))
+    return F.aggregate(F.sequence(F.lit(0), F.lit(BUCKETS.bit_length())), start, halve, lambda state: state["low"])
+
+
+def _bucketed(df: DataFrame, partition: Sequence[str], bucket: Column | None, hot_rows: int, order: Sequence[str]) -> DataFrame:
     """Add __bucket, NULL in partitions that are not hot."""
     counts = df.groupBy(*partition).agg(F.count("*").alias("__n")).filter(F.col("__n") > hot_rows)
     # at most (number of rows / hot_rows) partitions are hot
-    hot = F.broadcast(counts.select(*partition, F.lit(True).alias("__hot")))
-    return _join_null_safe(df, hot, partition, "left").withColumn(
-        "__bucket", F.when(F.col("__hot"), F.struct(bucket.alias("at")))
-    ).drop("__hot")
+    if bucket is not None:
+        hot, at = counts.select(*partition, F.lit(True).alias("__hot")), bucket
+    else:
+        counts = materialize(counts)
+        found = _join_null_safe(counts, _splitters(df, partition, order, counts), partition, "left")
+        hot, at = found.select(*partition, F.lit(True).alias("__hot"), "__splits"), _bucket_of(order)
+    return _join_null_safe(df, F.broadcast(hot), partition, "left").withColumn(
+        "__bucket", F.when(F.col("__hot"), F.struct(at.alias("at")))
+    ).drop("__hot", "__splits")
 
 
 def _with_first_rows(rows: DataFrame, first_rows: DataFrame) -> DataFrame:
@@ -43,14 +83,14 @@ def _with_first_rows(rows: DataFrame, first_rows: DataFrame) -> DataFrame:
 
 
 def ranked(
-    df: DataFrame, partition: Sequence[str], order: Sequence[str], bucket: Column, hot_rows: int = HOT_ROWS
+    df: DataFrame, partition: Sequence[str], order: Sequence[str], bucket: Column | None = None, hot_rows: int = HOT_ROWS
 ) -> DataFrame:
     """Adds __row_number, __peers_end (rows up to and including peers) and __rows (partition size).
 
-    Reads its input up to three times, so give it a scan or a written table.
+    Reads its input up to four times, so give it a scan or a written table.
     """
     partition = list(partition)
-    rows = _bucketed(df, partition, bucket, hot_rows)
+    rows = _bucketed(df, partition, bucket, hot_rows, order)
     counts = rows.filter("__bucket IS NOT NULL").groupBy(*partition, "__bucket").agg(F.count("*").alias("__n"))
     earlier = Window.partitionBy(*partition).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select(
@@ -110,14 +150,14 @@ def lag_in_buckets(
     df: DataFrame,
     partition: Sequence[str],
     order: Sequence[str],
-    bucket: Column,
+    bucket: Column | None,
     value: str,
     name: str,
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """``lag(value)`` over the partition: the extra first row of a bucket holds the last value before it."""
     partition = list(partition)
-    rows = _bucketed(df, partition, bucket, hot_rows)
+    rows = _bucketed(df, partition, bucket, hot_rows, order)
     last = (
         rows.filter("__bucket IS NOT NULL")
         .groupBy(*partition, "__bucket")

@@ -94,13 +94,13 @@ def transition_audit(
     order: Sequence[str],
     state: str,
     steps: Mapping[str, Sequence[str]],
-    bucket: Column,
+    bucket: Column | None = None,
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Legality of each step of each entity's history; the first state of an entity has no step.
 
-    ``bucket`` must grow with ``order``; an entity with more than ``hot_rows`` states is spread over its buckets
-    instead of being sorted in one task.
+    An entity with more than ``hot_rows`` states is spread over buckets of its order instead of being sorted in one task:
+    those that ``bucket`` names, which must grow with ``order``, or ranges between sampled splitters.
     """
     stepped = lag_in_buckets(history, [entity], order, bucket, state, "previous", hot_rows)
     return stepped.withColumn(

@@ -169,6 +169,17 @@ def _ranks(t: Tables):
     )
 
 
+@REG.query(
+    "window_ranks_sampled",
+    """SELECT o_orderkey, row_number() OVER o AS row_number, cume_dist() OVER o AS cume_dist, CAST(ntile(7) OVER o AS BIGINT) AS ntile
+       FROM orders WINDOW o AS (PARTITION BY o_orderstatus ORDER BY o_orderdate, o_orderkey)""",
+)
+def _sampled_ranks(t: Tables):
+    # no bucket is named, and every status is split
+    rows = w.ranked(t.orders.select("o_orderkey", "o_orderstatus", "o_orderdate"), ["o_orderstatus"], ["o_orderdate", "o_orderkey"], hot_rows=100)
+    return rows.select("o_orderkey", w.row_number().alias("row_number"), w.cume_dist().alias("cume_dist"), w.ntile(7).cast("bigint").alias("ntile"))
+
+
 REG.add("ordered_limit",
         lambda t: lookups.ordered_limit(t.orders.select("o_orderkey", "o_totalprice"), [F.desc("o_totalprice"), "o_orderkey"], 1000),
         "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 1000")

@@ -121,6 +121,31 @@ def test_bucketed_ranks_equal_plain_windows(spark, n, tiles, width):
     assert sorted(map(tuple, ranked.collect()), key=str) == sorted(map(tuple, plain.collect()), key=str)
 
 
+@pytest.mark.parametrize("order", [["o", "id"], ["t", "o"], ["o"]])
+def test_ranks_without_a_bucket_equal_plain_windows(spark, order, monkeypatch):
+    monkeypatch.setattr(w, "BUCKETS", 8)
+    rng = random.Random(4)
+    rows = [("xy"[i % 17 == 0], rng.choice([None, 1.5, float("nan"), *range(40)]), i, rng.choice(["", "ä", "zz", None, "mm"])) for i in range(900)]
+    rows = [(g, None if o is None else float(o), i, t) for g, o, i, t in rows] + [(None, 1.0, -1, "x")]
+    frame = spark.createDataFrame(rows, "g STRING, o DOUBLE, id INT, t STRING")
+    ranked = w.ranked(frame, ["g"], order, hot_rows=100)
+    got = ranked.select("g", *order, w.row_number().alias("rn"), w.cume_dist().alias("cd"), w.ntile(7).alias("nt"))
+    frame.createOrReplaceTempView("ranks_input")
+    plain = spark.sql(f"""SELECT g, {", ".join(order)}, row_number() OVER w AS rn, cume_dist() OVER w AS cd, ntile(7) OVER w AS nt
+                          FROM ranks_input WINDOW w AS (PARTITION BY g ORDER BY {", ".join(order)})""")
+    assert sorted(map(str, got.collect())) == sorted(map(str, plain.collect()))
+    buckets = w._bucketed(frame, ["g"], None, 100, order).groupBy("g").agg(F.count_distinct("__bucket").alias("n"))
+    assert {r["g"]: r["n"] for r in buckets.collect()}["y"] == 0 and {r["g"]: r["n"] for r in buckets.collect()}["x"] >= 5
+
+
+def test_lag_without_a_bucket(spark):
+    frame = spark.createDataFrame([("g", i % 50, i, i * 2) for i in range(400)] + [("h", 1, 1, 1)], "g STRING, o INT, id INT, v INT")
+    got = w.lag_in_buckets(frame, ["g"], ["o", "id"], None, "v", "before", hot_rows=50).select("g", "id", "before")
+    frame.createOrReplaceTempView("lag_input")
+    plain = spark.sql("SELECT g, id, lag(v) OVER (PARTITION BY g ORDER BY o, id) AS before FROM lag_input")
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, plain.collect()), key=str)
+
+
 def test_peers_share_their_cume_dist(spark):
     frame = spark.createDataFrame([("g", 1, 1), ("g", 1, 2), ("g", 2, 3), (None, 1, 4)], "g STRING, o INT, id INT")
     ranked = w.ranked(frame, ["g"], ["o"], F.col("o"), hot_rows=2).select("id", w.cume_dist().alias("cd")).collect()
