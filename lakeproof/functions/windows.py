@@ -172,3 +172,19 @@ def lag_in_buckets(
         .filter("NOT __first")
         .drop("__first")
     )
+
+
+def last_at_or_before(df: DataFrame, order: Sequence[str], value: str, name: str, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Adds the last value that is not NULL at or before each row, in the order of the whole table.
+
+    The table is one partition, so beyond ``hot_rows`` rows it is cut into ranges. A range starts with the last value of those
+    before it, which is found from a row per range.
+    """
+    whole = df.withColumn("__all", F.lit(0))
+    rows = _bucketed(whole, ["__all"], None, hot_rows, order)
+    last = rows.filter(F.col("__bucket").isNotNull()).groupBy("__all", "__bucket").agg(F.max_by(value, F.when(F.col(value).isNotNull(), F.struct(*order))).alias("__last"))
+    before = F.last("__last", ignorenulls=True).over(Window.partitionBy("__all").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1))
+    carried = last.select("__all", "__bucket", before.alias(value))
+    local = Window.partitionBy("__all", "__bucket").orderBy(F.desc("__first"), *order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = _with_first_rows(rows, carried).withColumn(name, F.last(value, ignorenulls=True).over(local))
+    return found.filter("NOT __first").select(*df.columns, name)

@@ -203,25 +203,31 @@ REG.add("wave_plan_report",
             SELECT DISTINCT inventory_id, wave_id, name, lob, table_count, estimated_days, parallel_group, total_waves, total_tables FROM p JOIN n USING (inventory_id)""")
 
 
-@REG.query(
-    "prefix_join",
-    """WITH p AS (SELECT DISTINCT split_part(p_name, ' ', 1) AS prefix FROM part
+_PREFIX_SQL = """WITH p AS (SELECT DISTINCT split_part(p_name, ' ', 1) AS prefix FROM part
                   UNION SELECT DISTINCT upper(left(p_name, 5)) FROM part WHERE p_size > 20
                   UNION SELECT DISTINCT p_name FROM part WHERE p_size = 7),
        u AS (SELECT lower(prefix) AS key, min(prefix) AS prefix FROM p GROUP BY 1),
        m AS (SELECT p_partkey, u.prefix, row_number() OVER (PARTITION BY p_partkey ORDER BY length(key) DESC) AS rn
              FROM part LEFT JOIN u ON starts_with(lower(p_name), key))
-       SELECT p_partkey, prefix FROM m WHERE rn = 1""",
-)
-def _prefix(t: Tables):
+       SELECT p_partkey, prefix FROM m WHERE rn = 1"""
+
+
+def _name_prefixes(t: Tables):
     part = t.part
-    prefixes = (
+    return (
         part.select(F.split("p_name", " ")[0].alias("prefix"))
         .union(part.filter("p_size > 20").select(F.upper(F.substring("p_name", 1, 5))))
         .union(part.filter("p_size = 7").select("p_name"))
         .distinct()
     )
-    return inv.prefix_join(part, "p_name", prefixes, "prefix", "prefix").select("p_partkey", "prefix")
+
+
+REG.add("prefix_join",
+        lambda t: inv.prefix_join(t.part, "p_name", _name_prefixes(t), "prefix", "prefix").select("p_partkey", "prefix"),
+        _PREFIX_SQL)
+REG.add("prefix_join_by_order",
+        lambda t: inv.prefix_join_by_order(t.part.select("p_partkey", "p_name"), "p_name", _name_prefixes(t), "prefix", "prefix", hot_rows=500).select("p_partkey", "prefix"),
+        _PREFIX_SQL)
 
 
 # -- logs: line items stand for log files, one table per supplier ---------------------------------------

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import random
 from datetime import datetime, timedelta
 
 import pytest
@@ -91,6 +92,20 @@ def test_longest_prefix_wins_and_the_first_name_is_the_rest(spark):
     assert joined == {"payments.x": "Payments", "PAY.y": "pay", "other": None, "zeta": None}
 
 
+@pytest.mark.parametrize("hot_rows", [5, 60, 100_000])
+def test_prefixes_by_order(spark, hot_rows):
+    rng = random.Random(hot_rows)
+    word = lambda n: "".join(rng.choice("abÄ") for _ in range(rng.randint(0, n)))
+    texts = [(i, word(7)) for i in range(300)] + [(300, None), (301, ""), (302, "zz"), (302, "zz")]
+    names = sorted({word(5) for _ in range(60)} | {"A", "a", "ab", "zzz", ""})
+    rows = spark.createDataFrame(texts, "id INT, t STRING")
+    prefixes = spark.createDataFrame([(n,) for n in names] + [(None,)], "p STRING")
+    plain = inv.prefix_join(rows, "t", prefixes, "p", "found")
+    got = inv.prefix_join_by_order(rows, "t", prefixes, "p", "found", hot_rows=hot_rows)
+    assert got.columns == plain.columns and sorted(map(str, got.collect())) == sorted(map(str, plain.collect()))
+    assert {r["found"] for r in inv.prefix_join_by_order(rows, "t", prefixes.limit(0), "p", "found").collect()} == {None}
+
+
 def plan(spark, rows, lobs, **options):
     frame = spark.createDataFrame([(n, t, i) for i, (n, t) in enumerate(rows)], "table_name STRING, tier STRING, position BIGINT")
     return frame, waves.plan_waves(frame, lobs, **options)

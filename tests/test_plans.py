@@ -20,7 +20,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="test tables a
 
 # explicit broadcasts: literals of fixed size, and bounded lists of hot partitions
 BOUNDED_BROADCASTS = {
-    "fn_values_clause", "transition_audit", "wave_status_rules", "window_ranks", "window_ranks_sampled",
+    "fn_values_clause", "transition_audit", "wave_status_rules", "window_ranks", "window_ranks_sampled", "prefix_join_by_order",
     "plan_waves", "fn_row_number", "fn_cume_dist", "fn_ntile", "fn_nth_value",
 }
 
