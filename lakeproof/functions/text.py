@@ -41,8 +41,9 @@ def codepoint(s: Column) -> Column:
 
 
 def chr(n: Column) -> Column:
-    """Any code point; Spark's own is modulo 256."""
-    return F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
+    """Any code point; Spark's own is modulo 256. NULL for numbers that are none: negative, surrogates, or beyond U+10FFFF."""
+    valid = n.between(0, 0xD7FF) | n.between(0xE000, 0x10FFFF)
+    return F.when(valid, F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32"))
 
 
 def split(s: Column, delimiter: str, limit: int = -1) -> Column:

@@ -47,6 +47,13 @@ def test_times(spark):
     assert value(spark, t.date_trunc_date("month", ts.cast("date"))).isoformat() == "2024-03-01"
 
 
+def test_numbers_that_are_no_code_point(spark):
+    numbers = [0xD7FF, 0xD800, 0xDFFF, 0xE000, 0x10FFFF, 0x110000, 1_200_200, -1, None, 1 << 33]
+    rows = spark.createDataFrame([(i, n) for i, n in enumerate(numbers)], "i int, n bigint").select("i", x.chr(F.col("n")).alias("c"))
+    got = [r["c"] for r in rows.orderBy("i").collect()]
+    assert got == ["\ud7ff", None, None, "\ue000", "\U0010ffff", None, None, None, None, None]
+
+
 def test_texts(spark):
     assert value(spark, x.regexp_extract(F.lit("abc"), "[0-9]+")) is None
     assert value(spark, x.regexp_extract(F.lit("a12"), "([a-z])([0-9]+)", 2)) == "12"
