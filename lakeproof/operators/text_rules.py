@@ -195,7 +195,8 @@ def apply_rules(df: DataFrame, text: str, rules: Sequence[Rule] = LAKE_SQL_RULES
 
 def rule_coverage(df: DataFrame, text: str, rules: Sequence[Rule] = LAKE_SQL_RULES) -> DataFrame:
     """Per rule: files hit and occurrences; rules never hit show 0."""
-    hits = rule_hits(df, text, rules).select(F.inline("hits")).groupBy("name").agg(
+    # the plain inline adds a filter on the hits below itself, which would try all rules on each text again
+    hits = rule_hits(df, text, rules).select(F.inline_outer("hits")).filter("name IS NOT NULL").groupBy("name").agg(
         F.count("*").alias("files"), F.sum("occurrences").alias("occurrences")
     )
     # as many rows as there are rules

@@ -200,3 +200,8 @@ def test_rules_of_any_form_are_tried(spark):
     frame = spark.createDataFrame(list(enumerate(texts)), "k int, t string")
     got = {r["k"]: r["matched"] for r in tr.match_rules(frame, "t", rules).collect()}
     assert got == {0: ["long"], 1: ["either"], 2: ["maybe"], 3: ["interval_quoted"], 4: []}
+
+
+def test_coverage_tries_the_rules_once_per_text(spark):
+    plan = tr.rule_coverage(corpus(spark).repartition(2), "content", LAKE_SQL_RULES[:3])._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate inline" in plan and "size(transform(" not in plan
