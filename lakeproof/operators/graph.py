@@ -22,7 +22,8 @@ HOT_PAIRS = (100_000, 1_000_000)
 
 
 def graph_nodes(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
-    every = edges.select(F.col("src").alias("node")).union(edges.select("dst"))
+    # both ends of a row at once, so that the edges are read once
+    every = edges.select(F.explode(F.array("src", "dst")).alias("node"))
     if nodes is not None:
         every = every.union(nodes.select("node"))
     return every.distinct()
@@ -30,24 +31,33 @@ def graph_nodes(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
 
 def graph_roots(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     """Nodes that are nobody's child; if there is none, all nodes that have children."""
-    every = graph_nodes(edges, nodes)
-    children = edges.select(F.col("dst").alias("node")).distinct()
-    roots = materialize(every.join(children, "node", "left_anti"))
-    if roots.isEmpty():
-        return edges.select(F.col("src").alias("node")).distinct()
-    return roots
+    return _roots(_degrees(edges, nodes))
+
+
+def _degrees(links: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
+    """(node, into, out): links into and out of each node, written."""
+    ends = links.select(F.explode(F.array(F.struct(F.col("src").alias("node"), F.lit(0).alias("i")), F.struct(F.col("dst").alias("node"), F.lit(1).alias("i")))).alias("e"))
+    ends = ends.select("e.node", "e.i", (1 - F.col("e.i")).alias("o"))
+    if nodes is not None:
+        ends = ends.union(nodes.select("node", F.lit(0).alias("i"), F.lit(0).alias("o")))
+    return materialize(ends.groupBy("node").agg(F.sum("i").alias("into"), F.sum("o").alias("out")))
+
+
+def _roots(degrees: DataFrame) -> DataFrame:
+    # an unknown node is equal to no child
+    roots = materialize(degrees.filter("into = 0 OR node IS NULL").select("node"), n=F.count("*"))
+    return roots if facts(roots)["n"] else degrees.filter("out > 0").select("node")
 
 
 def _chains(links: DataFrame, roots: DataFrame) -> DataFrame | None:
     """(node, head, offset) of the nodes inside chains: the branching node or root before them, and the steps from there.
 
-    Inside a chain are nodes with one link in and one out. Each points to the node before it, and pointers are followed
+    ``links`` are (src, dst, into, out) with the numbers of links into and out of dst. Inside a chain are nodes with one link in and
+    one out. Each points to the node before it, and pointers are followed
     in doubling steps until they reach a head, so a chain of n nodes takes the logarithm of n. Cycles of such nodes
     have no head, and their nodes are left out. None if there are no such nodes.
     """
-    ends = links.select(F.col("dst").alias("node"), F.lit(1).alias("i"), F.lit(0).alias("o"), F.col("src").alias("before"))
-    ends = ends.unionByName(links.select(F.col("src").alias("node"), F.lit(0).alias("i"), F.lit(1).alias("o"), F.lit(None).cast(links.schema["src"].dataType).alias("before")))
-    inner = ends.groupBy("node").agg(F.sum("i").alias("i"), F.sum("o").alias("o"), F.max("before").alias("head")).filter("i = 1 AND o = 1 AND node <> head")
+    inner = links.filter("into = 1 AND out = 1 AND src <> dst").select(F.col("dst").alias("node"), F.col("src").alias("head"))
     inner = inner.join(roots.select("node"), "node", "left_anti")
     pointers = inner.select("node", "head", F.lit(1).cast("bigint").alias("offset"), F.lit(False).alias("done"))
     pointers, waiting = materialize(pointers, n=F.count("*")), None
@@ -71,21 +81,29 @@ def _chains(links: DataFrame, roots: DataFrame) -> DataFrame | None:
 def cascade_pairs(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """(root, node, depth) of every node below a root.
 
-    Chains are contracted to weighted links first (see ``_chains``), so the rounds of the search grow with the branchings on a
+    Links to nodes without children are followed last, in one join: the search is over the other links, which are few where most
+    nodes are leaves. Chains are contracted to weighted links first (see ``_chains``), so the rounds of the search grow with the branchings on a
     path and not with its steps. A round keeps the pairs that are new or came nearer, and ends when there are none, so cycles end too. Nodes
     inside chains follow from their heads in one join. A root on a cycle is among its own dependents.
     """
     links = materialize(edges.select("src", "dst").distinct())
-    inside = _chains(links, roots)
-    weighted = links.select("src", "dst", F.lit(1).cast("bigint").alias("steps"))
+    return _pairs(links, _degrees(links), roots)
+
+
+def _pairs(links: DataFrame, degrees: DataFrame, roots: DataFrame) -> DataFrame:
+    """``cascade_pairs`` over distinct links and their degrees, both written."""
+    ahead = degrees.select(F.col("node").alias("dst"), "into", "out")
+    links = materialize(links.join(ahead, "dst", "left").select("src", "dst", "into", F.coalesce("out", F.lit(0)).alias("out")))
+    leaves, branches = links.filter("out = 0").select("src", "dst"), links.filter("out > 0")
+    inside = _chains(branches, roots)
+    weighted = branches.select("src", "dst", F.lit(1).cast("bigint").alias("steps"))
     if inside is not None:
         names = inside.select(F.col("node").alias("inner"), "head", "offset")
-        ends = links.join(names.select(F.col("inner").alias("dst")), "dst", "left_anti")
+        ends = branches.select("src", "dst").join(names.select(F.col("inner").alias("dst")), "dst", "left_anti")
         ends = ends.join(names, ends["src"] == names["inner"], "left")
-        ends = ends.select(F.coalesce("head", "src").alias("src"), "dst", (F.coalesce("offset", F.lit(0)) + 1).alias("steps"))
-        weighted = materialize(ends.groupBy("src", "dst").agg(F.min("steps").alias("steps")))
-    frontier = roots.select(F.col("node").alias("root"), "node", F.lit(0).cast("bigint").alias("depth"))
-    found, rounds = None, 0
+        weighted = materialize(ends.select(F.coalesce("head", "src").alias("src"), "dst", (F.coalesce("offset", F.lit(0)) + 1).alias("steps")))
+    start = roots.select(F.col("node").alias("root"), "node", F.lit(0).cast("bigint").alias("depth"))
+    frontier, found, rounds = start, None, 0
     while True:
         step = frontier.join(weighted, F.col("node") == F.col("src")).groupBy("root", F.col("dst").alias("node")).agg(F.min(F.col("depth") + F.col("steps")).alias("depth"))
         if found is not None:
@@ -103,11 +121,13 @@ def cascade_pairs(edges: DataFrame, roots: DataFrame) -> DataFrame:
     if found is None:
         found = frontier
     nearest = found.groupBy("root", "node").agg(F.min("depth").alias("depth"))
+    heads = nearest.filter("root <> node").unionByName(start)
     if inside is not None:
-        heads = nearest.filter("root <> node").unionByName(roots.select(F.col("node").alias("root"), "node", F.lit(0).cast("bigint").alias("depth")))
         inner = heads.join(inside.select(F.col("node").alias("inner"), F.col("head").alias("node"), "offset"), "node")
-        nearest = nearest.unionByName(inner.select("root", F.col("inner").alias("node"), (F.col("depth") + F.col("offset")).alias("depth")))
-    return nearest.select("root", "node", F.col("depth").cast("int").alias("depth"))
+        inner = inner.select("root", F.col("inner").alias("node"), (F.col("depth") + F.col("offset")).alias("depth"))
+        nearest, heads = nearest.unionByName(inner), heads.unionByName(inner)
+    last = heads.join(leaves, F.col("node") == F.col("src")).groupBy("root", F.col("dst").alias("node")).agg((F.min("depth") + 1).alias("depth"))
+    return nearest.unionByName(last).select("root", "node", F.col("depth").cast("int").alias("depth"))
 
 
 def cascade(edges: DataFrame, nodes: DataFrame | None = None, roots: DataFrame | None = None) -> DataFrame:
@@ -115,14 +135,13 @@ def cascade(edges: DataFrame, nodes: DataFrame | None = None, roots: DataFrame |
 
     The result has a row per pair, so on large graphs name the ``roots`` (column node) to list.
     """
-    roots = graph_roots(edges, nodes) if roots is None else roots.select("node").distinct()
-    pairs = cascade_pairs(edges, roots)
-    below = pairs.select("root", F.col("node").alias("dependent"), "depth")
-    return (
-        roots.select(F.col("node").alias("root"))
-        .join(below, "root", "left")
-        .withColumn("depth", F.coalesce("depth", F.lit(0)))
-    )
+    links = materialize(edges.select("src", "dst").distinct())
+    degrees = _degrees(links, nodes)
+    roots = _roots(degrees) if roots is None else roots.select("node").distinct()
+    below = _pairs(links, degrees, roots).select("root", F.col("node").alias("dependent"), "depth")
+    parents = degrees.filter("out > 0").select("node")
+    alone = roots.join(parents, "node", "left_anti").select(F.col("node").alias("root"), F.lit(None).cast(below.schema["dependent"].dataType).alias("dependent"), F.lit(0).alias("depth"))
+    return below.unionByName(alone)
 
 
 def cascade_roots(cascades: DataFrame) -> DataFrame:
@@ -150,54 +169,70 @@ def _with_minimum(pairs: DataFrame, minima: DataFrame) -> DataFrame:
     return spread.join(repeated, ["at", "salt"]).select("at", "far", "least")
 
 
-def _large_star(links: DataFrame, limit: int) -> DataFrame:
-    """Link each neighbour above a node to the smallest of the node and its neighbours."""
-    upward = links.select(F.col("v").alias("at"), F.col("u").alias("far"))
-    both = upward.unionByName(links.select(F.col("u").alias("at"), F.col("v").alias("far")))
-    linked = _with_minimum(upward, _minima(both, limit))
-    return linked.select(F.col("far").alias("u"), F.least("at", "least").alias("v"))
+def _nearest(links: DataFrame, salt: int, limit: int) -> DataFrame:
+    """For each node the one of it and its neighbours that comes first in the order of this round (column least)."""
+    both = links.select(F.col("u").alias("at"), F.col("v").alias("far")).unionByName(links.select(F.col("v").alias("at"), F.col("u").alias("far")))
+    order = lambda c: F.xxhash64(F.lit(salt), c)
+    first = both.groupBy("at").agg(F.min_by("far", order("far")).alias("far"), F.ceil(F.count("*") / limit).cast("int").alias("salts"))
+    return first.select("at", F.when(order("at") <= order("far"), F.col("at")).otherwise(F.col("far")).alias("least"), "salts")
 
 
-def _small_star(links: DataFrame, limit: int) -> DataFrame:
-    """Link a node and its neighbours below it to the smallest of them."""
-    downward = links.select(F.col("u").alias("at"), F.col("v").alias("far"))
-    minima = _minima(downward, limit)
-    moved = _with_minimum(downward, minima).filter("far <> least")
-    kept = minima.select(F.col("at").alias("u"), F.col("least").alias("v"))
-    return moved.select(F.col("far").alias("u"), F.col("least").alias("v")).unionByName(kept).distinct()
+def _merged(links: DataFrame, nearest: DataFrame) -> DataFrame:
+    """Links between the nodes that the ends were merged into, each once."""
+    left = _with_minimum(links.select(F.col("u").alias("at"), F.col("v").alias("far")), nearest)
+    both = _with_minimum(left.select(F.col("far").alias("at"), F.col("least").alias("far")), nearest)
+    kept = both.filter("far <> least").select(F.greatest("far", "least").alias("u"), F.least("far", "least").alias("v"))
+    return materialize(kept.distinct(), n=F.count("*"))
 
 
-def _linked(links: DataFrame) -> DataFrame:
-    """One round's links, written; their fingerprint is taken while writing, so a round is one job."""
-    return materialize(
-        links, n=F.count("*"), x=F.bit_xor(F.xxhash64("u", "v")), s=F.sum(F.xxhash64("v", "u").bitwiseAND(0x3FFFFF))
-    )
+def _unique_seed(every: DataFrame) -> int:
+    """The first seed of the hash by which no two of the nodes share an id, so that nodes can be compared by it."""
+    seed = 0
+    while not every.groupBy(_id("node", seed).alias("id")).count().filter("count > 1").isEmpty():
+        seed += 1
+    return seed
+
+
+def _id(column: str, seed: int) -> Column:
+    return F.xxhash64(F.lit(seed), F.col(column))
 
 
 def connected_components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     """(component, member): the component is named by its smallest member.
 
-    Alternating large and small stars: every round links nodes to smaller neighbours until each component is
-    one star around its smallest member. Rounds grow with the logarithm of the size, not with the diameter.
-    A link (u, v) always has u > v.
+    In each round every node is merged into the first of it and its neighbours, in an order that a hash draws anew, and the
+    links between merged nodes are kept once. So nodes become fewer by a constant share at least, and links within a merged group vanish: rounds grow
+    with the logarithm of the size, not with the diameter, and the first one, over all links, costs as much as all others. The
+    merges are followed back in the end. Nodes are compared by 64-bit ids (see ``_unique_seed``).
     """
-    every = graph_nodes(edges, nodes)
-    links = _linked(
-        edges.filter("src <> dst")
-        .select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v"))
-        .distinct()
-    )
-    while True:
-        before = facts(links)
-        limit = min(max(before["n"] // HOT_SHARE, HOT_PAIRS[0]), HOT_PAIRS[1])
-        moved = _linked(_small_star(_large_star(links, limit), limit))
+    edges = materialize(edges.select("src", "dst"))
+    every = materialize(graph_nodes(edges, nodes))
+    seed = _unique_seed(every)
+    links = edges.filter("src <> dst").select(_id("src", seed).alias("u"), _id("dst", seed).alias("v"))
+    links, merges = materialize(links, n=F.count("*")), []
+    discard(edges)
+    while facts(links)["n"]:
+        limit = min(max(facts(links)["n"] // HOT_SHARE, HOT_PAIRS[0]), HOT_PAIRS[1])
+        merges.append(materialize(_nearest(links, len(merges), limit)))
+        moved = _merged(links, merges[-1])
         discard(links)
         links = moved
-        if facts(links) == before:
-            break
-    return every.join(links, every["node"] == links["u"], "left").select(
-        F.coalesce("v", "node").alias("component"), F.col("node").alias("member")
-    )
+    discard(links)
+    if not merges:
+        return every.select(F.col("node").alias("component"), F.col("node").alias("member"))
+    final = None
+    for merge in reversed(merges):
+        step = merge.select("at", F.col("least").alias("to"))
+        if final is not None:
+            later = final.select(F.col("at").alias("to"), F.col("to").alias("end"))
+            step = step.join(later, "to", "left").select("at", F.coalesce("end", "to").alias("to"))
+        final, before = materialize(step), final
+        discard(before, merge)
+    named = every.select("node", _id("node", seed).alias("id"))
+    grouped = materialize(named.join(final, named["id"] == final["at"], "left").select("node", F.coalesce("to", "id").alias("group")))
+    discard(every, final)
+    smallest = grouped.groupBy("group").agg(F.min("node").alias("component"))
+    return grouped.join(smallest, "group").select("component", F.col("node").alias("member"))
 
 
 def co_migration_batches(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:

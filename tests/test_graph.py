@@ -162,3 +162,34 @@ def test_random_graphs(spark):
         for r in graph.cascade(edge_frame(spark, edges)).collect():
             got[r["root"]].update({r["dependent"]: r["depth"]} if r["dependent"] else {})
         assert dict(got) == expected_cascade(edges)
+
+
+def rows_written(run):
+    """The numbers of rows that a function's rounds have written."""
+    counted, real = [], graph.materialize
+
+    def recorded(df, **observed):
+        table = real(df, **observed)
+        if "n" in observed:
+            counted.append(graph.facts(table)["n"])
+        return table
+
+    graph.materialize = recorded
+    try:
+        return run(), counted
+    finally:
+        graph.materialize = real
+
+
+def test_links_inside_merged_groups_vanish(spark):
+    edges = [(f"a{i:02}", f"b{j:02}") for i in range(30) for j in range(30)]
+    got, written = rows_written(lambda: graph.connected_components(edge_frame(spark, edges)).collect())
+    assert {r["component"] for r in got} == {"a00"} and len(got) == 60
+    assert written[0] == 900 and sum(written[1:]) < 30
+
+
+def test_leaves_are_not_searched(spark):
+    edges = [("r", "x"), ("x", "y1"), ("x", "y2")] + [(a, f"{a}{i:03}") for a in ("y1", "y2") for i in range(100)]
+    got, written = rows_written(lambda: graph.cascade(edge_frame(spark, edges)).collect())
+    assert {(r["root"], r["dependent"]): r["depth"] for r in got} == {("r", d): n for d, n in expected_cascade(edges)["r"].items()}
+    assert max(written) <= 3
