@@ -101,12 +101,12 @@ def _verdicts(audited: DataFrame) -> DataFrame:
 
 
 def audit_in_two_runs(t: Tables, states: dict[str, str], steps) -> DataFrame:
-    """The events before and from the middle of the time as two files; the second run goes on from the first one's checkpoint."""
+    """The events before and from the middle of the time, a trigger each; the second run goes on from the first one's checkpoint."""
     base = scratch_path(t.spark, "audit")
     middle = t.events.agg(F.expr("min(ts) + (max(ts) - min(ts)) / 2").alias("ts")).first()["ts"]
     for part in (col("ts") < lit(middle), col("ts") >= lit(middle)):
-        t.events.filter(part).coalesce(1).write.mode("append").parquet(f"{base}/events")
-        history = _history(file_stream(t.spark, f"{base}/events", "*.parquet", t.events.schema, files_per_trigger=1), states)
+        t.events.filter(part).write.mode("append").parquet(f"{base}/events")
+        history = _history(file_stream(t.spark, f"{base}/events", "*.parquet", t.events.schema), states)
         passed = run_to_end(transitions.stream_transition_audit(history, steps), base)
     return _verdicts(passed.unionByName(transitions.waiting_audit(t.spark, base, steps)))
 

@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
@@ -18,12 +17,13 @@ OUTPUT = "entity STRING, event_id BIGINT, previous STRING, state STRING, legal B
 class _StepAudit(StatefulProcessor):
     """Rows wait in the state store until the watermark has passed them, and come out ordered by (ts, event_id).
 
-    So neither the batches in which rows arrive nor the Arrow batches they are cut into matter. An entity's timer is set to
+    So the batches in which rows arrive do not matter. Rows are handled one by one: entities are many and have few rows each, so a
+    data frame per entity would cost more than its rows. An entity's timer is set to
     the earliest row that waits; what waits is bounded by the entity's rows within the delay.
     """
 
     def __init__(self, steps: Mapping[str, Sequence[str]]) -> None:
-        self._legal = [(a, b) for a, targets in steps.items() for b in targets]
+        self._legal = {(a, b) for a, targets in steps.items() for b in targets}
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._handle = handle
@@ -31,46 +31,31 @@ class _StepAudit(StatefulProcessor):
         self._waiting = handle.getListState("waiting", "ts BIGINT, event_id BIGINT, state STRING")
 
     def handleInputRows(self, key, rows, timerValues):
-        earliest = None
-        for batch in rows:
-            if not len(batch):
-                continue
-            micros = pd.to_datetime(batch["ts"]).astype("datetime64[us]").astype("int64")
-            self._waiting.appendList(list(zip(micros.tolist(), batch["event_id"].tolist(), batch["state"].tolist(), strict=True)))
-            first = int(micros.min())
-            earliest = first if earliest is None else min(earliest, first)
-        if earliest is not None:
+        waiting = [(r["micros"], r["event_id"], r["state"]) for r in rows]
+        if waiting:
+            self._waiting.appendList(waiting)
             # a timer in the past would not fire: such a row is at the watermark and comes out with the next one
+            earliest = min(micros for micros, _, _ in waiting)
             self._handle.registerTimer(max(earliest // 1000, timerValues.getCurrentWatermarkInMs()) + 1)
-        yield pd.DataFrame()
+        return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         passed = timerValues.getCurrentWatermarkInMs()
-        waiting = pd.DataFrame(list(self._waiting.get()), columns=["ts", "event_id", "state"])
-        due = waiting["ts"] // 1000 < passed
-        ready, later = waiting[due].sort_values(["ts", "event_id"]), waiting[~due]
-        if len(later):
-            self._waiting.put(list(later.itertuples(index=False, name=None)))
-            self._handle.registerTimer(max(int(later["ts"].min()) // 1000, passed) + 1)
+        waiting = [tuple(row) for row in self._waiting.get()]
+        later = [row for row in waiting if row[0] // 1000 >= passed]
+        if later:
+            self._waiting.put(later)
+            self._handle.registerTimer(max(min(row[0] for row in later) // 1000, passed) + 1)
         else:
             self._waiting.clear()
-        if not len(ready):
-            yield pd.DataFrame()
+        ready = sorted((row for row in waiting if row[0] // 1000 < passed), key=lambda row: (row[0], row[1] is None, row[1]))
+        if not ready:
             return
-        previous = ready["state"].shift(1)
-        previous.iloc[0] = self._last.get()[0] if self._last.exists() else None
-        listed = pd.MultiIndex.from_arrays([previous, ready["state"]]).isin(self._legal)
-        legal = pd.Series(listed, index=ready.index, dtype="boolean").mask(previous.isna())
-        self._last.update((ready["state"].iloc[-1],))
-        yield pd.DataFrame(
-            {
-                "entity": key[0],
-                "event_id": ready["event_id"].to_numpy(),
-                "previous": previous.where(previous.notna(), None).to_numpy(),
-                "state": ready["state"].to_numpy(),
-                "legal": legal.array,
-            }
-        )
+        previous = self._last.get()[0] if self._last.exists() else None
+        self._last.update((ready[-1][2],))
+        for _, event_id, state in ready:
+            yield Row(entity=key[0], event_id=event_id, previous=previous, state=state, legal=None if previous is None else (previous, state) in self._legal)
+            previous = state
 
     def close(self) -> None:
         pass
@@ -86,10 +71,10 @@ def stream_transition_audit(
     that wait when the history ends.
     """
     return (
-        history.select("entity", "event_id", "ts", "state")
+        history.select("entity", "event_id", "ts", "state", F.coalesce(F.unix_micros("ts"), F.lit(-(1 << 63))).alias("micros"))
         .withWatermark("ts", delay)
         .groupBy("entity")
-        .transformWithStateInPandas(
+        .transformWithState(
             statefulProcessor=_StepAudit(steps), outputStructType=OUTPUT, outputMode="append", timeMode="EventTime"
         )
     )

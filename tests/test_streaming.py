@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from datetime import datetime, timedelta
+from types import SimpleNamespace
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from lakeproof.operators.gates import RUN_MODE_STEPS
@@ -196,3 +198,43 @@ def test_late_rows_are_kept_and_counted(spark, tmp_path):
     lag = {r["window_start"]: tuple(r)[2:] for r in batches.lag_with_late_rows(split, "kind").collect()}
     assert lag[START] == (5, 3, 2, 4)
     assert batches.read_batches(spark, f"{base}/nothing", "id BIGINT").collect() == []
+
+
+class _Held:
+    """A state variable in memory that counts its calls."""
+
+    def __init__(self):
+        self.value, self.calls = None, 0
+
+    def _set(self, value):
+        self.value, self.calls = value, self.calls + 1
+
+    update = put = _set
+
+    def appendList(self, rows):
+        self._set([*(self.value or []), *rows])
+
+    def get(self):
+        self.calls += 1
+        return iter(self.value) if isinstance(self.value, list) else self.value
+
+    def exists(self):
+        return self.value is not None
+
+    def clear(self):
+        self._set(None)
+
+
+def test_audit_handles_plain_rows(spark):
+    """An entity's rows need no data frame: state is written once per batch and read once per timer."""
+    last, waiting, timers = _Held(), _Held(), []
+    handle = SimpleNamespace(getValueState=lambda *_: last, getListState=lambda *_: waiting, registerTimer=timers.append)
+    audit = transitions._StepAudit({"a": ["b"]})
+    audit.init(handle)
+    at = lambda ms: SimpleNamespace(getCurrentWatermarkInMs=lambda: ms)
+    rows = [Row(micros=m, event_id=n, state=s) for m, n, s in ((9000, 4, "a"), (2000, 2, "b"), (1000, 1, "a"), (2000, 3, "a"))]
+    assert list(audit.handleInputRows(("e",), iter(rows), at(0))) == [] and (waiting.calls, timers) == (1, [2])
+    out = [tuple(r) for r in audit.handleExpiredTimer(("e",), at(5), None)]
+    assert out == [("e", 1, None, "a", None), ("e", 2, "a", "b", True), ("e", 3, "b", "a", False)]
+    assert (waiting.value, last.value, timers) == ([(9000, 4, "a")], ("a",), [2, 10])
+    assert [tuple(r) for r in audit.handleExpiredTimer(("e",), at(10), None)] == [("e", 4, "a", "a", False)] and waiting.value is None
