@@ -152,6 +152,8 @@ _METRICS = (
     "non_null", "nulls", "nan_values", "infinite_values", "overflow_values", "distinct_values", "min_value", "max_value",
     "sum_value", "mean_value",
 )
+#: Columns of doubles whose inner values are summed in the first aggregate; with five sums for each, more would take too long to compile.
+INNER_COLUMNS = 16
 _PARTS = (42, 21, 0)  # bits at which a BIGINT is cut for its sum: the parts of 2^41 rows fit into a BIGINT
 
 
@@ -196,9 +198,10 @@ def _sums(value: str, dtype: T.DataType) -> tuple[str, str, str, str]:
 def _profile(df: DataFrame, columns: list[str], kinds: dict[str, T.DataType], side: int, exact_distinct: bool) -> DataFrame:
     """Rows per column from two aggregates over the table: a row per task is shuffled and no values beside extremes.
 
-    Extremes of texts are taken apart: their buffers grow, which would keep all other aggregates from being compiled.
+    ``inner`` is the sum of a column's doubles of usual size. Extremes of texts are taken apart: their buffers grow, which would keep all other aggregates from being compiled.
     """
     texts = [k for k, c in enumerate(columns) if _is_ordered(kinds[c]) and not _has_fixed_width(kinds[c])]
+    doubles = dict(_doubles(columns, kinds)[:INNER_COLUMNS])
 
     def extremes(k: int) -> str:
         value = _value(columns[k], kinds[columns[k]])
@@ -210,12 +213,15 @@ def _profile(df: DataFrame, columns: list[str], kinds: dict[str, T.DataType], si
         total, nans, infinite, beyond = _sums(value, kind)
         ends = extremes(k) if _is_ordered(kind) and k not in texts else "'min_value', CAST(NULL AS STRING), 'max_value', CAST(NULL AS STRING)"
         distinct = "CAST(NULL AS BIGINT)" if exact_distinct else f"approx_count_distinct(h{k})"
+        inner = exact_sums.inner_bins(k) if k in doubles else f"CAST(NULL AS {exact_sums.BINS})"
         return (
             f"named_struct('column', {k}, 'non_null', count({_named(c)}), 'nulls', count(*) - count({_named(c)}), 'nan_values', {nans}, "
-            f"'infinite_values', {infinite}, 'overflow_values', {beyond}, {ends}, 'plain_sum', {total}, 'distinct_values', {distinct})"
+            f"'infinite_values', {infinite}, 'overflow_values', {beyond}, {ends}, 'plain_sum', {total}, 'distinct_values', {distinct}, 'inner', {inner})"
         )
 
     hashed = df if exact_distinct else df.select("*", *[_value_hash(df, c, kinds[c]).alias(f"h{k}") for k, c in enumerate(columns)])
+    if doubles:
+        hashed = exact_sums.with_inner(hashed, doubles)
     out = hashed.agg(F.expr(f"array({', '.join(plain(k) for k in range(len(columns)))})").alias("cells"))
     out = out.selectExpr(f"{side} AS {_SIDE}", "inline(cells)")
     if texts:
@@ -230,36 +236,43 @@ def _value_hash(df: DataFrame, column: str, kind: T.DataType) -> Column:
 
 
 def _distinct(source: DataFrame, target: DataFrame, columns: list[str], kinds: dict[str, T.DataType]) -> DataFrame:
-    """(column, distinct_0, distinct_1), from 64-bit hashes of the values."""
+    """(column, distinct_0, distinct_1), from 64-bit hashes of the values.
+
+    Each copy is counted for itself: reading, hashing and the aggregate before the shuffle are then one compiled loop, which
+    a union of the copies below the aggregate would cut in two.
+    """
 
-    def project(df: DataFrame) -> list[Column]:
-        cells = [F.struct(F.lit(number).alias("column"), _value_hash(df, c, kinds[c]).alias("h")) for number, c in enumerate(columns)]
-        return [F.inline(F.array(*cells)).alias("column", "h")]
+    def counted(df: DataFrame, side: int) -> DataFrame:
+        hashes = F.array(*[_value_hash(df, c, kinds[c]) for c in columns])  # longs only, so no object is made per value
+        seen = df.select(F.posexplode(hashes).alias("column", "h")).filter("h is not null").distinct()
+        return seen.groupBy("column").agg(F.count("*").alias("n")).withColumn(_SIDE, F.lit(side))
 
-    values = _tagged(source, target, project).filter("h is not null")
-    seen = values.groupBy("column", "h").agg(F.bool_or(_is(_SOURCE)).alias("s"), F.bool_or(_is(_TARGET)).alias("t"))
-    return seen.groupBy("column").agg(F.count_if("s").alias("distinct_0"), F.count_if("t").alias("distinct_1"))
+    both = counted(source, _SOURCE).unionByName(counted(target, _TARGET))
+    return both.groupBy("column").agg(*[F.max(F.when(_is(side), F.col("n"))).alias(f"distinct_{side}") for side in (_SOURCE, _TARGET)])
 
 
-def _double_sums(source: DataFrame, target: DataFrame, columns: list[str], kinds: dict[str, T.DataType]) -> DataFrame:
-    """(column, exact_sum_0, exact_sum_1, same_sum) of the finite values of columns of doubles, from a row per column and bin.
+def _doubles(columns: list[str], kinds: dict[str, T.DataType]) -> list[tuple[int, str]]:
+    return [(k, f"CAST({_named(c)} AS DOUBLE)") for k, c in enumerate(columns) if isinstance(kinds[c], T.DoubleType)]
 
-    Columns without a value but zeros are left out.
+
+def _outer_bins(source: DataFrame, target: DataFrame, columns: list[str], kinds: dict[str, T.DataType]) -> DataFrame:
+    """(column, bins_0, bins_1) of the finite values that ``_profile`` does not sum, from a row per column and bin.
+
+    Columns without such values are left out.
     """
-    cells = ", ".join(
-        f"named_struct('column', {k}, 'v', CASE WHEN abs({_named(c)}) < double('Infinity') THEN CAST({_named(c)} AS DOUBLE) END)"
-        for k, c in enumerate(columns) if isinstance(kinds[c], T.DoubleType)
-    )
+    doubles = _doubles(columns, kinds)
+    outer = [(k, v, exact_sums.is_outer(v) if n < INNER_COLUMNS else exact_sums.is_summed(v)) for n, (k, v) in enumerate(doubles)]
+    cells = ", ".join(f"named_struct('column', {k}, 'v', CASE WHEN {held} THEN {v} END)" for k, v, held in outer)
+    held = " OR ".join(f"({held})" for _, _, held in outer)
 
     def values(df: DataFrame, side: int) -> DataFrame:
-        return df.selectExpr(f"{side} AS {_SIDE}", f"inline(array({cells}))")
+        return df.filter(held).selectExpr(f"{side} AS {_SIDE}", f"inline(array({cells}))")
 
     digits = exact_sums.with_digits(values(source, _SOURCE).unionByName(values(target, _TARGET)), "v")
     bins = digits.groupBy("column", _SIDE, "bin").agg(*[F.sum(name).alias(name) for name in exact_sums.NAMES])
     # at most a bin for every 22 powers of two
     listed = f"named_struct('bin', bin, {', '.join(f"'{n}', {n}" for n in exact_sums.NAMES)})"
-    by_side = bins.groupBy("column").agg(*[F.expr(f"collect_list({listed}) FILTER (WHERE {_SIDE} = {side})").alias(f"bins_{side}") for side in (_SOURCE, _TARGET)])
-    return by_side.mapInArrow(exact_sums.compare_bins, exact_sums.COMPARED)
+    return bins.groupBy("column").agg(*[F.expr(f"collect_list({listed}) FILTER (WHERE {_SIDE} = {side})").alias(f"bins_{side}") for side in (_SOURCE, _TARGET)])
 
 
 def compare_column_aggregates(
@@ -271,7 +284,7 @@ def compare_column_aggregates(
     """Per column: counts, nulls, NaN and infinite values, distinct values, min, max, sum and mean on both copies.
 
     Counts and extremes come from one aggregate per copy, of which a single row per task is shuffled. Doubles are summed
-    exactly, by bins of their exponents (see ``exact_sums``), so sums depend neither on order nor on range; ``matched`` compares the exact
+    exactly, those of usual size in the same aggregate and the others by bins of their exponents (see ``exact_sums``), so sums depend neither on order nor on range; ``matched`` compares the exact
     sums, the shown ones are rounded to 15 digits. Distinct values are counted by 64-bit hash, combined before the shuffle; with
     ``exact_distinct=False`` they are HyperLogLog++ estimates from the first aggregate, equal on equal copies. Raw
     values are never shuffled.
@@ -283,18 +296,19 @@ def compare_column_aggregates(
     if not columns:
         return source.sparkSession.createDataFrame([], ", ".join(["column_name string", *[f"{side}_{m} {_METRIC_TYPES.get(m, 'bigint')}" for side in ("source", "target") for m in _METRICS], "matched boolean"]))
     sides = _profile(source, columns, kinds, _SOURCE, exact_distinct).unionByName(_profile(target, columns, kinds, _TARGET, exact_distinct))
-    both = [(m, side) for side in (_SOURCE, _TARGET) for m in (*(m for m in _METRICS if m not in ("sum_value", "mean_value")), "plain_sum")]
+    both = [(m, side) for side in (_SOURCE, _TARGET) for m in (*(m for m in _METRICS if m not in ("sum_value", "mean_value")), "plain_sum", "inner")]
     wide = sides.groupBy("column").agg(*[F.expr(f"max(CASE WHEN {_SIDE} = {side} THEN {m} END)").alias(f"{m}_{side}") for m, side in both])
     if exact_distinct:
         wide = wide.drop("distinct_values_0", "distinct_values_1").join(_distinct(source, target, columns, kinds), "column", "left")
     doubles = [number for number, c in enumerate(columns) if isinstance(kinds[c], T.DoubleType)]
     if doubles:
-        wide = wide.join(_double_sums(source, target, columns, kinds), "column", "left")
-    out, number = ["column", f"{'coalesce(same_sum, true)' if doubles else 'true'} AS same_sum"], ", ".join(map(str, doubles))
+        wide = wide.join(_outer_bins(source, target, columns, kinds), "column", "left")
+        wide = wide.mapInArrow(exact_sums.compare_bins, exact_sums.compared_schema(wide.schema))
+    out, number = ["column", f"{'same_sum' if doubles else 'true'} AS same_sum"], ", ".join(map(str, doubles))
     for side in (_SOURCE, _TARGET):
         total = f"plain_sum_{side}"
-        if doubles:  # without a bin, all finite values are zero
-            total = f"CASE WHEN column IN ({number}) THEN coalesce(exact_sum_{side}, 0.0D) ELSE plain_sum_{side} END"
+        if doubles:
+            total = f"CASE WHEN column IN ({number}) THEN exact_sum_{side} ELSE plain_sum_{side} END"
         summed = f"non_null_{side} - nan_values_{side} - infinite_values_{side} - overflow_values_{side}"
         total = f"CASE WHEN {summed} > 0 THEN {total} END"
         computed = {

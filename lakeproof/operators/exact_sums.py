@@ -4,6 +4,9 @@ A finite double is written in digits to the base 2^22: its leading digit's posit
 from there down, as a double holds 53 bits. Digits are summed by bin as BIGINT, which holds 2^41 of them. The sums of all bins, shifted by their
 positions, are the digits of the exact sum. They are put together as one long integer per column in the end, from a row per bin: there are
 less than a hundred bins, however many rows.
+
+Doubles from 2^-14 to below 2^44 have no bit outside five digits, the same for all of them. These inner values need no bin: five plain sums
+per column, without a row per value and without a logarithm, are their exact sum.
 """
 
 from __future__ import annotations
@@ -13,12 +16,55 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BITS = 22
 DIGITS = 4
 #: Below the smallest position of a digit: doubles are multiples of 2^-1074.
 BOTTOM = -50 - DIGITS
 NAMES = [f"d{j}" for j in range(DIGITS)]
+BINS = f"ARRAY<STRUCT<bin: INT, {', '.join(f'{name}: BIGINT' for name in NAMES)}>>"
+#: Bounds of inner values: 53 bits from 2^-14 end at 2^-66, the last of three digits below one.
+INNER_FROM, INNER_TO = 2.0**-14, 2.0 ** (2 * BITS)
+
+
+def is_summed(value: str) -> str:
+    """Whether a double is finite and not zero."""
+    return f"abs({value}) > 0.0D AND abs({value}) < double('Infinity')"
+
+
+def is_outer(value: str) -> str:
+    """Whether a double is finite, not zero and no inner value."""
+    return f"abs({value}) > 0.0D AND abs({value}) < {INNER_FROM}D OR abs({value}) >= {INNER_TO}D AND abs({value}) < double('Infinity')"
+
+
+def with_inner(rows: DataFrame, values: dict[int, str]) -> DataFrame:
+    """``rows`` with three BIGINT per number and double: an inner value's bits from 2^0 up, the 44 below and the 22 below these. All steps are exact."""
+    inner = "CASE WHEN abs({0}) >= {1}D AND abs({0}) < {2}D THEN {0} END"
+    steps = [
+        {f"__inner{k}": inner.format(v, INNER_FROM, INNER_TO) for k, v in values.items()},
+        {f"__whole{k}": f"CAST(__inner{k} AS BIGINT)" for k in values},
+        {f"__below{k}": f"(__inner{k} - __whole{k}) * {2.0 ** (2 * BITS)}D" for k in values},
+        {f"__part{k}": f"CAST(__below{k} AS BIGINT)" for k in values},
+        {f"__rest{k}": f"CAST((__below{k} - __part{k}) * {1 << BITS} AS BIGINT)" for k in values},
+    ]
+    for step in steps:
+        rows = rows.selectExpr("*", *[f"{expr} AS {name}" for name, expr in step.items()])
+    return rows
+
+
+def inner_bins(k: int) -> str:
+    """The sum of the inner values with number ``k`` of ``with_inner`` as an aggregate of two bins."""
+
+    def digits(name: str) -> list[str]:
+        return [f"sum(shiftright({name}, {BITS}))", f"sum({name} & {(1 << BITS) - 1})"]
+
+    sums = {1: [*digits(f"__whole{k}"), *digits(f"__part{k}")], 1 - DIGITS: [f"sum(__rest{k})", *["0L"] * (DIGITS - 1)]}
+    bins = [
+        f"named_struct('bin', {bin}, {', '.join(f"'{name}', coalesce({total}, 0L)" for name, total in zip(NAMES, totals, strict=True))})"
+        for bin, totals in sums.items()
+    ]
+    return f"array({', '.join(bins)})"
 
 
 def with_digits(rows: DataFrame, value: str) -> DataFrame:
@@ -48,13 +94,22 @@ def as_double(total: int) -> float:
     return float(f"{value:.14e}")
 
 
-COMPARED = "column int, exact_sum_0 double, exact_sum_1 double, same_sum boolean"
+_GIVEN = ("inner_0", "bins_0", "inner_1", "bins_1")
+_COMPARED = {"exact_sum_0": T.DoubleType(), "exact_sum_1": T.DoubleType(), "same_sum": T.BooleanType()}
+
+
+def compared_schema(given: T.StructType) -> T.StructType:
+    """The columns of ``compare_bins``."""
+    fields = [*[(f.name, f.dataType) for f in given.fields if f.name not in _GIVEN], *_COMPARED.items()]
+    return T.StructType([T.StructField(name, kind) for name, kind in fields])
 
 
 def compare_bins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From (column, bins_0, bins_1), a row per column, to ``COMPARED``."""
+    """Each row, which is one column's, with the sums of its bins on both sides and whether they are equal in place of the bins."""
     for batch in batches:
-        sums = [[exact(bins) for bins in batch.column(side).to_pylist()] for side in (1, 2)]
+        inner_0, bins_0, inner_1, bins_1 = (batch.column(name).to_pylist() for name in _GIVEN)
+        sums = [[exact(a) + exact(b) for a, b in zip(*side, strict=True)] for side in ((inner_0, bins_0), (inner_1, bins_1))]
         doubles = [pa.array([as_double(x) for x in side], pa.float64()) for side in sums]
         same = pa.array([a == b for a, b in zip(*sums, strict=True)], pa.bool_())
-        yield pa.RecordBatch.from_arrays([batch.column(0), *doubles, same], names=[c.split()[0] for c in COMPARED.split(", ")])
+        kept = [name for name in batch.schema.names if name not in _GIVEN]
+        yield pa.RecordBatch.from_arrays([*[batch.column(name) for name in kept], *doubles, same], names=[*kept, *_COMPARED])
